@@ -5,16 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import packing, simhash
 from .common import table
 
 
+def tokenizer(spark: SparkSession) -> tuple[str, str]:
+    """File and pre-token pattern of the byte-level BPE; the file's place can be set with mosaicell.tokenizer."""
+    import public_tokenizers
+
+    return spark.conf.get("mosaicell.tokenizer", public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.PATTERN
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 1024 ids."""
+    return (packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer(spark))
+            .select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_simhash": op7_simhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op7_simhash": op7_simhash}
 
 ORACLE_SQL: dict[str, str] = {}
