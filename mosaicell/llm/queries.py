@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
-from .common import table
+from . import gif, packing, sharding, simhash, urlfilter
+from .common import shared_folder, table, written
 
 
 def tokenizer(spark: SparkSession) -> tuple[str, str]:
@@ -24,11 +25,35 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"))
 
 
+def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as the samples of a stored GIF, read back; the feature sums up its frames and their histograms."""
+    payloads = table(spark, sf_dir, "documents").select("doc_id", gif.text_payload().alias("payload"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    media = written(gif.as_gifs(payloads, ["doc_id", "n_bytes"]), "media")
+    histogram = F.aggregate("frames", F.array(*[F.lit(0).cast("long")] * gif.HIST_BINS), lambda a, f: F.zip_with(a, f["hist_r"], lambda x, y: x + y))
+    last = F.element_at("frames", -1)
+    return (gif.gif_frames(media, ["doc_id", "n_bytes"])
+            .select("doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
+                    F.crc32(F.expr("substring(samples, -16, 16)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+                    F.sha2("media", 256).alias("media_sha256"),
+                    F.concat_ws(";", F.size("frames").cast("string"), (last["start_ms"] + last["delay_ms"]).cast("string"), F.array_join(histogram.cast("array<string>"), ",")).alias("feature")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op7_simhash": op7_simhash}
+def op8_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of nearly equal bytes, by 4096 virtual slots and an edited map."""
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/slot-maps-{uuid.uuid4().hex}")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_gif": op2_gif, "op7_simhash": op7_simhash, "op8_slots": op8_slots, "op9_urls": op9_urls}
 
 ORACLE_SQL: dict[str, str] = {}
