@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, packing, sharding, simhash, urlfilter
+from . import gif, langid, packing, sharding, simhash, toxicity, urlfilter
 from .common import shared_folder, table, written
 
 
@@ -38,6 +38,23 @@ def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat_ws(";", F.size("frames").cast("string"), (last["start_ms"] + last["delay_ms"]).cast("string"), F.array_join(histogram.cast("array<string>"), ",")).alias("feature")))
 
 
+def held_out() -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from labels of documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    field = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, field).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs)).select("doc_id", held_out().alias("held_out"), F.col("language").alias("lang_pred"), "score", "accepted")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
@@ -54,6 +71,6 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_gif": op2_gif, "op7_simhash": op7_simhash, "op8_slots": op8_slots, "op9_urls": op9_urls}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_gif": op2_gif, "op4_toxicity": op4_toxicity, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_slots": op8_slots, "op9_urls": op9_urls}
 
 ORACLE_SQL: dict[str, str] = {}
