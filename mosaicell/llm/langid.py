@@ -21,9 +21,14 @@ UNKNOWN = "und"
 _MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 
+#: ASCII bytes other than letters become spaces, runs of which count once.
+_LETTERS = bytes(k if k > 127 or chr(k).isalpha() else 32 for k in range(256))
+
+
 def counts(text: str) -> np.ndarray:
-    """How often each hashed n-gram of the lower-case UTF-8 bytes occurs (2 ** BITS)."""
-    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    """How often each hashed n-gram of the lower-case UTF-8 bytes of words occurs (2 ** BITS)."""
+    words = b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split())
+    raw = np.frombuffer(b" " + words + b" " if words else b"", np.uint8).astype(np.uint32)
     parts, gram = [], np.zeros(len(raw), np.uint32)
     for k in range(max(ORDERS)):
         if len(raw) <= k:

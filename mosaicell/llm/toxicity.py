@@ -3,7 +3,7 @@
 Labels are of documents. Tokens of toxic documents are labelled through the words and word beginnings that set toxic
 documents apart (a likelihood-ratio test on a bounded sample of labelled rows); from these tokens a field with two
 states is trained, which is then run over whole texts: forward-backward marginals say where a text offends, and a
-logistic curve over the largest marginal and the expected number of toxic tokens gives its score.
+logistic curve over the largest marginal, the expected number of toxic words and their share gives its score.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS, SAMPLE_CHARS = 2000, 20_000
 #: A feature marks tokens as toxic from this likelihood-ratio statistic and log odds on.
 MIN_G, MIN_ODDS = 20.0, 2.0
-SEGMENT, ROUNDS, PENALTY = 32, 80, 1e-3
+SEGMENT, ROUNDS, PENALTY = 32, 100, 1e-5
 PREFIXES = (4, 5)
 EDGES = re.compile(r"^\W+|\W+$")
 #: Documents whose chains are run side by side, and tokens of padding that this may cost.
@@ -58,22 +58,28 @@ def chain(odds: np.ndarray, a01: float, a10: float, a11: float) -> tuple[np.ndar
 
 @dataclass
 class Field:
-    """Weights of features, transitions (as factors), and of the curve over (1, logit of largest marginal, log expected count)."""
+    """Weights of features, transitions (as factors), and of the logistic curve over 1 and the values of `summary`."""
 
     weights: dict[str, float]
     bias: float
     a01: float
     a10: float
     a11: float
-    curve: tuple[float, float, float] = (0.0, 1.0, 0.0)
+    curve: tuple[float, ...] = ()
 
     def token(self, word: str) -> float:
         return math.exp(min(30.0, self.bias + sum(self.weights.get(f, 0.0) for f in word_features(word))))
 
 
-def summary(marginals: np.ndarray) -> tuple[float, float]:
-    top = min(max(float(marginals.max(initial=0.0)), 1e-6), 1 - 1e-6)
-    return math.log(top / (1 - top)), math.log1p(float(marginals.sum()))
+def summary(words: list[str], marginals: np.ndarray) -> tuple[float, ...]:
+    """What the score goes by: logit of the largest marginal; expected toxic words, different toxic words, and their share, as logarithms."""
+    top = min(max(float(marginals.max(initial=0.0)), 1e-3), 1 - 1e-3)
+    types: dict[str, float] = {}
+    for k in np.nonzero(marginals > 0.05)[0].tolist():
+        word = EDGES.sub("", words[k].lower())
+        types[word] = max(types.get(word, 0.0), float(marginals[k]))
+    many = float(marginals.sum())
+    return math.log(top / (1 - top)), math.log1p(many), math.log1p(sum(types.values())), math.log(1e-3 + many / max(1, len(words)))
 
 
 def marginals_of(field: Field, texts: list[list[str]], kept: dict[str, float]) -> list[np.ndarray]:
@@ -159,7 +165,7 @@ def fit(texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.0,
         norm = (1 + w01 + w10 + w11) / real.clip(1e-300)
         was = np.concatenate([np.zeros((len(y), 1)), y[:, :-1]], axis=1)
         error = (y - p) * real
-        grad = np.bincount(ids.ravel(), np.repeat(error.ravel(), width), len(theta)) / total - PENALTY / 10 * theta
+        grad = np.bincount(ids.ravel(), np.repeat(error.ravel(), width), len(theta)) / total - PENALTY * theta
         grad_s = np.array([error.sum(), (((1 - was) * y) - w01 / norm).sum(), ((was * (1 - y)) * real - w10 / norm).sum(), (was * y - w11 / norm).sum()]) / total - PENALTY * steps
         sum_t += grad**2
         sum_s += grad_s**2
@@ -167,13 +173,13 @@ def fit(texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.0,
         steps += 0.2 * grad_s / np.sqrt(sum_s)
     used = {f: float(theta[k]) for f, k in index.items() if abs(theta[k]) > 0.02}
     field = Field(used, float(steps[0]), *map(float, np.exp(steps[1:])))
-    x = np.array([(1.0, *summary(m)) for m in marginals_of(field, docs, {})])
-    t, w, beta = np.array(toxic, float), np.where(np.array(toxic) == 1, weights[1], weights[0]), np.array([0.0, 0.5, 0.0])
+    x = np.array([(1.0, *summary(w, m)) for w, m in zip(docs, marginals_of(field, docs, {}))])
+    t, w, beta = np.array(toxic, float), np.where(np.array(toxic) == 1, weights[1], weights[0]), np.zeros(x.shape[1])
     w = w / w.sum()
     for _ in range(30):  # Newton's method with a small penalty
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hessian = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3)
-        beta = beta + np.linalg.solve(hessian, x.T @ (w * (t - p)) - 1e-3 * beta)
+        hessian = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(x.shape[1])
+        beta = beta + np.linalg.solve(hessian, x.T @ (w * (t - p)) - 1e-4 * beta)
     field.curve = tuple(map(float, beta))
     return field
 
@@ -228,13 +234,13 @@ def _score(field: Field | None):
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 texts = [x or "" for x in batch.column(1).to_pylist()]
-                found = marginals_of(field, [t.split() for t in texts], kept) if field else [np.empty(0)] * len(texts)
+                words = [t.split() for t in texts]
+                found = marginals_of(field, words, kept) if field else [np.empty(0)] * len(texts)
                 scores = [0.0] * len(texts)
                 if field:
-                    b, c, d = field.curve
                     for k, m in enumerate(found):
-                        top, many = summary(m)
-                        scores[k] = 1 / (1 + math.exp(-max(-30.0, min(30.0, b + c * top + d * many))))
+                        z = sum(b * x for b, x in zip(field.curve, (1.0, *summary(words[k], m))))
+                        scores[k] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(scores, pa.float64()), pa.array([spans(t, m) for t, m in zip(texts, found)], _SPANS)], ["id", "score", "spans"])
 
