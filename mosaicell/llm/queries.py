@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, langid, packing, sharding, simhash, suffix, toxicity, urlfilter
+from . import gif, langid, lattice, packing, sharding, simhash, suffix, toxicity, urlfilter
 from .common import shared_folder, table, written
 
 
@@ -38,6 +38,11 @@ def op2_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat_ws(";", F.size("frames").cast("string"), (last["start_ms"] + last["delay_ms"]).cast("string"), F.array_join(histogram.cast("array<string>"), ",")).alias("feature")))
 
 
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
@@ -76,6 +81,6 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_gif": op2_gif, "op4_toxicity": op4_toxicity, "op5_suffix": op5_suffix, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_slots": op8_slots, "op9_urls": op9_urls}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_gif": op2_gif, "op3_lattice": op3_lattice, "op4_toxicity": op4_toxicity, "op5_suffix": op5_suffix, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_slots": op8_slots, "op9_urls": op9_urls}
 
 ORACLE_SQL: dict[str, str] = {}
