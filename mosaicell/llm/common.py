@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -30,6 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_texts(rows: DataFrame, most: int, by: str | None = None) -> DataFrame:
+    """Rows (text, ...) of a sample that is bounded in number, in order of a hash as long as those (of one `by`) have `most` characters together."""
+    upto = F.sum(F.length("text").cast("long")).over(W.partitionBy(by or F.lit(0)).orderBy(F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("upto", upto).where(F.col("upto") <= most).drop("upto")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the links (u, v), both long: one row (node, root) for every node that isn't a root.
 

@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, langid, lattice, packing, sharding, simhash, suffix, toxicity, urlfilter
+from . import gif, langid, lattice, mixing, packing, sharding, simhash, suffix, toxicity, urlfilter
 from .common import shared_folder, table, written
 
 
+#: Shares of the domains in the mix of op10_mixing, and its tokens as a multiple of what is there.
+MIX, MIX_BUDGET = {"fine": 0.6, "plain": 0.38, "toxic": 0.02}, 0.5
+
+
 def tokenizer(spark: SparkSession) -> tuple[str, str]:
     """File and pre-token pattern of the byte-level BPE; the file's place can be set with mosaicell.tokenizer."""
     import public_tokenizers
@@ -21,7 +25,12 @@ def tokenizer(spark: SparkSession) -> tuple[str, str]:
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 1024 ids."""
-    return (packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer(spark))
+    return packed(spark, table(spark, sf_dir, "documents"))
+
+
+def packed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """What op1_packing returns for `docs`."""
+    return (packing.pack_documents(docs, *tokenizer(spark))
             .select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"))
 
 
@@ -81,6 +90,12 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_gif": op2_gif, "op3_lattice": op3_lattice, "op4_toxicity": op4_toxicity, "op5_suffix": op5_suffix, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_slots": op8_slots, "op9_urls": op9_urls}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates for all documents, so that expected tokens of the labels' domains meet their shares."""
+    found = mixing.mix(table(spark, sf_dir, "documents"), mixing.label_domains(table(spark, sf_dir, "labels")), MIX, MIX_BUDGET)
+    return found.select("doc_id", "tokens", *(F.get("posterior", k).alias(f"p_{n}") for k, n in enumerate(MIX)), "rate", "copies")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_gif": op2_gif, "op3_lattice": op3_lattice, "op4_toxicity": op4_toxicity, "op5_suffix": op5_suffix, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_slots": op8_slots, "op9_urls": op9_urls, "op10_mixing": op10_mixing}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -338,6 +338,11 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, spread: int = SPREA
     return whole.unionByName(part).unionByName(copied)
 
 
+def as_text(kept: str) -> F.Column:
+    """Bytes that were kept as a text: what is left of characters that a cut went through goes too."""
+    return F.replace(F.make_valid_utf8(F.col(kept).cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, spread: int = SPREAD,
                    gram: int = GRAM, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row (id, *keep, n_bytes, n_removed, n_spans, kept binary) per row of `docs`.

@@ -20,8 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Labelled documents of each class that are learned from, and characters of each: bounds of the fit, not of scoring.
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 20_000
+from .common import whole_texts
+
+#: Labelled documents of each class that are learned from at most, and their characters together, whole texts as far as
+#: they fit: bounds of the fit, not of scoring.
+SAMPLE_DOCS, SAMPLE_CHARS = 2000, 30_000_000
 #: A feature marks tokens as toxic from this likelihood-ratio statistic and log odds on.
 MIN_G, MIN_ODDS = 20.0, 2.0
 SEGMENT, ROUNDS, PENALTY = 32, 100, 1e-5
@@ -199,8 +202,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", pe
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_DOCS) -> Field | None:
     """The field learned from a bounded sample of `labels` (id, toxic); None if it has no documents of both classes."""
     sample = training_rows(docs, labels, id_col, per_class)  # at most 2 * per_class rows: small enough to broadcast
-    rows = (docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("text"))
-            .join(F.broadcast(sample), "id").where("text is not null").collect())
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "id")
+    rows = whole_texts(texts.select("id", "toxic", "n", "text"), SAMPLE_CHARS).collect()
     rows.sort(key=lambda r: (r["id"], r["text"]))
     toxic = [r["toxic"] for r in rows]
     size, used = {r["toxic"]: r["n"] for r in rows}, Counter(toxic)
@@ -233,7 +236,7 @@ def _score(field: Field | None):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                texts = [x or "" for x in batch.column(1).to_pylist()]
+                texts = [x or "" for x in batch.column(0).to_pylist()]
                 words = [t.split() for t in texts]
                 found = marginals_of(field, words, kept) if field else [np.empty(0)] * len(texts)
                 scores = [0.0] * len(texts)
@@ -242,18 +245,19 @@ def _score(field: Field | None):
                         z = sum(b * x for b, x in zip(field.curve, (1.0, *summary(words[k], m))))
                         scores[k] = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(scores, pa.float64()), pa.array([spans(t, m) for t, m in zip(texts, found)], _SPANS)], ["id", "score", "spans"])
+                    [*batch.columns[1:], pa.array(scores, pa.float64()), pa.array([spans(t, m) for t, m in zip(texts, found)], _SPANS)], [*batch.schema.names[1:], "score", "spans"])
 
     return run
 
 
-def toxicity(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, score, spans) per row of `docs`; spans: start, end (characters of the text) and marginal of what offends.
+def toxicity(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row (id, *keep, score, spans) per row of `docs`; spans: start, end (characters of the text) and marginal of what offends.
 
     Whole texts are scored. Null and empty texts have the score of a text without a toxic word and no spans; without a
-    field (no labels of both classes) scores are 0. Repeated rows stay; other columns are ignored; an empty table gives
-    an empty result.
+    field (no labels of both classes) scores are 0. Repeated rows stay; columns not in `keep` are dropped; an empty table
+    gives an empty result.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(_score(field), f"id {kind}, score double, spans array<struct<start:int,end:int,p:double>>").withColumnRenamed("id", id_col))
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return (rows.mapInArrow(_score(field), f"{kinds}, score double, spans array<struct<start:int,end:int,p:double>>")
+            .select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), "score", "spans"))
