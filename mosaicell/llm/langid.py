@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Documents of each language that are learned from, and characters of each: bounds of the fit, not of prediction.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 10_000
+from .common import whole_texts
+
+#: Documents of each language that are learned from at most, and characters of a language together, whole texts as far
+#: as they fit: bounds of the fit, not of prediction.
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 4_000_000
 BITS, ORDERS = 14, (2, 3, 4)
 CENTROIDS = 4
 #: A text is accepted if its cosine reaches the lowest of a centroid's own documents, less this much of it.
@@ -76,17 +79,19 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 15) -> tuple[np.ndarray,
 
 def fit(texts: list[str], languages: list[str], k: int = CENTROIDS) -> Centroids | None:
     """Centroids for labelled texts; None if no text has an n-gram."""
-    tf = np.stack([counts(t) for t in texts]) if texts else np.zeros((0, 1 << BITS))
-    some = tf.any(axis=1)
-    tf, names = tf[some], np.array(languages, object)[some]
-    if not len(tf):
+    x, some = np.empty((len(texts), 1 << BITS), np.float32), np.zeros(len(texts), bool)
+    for k, t in enumerate(texts):  # in place: nothing of this size is held twice
+        x[k] = np.log1p(counts(t))
+        some[k] = x[k].any()
+    if not some.any():
         return None
-    idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1
-    x = (np.log1p(tf) * idf).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names = np.array(languages, object)
+    idf = np.log((1 + some.sum()) / (1 + np.count_nonzero(x, axis=0))) + 1
+    x *= idf.astype(np.float32)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), np.float32(1e-30))[:, None]
     of, rows, least = [], [], []
-    for language in sorted(set(names)):
-        own = x[names == language]
+    for language in sorted(set(names[some])):
+        own = x[some & (names == language)]
         centre, at = cluster(own, k)
         for c in range(len(centre)):
             of.append(language)
@@ -104,8 +109,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null").where(F.crc32(F.col("id").cast("string")) % 3 != 1)
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     sample = known.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank").dropDuplicates(["id", "lang"])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.substring(F.col(text_col).cast("string"), 1, SAMPLE_CHARS).alias("text"))
-    rows = texts.where("text is not null").join(F.broadcast(sample), ["id", "lang"]).collect()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = whole_texts(texts.where("text is not null").join(F.broadcast(sample), ["id", "lang"]), SAMPLE_CHARS, "lang").collect()
     rows.sort(key=lambda r: (r["lang"], r["id"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 

@@ -1,10 +1,8 @@
-"""Queries by name, and DuckDB SQL for those that SQL can express."""
+"""All queries of the library outside the training-data operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import annotation_queries, cell_queries, image_queries  # noqa: F401  (they register their queries)
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
