@@ -279,15 +279,15 @@ def export_pixels(spark, sf_dir):
 _ION = "SELECT i, k AS bin FROM range({n}) t(k), (VALUES {ions}) ions(i) WHERE 350.0 + k * 0.1::DOUBLE BETWEEN i - 2.05 AND i + 2.05"
 
 
-@query("ion_map", f"WITH {LABELLED_CUBE}, w AS ({_ION.format(n=N_BINS, ions='(400.0::DOUBLE)')}) SELECT x, y, sum(intensity) AS intensity FROM cube JOIN w USING (bin) JOIN labels USING (x, y) GROUP BY x, y")
+@query("ion_map", f"WITH {LABELLED_CUBE}, w AS ({_ION.format(n=N_BINS, ions='(355.0::DOUBLE)')}) SELECT x, y, sum(intensity) AS intensity FROM cube JOIN w USING (bin) JOIN labels USING (x, y) GROUP BY x, y")
 def ion_map(spark, sf_dir):
-    return image.ion_map(cube(spark, sf_dir), axis(spark), labels(spark, sf_dir), 400.0, 2.05)
+    return image.ion_map(cube(spark, sf_dir), axis(spark), labels(spark, sf_dir), 355.0, 2.05)
 
 
-@query("multi_ion_map", f"""WITH {LABELLED_CUBE}, w AS ({_ION.format(n=N_BINS, ions='(400.0::DOUBLE), (455.5), (549.9)')}), m AS (SELECT x, y, i AS ion, sum(intensity) AS v FROM cube JOIN w USING (bin) JOIN labels USING (x, y) GROUP BY x, y, i)
+@query("multi_ion_map", f"""WITH {LABELLED_CUBE}, w AS ({_ION.format(n=N_BINS, ions='(355.0::DOUBLE), (360.5), (369.9)')}), m AS (SELECT x, y, i AS ion, sum(intensity) AS v FROM cube JOIN w USING (bin) JOIN labels USING (x, y) GROUP BY x, y, i)
   SELECT x, y, ion, round(v / max(v) OVER (PARTITION BY ion), 6) AS intensity FROM m""")
 def multi_ion_map(spark, sf_dir):
-    return image.multi_ion_map(cube(spark, sf_dir), axis(spark), labels(spark, sf_dir), [400.0, 455.5, 549.9], 2.05)
+    return image.multi_ion_map(cube(spark, sf_dir), axis(spark), labels(spark, sf_dir), [355.0, 360.5, 369.9], 2.05)
 
 
 def _spectra_sql(value: str) -> str:
