@@ -50,7 +50,7 @@ def chain(odds: np.ndarray, a01: float, a10: float, a11: float) -> tuple[np.ndar
     for t in range(odds.shape[1]):
         ratio = odds[:, t] * (a01 + ratio * a11) / (1 + ratio * a10)
         forward[:, t] = ratio
-    ratio = np.ones(len(odds))
+    ratio = np.full(len(odds), a10)  # the state after the last token is clean, as it is before the first: padding (odds 0) changes nothing
     for t in range(odds.shape[1] - 1, -1, -1):
         backward[:, t] = ratio
         x = odds[:, t] * ratio

@@ -98,7 +98,9 @@ def threshold(found: DataFrame) -> float:
     below = W.orderBy("cut").rowsBetween(W.unboundedPreceding, -1)
     errors = bins.select("cut", (F.coalesce(F.sum("allow").over(below), F.lit(0)) / totals["allow"]
                                  + 1 - F.coalesce(F.sum("block").over(below), F.lit(0)) / totals["block"]).alias("errors"))
-    return float(errors.orderBy("errors", F.abs("cut"), "cut").first()["cut"])
+    # Halfway to the next lower score: the widest margin on both sides.
+    errors = errors.withColumn("middle", (F.col("cut") + F.coalesce(F.lag("cut").over(W.orderBy("cut")), F.col("cut"))) / 2)
+    return float(errors.orderBy("errors", F.abs("middle"), "middle").first()["middle"])
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
