@@ -1,64 +1,17 @@
-"""What several operators of this subpackage share: tables, written intermediate results, components."""
+"""What several operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import components, shared_folder, table, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The whole table `name` under `sf_dir`, through Spark's reader only."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="mosaicell-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table written to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["components", "shared_folder", "table", "whole_texts", "written"]
 
 
 def whole_texts(rows: DataFrame, most: int, by: str | None = None) -> DataFrame:
     """Rows (text, ...) of a sample that is bounded in number, in order of a hash as long as those (of one `by`) have `most` characters together."""
     upto = F.sum(F.length("text").cast("long")).over(W.partitionBy(by or F.lit(0)).orderBy(F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("upto", upto).where(F.col("upto") <= most).drop("upto")
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of the links (u, v), both long: one row (node, root) for every node that isn't a root.
-
-    Alternating large-star and small-star steps; each round is one written table. A node's smallest neighbour is a
-    partial aggregate, and the join that hands it out splits hot nodes (adaptive skew join), so that a node with very
-    many links is never gathered. Loops, repeated links and nulls are dropped; no links give an empty table.
-    """
-    edges = written(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .where("u is not null and v is not null and u <> v").distinct(), "links")
-    last = None
-    for _ in range(rounds):
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not state[0] or state == last:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        last = state
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
-            F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = written(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
