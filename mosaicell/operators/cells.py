@@ -262,7 +262,7 @@ def export_rows(cells: DataFrame, axis: DataFrame, mode: str = "full", decimals:
     """
     if mode not in ("full", "metadata", "ions"):
         raise ValueError("mode must be full, metadata or ions")
-    about = ["cell_id"] if mode == "ions" else [c for c in cells.columns if c not in ("spectrum", "embedding", "membership", "image_id")]
+    about = ["cell_id"] if mode == "ions" else [c for c, kind in cells.dtypes if c != "image_id" and not kind.startswith("array")]
     rounded = lambda c: c if decimals is None else F.bround(c, decimals)
     bins = [] if mode == "metadata" else sorted((r["bin"], r["mz"]) for r in axis.select("bin", "mz").collect())
     return cells.select(*about, *(rounded(F.get("spectrum", b)).alias(f"{mz:.4f}") for b, mz in bins))

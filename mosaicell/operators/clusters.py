@@ -271,7 +271,7 @@ def silhouette(cells: DataFrame, block: int = BLOCK) -> DataFrame:
     Cells are cut into blocks of about `block`; pairs of blocks are compared as matrices and give sums per cell and
     class, so that no pair of cells is a row. Cells alone in their class, and all if there is one class, have 0.
     """
-    rows = written(cells.select("cell_id", "class", "embedding"), "cells")
+    rows = written(cells.select(F.col("cell_id").cast("long").alias("cell_id"), "class", "embedding"), "cells")
     blocks = max(1, -(-rows.count() // block))
     packed = written(rows.withColumn("b", F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int")).groupBy("b").agg(F.collect_list(F.struct("cell_id", "class", "embedding")).alias("rows")), "blocks")
     left = packed.select(F.col("rows").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
@@ -289,8 +289,7 @@ def silhouette(cells: DataFrame, block: int = BLOCK) -> DataFrame:
                 own = np.repeat([r["class"] for r in left], len(names)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own), pa.array(np.tile(names, len(left)).astype(np.int32)), pa.array(sums.ravel())], ["cell_id", "class", "other", "d"])
 
-    kind = rows.schema["cell_id"].dataType.simpleString()
-    sums = pairs.mapInArrow(run, f"cell_id {kind}, class int, other int, d double").groupBy("cell_id", "class", "other").agg(F.sum("d").alias("d"))
+    sums = pairs.mapInArrow(run, "cell_id long, class int, other int, d double").groupBy("cell_id", "class", "other").agg(F.sum("d").alias("d"))
     sizes = rows.groupBy(F.col("class").alias("other")).agg(F.count("*").alias("n"))
     means = sums.join(F.broadcast(sizes), "other")
     a = F.max(F.when(F.col("other") == F.col("class"), F.when(F.col("n") > 1, F.col("d") / (F.col("n") - 1))))
