@@ -173,6 +173,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: s
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < window)
     shards = max(1, -(-rest.count() // shard_docs))
-    packed = (rest.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    # By the piece's number in the written table: neither a repeated id nor copies fill a shard.
+    packed = (rest.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
               .groupBy("shard").applyInArrow(_pack(window), f"id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"))
     return full.unionByName(packed).withColumnRenamed("id", id_col)
