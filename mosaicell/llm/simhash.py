@@ -90,21 +90,26 @@ def _compare(radius: int):
 
 
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) between the distinct fingerprints `fp` of `prints` that join all that differ in `radius` bits or fewer."""
-    quarters = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF)) for k in range(4)]
-    tiled = prints.select("fp", *(q.alias(f"q{k}") for k, q in enumerate(quarters)))
-    where = [f"q{k}" for k in range(4)]
+    """Links (u, v) between the distinct fingerprints `fp` of `prints` that join all that differ in `radius` bits or fewer.
+
+    Tiles go by the population counts of quarters, or of halves where the radius makes quarters too many neighbours.
+    """
+    parts = 4 if radius <= 4 else 2
+    bits = 64 // parts
+    counts = [F.bit_count(F.shiftrightunsigned("fp", bits * k).bitwiseAND((1 << bits) - 1)) for k in range(parts)]
+    tiled = prints.select("fp", *(q.alias(f"q{k}") for k, q in enumerate(counts)))
+    where = [f"q{k}" for k in range(parts)]
     # At most 17 ** 4 = 83 521 tiles, whatever the input: small enough to broadcast.
     tiles = tiled.groupBy(*where).agg(F.ceil(F.count("*") / block).alias("blocks"))
     blocks = (tiled.join(F.broadcast(tiles), where)
               .withColumn("b", F.pmod(F.xxhash64("fp"), "blocks"))
               .groupBy(*where, "b").agg(F.collect_list("fp").alias("fps")))  # bounded: about `block` fingerprints
     blocks = written(blocks, "tiles")
-    near = [d for d in itertools.product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and d >= (0,) * 4]
+    near = [d for d in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, d)) <= radius and d >= (0,) * parts]
     steps = F.array(*(F.struct(*(F.lit(x).alias(f"d{k}") for k, x in enumerate(d))) for d in near))
     left = (blocks.withColumn("d", F.explode(steps))
-            .select(F.col("fps").alias("left"), F.col("b").alias("lb"), *(F.expr(f"q{k} + d.d{k}").alias(f"q{k}") for k in range(4)),
-                    F.expr("d.d0 = 0 and d.d1 = 0 and d.d2 = 0 and d.d3 = 0").alias("home"))
+            .select(F.col("fps").alias("left"), F.col("b").alias("lb"), *(F.expr(f"q{k} + d.d{k}").alias(f"q{k}") for k in range(parts)),
+                    F.expr(" and ".join(f"d.d{k} = 0" for k in range(parts))).alias("home"))
             .join(F.broadcast(tiles.select(*where)), where, "left_semi"))
     pairs = (left.join(blocks, where).where("not home or lb <= b")
              .select("left", F.col("fps").alias("right"), F.expr("home and lb = b").alias("same")))
@@ -131,8 +136,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-def simhash_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """`docs` without near-duplicates: of each component the row with the smallest id stays (repeated ids: one row)."""
-    groups = simhash_groups(docs, id_col, text_col)
+    groups = simhash_groups(docs, id_col, text_col, words, radius)
     kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])

@@ -79,6 +79,7 @@ def test_language_query(spark):
 
 def test_language_nearest_centroid():
     model = langid.fit(["the cat and the dog", "a dog and the bird", "le chat et le chien", "un chien et des oiseaux"], ["en", "en", "fr", "fr"], 2)
+    assert model.languages == ["en", "en", "fr", "fr"]  # two centroids each
     for text in ("the bird and a cat", "le chat et un chien"):
         v = np.log1p(langid.counts(text)) * model.idf
         cosines = model.matrix @ v / np.linalg.norm(v)

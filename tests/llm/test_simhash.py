@@ -20,8 +20,8 @@ def slow_fingerprint(text: str | None, n: int = 3) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute(texts: list[str | None], radius: int = 3) -> list[tuple[str, int]]:
-    prints = [slow_fingerprint(t) for t in texts]
+def brute(texts: list[str | None], radius: int = 3, words: int = 3) -> list[tuple[str, int]]:
+    prints = [slow_fingerprint(t, words) for t in texts]
     root = list(range(len(texts)))
 
     def find(k):
@@ -49,13 +49,13 @@ def corpus() -> list[str | None]:
     return [*texts, texts[-1], texts[12]]
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_like_brute_force(spark, block):
+@pytest.mark.parametrize("block,radius,words", [(3, 3, 3), (2048, 3, 3), (64, 6, 5)])
+def test_like_brute_force(spark, block, radius, words):
     texts = corpus()
     rows = [(k, t, k, "a", 1) for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp long, id string, component_id int")
-    found = sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.simhash_groups(docs, block=block).collect())
-    assert found == [(k, *b) for k, b in enumerate(brute(texts))]
+    found = sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.simhash_groups(docs, block=block, radius=radius, words=words).collect())
+    assert found == [(k, *b) for k, b in enumerate(brute(texts, radius, words))]
 
 
 def test_keep_and_empty(spark):
