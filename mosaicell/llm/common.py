@@ -8,7 +8,19 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import components, shared_folder, table, written
 
-__all__ = ["components", "shared_folder", "table", "whole_texts", "written"]
+__all__ = ["bounded_sample", "components", "shared_folder", "table", "whole_texts", "written"]
+
+
+def bounded_sample(rows: DataFrame, by: str, most: int, id_col: str = "id") -> DataFrame:
+    """Up to `most` rows of each value of `by` (few values), by a hash of the id, with n: how many there are.
+
+    A share of each value's rows that holds `most` is drawn first, so that what is sorted is bounded too.
+    """
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n"))
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.join(F.broadcast(sizes), by).where(draw < (1.3 * most + 100) / F.col("n"))
+    rank = F.row_number().over(W.partitionBy(by).orderBy(draw, id_col))
+    return some.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
 def whole_texts(rows: DataFrame, most: int, by: str | None = None) -> DataFrame:

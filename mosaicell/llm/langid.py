@@ -8,10 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import whole_texts
+from .common import bounded_sample, whole_texts
 
 #: Documents of each language that are learned from at most, and characters of a language together, whole texts as far
 #: as they fit: bounds of the fit, not of prediction.
@@ -80,9 +79,9 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 15) -> tuple[np.ndarray,
 def fit(texts: list[str], languages: list[str], k: int = CENTROIDS) -> Centroids | None:
     """Centroids for labelled texts; None if no text has an n-gram."""
     x, some = np.empty((len(texts), 1 << BITS), np.float32), np.zeros(len(texts), bool)
-    for k, t in enumerate(texts):  # in place: nothing of this size is held twice
-        x[k] = np.log1p(counts(t))
-        some[k] = x[k].any()
+    for row, t in enumerate(texts):  # in place: nothing of this size is held twice
+        x[row] = np.log1p(counts(t))
+        some[row] = x[row].any()
     if not some.any():
         return None
     names = np.array(languages, object)
@@ -104,11 +103,10 @@ def fit(texts: list[str], languages: list[str], k: int = CENTROIDS) -> Centroids
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS) -> Centroids | None:
     """Centroids from up to `per_language` documents of each non-null language whose id's crc32 modulo 3 is not 1.
 
-    The sample is by a hash of the id; partial group limits keep all but these rows out of the shuffle.
+    The sample is by a hash of the id.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null").where(F.crc32(F.col("id").cast("string")) % 3 != 1)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    sample = known.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank").dropDuplicates(["id", "lang"])
+    sample = bounded_sample(known, "lang", per_language).select("id", "lang").dropDuplicates(["id", "lang"])
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = whole_texts(texts.where("text is not null").join(F.broadcast(sample), ["id", "lang"]), SAMPLE_CHARS, "lang").collect()
     rows.sort(key=lambda r: (r["lang"], r["id"], r["text"]))
