@@ -8,34 +8,53 @@ far (a few numbers each), so that a round is one scan with one small aggregate:
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_sample, written
 
 #: Labelled documents of each domain that the classifier is fitted on at most: a bound of the fit alone.
 SAMPLE_DOCS = 3000
-FEATURES = 1 << 14
+FEATURES, KEPT_WORDS = 1 << 14, 300_000
 #: Rounds of the descent at most, and the relative difference from the targets at which it ends.
 ROUNDS, NEAR = 100, 1e-4
 
 
+def word_indices(text: str, known: dict[str, int]) -> list[int]:
+    """The hashed feature of each word of a text, in lower case; `known` remembers words, up to a bound."""
+    words = text.lower().split()
+    try:
+        return [known[w] for w in words]
+    except KeyError:
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % FEATURES
+        return [known[w] for w in words]
+
+
 @dataclass
 class Domains:
-    """A fitted classifier and the domains its posteriors stand for."""
+    """A linear classifier: a row of weights for each domain, over hashed words, and biases. -inf: never seen."""
 
     names: list[str]
-    model: object  # None where only one domain was seen
+    weights: np.ndarray  # (FEATURES, domains)
+    bias: np.ndarray
+
+    def posterior(self, indices: list[int]) -> np.ndarray:
+        z = self.bias + self.weights[indices].sum(axis=0) if indices else self.bias
+        p = np.exp(z - z.max())
+        return p / p.sum()
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text",
@@ -45,33 +64,47 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], id_col:
     Null ids, other domains and ids with two domains are not learned from; null texts are empty.
     """
     known = (labelled.select(F.col(id_col).alias("id"), F.col(domain_col).cast("string").alias("domain")).where("id is not null").where(F.col("domain").isin(names))
-             .groupBy("id").agg(F.min("domain").alias("domain"), F.max("domain").alias("other")).where("domain = other"))
-    rank = F.row_number().over(W.partitionBy("domain").orderBy(F.xxhash64("id"), "id"))
-    sample = written(known.withColumn("rank", rank).where(F.col("rank") <= per_domain).select("id", "domain"), "labelled")
+             .groupBy("id").agg(F.min("domain").alias("domain"), F.max("domain").alias("other")).where("domain = other").select("id", "domain"))
+    sample = bounded_sample(known, "domain", per_domain).select("id", "domain")
     label = F.element_at(F.create_map(*(x for k, n in enumerate(names) for x in (F.lit(n), F.lit(float(k))))), F.col("domain"))
+
+    def counted(text: str):
+        counts = Counter(word_indices(text, {}))
+        return Vectors.sparse(FEATURES, sorted(counts.items()))
+
     # At most len(names) * per_domain ids: small enough to broadcast.
     rows = written(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
-                   .select("text", label.alias("label")), "labelled")
-    seen = [r[0] for r in rows.select("label").distinct().collect()]
-    if len(seen) < 2:
-        return Domains([names[int(k)] for k in seen] or names[:1], None)
-    # Classes that weren't seen get posterior 0.
-    model = Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="words", pattern="\\s+"), HashingTF(inputCol="words", outputCol="counts", numFeatures=FEATURES),
-        LogisticRegression(featuresCol="counts", family="multinomial", maxIter=40, regParam=0.01)]).fit(rows)
-    return Domains(names, model)
-
-
-def with_posteriors(docs: DataFrame, domains: Domains, names: list[str], text_col: str = "text") -> DataFrame:
-    """Adds `posterior` (array<double> in the order of `names`) and `tokens` (words) to `docs`; `docs` has no other columns of the model's."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumn("tokens", F.when(F.trim(text) == "", F.lit(0)).otherwise(F.size(F.split(F.trim(text), r"\s+"))).cast("long"))
-    if domains.model is None:
-        return out.withColumn("posterior", F.array(*(F.lit(1.0 if n == domains.names[0] else 0.0) for n in names)))
-    found = domains.model.transform(out.withColumn("text", text))
-    given = vector_to_array("probability")
-    found = found.withColumn("posterior", F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda k: F.coalesce(F.get(given, k), F.lit(0.0))))
-    return found.drop("words", "counts", "rawPrediction", "probability", "prediction")
+                   .select(F.udf(counted, VectorUDT())("text").alias("features"), label.alias("label")), "labelled")
+    seen = sorted(int(r[0]) for r in rows.select("label").distinct().collect())
+    weights, bias = np.zeros((FEATURES, len(names))), np.full(len(names), -np.inf)
+    if len(seen) > 1:
+        model = LogisticRegression(family="multinomial", maxIter=40, regParam=0.01).fit(rows)
+        for k in seen:
+            weights[:, k], bias[k] = model.coefficientMatrix.toArray()[k], model.interceptVector[k]
+    else:
+        bias[seen[0] if seen else 0] = 0.0
+    return Domains(names, weights, bias)
+
+
+def _predict(domains: Domains):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            tokens, p = np.zeros(batch.num_rows, np.int64), np.empty((batch.num_rows, len(domains.names)))
+            for k, text in enumerate(batch.column(0)):
+                indices = word_indices(text.as_py() or "", known)
+                tokens[k], p[k] = len(indices), domains.posterior(indices)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(tokens), lists], [*batch.schema.names[1:], "tokens", "p"])
+
+    return run
+
+
+def with_posteriors(rows: DataFrame, domains: Domains) -> DataFrame:
+    """`rows` (text, ...) without the text, with tokens (words) and p (posteriors in the order of the names)."""
+    rest = rows.select("text", *(c for c in rows.columns if c != "text"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema.fields[1:])
+    return rest.mapInArrow(_predict(domains), f"{kinds}, tokens long, p array<double>")
 
 
 @dataclass(frozen=True)
@@ -167,7 +200,7 @@ def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float], budget:
     names = list(shares)
     domains = fit_domains(docs, labelled, names, id_col, text_col, domain_col)
     own = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep), F.col(text_col).cast("string").alias("text"))
-    rows = written(with_posteriors(own, domains, names).select("id", *(f"keep_{c}" for c in keep), "tokens", F.col("posterior").alias("p")), "members")
+    rows = written(with_posteriors(own, domains), "members")
     tokens = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     total = sum(shares.values())
     descent, _ = rates(rows.select("p", "tokens"), [budget * tokens * s / total for s in shares.values()], least, most)
