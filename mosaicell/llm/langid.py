@@ -108,7 +108,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null").where(F.crc32(F.col("id").cast("string")) % 3 != 1)
     sample = bounded_sample(known, "lang", per_language).select("id", "lang").dropDuplicates(["id", "lang"])
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = whole_texts(texts.where("text is not null").join(F.broadcast(sample), ["id", "lang"]), SAMPLE_CHARS, "lang").collect()
+    one = texts.where("text is not null").join(F.broadcast(sample), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))  # repeated ids: one text
+    rows = whole_texts(one, SAMPLE_CHARS, "lang").collect()
     rows.sort(key=lambda r: (r["lang"], r["id"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 

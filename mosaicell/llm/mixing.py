@@ -74,7 +74,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], id_col:
 
     # At most len(names) * per_domain ids: small enough to broadcast.
     rows = written(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
-                   .select(F.udf(counted, VectorUDT())("text").alias("features"), label.alias("label")), "labelled")
+                   .groupBy("id", "domain").agg(F.min("text").alias("text")).select(F.udf(counted, VectorUDT())("text").alias("features"), label.alias("label")), "labelled")
     seen = sorted(int(r[0]) for r in rows.select("label").distinct().collect())
     weights, bias = np.zeros((FEATURES, len(names))), np.full(len(names), -np.inf)
     if len(seen) > 1:

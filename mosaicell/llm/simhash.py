@@ -137,7 +137,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def simhash_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """`docs` without near-duplicates: of each component the row with the smallest id stays (repeated ids: one row)."""
-    groups = simhash_groups(docs, id_col, text_col, words, radius)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    """`docs` without near-duplicates: of each component one row stays, that with the smallest id.
+
+    Rows, not ids, are compared and kept: null ids come last, repeated ids are rows of their own.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = simhash_groups(rows, "_row", text_col, words, radius).select("_row", "component_id")
+    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))).alias("first")
+    kept = rows.select("_row", F.col(id_col).alias("_id")).join(groups, "_row").groupBy("component_id").agg(first).select("first._row")
+    return rows.join(written(kept, "kept"), "_row", "left_semi").select(*docs.columns)

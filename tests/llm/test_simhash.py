@@ -8,6 +8,7 @@ import re
 import pytest
 import xxhash
 from mosaicell.llm import queries, simhash
+from pyspark.sql import functions as F
 
 from tests.conftest import SF
 
@@ -59,9 +60,12 @@ def test_like_brute_force(spark, block, radius, words):
 
 
 def test_keep_and_empty(spark):
-    docs = spark.createDataFrame([(2, "a b c d"), (1, "a b c d"), (None, "a b c d"), (7, "q w e r t y"), (7, "q w e r t y")], "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in simhash.simhash_keep(docs).collect()) == [1, 7]
-    assert simhash.simhash_groups(docs.limit(0)).collect() == []
+    rows = [(2, "a b c d"), (1, "a b c d"), (None, "a b c d"), (7, "q w e r t y"), (7, "q w e r t y"), (7, "other words are here"), (None, "alone without an id"), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit(1))
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.simhash_keep(docs).collect()), key=repr)
+    assert kept == sorted([(1, "a b c d"), (7, "q w e r t y"), (7, "other words are here"), (None, "alone without an id"), (8, None)], key=repr)
+    assert simhash.simhash_keep(docs).columns == docs.columns
+    assert simhash.simhash_groups(docs.limit(0)).collect() == [] and simhash.simhash_keep(docs.limit(0)).collect() == []
 
 
 def test_query(spark):
