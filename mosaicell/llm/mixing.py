@@ -25,8 +25,9 @@ from .common import bounded_sample, written
 #: Labelled documents of each domain that the classifier is fitted on at most: a bound of the fit alone.
 SAMPLE_DOCS = 3000
 FEATURES, KEPT_WORDS = 1 << 14, 300_000
-#: Rounds of the descent at most, and the relative difference from the targets at which it ends.
-ROUNDS, NEAR = 100, 1e-4
+#: Rounds of the descent at most; it ends at this relative difference from the targets, or where three rounds in turn
+#: change the sum of squares by less than this part of it (targets out of reach).
+ROUNDS, NEAR, CALM = 100, 1e-4, 1e-6
 
 
 def word_indices(text: str, known: dict[str, int]) -> list[int]:
@@ -167,16 +168,17 @@ def rates(members: DataFrame, targets: list[float], least: float = 0.0, most: fl
     # In the metric of the tokens, the Hessian has the eigenvalues of sqrt(weight) gram sqrt(weight).
     step = float(1 / max(np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight)).max(), 1e-300))
     descent = Descent(float(max(least, min(most, target.sum() / totals.sum()))), step, least, most)
-    momentum, expected, at_point = 1.0, descent.start * totals, descent.start * totals
+    momentum, expected, at_point, calm = 1.0, descent.start * totals, descent.start * totals, 0
     loss = lambda s: float((weight * (s - target) ** 2).sum())
     for _ in range(rounds):
-        if np.abs((expected - target) * weight).max() < near:
+        if np.abs((expected - target) * weight).max() < near or calm == 3:
             break
         following = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         round_ = tuple((weight * (at_point - target)).tolist()), (momentum - 1) / following
         descent = replace(descent, history=(*descent.history, round_))
         sums = {r["k"]: r["total"] for r in members.select("p", "tokens").mapInArrow(_sums(descent, d), "total double, k int").groupBy("k").agg(F.sum("total").alias("total")).collect()}
         before, expected, at_point = loss(expected), np.array([sums[a] for a in range(d)]), np.array([sums[d + a] for a in range(d)])
+        calm = calm + 1 if abs(before - loss(expected)) < CALM * before else 0
         momentum = following if loss(expected) <= before else 1.0
     return descent, expected
 
