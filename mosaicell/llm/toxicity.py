@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,21 +18,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import whole_texts
+from .common import bounded_sample, whole_texts
 
 #: Labelled documents of each class that are learned from at most, and their characters together, whole texts as far as
 #: they fit: bounds of the fit, not of scoring.
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 30_000_000
+SAMPLE_DOCS, SAMPLE_CHARS = 2000, 8_000_000
 #: A feature marks tokens as toxic from this likelihood-ratio statistic and log odds on.
 MIN_G, MIN_ODDS = 20.0, 2.0
 SEGMENT, ROUNDS, PENALTY = 32, 100, 1e-5
 PREFIXES = (4, 5)
 EDGES = re.compile(r"^\W+|\W+$")
-#: Documents whose chains are run side by side, and tokens of padding that this may cost.
-SIDE_BY_SIDE = 256
+#: Documents whose chains are run side by side at most, and tokens that these may have together, padding included.
+SIDE_BY_SIDE, CELLS = 256, 500_000
 KEPT_WORDS = 300_000
 
 
@@ -100,8 +100,12 @@ def marginals_of(field: Field, texts: list[list[str]], kept: dict[str, float]) -
                     kept[w] = field.token(w)
             odds.append([kept[w] for w in words])
     order = sorted((k for k in range(len(texts)) if odds[k]), key=lambda k: len(odds[k]))
-    for at in range(0, len(order), SIDE_BY_SIDE):
-        group = order[at : at + SIDE_BY_SIDE]
+    at = 0
+    while at < len(order):
+        n = min(SIDE_BY_SIDE, len(order) - at)
+        while n > 1 and n * len(odds[order[at + n - 1]]) > CELLS:
+            n //= 2
+        group, at = order[at : at + n], at + n
         padded = np.zeros((len(group), len(odds[group[-1]])))
         for row, k in enumerate(group):
             padded[row, : len(odds[k])] = odds[k]
@@ -130,7 +134,7 @@ def fit(texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.0,
     """The field for labelled texts; weights: of a clean and of a toxic document in the curve. None if a class is missing."""
     if len(set(toxic)) < 2:
         return None
-    docs = [t.split() for t in texts]
+    docs = [[*map(sys.intern, t.split())] for t in texts]  # a word is held once
     marks = toxic_features(docs, toxic)
     segments, labels, clean = [], [], []
     for words, label in zip(docs, toxic):
@@ -194,16 +198,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", pe
     """
     known = (labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
              .where(F.crc32(F.col("id").cast("string")) % 3 != 1).groupBy("id").agg(F.max("toxic").alias("toxic")))
-    sizes = known.groupBy("toxic").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("id"), "id"))
-    return known.withColumn("rank", rank).where(F.col("rank") <= per_class).drop("rank").join(F.broadcast(sizes), "toxic")
+    return bounded_sample(known, "toxic", per_class)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_DOCS) -> Field | None:
     """The field learned from a bounded sample of `labels` (id, toxic); None if it has no documents of both classes."""
     sample = training_rows(docs, labels, id_col, per_class)  # at most 2 * per_class rows: small enough to broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "id")
-    rows = whole_texts(texts.select("id", "toxic", "n", "text"), SAMPLE_CHARS).collect()
+    one = texts.groupBy("id", "toxic", "n").agg(F.min("text").alias("text"))  # repeated ids: one text
+    rows = whole_texts(one, SAMPLE_CHARS).collect()
     rows.sort(key=lambda r: (r["id"], r["text"]))
     toxic = [r["toxic"] for r in rows]
     size, used = {r["toxic"]: r["n"] for r in rows}, Counter(toxic)
