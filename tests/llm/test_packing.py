@@ -79,3 +79,25 @@ def test_neighbours_share_windows():
     for piece, _, _, sequence, _ in placed:
         together[sequence].add(piece % 8)
     assert np.mean([len(s) for s in together.values()]) < 3  # topics of ten pieces; at random it would be over 5
+
+
+def test_shards_by_content(spark):
+    """The best neighbour in the whole corpus is in a piece's shard, however many shards there are; counts are of the corpus."""
+    rng = np.random.default_rng(3)
+    own = [rng.integers(1000, 40_000, 40) for _ in range(100)]
+    pieces = [np.concatenate([rng.choice(own[k % 100], 40), rng.integers(0, 900, 80)]).astype("<u4") for k in range(2000)]
+    pieces += [pieces[0]] * 500  # copies that no centroids tell apart
+    rows = [(k, 0, len(p), len(p), p.tobytes()) for k, p in enumerate(pieces)]
+    rest = spark.createDataFrame(rows, "id long, start long, length long, doc_tokens long, ids binary")
+    corpus = packing.corpus_of(rest, len(rows), float(np.mean([len(p) for p in pieces])))
+    whole = packing.count_corpus(pieces)
+    assert corpus.df.tolist() == whole.df.tolist() and np.allclose(corpus.idf, whole.idf) and corpus.mean == whole.mean
+    shard = {r["id"]: r["shard"] for r in packing.with_shards(rest, len(rows), corpus, 100).select("id", "shard").collect()}
+    sizes = np.bincount(list(shard.values()))
+    assert len(shard) == 2500 and (sizes > 0).sum() >= 15 and sizes.max() <= 250
+    index, found = packing.Bm25(pieces[:2000], whole), []
+    for k in range(1, 2000, 20):
+        scores = index.scores(k)
+        scores[k] = 0
+        found.append(shard[int(scores.argmax())] == shard[k])
+    assert np.mean(found) > 0.8  # at random about 0.04
