@@ -73,3 +73,38 @@ def test_query(spark):
     ids = [r["doc_id"] for r in rows]
     want = [(i, f, ids[c]) for i, (f, c) in zip(ids, brute([r["text"] for r in rows]))]
     assert sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in queries.op7_simhash(spark, SF).collect()) == want
+
+
+def shingle_set(text: str, n: int = 5) -> set:
+    words = text.split()
+    return {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+
+
+def test_similar_pairs_are_found_and_verified(spark):
+    """Nearly all pairs from five-word similarity 0.8 on lose a copy, none below it does: six bits of SimHash find few of them."""
+    rng = random.Random(4)
+    rows, near, far, bits = [], [], [], 0
+    for k in range(400):
+        a = [str(rng.randrange(10**6)) for _ in range(250)]
+        b = list(a)
+        for _ in range(rng.randint(3, 8)):
+            b[rng.randrange(len(b))] = "changed"
+        x, y = (shingle_set(" ".join(t)) for t in (a, b))
+        (near if len(x & y) >= 0.8 * len(x | y) else far).append(2 * k + 1)
+        bits += near[-1:] == [2 * k + 1] and (slow_fingerprint(" ".join(a), 5) ^ slow_fingerprint(" ".join(b), 5)).bit_count() <= 6
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    rows += [(10_000 + k, " ".join([*a[:200], *(str(rng.randrange(10**6)) for _ in range(6))])) for k in range(100)]  # a group beyond SHARED, all alike
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.similar_keep(docs).collect()}
+    recall = sum(i not in kept for i in near) / len(near)
+    print("pairs", len(near), len(far), "recall", recall, "six bits", bits / len(near))
+    assert len(near) > 100 and len(far) > 30 and recall >= 0.98 and bits / len(near) < 0.8
+    assert all(i in kept for i in far) and sum(i >= 10_000 for i in kept) <= 1
+
+
+def test_similar_keep_rows(spark):
+    rows = [(2, "a b c d"), (1, "a b c d"), (None, "a b c d"), (7, "q w e r t y"), (7, "q w e r t y"), (7, "other words are here"), (None, "alone without an id"), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1))
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.similar_keep(docs).collect()), key=repr)
+    assert kept == sorted([(1, "a b c d"), (7, "q w e r t y"), (7, "other words are here"), (None, "alone without an id"), (8, None)], key=repr)
+    assert simhash.similar_keep(docs).columns == docs.columns and simhash.similar_keep(docs.limit(0)).collect() == []
