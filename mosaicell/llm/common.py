@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import components, shared_folder, table, written
 
-__all__ = ["bounded_sample", "components", "shared_folder", "table", "whole_texts", "written"]
+__all__ = ["bounded_sample", "components", "shared_folder", "table", "written"]
 
 
 def bounded_sample(rows: DataFrame, by: str, most: int, id_col: str = "id") -> DataFrame:
@@ -21,9 +21,3 @@ def bounded_sample(rows: DataFrame, by: str, most: int, id_col: str = "id") -> D
     some = rows.join(F.broadcast(sizes), by).where(draw < (1.3 * most + 100) / F.col("n"))
     rank = F.row_number().over(W.partitionBy(by).orderBy(draw, id_col))
     return some.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
-
-
-def whole_texts(rows: DataFrame, most: int, by: str | None = None) -> DataFrame:
-    """Rows (text, ...) of a sample that is bounded in number, in order of a hash as long as those (of one `by`) have `most` characters together."""
-    upto = F.sum(F.length("text").cast("long")).over(W.partitionBy(by or F.lit(0)).orderBy(F.xxhash64("text")).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("upto", upto).where(F.col("upto") <= most).drop("upto")

@@ -10,11 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, whole_texts
+from .common import bounded_sample
 
-#: Documents of each language that are learned from at most, and characters of a language together, whole texts as far
-#: as they fit: bounds of the fit, not of prediction.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 4_000_000
+#: Documents of each language that are learned from at most, by their whole texts: a bound of the fit, not of prediction.
+SAMPLE_DOCS = 400
 BITS, ORDERS = 14, (2, 3, 4)
 CENTROIDS = 4
 #: A text is accepted if its cosine reaches the lowest of a centroid's own documents, less this much of it.
@@ -78,10 +77,22 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 15) -> tuple[np.ndarray,
 
 def fit(texts: list[str], languages: list[str], k: int = CENTROIDS) -> Centroids | None:
     """Centroids for labelled texts; None if no text has an n-gram."""
-    x, some = np.empty((len(texts), 1 << BITS), np.float32), np.zeros(len(texts), bool)
-    for row, t in enumerate(texts):  # in place: nothing of this size is held twice
-        x[row] = np.log1p(counts(t))
-        some[row] = x[row].any()
+    return fit_counts([packed_counts(t) for t in texts], languages, k)
+
+
+def packed_counts(text: str) -> tuple[bytes, bytes]:
+    """The n-grams of a text and the logarithms of one more than their counts: bounded, however long the text is."""
+    tf = counts(text)
+    at = np.nonzero(tf)[0]
+    return at.astype("<u2").tobytes(), np.log1p(tf[at]).astype("<f4").tobytes()
+
+
+def fit_counts(found: list[tuple[bytes, bytes]], languages: list[str], k: int = CENTROIDS) -> Centroids | None:
+    """Centroids for the n-grams of labelled texts."""
+    x, some = np.zeros((len(found), 1 << BITS), np.float32), np.zeros(len(found), bool)
+    for row, (at, values) in enumerate(found):  # in place: nothing of this size is held twice
+        x[row, np.frombuffer(at, "<u2")] = np.frombuffer(values, "<f4")
+        some[row] = len(at) > 0
     if not some.any():
         return None
     names = np.array(languages, object)
@@ -105,13 +116,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     The sample is by a hash of the id.
     """
-    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null").where(F.crc32(F.col("id").cast("string")) % 3 != 1)
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null").where(F.crc32(F.col("id").cast("string")) % 3 != 1)
     sample = bounded_sample(known, "lang", per_language).select("id", "lang").dropDuplicates(["id", "lang"])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     one = texts.where("text is not null").join(F.broadcast(sample), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))  # repeated ids: one text
-    rows = whole_texts(one, SAMPLE_CHARS, "lang").collect()
-    rows.sort(key=lambda r: (r["lang"], r["id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    kind = one.schema["id"].dataType.simpleString()
+    rows = one.select("id", "lang", "text").mapInArrow(_counted, f"id {kind}, lang string, at binary, counts binary").collect()  # up to 96 KB each
+    rows.sort(key=lambda r: (r["lang"], r["id"]))
+    return fit_counts([(bytes(r["at"]), bytes(r["counts"])) for r in rows], [r["lang"] for r in rows])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [packed_counts(x.as_py()) for x in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *(pa.array([f[k] for f in found], pa.binary()) for k in (0, 1))], ["id", "lang", "at", "counts"])
 
 
 def _predict(model: Centroids | None):

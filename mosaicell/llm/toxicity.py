@@ -17,14 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, whole_texts
+from .common import bounded_sample, written
 
-#: Labelled documents of each class that are learned from at most, and their characters together, whole texts as far as
-#: they fit: bounds of the fit, not of scoring.
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 8_000_000
+#: Labelled documents of each class that are learned from at most, by their whole texts: a bound of the fit, not of scoring.
+SAMPLE_DOCS = 2000
+#: Segments with a toxic token that the field is trained on at most, by a hash over all of them; clean segments, by a hash
+#: over all of all clean documents of the sample: so many for each toxic one, and at least so many.
+TOXIC_SEGMENTS, CLEAN_RATIO, CLEAN_LEAST = 20_000, 2, 500
 #: A feature marks tokens as toxic from this likelihood-ratio statistic and log odds on.
 MIN_G, MIN_ODDS = 20.0, 2.0
 SEGMENT, ROUNDS, PENALTY = 32, 100, 1e-5
@@ -115,19 +118,38 @@ def marginals_of(field: Field, texts: list[list[str]], kept: dict[str, float]) -
     return out
 
 
+def features_of(words: list[str]) -> set[str]:
+    return {f for w in set(words) for f in word_features(w)}
+
+
+def sets_apart(k: int, c: int, n: tuple[int, int]) -> bool:
+    """Whether a feature of `k` toxic and `c` clean documents, of `n` clean and toxic ones, marks tokens as toxic."""
+    if not k:
+        return False
+    share = n[1] / (n[0] + n[1])
+    g = 2 * (k * math.log(k / ((k + c) * share)) + (c * math.log(c / ((k + c) * (1 - share))) if c else 0))
+    return g >= MIN_G and math.log((k + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1)) >= MIN_ODDS
+
+
 def toxic_features(docs: list[list[str]], toxic: list[int]) -> set[str]:
     """Features that set the toxic documents apart, by documents they occur in."""
     n, found = Counter(toxic), (Counter(), Counter())
     for words, label in zip(docs, toxic):
-        found[label].update({f for w in set(words) for f in word_features(w)})
-    out = set()
-    for f, k in found[1].items():
-        c = found[0][f]
-        share = n[1] / (n[0] + n[1])
-        g = 2 * (k * math.log(k / ((k + c) * share)) + (c * math.log(c / ((k + c) * (1 - share))) if c else 0))
-        if g >= MIN_G and math.log((k + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1)) >= MIN_ODDS:
-            out.add(f)
-    return out
+        found[label].update(features_of(words))
+    return {f for f, k in found[1].items() if sets_apart(k, found[0][f], (n[0], n[1]))}
+
+
+def segments_of(key: object, words: list[str], label: int, marks: set[str]) -> Iterator[tuple[int, list[str], list[int]]]:
+    """(draw, words, tags) of the segments of a whole text that the field may learn from: toxic ones with a tag, all clean ones."""
+    for at in range(0, len(words), SEGMENT):
+        part = words[at : at + SEGMENT]
+        tagged = [int(label and not marks.isdisjoint(word_features(w))) for w in part]
+        if any(tagged) or not label:
+            yield xxhash.xxh64_intdigest(f"{key} {at}", 3) >> 1, part, tagged
+
+
+def clean_number(toxic_segments: int) -> int:
+    return max(CLEAN_LEAST, CLEAN_RATIO * toxic_segments)
 
 
 def fit(texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> Field | None:
@@ -136,19 +158,16 @@ def fit(texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.0,
         return None
     docs = [[*map(sys.intern, t.split())] for t in texts]  # a word is held once
     marks = toxic_features(docs, toxic)
-    segments, labels, clean = [], [], []
-    for words, label in zip(docs, toxic):
-        for at in range(0, len(words), SEGMENT):
-            part = words[at : at + SEGMENT]
-            tagged = [int(label and not marks.isdisjoint(word_features(w))) for w in part]
-            if any(tagged):
-                segments.append(part)
-                labels.append(tagged)
-            elif not label and at < 4 * SEGMENT:
-                clean.append(part)
-    clean = clean[: max(500, 2 * len(segments))]
-    segments += clean
-    labels += [[0] * len(p) for p in clean]
+    found = sorted(x for k, (words, label) in enumerate(zip(docs, toxic)) for x in segments_of(k, words, label, marks))
+    some = [x for x in found if any(x[2])][:TOXIC_SEGMENTS]
+    field = fit_segments(some + [x for x in found if not any(x[2])][: clean_number(len(some))])
+    field.curve = fit_curve([summary(w, m) for w, m in zip(docs, marginals_of(field, docs, {}))], toxic, weights)
+    return field
+
+
+def fit_segments(chosen: list[tuple[int, list[str], list[int]]]) -> Field:
+    """The field without its curve, from segments (draw, words, tags)."""
+    segments, labels = [x[1] for x in chosen], [x[2] for x in chosen]
     count = Counter(f for part in segments for w in part for f in set(word_features(w)))
     names = [f for f, n in count.items() if n >= 3]
     index = {f: k + 1 for k, f in enumerate(names)}
@@ -179,16 +198,19 @@ def fit(texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.0,
         theta += 0.5 * grad / np.sqrt(sum_t)
         steps += 0.2 * grad_s / np.sqrt(sum_s)
     used = {f: float(theta[k]) for f, k in index.items() if abs(theta[k]) > 0.02}
-    field = Field(used, float(steps[0]), *map(float, np.exp(steps[1:])))
-    x = np.array([(1.0, *summary(w, m)) for w, m in zip(docs, marginals_of(field, docs, {}))])
+    return Field(used, float(steps[0]), *map(float, np.exp(steps[1:])))
+
+
+def fit_curve(summaries: list[tuple[float, ...]], toxic: list[int], weights: tuple[float, float]) -> tuple[float, ...]:
+    """The logistic curve over 1 and the values of `summary`."""
+    x = np.array([(1.0, *found) for found in summaries])
     t, w, beta = np.array(toxic, float), np.where(np.array(toxic) == 1, weights[1], weights[0]), np.zeros(x.shape[1])
     w = w / w.sum()
     for _ in range(30):  # Newton's method with a small penalty
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         hessian = (x * (w * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(x.shape[1])
         beta = beta + np.linalg.solve(hessian, x.T @ (w * (t - p)) - 1e-4 * beta)
-    field.curve = tuple(map(float, beta))
-    return field
+    return tuple(map(float, beta))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class: int = SAMPLE_DOCS) -> DataFrame:
@@ -206,11 +228,71 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = training_rows(docs, labels, id_col, per_class)  # at most 2 * per_class rows: small enough to broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "id")
     one = texts.groupBy("id", "toxic", "n").agg(F.min("text").alias("text"))  # repeated ids: one text
-    rows = whole_texts(one, SAMPLE_CHARS).collect()
-    rows.sort(key=lambda r: (r["id"], r["text"]))
-    toxic = [r["toxic"] for r in rows]
-    size, used = {r["toxic"]: r["n"] for r in rows}, Counter(toxic)
-    return fit([r["text"] for r in rows], toxic, tuple(size.get(c, 1) / max(1, used[c]) for c in (0, 1)))
+    rows = written(one.select("id", "toxic", "n", "text"), "labelled")
+    classes = {r["toxic"]: r for r in rows.groupBy("toxic").agg(F.count("*").alias("used"), F.max("n").alias("n")).collect()}
+    if len(classes) < 2:
+        return None
+    n = classes[0]["used"], classes[1]["used"]
+    counted = rows.select("toxic", "text").mapInArrow(_document_features, "f string, c long, k long").groupBy("f").agg(F.sum("c").alias("c"), F.sum("k").alias("k"))
+    marks = {r["f"] for r in counted.where("k > 0").mapInArrow(_marking(n), "f string").collect()}
+    # Of whole texts: what comes to the driver is bounded by the numbers of segments, features and summaries.
+    segments = written(rows.select("id", "toxic", "text").mapInArrow(_segments(marks), "draw long, words string, tags binary, tagged boolean"), "segments")
+
+    def first(tagged: bool, most: int) -> list[tuple[int, list[str], list[int]]]:
+        found = segments.where(F.col("tagged") == tagged).orderBy("draw", "words").limit(most).collect()
+        return [(r["draw"], [*map(sys.intern, r["words"].split(" "))], list(r["tags"])) for r in found]
+
+    some = first(True, TOXIC_SEGMENTS)
+    field = fit_segments(some + first(False, clean_number(len(some))))
+    kind = rows.schema["id"].dataType.simpleString()
+    found = rows.select("id", "toxic", "text").mapInArrow(_summaries(field), f"id {kind}, toxic int, values array<double>").collect()
+    found.sort(key=lambda r: r["id"])
+    field.curve = fit_curve([r["values"] for r in found], [r["toxic"] for r in found], tuple(classes[c]["n"] / classes[c]["used"] for c in (0, 1)))
+    return field
+
+
+def _document_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, clean documents, toxic documents), summed up a batch."""
+    for batch in batches:
+        found: tuple[Counter, Counter] = (Counter(), Counter())
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found[label].update(features_of(text.as_py().split()))
+        names = [*(found[0].keys() | found[1].keys())]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in found)], ["f", "c", "k"])
+
+
+def _marking(n: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, c, k = batch.to_pydict().values()
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, a, b in zip(f, c, k) if sets_apart(b, a, n)], pa.string())], ["f"])
+
+    return run
+
+
+def _segments(marks: set[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                found = [*segments_of(key, text.as_py().split(), label, marks)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in found], pa.int64()), pa.array([" ".join(x[1]) for x in found], pa.string()),
+                     pa.array([bytes(x[2]) for x in found], pa.binary()), pa.array([any(x[2]) for x in found], pa.bool_())], ["draw", "words", "tags", "tagged"])
+
+    return run
+
+
+def _summaries(field: Field):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, float] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                words = [x.split() for x in batch.column(2).to_pylist()]
+                found = [summary(w, m) for w, m in zip(words, marginals_of(field, words, kept))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["id", "toxic", "values"])
+
+    return run
 
 
 def spans(text: str, marginals: np.ndarray, least: float = 0.5) -> list[dict]:

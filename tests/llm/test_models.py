@@ -98,3 +98,31 @@ def test_language_awkward(spark):
 
 def test_smallest_tables(spark):
     assert queries.op4_toxicity(spark, SF).count() == queries.op6_language(spark, SF).count() > 0
+
+
+def test_language_learns_from_long_texts(spark):
+    """A text of any length neither drops a language nor the documents beside it."""
+    words = {"en": "the cat and the dog with a bird", "fr": "le chat et un chien des oiseaux"}
+    rows = [(k, words[lang] + f" {'ab'[k % 2]} " + words[lang], lang) for k, lang in enumerate(["en", "fr"] * 40)]
+    rows += [(1000 + k, f"{words['fr']} " * 70_000 + str(k), "fr") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs.where("lang = 'en' or doc_id >= 1000"))
+    assert set(model.languages) == {"en", "fr"}
+    assert model.predict("un chat et des chiens")[0] == "fr" and model.predict("a dog and the cats")[0] == "en"
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    """Texts of any length leave both classes, and segments come from all of a clean text."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], n))
+    rows = [(k, f"{words(30)} vile scum {words(5)}" if k % 2 else words(40), k % 2) for k in range(300)]
+    rows += [(1000 + k, f"{words(100)} {'longer' * 100} " * 7500, 0) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").coalesce(4)
+    only_long = docs.where("toxic = 1 or doc_id >= 1000")
+    assert toxicity.train(only_long, only_long) is not None
+    field = toxicity.train(docs, docs)
+    found = toxicity.marginals_of(field, [["alpha", "vile", "scum", "beta"]], {})[0]
+    assert found[1] > 0.8 and found[2] > 0.8 and found[0] < 0.2 and found[3] < 0.2
+    drawn = [x for k in range(50) for x in toxicity.segments_of(k, ["head"] * 128 + ["body"] * 1280, 0, set())]
+    chosen = sorted(drawn)[:500]
+    assert sum("body" in x[1] for x in chosen) > 400
