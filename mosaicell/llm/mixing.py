@@ -8,6 +8,7 @@ far (a few numbers each), so that a round is one scan with one small aggregate:
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +29,9 @@ FEATURES, KEPT_WORDS = 1 << 14, 300_000
 #: Rounds of the descent at most; it ends at this relative difference from the targets, or where three rounds in turn
 #: change the sum of squares by less than this part of it (targets out of reach).
 ROUNDS, NEAR, CALM = 100, 1e-4, 1e-6
+#: Targets missed by more than this part of them are warned of.
+MISS = 0.01
+log = logging.getLogger(__name__)
 
 
 def word_indices(text: str, known: dict[str, int]) -> list[int]:
@@ -183,6 +187,15 @@ def rates(members: DataFrame, targets: list[float], least: float = 0.0, most: fl
     return descent, expected
 
 
+def report(names: list[str], target: list[float], reached: np.ndarray) -> list[str]:
+    """A line for each domain with its reached and target share and tokens; domains off by more than MISS are warned of."""
+    lines, all_target, all_reached = [], max(sum(target), 1e-300), max(float(reached.sum()), 1e-300)
+    for name, t, r in zip(names, target, reached.tolist()):
+        lines.append(f"{name}: share {r / all_reached:.4f}, target {t / all_target:.4f}; tokens {r:.0f}, target {t:.0f}")
+        log.log(logging.WARNING if abs(r - t) > MISS * max(t, 1.0) else logging.INFO, "mix %s", lines[-1])
+    return lines
+
+
 def copies(rate: str, id_col: str, seed: int = 7) -> F.Column:
     """A rate as a whole number of copies: its floor, and one more as often as its fraction says, by a hash of the id."""
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -205,7 +218,9 @@ def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float], budget:
     rows = written(with_posteriors(own, domains), "members")
     tokens = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     total = sum(shares.values())
-    descent, _ = rates(rows.select("p", "tokens"), [budget * tokens * s / total for s in shares.values()], least, most)
+    target = [budget * tokens * s / total for s in shares.values()]
+    descent, reached = rates(rows.select("p", "tokens"), target, least, most)
+    report(names, target, reached)
     rows = rows.select("p", *(c for c in rows.columns if c != "p"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     return (rows.mapInArrow(_with_rate(descent, len(names)), f"{kinds}, rate double").withColumn("copies", copies("rate", "id"))

@@ -78,3 +78,16 @@ def test_query(spark):
     s = found.agg(F.sum("tokens"), *(F.sum(F.expr(f"tokens * rate * p_{d}")) for d in queries.MIX)).first()
     for got, share in zip(s[1:], queries.MIX.values()):
         assert abs(got - share * queries.MIX_BUDGET * s[0]) <= 0.02 * queries.MIX_BUDGET * s[0]
+
+
+def test_missed_targets_are_reported(spark, caplog):
+    docs = spark.createDataFrame([(k, "sun sea sand" if k < 90 else "ice snow frost") for k in range(100)], "doc_id long, text string")
+    labelled = docs.select("doc_id", F.expr("if(doc_id < 90, 'a', 'b')").alias("domain"))
+    with caplog.at_level("INFO", logger="mosaicell.llm.mixing"):
+        mixing.mix(docs, labelled, {"a": 0.5, "b": 0.5}, 1.25, 1.0, 2.0)
+    said = [r for r in caplog.records if r.getMessage().startswith("mix ")]
+    assert len(said) == 2 and all(r.levelname == "WARNING" and "target 0.5000" in r.getMessage() for r in said)
+    caplog.clear()
+    with caplog.at_level("INFO", logger="mosaicell.llm.mixing"):
+        mixing.mix(docs, labelled, {"a": 0.5, "b": 0.5}, 0.5)
+    assert [r.levelname for r in caplog.records if r.getMessage().startswith("mix ")] == ["INFO", "INFO"]
