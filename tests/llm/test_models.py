@@ -116,7 +116,7 @@ def test_toxicity_learns_from_long_texts(spark):
     rng = np.random.default_rng(3)
     words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], n))
     rows = [(k, f"{words(30)} vile scum {words(5)}" if k % 2 else words(40), k % 2) for k in range(300)]
-    rows += [(1000 + k, f"{words(100)} {'longer' * 100} " * 7500, 0) for k in range(3)]
+    rows += [(1000 + k, f"{words(1000)} " * 1500, 0) for k in range(3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").coalesce(4)
     only_long = docs.where("toxic = 1 or doc_id >= 1000")
     assert toxicity.train(only_long, only_long) is not None
