@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+from .tables import written
+
 NORMALIZATIONS = ("none", "tic", "rms", "median")
 
 
@@ -62,14 +66,13 @@ def bin_fixed(peaks: DataFrame, lo: float, hi: float, width: float) -> DataFrame
 
 
 def bin_adaptive(peaks: DataFrame, edges: np.ndarray) -> DataFrame:
-    """Peaks of the range with their bin: the last edge at or below their m/z. Edges travel as one sorted literal array.
+    """Peaks of the range with their bin: the last edge at or below their m/z. Edges travel as one row with a sorted array.
 
-    A bin is found by bisection inside an expression, so that there is neither a join nor a Python worker.
+    A bin is found by bisection inside an expression, so that there is neither a shuffle nor a Python worker.
     """
-    array = "array(" + ",".join(f"{float(e)!r}D" for e in edges) + ")"
     rounds = max(1, math.ceil(math.log2(len(edges))) + 1)
-    spark = peaks.sparkSession
-    table = F.broadcast(spark.range(1).select(F.expr(array).alias("_edges")))
+    one = pa.table({"_edges": pa.array([edges.astype(float)], pa.list_(pa.float64()))})
+    table = F.broadcast(peaks.sparkSession.createDataFrame(one))
     half = "int((b.lo + b.hi) / 2)"
     found = F.expr(f"aggregate(sequence(1, {rounds}), named_struct('lo', 0, 'hi', {len(edges)}), "
                    f"(b, i) -> if(b.hi - b.lo <= 1, b, if(_edges[{half}] <= mz, named_struct('lo', {half}, 'hi', b.hi), named_struct('lo', b.lo, 'hi', {half})))).lo")
@@ -79,7 +82,8 @@ def bin_adaptive(peaks: DataFrame, edges: np.ndarray) -> DataFrame:
 
 def auto_mz_range(peaks: DataFrame) -> DataFrame:
     """First and 99th percentile of m/z as (mz_min, mz_max)."""
-    return peaks.agg(F.percentile("mz", F.lit(0.01)).alias("mz_min"), F.percentile("mz", F.lit(0.99)).alias("mz_max"))
+    ends = exact_quantiles(peaks, "mz", (0.01, 0.99))
+    return peaks.sparkSession.createDataFrame([tuple(ends)], "mz_min double, mz_max double")
 
 
 def auto_ppm(peaks: DataFrame, lo: float, hi: float, least_peaks: int = 5, least_gaps: int = 200) -> DataFrame:
@@ -92,8 +96,9 @@ def auto_ppm(peaks: DataFrame, lo: float, hi: float, least_peaks: int = 5, least
     gaps = strong.withColumn("before", F.lag("mz").over(W.partitionBy("spectrum_id").orderBy("mz"))).where("before is not null")
     centre = (F.col("mz") + F.col("before")) / 2
     gaps = gaps.where((centre > lo) & (centre < hi) & (F.col("mz") > F.col("before"))).select(((F.col("mz") - F.col("before")) / centre * 1e6).alias("ppm"))
-    found = gaps.agg(F.count("*").alias("n_gaps"), F.percentile("ppm", F.lit(0.5)).alias("median"))
-    return found.select("n_gaps", F.when(F.col("n_gaps") >= least_gaps, F.greatest(F.lit(2.0), F.least(F.lit(500.0), F.col("median")))).alias("ppm"))
+    gaps = written(gaps, "gaps")
+    n, median = gaps.count(), exact_quantiles(gaps, "ppm", (0.5,))[0]
+    return peaks.sparkSession.createDataFrame([(n, max(2.0, min(500.0, median)) if n >= least_gaps and median is not None else None)], "n_gaps long, ppm double")
 
 
 def sample_spectra(spectra: DataFrame, n: int, seed: int = 42) -> DataFrame:

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parts that the members of a component are dealt to by a hash.
+SALTS = 32
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table `name` under `sf_dir`, through Spark's reader only."""
@@ -15,29 +18,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, one of our own on a single machine; on a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="mosaicell-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+class Scratch:
+    """Written tables that are removed together, once what follows from them has been written itself."""
+
+    def __init__(self) -> None:
+        self._paths: list[tuple[SparkSession, str]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` as a table written to the shared folder and read again: cuts lineage, survives lost executors."""
+        spark = df.sparkSession
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        self._paths.append((spark, path))
+        return spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Removes the tables."""
+        for spark, path in self._paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        self._paths.clear()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table written to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A table as Scratch writes it, which stays."""
+    return Scratch().written(df, name)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the links (u, v), both long: one row (node, root) for every node that isn't a root.
 
-    Alternating large-star and small-star steps; each round is one written table. A node's smallest neighbour is a
-    partial aggregate, and the join that hands it out splits hot nodes (adaptive skew join), so that a node with very
-    many links is never gathered. Loops, repeated links and nulls are dropped; no links give an empty table.
+    Alternating large-star and small-star steps; each round is one written table, which goes when the next is there. A
+    node's smallest neighbour is a partial aggregate, and the join that hands it out splits hot nodes (adaptive skew
+    join), so that a node with very many links is never gathered. Loops, repeated links and nulls are dropped; no links
+    give an empty table.
     """
-    edges = written(
+    now = Scratch()
+    edges = now.written(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .where("u is not null and v is not null and u <> v").distinct(), "links")
     last = None
@@ -53,5 +80,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = written(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        following = Scratch()
+        edges = following.written(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
+        now.clear()
+        now = following
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def lowest_of_component(nodes: DataFrame, roots: DataFrame, value: str) -> DataFrame:
+    """(node, value) with the smallest value of each node's component, for `nodes` (node, value; node not repeated) and
+    what `components` returns for their links. Nulls are no values.
+
+    Of a component, values go up as partial aggregates and come down through a join on the root and one of SALTS
+    parts, so that a component of any size is spread over as many tasks.
+    """
+    own = nodes.select("node", value).join(roots, "node", "left")
+    low = own.where("root is not null").groupBy(F.col("root").alias("node")).agg(F.min(value).alias("low"))
+    heads = own.where("root is null").join(low, "node", "left").select("node", F.least(value, "low").alias(value))
+    down = (heads.join(low.select("node"), "node", "left_semi")
+            .select(F.col("node").alias("root"), value, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")))
+    tails = own.where("root is not null").select("node", "root", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("_salt")).join(down, ["root", "_salt"])
+    return heads.select("node", value).unionByName(tails.select("node", value))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.mz import dbe, formula_counts
+from ..functions.quantiles import exact_quantiles
 from ..sources import catalogue
 from .cells import long
 
@@ -67,8 +68,8 @@ def annotate_peaks(queries: DataFrame, index: DataFrame, ppm: float = 5.0, top_n
 
 def intense_peaks(peaks: DataFrame, percentile: float) -> DataFrame:
     """Peaks (mz, intensity) above that percentile of the intensities over 0."""
-    bound = peaks.where("intensity > 0").agg(F.percentile("intensity", F.lit(percentile / 100)).alias("_bound"))
-    return peaks.crossJoin(F.broadcast(bound)).where("intensity > _bound").drop("_bound")  # one row
+    bound = exact_quantiles(peaks.where("intensity > 0"), "intensity", (percentile / 100,))[0]
+    return peaks.where(F.col("intensity") > F.lit(bound))  # without such peaks there is no bound and no row
 
 
 def search(index: DataFrame, text: str, top: int = 20) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from .image import PIXEL
 
 CELL = ["image_id", "cell_id"]
@@ -106,10 +107,19 @@ def _ids(df: DataFrame, ids: Sequence[int]) -> DataFrame:
     return df.sparkSession.createDataFrame([(int(i),) for i in ids], "cell_id int")
 
 
-def remove_cells(labels: DataFrame, ids: Sequence[int] | DataFrame) -> DataFrame:
-    """Labels without these cells: their pixels become background. Ids that aren't there change nothing."""
-    gone = ids if isinstance(ids, DataFrame) else _ids(labels, ids)
-    return labels.join(gone, [c for c in CELL if c in gone.columns], "left_anti")
+def remove_cells(labels: DataFrame, ids: Sequence[int] | DataFrame, image_id: str | None = None) -> DataFrame:
+    """Labels without these cells: their pixels become background. Ids that aren't there change nothing.
+
+    `ids`: numbers of cells of the image `image_id`, which labels of several images need; or a table (image_id, cell_id).
+    """
+    if isinstance(ids, DataFrame):
+        return labels.join(ids, [c for c in CELL if c in ids.columns], "left_anti")
+    if image_id is None and labels.select("image_id").distinct().limit(2).count() > 1:
+        raise ValueError("labels are of several images: say whose cells go")
+    gone = _ids(labels, ids)
+    own = labels if image_id is None else labels.where(F.col("image_id") == image_id)
+    kept = own.join(gone, "cell_id", "left_anti").select(*labels.columns)
+    return kept if image_id is None else kept.unionByName(labels.where(~F.col("image_id").eqNullSafe(F.lit(image_id))))
 
 
 def remove_clusters(cells: DataFrame, classes: int | Sequence[int], column: str = "class") -> DataFrame:
@@ -176,12 +186,12 @@ def clone_quality(cells: DataFrame, least_confidence: float = 0.6, least_cells:
     a class's centre to all other cells; centres are a few rows and are broadcast.
     """
     cells = cells.withColumn("_total", F.expr("aggregate(spectrum, 0D, (a, v) -> a + v)"))
-    bound = cells.agg(F.percentile("_total", F.lit(percentile / 100)).alias("_bound"))
+    bound = exact_quantiles(cells, "_total", (percentile / 100,))[0]
     base = cells.groupBy("class").agg(F.count("*").alias("n_cells"), F.avg("soft_confidence").alias("mean_confidence"),
                                       F.avg((F.col("soft_confidence") < least_confidence).cast("int")).alias("low_conf_ratio"), F.avg("_total").alias("mean_intensity"))
     cv = long(cells, "class").groupBy("class", "bin").agg((F.stddev_pop("value") / (F.avg("value") + 1e-9)).alias("cv"))
     cv = cv.where("not isnan(cv) and abs(cv) < double('infinity')").groupBy("class").agg(F.avg("cv").alias("mean_cv"))
-    out = base.join(cv, "class", "left").crossJoin(F.broadcast(bound))  # one row
+    out = base.join(cv, "class", "left").withColumn("_bound", F.lit(bound).cast("double"))
     if "embedding" in cells.columns:
         at = cells.select("class", F.posexplode("embedding").alias("k", "v")).groupBy("class", "k").agg(F.avg("v").alias("v"))
         centres = at.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("centre"))
@@ -242,10 +252,10 @@ def five_numbers(values: DataFrame) -> DataFrame:
 
 
 def umap_points(cells: DataFrame, palette: int = 10) -> DataFrame:
-    """(cell_id, e0, e1, class, size, opacity, colour_index) of embedded cells."""
+    """(image_id, cell_id, e0, e1, class, size, opacity, colour_index) of embedded cells."""
     # A row for each class.
     order = cells.select("class").distinct().withColumn("_k", F.row_number().over(W.orderBy("class")) - 1)
-    return cells.join(F.broadcast(order), "class").select("cell_id", F.get("embedding", 0).alias("e0"), F.get("embedding", 1).alias("e1"), "class", (6 + 8 * F.col("soft_confidence")).alias("size"),
+    return cells.join(F.broadcast(order), "class").select(*CELL, F.get("embedding", 0).alias("e0"), F.get("embedding", 1).alias("e1"), "class", (6 + 8 * F.col("soft_confidence")).alias("size"),
                                                           F.col("soft_confidence").alias("opacity"), (F.col("_k") % palette).cast("int").alias("colour_index"))
 
 
@@ -256,13 +266,13 @@ def clone_overlay(boundary: DataFrame, cells: DataFrame, confidence: bool = True
 
 
 def export_rows(cells: DataFrame, axis: DataFrame, mode: str = "full", decimals: int | None = 4) -> DataFrame:
-    """The wide table of a CSV export: full, metadata (no ions) or ions (only these, with cell_id); half-even rounding of ions.
+    """The wide table of a CSV export: full, metadata (no ions) or ions (only these, with their cell); half-even rounding of ions.
 
-    Columns are made at this sink alone, a name per bin as its m/z with four places.
+    Rows tell their image and cell. Columns are made at this sink alone, a name per bin as its m/z with four places.
     """
     if mode not in ("full", "metadata", "ions"):
         raise ValueError("mode must be full, metadata or ions")
-    about = ["cell_id"] if mode == "ions" else [c for c, kind in cells.dtypes if c != "image_id" and not kind.startswith("array")]
+    about = CELL if mode == "ions" else [c for c, kind in cells.dtypes if not kind.startswith("array")]
     rounded = lambda c: c if decimals is None else F.bround(c, decimals)
     bins = [] if mode == "metadata" else sorted((r["bin"], r["mz"]) for r in axis.select("bin", "mz").collect())
     return cells.select(*about, *(rounded(F.get("spectrum", b)).alias(f"{mz:.4f}") for b, mz in bins))

@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from ..functions.tables import written
 
 COVARIANCES = ("tied", "full", "diag", "spherical")
-#: Cells in a block of the pairwise comparison.
-BLOCK = 512
+#: The pairwise comparison's tiles: cells on one side, on the other, and of these as many as are compared at once.
+BLOCK, ACROSS, STRIP = 1024, 16_384, 2048
+#: A mixture that can't be fitted is fitted again with one covariance for all and this much on its diagonal.
+RETRY_REG = 1e-4
 
 
 def standardize(rows: DataFrame) -> DataFrame:
@@ -142,24 +144,45 @@ def _starts(points: DataFrame, ks: list[int], restarts: int, seed: int, sample:
     return out
 
 
-def fit_mixtures(points: DataFrame, ks: list[int], covariance: str = "tied", reg: float = 1e-6, restarts: int = 4, rounds: int = 60, tol: float = 1e-4, seed: int = 0) -> dict[int, Mixture]:
-    """The likeliest mixture for each k; all k and restarts go through the same scans. Components are in order of their means."""
+def sound(model: Mixture) -> bool:
+    """Whether densities can be computed: all covariances finite and positive definite."""
+    try:
+        return bool(np.isfinite(model.means).all() and np.isfinite(np.linalg.cholesky(model.covariances)).all())
+    except np.linalg.LinAlgError:
+        return False
+
+
+def fit_mixtures(points: DataFrame, ks: list[int], covariance: str = "tied", reg: float = 1e-6, restarts: int = 10, rounds: int = 200, tol: float = 1e-3, seed: int = 0) -> dict[int, Mixture]:
+    """The likeliest mixture for each k; all k and restarts go through the same scans. Components are in order of their means.
+
+    A k of which a fit breaks down (a covariance is singular) is fitted again with tied covariances and RETRY_REG.
+    """
     if covariance not in COVARIANCES:
         raise ValueError(f"covariance must be one of {COVARIANCES}")
     n, spread = points.count(), points.agg(*(F.var_pop(F.get("embedding", i)) for i in range(len(points.first()["embedding"])))).first()
     models = {key: Mixture(np.full(len(c), 1 / len(c)), c, np.repeat(np.diag([v + reg for v in spread])[None], len(c), axis=0)) for key, c in _starts(points, ks, restarts, seed).items()}
-    moving = set(models)
+    moving = {key for key, m in models.items() if sound(m)}
+    broken = {k for k, _ in models.keys() - moving}
     for _ in range(rounds):
+        moving = {key for key in moving if key[0] not in broken}
         if not moving:
             break
         keys = sorted(moving)
         for key, sums in zip(keys, _sums(points, _mixture_sums, [models[k] for k in keys])):
             new = _stepped(models[key], sums, covariance, reg)
+            if not sound(new):
+                broken.add(key[0])
             if abs(new.likelihood - models[key].likelihood) < tol * max(1, n):
                 moving.discard(key)
             models[key] = new
     best: dict[int, Mixture] = {}
+    if broken:
+        if (covariance, reg) == ("tied", RETRY_REG):
+            raise ValueError(f"no mixture of {sorted(broken)} components can be fitted")
+        best |= fit_mixtures(points, sorted(broken), "tied", RETRY_REG, restarts, rounds, tol, seed)
     for (k, _), m in sorted(models.items()):
+        if k in broken:
+            continue
         if k not in best or m.likelihood > best[k].likelihood:
             order = np.lexsort(m.means.T[::-1])
             best[k] = Mixture(m.weights[order], m.means[order], m.covariances[order], m.likelihood)
@@ -205,10 +228,8 @@ def gmm_clusters(points: DataFrame, k: int | None = None, least: int = 2, most:
     n = points.count()
     ks = [k] if k else list(range(least, min(most + 1, max(least + 1, n // 3))))
     fits = fit_mixtures(points, ks, covariance, reg, seed=seed)
-    scores = []
-    for c in ks:
-        s = silhouette(assign_mixture(points, fits[c])).agg(F.avg("silhouette")).first()[0] if len(ks) > 1 else None
-        scores.append((c, float(bic(fits[c], n, covariance)), None if s is None else float(s)))
+    means = mean_silhouettes(points, [lambda x, own=fits[c]: own.responsibilities(x)[0] for c in ks]) if len(ks) > 1 else [None] * len(ks)
+    scores = [(c, float(bic(fits[c], n, covariance)), s) for c, s in zip(ks, means)]
     chosen = k or select_k(scores)
     choice = points.sparkSession.createDataFrame([(*s, s[0] == chosen) for s in scores], "k int, bic double, silhouette double, chosen boolean")
     return assign_mixture(points, fits[chosen]), choice
@@ -236,63 +257,112 @@ def fuzzy_memberships(m: float = 2.0, distance_power: float = 2.0):
     return lambda centres, x: _fuzzy(centres, x, m, distance_power)
 
 
-def fcm_step(points: DataFrame, centres: np.ndarray, m: float = 2.0, distance_power: float = 2.0) -> np.ndarray:
-    """Centres after one round: means weighted by memberships to the power m."""
+def fcm_steps(points: DataFrame, models: list[np.ndarray], m: float = 2.0, distance_power: float = 2.0) -> list[np.ndarray]:
+    """Centres of each model after one round: means weighted by memberships to the power m. One scan for all models."""
     u_of = fuzzy_memberships(m, distance_power)
-    sums = _sums(points, lambda c, x: np.concatenate([(u_of(c, x) ** m).sum(axis=0), ((u_of(c, x) ** m).T @ x).ravel()]), [centres])[0]
-    k = len(centres)
-    return sums[k:].reshape(k, -1) / sums[:k, None]
+
+    def stat(centres: np.ndarray, x: np.ndarray) -> np.ndarray:
+        u = u_of(centres, x) ** m
+        return np.concatenate([u.sum(axis=0), (u.T @ x).ravel()])
+
+    return [sums[len(c) :].reshape(len(c), -1) / sums[: len(c), None] for c, sums in zip(models, _sums(points, stat, models))]
+
+
+def fcm_step(points: DataFrame, centres: np.ndarray, m: float = 2.0, distance_power: float = 2.0) -> np.ndarray:
+    """Centres after one round."""
+    return fcm_steps(points, [centres], m, distance_power)[0]
 
 
 def fcm_clusters(points: DataFrame, k: int | None = None, least: int = 2, most: int = 10, m: float = 2.0, rounds: int = 300, tol: float = 1e-6, distance_power: float = 2.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(cells with membership, class, soft_confidence; the choice) by fuzzy c-means; without `k`, the best silhouette from least to most."""
     points = written(points, "points")
     ks = [k] if k else list(range(least, most + 1))
-    found, scores, u_of = {}, [], fuzzy_memberships(m, distance_power)
-    for (c, _), centres in _starts(points, ks, 1, seed).items():
-        for _ in range(rounds):
-            new = fcm_step(points, centres, m, distance_power)
-            done = np.abs(new - centres).max() < tol
-            centres = new
-            if done:
-                break
-        found[c] = centres[np.lexsort(centres.T[::-1])]
-        s = silhouette(_with_membership(points, lambda x, own=found[c]: u_of(own, x))).agg(F.avg("silhouette")).first()[0] if len(ks) > 1 else None
-        scores.append((c, s))
+    u_of = fuzzy_memberships(m, distance_power)
+    found = {c: centres for (c, _), centres in _starts(points, ks, 1, seed).items()}
+    moving = set(found)
+    for _ in range(rounds):  # all k that still move share a scan
+        keys = sorted(moving)
+        if not keys:
+            break
+        for c, new in zip(keys, fcm_steps(points, [found[c] for c in keys], m, distance_power)):
+            if np.abs(new - found[c]).max() < tol:
+                moving.discard(c)
+            found[c] = new
+    found = {c: centres[np.lexsort(centres.T[::-1])] for c, centres in found.items()}
+    means = mean_silhouettes(points, [lambda x, own=found[c]: u_of(own, x) for c in ks]) if len(ks) > 1 else [None] * len(ks)
+    scores = list(zip(ks, means))
     chosen = k or max(scores, key=lambda s: (s[1] if s[1] is not None else -1, -s[0]))[0]
     choice = points.sparkSession.createDataFrame([(c, s, c == chosen) for c, s in scores], "k int, silhouette double, chosen boolean")
     own = found[chosen]
     return _with_membership(points, lambda x: u_of(own, x)), choice
 
 
-def silhouette(cells: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(cell_id, class, silhouette) by Euclidean distances of embeddings, over all pairs of cells.
+def _silhouettes(rows: DataFrame, block: int, across: int) -> DataFrame:
+    """(row, j, class, silhouette) for rows (row long, classes array<int>, embedding), each of whose classes is one clustering j.
 
-    Cells are cut into blocks of about `block`; pairs of blocks are compared as matrices and give sums per cell and
-    class, so that no pair of cells is a row. Cells alone in their class, and all if there is one class, have 0.
+    Tiles of about `block` by `across` cells are compared as matrices, once for all clusterings; a tile gives sums per
+    cell and class, so that no pair of cells is a row and no task holds more than a tile.
     """
-    rows = written(cells.select(F.col("cell_id").cast("long").alias("cell_id"), "class", "embedding"), "cells")
-    blocks = max(1, -(-rows.count() // block))
-    packed = written(rows.withColumn("b", F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int")).groupBy("b").agg(F.collect_list(F.struct("cell_id", "class", "embedding")).alias("rows")), "blocks")
-    left = packed.select(F.col("rows").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    pairs = left.join(packed, "b").select("left", "rows")
+    n = rows.count()
+    blocks, chunks = max(1, -(-n // block)), max(1, -(-n // across))
+    sizes = rows.select(F.posexplode("classes").alias("j", "other")).groupBy("j", "other").agg(F.count("*").alias("n"))
+    names = sorted((r["j"], r["other"], r["n"]) for r in sizes.collect())  # a row for each class of each clustering
+    if not names:
+        return rows.sparkSession.createDataFrame([], "row long, j int, class int, silhouette double")
+    side = lambda k, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    own = rows.select(side(blocks, 1).alias("a"), every(chunks).alias("c"), F.lit(True).alias("own"), "row", "classes", "embedding")
+    others = rows.select(every(blocks).alias("a"), side(chunks, 2).alias("c"), F.lit(False).alias("own"), "row", "classes", "embedding")
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks()
+        mine = tile.column("own").to_numpy()
+        x, classes = _matrix(tile.column("embedding").chunk(0)), _matrix(tile.column("classes").chunk(0))
+        left, right, of = x[mine], x[~mine], classes[~mine]
+        sums = np.zeros((len(left), len(names)))
+        for at in range(0, len(right), STRIP):
+            y, member = right[at : at + STRIP], np.stack([of[at : at + STRIP, j] == c for j, c, _ in names], axis=1).astype(float)
+            d2 = np.zeros((len(left), len(y)))
+            for k in range(x.shape[1]):
+                d2 += (left[:, k, None] - y[:, k]) ** 2
+            sums += np.sqrt(d2) @ member
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, len(names), dtype=np.int32)), pa.array(sums.ravel()))
+        return pa.table({"row": tile.column("row").filter(pa.array(mine)), "sums": lists})
+
+    tiles = own.unionByName(others).groupBy("a", "c").applyInArrow(run, "row long, sums array<double>")
+    about = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(c).alias("other"), F.lit(m).alias("n")) for j, c, m in names))
+    sums = tiles.select("row", F.posexplode("sums").alias("k", "d")).groupBy("row", "k").agg(F.sum("d").alias("d"))
+    sums = sums.join(rows.select("row", "classes"), "row").withColumn("s", F.get(about, F.col("k"))).select("row", "d", "s.*", "classes").withColumn("class", F.get("classes", F.col("j")))
+    a = F.max(F.when(F.col("other") == F.col("class"), F.when(F.col("n") > 1, F.col("d") / (F.col("n") - 1))))
+    b = F.min(F.when(F.col("other") != F.col("class"), F.col("d") / F.col("n")))
+    out = sums.groupBy("row", "j", "class").agg(a.alias("a"), b.alias("b"))
+    return out.select("row", "j", "class", F.coalesce(F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
+
+
+def mean_silhouettes(points: DataFrame, memberships: list, block: int = BLOCK, across: int = ACROSS) -> list[float | None]:
+    """The mean silhouette of `points` under each of several clusterings, given by functions of the embeddings; one comparison for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, y = (np.array([r["embedding"] for r in rows]) for rows in (left, right))
-                of = np.array([r["class"] for r in right])
-                d = np.sqrt(np.maximum(((x[:, None] - y) ** 2).sum(axis=2), 0))
-                names = np.unique(of)
-                sums = np.stack([d[:, of == c].sum(axis=1) for c in names], axis=1)
-                ids = np.repeat([r["cell_id"] for r in left], len(names))
-                own = np.repeat([r["class"] for r in left], len(names)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(own), pa.array(np.tile(names, len(left)).astype(np.int32)), pa.array(sums.ravel())], ["cell_id", "class", "other", "d"])
-
-    sums = pairs.mapInArrow(run, "cell_id long, class int, other int, d double").groupBy("cell_id", "class", "other").agg(F.sum("d").alias("d"))
-    sizes = rows.groupBy(F.col("class").alias("other")).agg(F.count("*").alias("n"))
-    means = sums.join(F.broadcast(sizes), "other")
-    a = F.max(F.when(F.col("other") == F.col("class"), F.when(F.col("n") > 1, F.col("d") / (F.col("n") - 1))))
-    b = F.min(F.when(F.col("other") != F.col("class"), F.col("d") / F.col("n")))
-    out = means.groupBy("cell_id", "class").agg(a.alias("a"), b.alias("b"))
-    return out.select("cell_id", "class", F.coalesce(F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
+            if batch.num_rows:
+                x = _matrix(batch.column(0))
+                classes = np.stack([u(x).argmax(axis=1) for u in memberships], axis=1).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, classes.size + 1, classes.shape[1], dtype=np.int32)), pa.array(classes.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["embedding", "classes"])
+
+    rows = points.select("embedding").mapInArrow(run, "embedding array<double>, classes array<int>").withColumn("row", F.monotonically_increasing_id())
+    found = _silhouettes(written(rows, "cells"), block, across).groupBy("j").agg(F.avg("silhouette").alias("s")).collect()
+    means = {r["j"]: r["s"] for r in found}
+    return [means.get(j) for j in range(len(memberships))]
+
+
+def silhouette(cells: DataFrame, block: int = BLOCK, across: int = ACROSS) -> DataFrame:
+    """(image_id, cell_id, class, silhouette) by Euclidean distances of embeddings, over all pairs of cells of all images.
+
+    Cells are told apart by image and id (by id alone where there is no image_id); repeated rows are cells of their own.
+    Cells alone in their class, and all if there is one class, have 0; cells without a class or an embedding have no row.
+    """
+    keys = [c for c in ("image_id", "cell_id") if c in cells.columns]
+    rows = cells.where("class is not null and embedding is not null").select(*keys, F.array(F.col("class").cast("int")).alias("classes"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "cells")
+    return _silhouettes(rows, block, across).join(rows.select("row", *keys), "row").select(*keys, "class", "silhouette")

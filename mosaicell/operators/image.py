@@ -5,12 +5,13 @@ from __future__ import annotations
 import heapq
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.tables import components, written
+from ..functions.tables import Scratch, components, lowest_of_component, written
 
 PIXEL = ["image_id", "x", "y"]
 
@@ -38,9 +39,12 @@ def pixel_tic_raw(spectra: DataFrame) -> DataFrame:
     return spectra.select(*PIXEL, own.alias("own")).groupBy(*PIXEL).agg(F.sum("own").alias("tic"))
 
 
-def tic_mask(tic: DataFrame, threshold: float) -> DataFrame:
-    """Pixels above the threshold."""
-    return tic.where(F.col("tic") > threshold)
+def tic_mask(tic: DataFrame, threshold: float | DataFrame) -> DataFrame:
+    """Pixels above the threshold: one for all images, or a table (image_id, threshold); images without one have no pixel."""
+    if not isinstance(threshold, DataFrame):
+        return tic.where(F.col("tic") > threshold)
+    own = threshold.select("image_id", F.col("threshold").alias("_bound"))
+    return tic.join(own, "image_id").where(F.col("tic") > F.col("_bound")).drop("_bound")
 
 
 def crop(pixels: DataFrame, rows: int, columns: int) -> DataFrame:
@@ -102,18 +106,19 @@ def local_maxima(pixels: DataFrame, footprint: tuple[int, int] = (3, 3), value:
 def connected_components(mask: DataFrame, neighbours: int = 4) -> DataFrame:
     """Adds `component` to mask pixels: the number x + y * 2**24 of its first pixel in raster order, equal for connected pixels.
 
-    Links between neighbours go through alternating star steps, over all images in one job.
+    Links between neighbours go through alternating star steps, over all images in one job. Pixels are nodes by number
+    of their row in a written table, so that there may be any number of images.
     """
-    node = lambda x, y: (F.col("_i") * F.lit(1 << 48) + y.cast("long") * F.lit(1 << 24) + x.cast("long"))
-    # One row for each image.
-    images = mask.select("image_id").distinct().withColumn("_i", F.dense_rank().over(W.orderBy("image_id")) - 1)
-    own = written(mask.select(*PIXEL).distinct().join(images, "image_id").withColumn("node", node(F.col("x"), F.col("y"))), "mask")
+    scratch = Scratch()
+    own = scratch.written(mask.select(*PIXEL).distinct().withColumn("node", F.monotonically_increasing_id()), "mask")
     steps = [(1, 0), (0, 1)] + ([(1, 1), (-1, 1)] if neighbours == 8 else [])
     ahead = own.withColumn("o", F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in steps))))
-    ahead = ahead.select(F.col("node").alias("u"), node(F.col("x") + F.col("o.dx"), F.col("y") + F.col("o.dy")).alias("v"))
-    roots = components(ahead.join(own.select(F.col("node").alias("v")), "v", "left_semi"))
-    out = own.join(roots, "node", "left").select(*PIXEL, (F.coalesce("root", "node") - F.col("_i") * F.lit(1 << 48)).alias("component"))
-    return mask.join(out, PIXEL)
+    ahead = ahead.select("image_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), F.col("node").alias("u"))
+    roots = components(ahead.join(own.select(*PIXEL, F.col("node").alias("v")), PIXEL).select("u", "v"))
+    first = own.select("node", (F.col("y").cast("long") * F.lit(1 << 24) + F.col("x")).alias("component"))
+    found = written(lowest_of_component(first, roots, "component").join(own, "node").select(*PIXEL, "component"), "components")
+    scratch.clear()
+    return mask.join(found, PIXEL)
 
 
 def nearest_label(orphans: DataFrame, labelled: DataFrame, cell_col: str = "cell_id", reach: int = 8) -> DataFrame:
@@ -194,54 +199,95 @@ def size_filter(labels: DataFrame, least: float | None = 2, most: float | None =
 
 FOUR = ((-1, 0), (0, -1), (0, 1), (1, 0))
 EIGHT = (*FOUR, (-1, -1), (-1, 1), (1, -1), (1, 1))
-
-
-def _flood(pixels: pd.DataFrame) -> pd.DataFrame:
-    """Watershed in one component: markers grow along falling values; ties by age, then by neighbour order."""
-    value = {(y, x): v for x, y, v in zip(pixels["x"], pixels["y"], pixels["tic"])}
-    label = {(y, x): int(m) for x, y, m in zip(pixels["x"], pixels["y"], pixels["marker"]) if m >= 0}
-    heap = [(-value[p], age, p) for age, p in enumerate(sorted(label))]
+#: Mask pixels, of whole components, that are labelled together in a task.
+TASK_PIXELS = 500_000
+
+
+def _dealt(marked: DataFrame) -> DataFrame:
+    """Adds `task`: components by a hash, so many to a task as hold TASK_PIXELS pixels."""
+    tasks = max(1, -(-marked.count() // TASK_PIXELS))
+    return marked.withColumn("task", F.pmod(F.xxhash64("image_id", "component"), F.lit(tasks)))
+
+
+class Mask:
+    """The mask pixels of whole components as arrays, in raster order within a component, and their neighbours' places."""
+
+    def __init__(self, task: pa.Table, steps: tuple[tuple[int, int], ...]):
+        task = task.combine_chunks()
+        x, y, component = (task.column(c).to_numpy().astype(np.int64) for c in ("x", "y", "component"))
+        image = task.column("image_id").chunk(0).dictionary_encode().indices.to_numpy()
+        group = np.unique(np.stack([image, component]), axis=1, return_inverse=True)[1].ravel()
+        order = np.lexsort((x, y, group))
+        self.table, x, y, self.group = task.take(pa.array(order)), x[order], y[order], group[order]
+        width, height = int(x.max() - x.min()) + 3, int(y.max() - y.min()) + 3
+        code = (self.group * height + y - y.min() + 1) * width + x - x.min() + 1
+        self.near = []
+        for dy, dx in steps:
+            at = np.searchsorted(code, code + dy * width + dx).clip(max=len(code) - 1)
+            self.near.append(np.where(code[at] == code + dy * width + dx, at, -1))
+
+    def values(self, column: str) -> np.ndarray:
+        return self.table.column(column).to_numpy()
+
+    def labelled(self, label: np.ndarray) -> pa.Table:
+        return self.table.select(PIXEL).append_column("label", pa.array(label, pa.int64()))
+
+
+def _flood(task: pa.Table) -> pa.Table:
+    """Watershed: markers grow along falling values; ties by age, then by neighbour order. Where a component has one marker, that takes all."""
+    mask = Mask(task, FOUR)
+    value, marker, group = mask.values("tic"), mask.values("marker"), mask.group
+    low, high = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, -1)
+    own = marker >= 0
+    np.minimum.at(low, group[own], marker[own])
+    np.maximum.at(high, group[own], marker[own])
+    contested = (low < high)[group]
+    label = np.where(contested, marker, high[group]).tolist()
+    start = np.nonzero(contested & own)[0].tolist()
+    minus, near = (-value).tolist(), list(zip(*(n.tolist() for n in mask.near)))
+    heap = [(minus[p], age, p) for age, p in enumerate(start)]
     heapq.heapify(heap)
     age = len(heap)
     while heap:
-        _, _, (y, x) = heapq.heappop(heap)
-        for dy, dx in FOUR:
-            near = (y + dy, x + dx)
-            if near in value and near not in label:
-                label[near] = label[(y, x)]
-                heapq.heappush(heap, (-value[near], age, near))
+        _, _, p = heapq.heappop(heap)
+        for q in near[p]:
+            if q >= 0 and label[q] < 0:
+                label[q] = label[p]
+                heapq.heappush(heap, (minus[q], age, q))
                 age += 1
-    return pixels.assign(label=[label.get((y, x), -1) for x, y in zip(pixels["x"], pixels["y"])])
+    return mask.labelled(np.array(label, np.int64))
 
 
 def _grow(tolerance: float):
-    def run(pixels: pd.DataFrame) -> pd.DataFrame:
-        value = {(y, x): v for x, y, v in zip(pixels["x"], pixels["y"], pixels["scaled"])}
-        seeds = sorted(((-t, y, x) for x, y, t, m in zip(pixels["x"], pixels["y"], pixels["tic"], pixels["marker"]) if m >= 0))
-        label: dict[tuple[int, int], int] = {}
-        for _, y0, x0 in seeds:
-            if (y0, x0) in label:
+    def run(task: pa.Table) -> pa.Table:
+        mask = Mask(task, EIGHT)
+        scaled, marker = mask.values("scaled").tolist(), mask.values("marker")
+        near, label = list(zip(*(n.tolist() for n in mask.near))), [-1] * len(scaled)
+        seeds = np.nonzero(marker >= 0)[0]
+        for seed in seeds[np.argsort(-mask.values("tic")[seeds], kind="stable")].tolist():  # ties in raster order
+            if label[seed] >= 0:
                 continue
-            own, todo = y0 * (1 << 24) + x0, [(y0, x0)]
+            own, top, todo = int(marker[seed]), scaled[seed], [seed]
             while todo:
                 p = todo.pop()
-                if p in label or p not in value or abs(value[p] - value[(y0, x0)]) > tolerance:
-                    continue
-                label[p] = own
-                todo += [(p[0] + dy, p[1] + dx) for dy, dx in EIGHT]
-        return pixels.assign(label=[label.get((y, x), -1) for x, y in zip(pixels["x"], pixels["y"])])
+                if label[p] < 0 and abs(scaled[p] - top) <= tolerance:
+                    label[p] = own
+                    todo += [q for q in near[p] if q >= 0 and label[q] < 0]
+        return mask.labelled(np.array(label, np.int64))
 
     return run
 
 
-def segment(tic: DataFrame, threshold: float, method: str = "watershed", sigma: float = 0.0, footprint: tuple[int, int] = (3, 3), least: float | None = 2, most: float | None = None,
+def segment(tic: DataFrame, threshold: float | DataFrame, method: str = "watershed", sigma: float = 0.0, footprint: tuple[int, int] = (3, 3), least: float | None = 2, most: float | None = None,
             unit: str = "px", pixel_um: float = 10.0, remove_isolated: bool = True, tolerance: float = 0.15) -> DataFrame:
     """Labels (image_id, x, y, cell_id) of the pixels above the threshold.
 
     method watershed: markers (connected local maxima) flood their surroundings; dfs: seeds, brightest first, take
-    connected pixels of like value, and what is left goes to the nearest cell. Images are cut into the connected
-    components of the mask, which can't influence each other: these, not images, are the unit of work. cell_id numbers
-    an image's cells in raster order of their markers, before the size filter, so that ids may have gaps.
+    connected pixels of like value, and what is left goes to the nearest cell. The threshold may be a table (image_id,
+    threshold). Images are cut into the connected components of the mask, which can't influence each other: these, not
+    images, are the unit of work, and many of them share a task. The memory of a task is that of its largest component,
+    about 200 bytes a pixel. cell_id numbers an image's cells in raster order of their markers, before the size filter,
+    so that ids may have gaps.
     """
     if method not in ("watershed", "dfs"):
         raise ValueError("method must be watershed or dfs")
@@ -254,16 +300,15 @@ def segment(tic: DataFrame, threshold: float, method: str = "watershed", sigma:
     else:
         marks = tops.select(*PIXEL, (F.col("y").cast("long") * (1 << 24) + F.col("x")).alias("marker"))
     marked = masked.join(marks, PIXEL, "left").withColumn("marker", F.coalesce("marker", F.lit(-1)))
-    columns = "image_id string, x int, y int, tic double, component long, marker long"
+    pixels = marked.select("image_id", F.col("x").cast("int"), F.col("y").cast("int"), F.col("tic").cast("double"), "component", "marker")
+    out = f"image_id {marked.schema['image_id'].dataType.simpleString()}, x int, y int, label long"
     if method == "watershed":
-        found = marked.select(*PIXEL, F.col("tic").cast("double").alias("tic"), "component", "marker").groupBy("image_id", "component").applyInPandas(_flood, f"{columns}, label long")
-        found = found.where("label >= 0").select(*PIXEL, "label")
+        found = _dealt(pixels).groupBy("task").applyInArrow(_flood, out).where("label >= 0")
     else:
-        scale = marked.groupBy("image_id").agg(F.min("tic").alias("low"), F.max("tic").alias("high"))
-        scaled = marked.join(scale, "image_id").withColumn("scaled", (F.col("tic") - F.col("low")) / (F.col("high") - F.col("low") + 1e-9))
-        found = written(scaled.select(*PIXEL, F.col("tic").cast("double").alias("tic"), "component", "marker", "scaled").groupBy("image_id", "component")
-                        .applyInPandas(_grow(tolerance), f"{columns}, scaled double, label long"), "grown")
-        grown = found.where("label >= 0").select(*PIXEL, "label")
+        scale = pixels.groupBy("image_id").agg(F.min("tic").alias("low"), F.max("tic").alias("high"))
+        scaled = pixels.join(scale, "image_id").withColumn("scaled", (F.col("tic") - F.col("low")) / (F.col("high") - F.col("low") + 1e-9))
+        found = written(_dealt(scaled).groupBy("task").applyInArrow(_grow(tolerance), out), "grown")
+        grown = found.where("label >= 0")
         found = grown.unionByName(nearest_label(found.where("label < 0"), grown, "label"))
     found = written(found, "labels")
     # A row for each cell, numbered per image.

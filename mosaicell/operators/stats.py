@@ -109,8 +109,9 @@ def volcano(table: DataFrame, alpha: float = 0.05, fold: float = 1.5) -> DataFra
 
 
 def zscore_heatmap(rows: DataFrame, bins: DataFrame) -> DataFrame:
-    """(cell_id, class, bin, z) of marker bins: distance from the bin's mean in population deviations, within 3."""
+    """(image_id, cell_id, class, bin, z) of marker bins: distance from the bin's mean in population deviations, within 3."""
     rows = rows.join(F.broadcast(bins.select("bin").distinct()), "bin", "left_semi")
+    keys = [c for c in ("image_id", "cell_id") if c in rows.columns]
     stats = rows.groupBy("bin").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     z = (F.col("value") - F.col("m")) / (F.col("s") + 1e-12)
-    return rows.join(F.broadcast(stats), "bin").select("cell_id", "class", "bin", F.least(F.lit(3.0), F.greatest(F.lit(-3.0), z)).alias("z"))
+    return rows.join(F.broadcast(stats), "bin").select(*keys, "class", "bin", F.least(F.lit(3.0), F.greatest(F.lit(-3.0), z)).alias("z"))

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import Scratch
 from .image import grid_bounds
 
 BINS = 256
@@ -95,28 +96,30 @@ def histogram_thresholds(tic: DataFrame) -> DataFrame:
 
 
 def li_threshold(tic: DataFrame, rounds: int = 100) -> DataFrame:
-    """Minimum cross-entropy: t moves to (mean below - mean above) / (log of these) until it stays; all images in one job a round."""
-    values = with_zeros(tic)
-    low = values.groupBy("image_id").agg(F.min("tic").alias("low"), (F.sum(F.col("tic") * F.col("n")) / F.sum("n")).alias("mean"))
-    state = {r["image_id"]: (r["low"], r["mean"] - r["low"]) for r in low.collect()}  # a row for each image
-    moving = dict.fromkeys(state, True)
+    """Minimum cross-entropy: t moves to (mean below - mean above) / (log of these) until it stays.
+
+    All images take a round in one job; their state is a written table, whose size the next join goes by.
+    """
+    values, now = Scratch(), Scratch()
+    counts = values.written(with_zeros(tic), "values")
+    state = now.written(counts.groupBy("image_id").agg(F.min("tic").alias("low"), (F.sum(F.col("tic") * F.col("n")) / F.sum("n")).alias("mean"))
+                        .select("image_id", "low", (F.col("mean") - F.col("low")).alias("t"), F.lit(True).alias("moving")), "li")
     for _ in range(rounds):
-        if not any(moving.values()):
+        if not state.where("moving").limit(1).count():
             break
-        at = tic.sparkSession.createDataFrame([(k, lo, t) for k, (lo, t) in state.items() if moving[k]], "image_id string, low double, t double")
         v = F.col("tic") - F.col("low")
         above = v > F.col("t")
-        means = (values.join(F.broadcast(at), "image_id").groupBy("image_id").agg(
+        means = (counts.join(state.where("moving"), "image_id").groupBy("image_id").agg(
             (F.sum(F.when(above, v * F.col("n"))) / F.sum(F.when(above, F.col("n")))).alias("fore"), (F.sum(F.when(~above, v * F.col("n"))) / F.sum(F.when(~above, F.col("n")))).alias("back")))
-        for r in means.collect():
-            lo, t = state[r["image_id"]]
-            if not r["back"] or r["fore"] is None:
-                moving[r["image_id"]] = False
-                continue
-            new = (r["back"] - r["fore"]) / (np.log(r["back"]) - np.log(r["fore"]))
-            moving[r["image_id"]] = abs(new - t) > 1e-9 * max(1.0, abs(t))
-            state[r["image_id"]] = (lo, float(new))
-    return tic.sparkSession.createDataFrame([(k, "li", lo + t) for k, (lo, t) in state.items()], "image_id string, method string, threshold double")
+        going = state.join(means.where("back > 0 and fore is not null"), "image_id", "left")
+        new = F.coalesce((F.col("back") - F.col("fore")) / (F.log("back") - F.log("fore")), F.col("t"))
+        moves = F.col("back").isNotNull() & (F.abs(new - F.col("t")) > 1e-9 * F.greatest(F.lit(1.0), F.abs("t")))
+        following = Scratch()
+        state = following.written(going.select("image_id", "low", new.alias("t"), moves.alias("moving")), "li")
+        now.clear()
+        now = following
+    values.clear()
+    return state.select("image_id", F.lit("li").alias("method"), (F.col("low") + F.col("t")).alias("threshold"))
 
 
 def percentile_threshold(tic: DataFrame, percentile: float = 75.0) -> DataFrame:
@@ -178,10 +181,11 @@ def gmm_thresholds(tic: DataFrame, bins: int = 2048) -> DataFrame:
 
 def scored(tic: DataFrame, candidates: DataFrame, least: float = 0.05, most: float = 0.60) -> DataFrame:
     """Candidates (image_id, method, threshold) with score and cell_frac: how well they part the image, and how near the
-    share of cells is to 0.15; 0 where that share is out of bounds. One pass over the values, zeros by number."""
+    share of cells is to 0.15; 0 where that share is out of bounds. One pass over the values, zeros by number. Scores have
+    twelve places: what differs by the order of summation alone is a tie."""
     v = F.col("tic")
     above = v > F.col("threshold")
-    sums = (with_zeros(tic).join(F.broadcast(candidates), "image_id").groupBy("image_id", "method", "threshold").agg(
+    sums = (with_zeros(tic).join(candidates, "image_id").groupBy("image_id", "method", "threshold").agg(
         F.sum("n").alias("n"), F.sum(v * F.col("n")).alias("s"), F.sum(v * v * F.col("n")).alias("q"),
         F.coalesce(F.sum(F.when(above, F.col("n"))), F.lit(0)).alias("fn"), F.coalesce(F.sum(F.when(above, v * F.col("n"))), F.lit(0.0)).alias("fs")))
     mean, share = F.col("s") / F.col("n"), F.col("fn") / F.col("n")
@@ -190,7 +194,7 @@ def scored(tic: DataFrame, candidates: DataFrame, least: float = 0.05, most: flo
     total = F.col("q") / F.col("n") - mean * mean + 1e-9
     score = 0.6 * between / total + 0.4 * F.exp(-F.pow(share - 0.15, 2) / (2 * 0.12**2))
     fine = (share >= least) & (share <= most) & (F.col("fn") > 0) & (F.col("fn") < F.col("n"))
-    return sums.select("image_id", "method", "threshold", F.when(fine, score).otherwise(0.0).alias("score"), share.alias("cell_frac"))
+    return sums.select("image_id", "method", "threshold", F.round(F.when(fine, score).otherwise(0.0), 12).alias("score"), share.alias("cell_frac"))
 
 
 def candidates(tic: DataFrame, percentile: float = 75.0, least: float = 0.05, most: float = 0.60) -> DataFrame:

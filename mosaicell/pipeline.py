@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import mz
 from .functions.tables import written
 from .operators import annotate, cells, clusters, image, stats, threshold
+from .sources import imzml
 
 
 @dataclass(frozen=True)
@@ -21,7 +22,7 @@ class Imaging:
     binned: DataFrame | None = None
     tic: DataFrame | None = None
     candidates: DataFrame | None = None
-    threshold: float | None = None
+    threshold: DataFrame | None = None
     labels: DataFrame | None = None
     cells: DataFrame | None = None
     choice: DataFrame | None = None
@@ -35,17 +36,37 @@ class Imaging:
 
     def bin(self, lo: float, hi: float, width: float = 0.1, normalization: str = "none") -> Imaging:
         """Peaks on a uniform axis, and the image of their totals."""
+        axis = mz.fixed_axis(self.spectra.sparkSession, lo, hi, width)
+        return self._binned(axis, lambda peaks: mz.bin_fixed(peaks, lo, hi, width), normalization)
+
+    def bin_adaptive(self, lo: float, hi: float, resolving_power: float | None = None, ppm: float | None = None, normalization: str = "none") -> Imaging:
+        """Peaks on an axis whose bins widen with m/z, and the image of their totals. Without a width, ppm follows from the spectra."""
+        if resolving_power is None and ppm is None:
+            ppm = mz.auto_ppm(mz.explode_peaks(mz.sound(self.spectra)), lo, hi).first()["ppm"]
+            if ppm is None:
+                raise ValueError("too few peaks to tell a ppm width: give one, or a resolving power")
+        edges = mz.adaptive_edges(lo, hi, resolving_power, ppm)
+        return self._binned(mz.adaptive_axis(self.spectra.sparkSession, edges), lambda peaks: mz.bin_adaptive(peaks, edges), normalization)
+
+    def _binned(self, axis: DataFrame, place, normalization: str) -> Imaging:
         if self.axis is not None:
             raise ValueError("the axis is set already")
-        spark = self.spectra.sparkSession
         peaks = mz.explode_peaks(mz.normalized(mz.sound(self.spectra), normalization))
-        binned = written(mz.bin_fixed(peaks, lo, hi, width).select(*image.PIXEL, "bin", "intensity"), "binned")
-        return replace(self, axis=mz.fixed_axis(spark, lo, hi, width), binned=binned, tic=written(image.pixel_tic(binned), "tic"))
+        binned = written(place(peaks).select(*image.PIXEL, "bin", "intensity"), "binned")
+        return replace(self, axis=axis, binned=binned, tic=written(image.pixel_tic(binned), "tic"))
+
+    def crop(self, rows: int, columns: int) -> Imaging:
+        """Pixels of the first rows and columns alone."""
+        return replace(self, binned=image.crop(self._need("binned"), rows, columns), tic=image.crop(self._need("tic"), rows, columns))
 
     def auto_threshold(self, method: str = "auto", **options) -> Imaging:
-        """The threshold of the (one) image."""
-        found = threshold.auto_threshold(self._need("tic"), method, **options).first()
-        return replace(self, threshold=found["threshold"], candidates=threshold.candidates(self.tic))
+        """A threshold for each image."""
+        found = written(threshold.auto_threshold(self._need("tic"), method, **options), "thresholds")
+        return replace(self, threshold=found.select("image_id", "threshold"), candidates=threshold.candidates(self.tic))
+
+    def set_threshold(self, value: float) -> Imaging:
+        """The same threshold for all images."""
+        return replace(self, threshold=self._need("tic").select("image_id").distinct().withColumn("threshold", F.lit(float(value))))
 
     def segment(self, method: str = "watershed", **options) -> Imaging:
         return replace(self, labels=written(image.segment(self._need("tic"), self._need("threshold"), method, **options), "labels"))
@@ -65,6 +86,19 @@ class Imaging:
         gone = self._need("cells").where("flagged").select("image_id", "cell_id")
         return replace(self, labels=cells.remove_cells(self.labels, gone), cells=self.cells.where("not flagged"))
 
+    def remove_cells(self, ids, image_id: str | None = None) -> Imaging:
+        """These cells leave the labels, and the table where there is one; see operators.cells.remove_cells."""
+        gone = lambda rows: cells.remove_cells(rows, ids, image_id)
+        return replace(self, labels=gone(self._need("labels")), cells=None if self.cells is None else gone(self.cells))
+
+    def remove_clone(self, clone: int) -> Imaging:
+        """Cells of a class leave both the labels and the table."""
+        labels, own = cells.remove_clone(self._need("labels"), self._need("cells"), clone)
+        return replace(self, labels=labels, cells=own)
+
+    def combine_clones(self, clones, new_label: int | None = None) -> Imaging:
+        return replace(self, cells=written(cells.combine_clones(self._need("cells"), clones, new_label), "cells"))
+
     def cluster(self, method: str = "gmm", n_components: int = 2, **options) -> Imaging:
         """Soft clusters of the cells' principal components. Mixtures see standardised spectra, fuzzy means see them scaled alone."""
         own = self._need("cells")
@@ -85,6 +119,13 @@ class Imaging:
         """Hits for the markers, or for each class's ions where no markers were found yet."""
         return annotate.Annotator(self.spectra.sparkSession, mode, ppm).clones(self._need("cells"), self._need("axis"), markers=self.markers, **options)
 
+    def export_csv(self, path: str, mode: str = "full", decimals: int | None = 4, hits: DataFrame | None = None) -> None:
+        cells.export_csv(self._need("cells"), self._need("axis"), path, mode, decimals, hits)
+
+    def export_imzml(self, folder: str) -> None:
+        """The labelled pixels of each image as a file of its own."""
+        imzml.export_images(cells.export_pixels(image.datacube(self._need("binned")), self._need("labels")), self._need("axis"), folder)
+
     def ion_map(self, mz_value: float, tolerance: float = 0.1, **options) -> DataFrame:
         return image.ion_map(image.datacube(self._need("binned")), self._need("axis"), self._need("labels"), mz_value, tolerance, **options)
 

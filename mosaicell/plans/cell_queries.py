@@ -228,17 +228,17 @@ def pca_embedding(spark, sf_dir):
 
 @query("gmm_clusters")
 def gmm_clusters(spark, sf_dir):
-    return clusters.gmm_clusters(_embedded(spark, sf_dir).select("cell_id", "embedding"), most=5)[0].select("cell_id", "class", "soft_confidence")
+    return clusters.gmm_clusters(_embedded(spark, sf_dir).select("cell_id", "embedding"))[0].select("cell_id", "class", "soft_confidence")
 
 
 @query("select_k")
 def select_k(spark, sf_dir):
-    return clusters.gmm_clusters(_embedded(spark, sf_dir).select("cell_id", "embedding"), most=5)[1]
+    return clusters.gmm_clusters(_embedded(spark, sf_dir).select("cell_id", "embedding"))[1]
 
 
 @query("fcm_clusters")
 def fcm_clusters(spark, sf_dir):
-    return clusters.fcm_clusters(_embedded(spark, sf_dir).select("cell_id", "embedding"), k=3, tol=1e-4)[0].select("cell_id", "class", "soft_confidence")
+    return clusters.fcm_clusters(_embedded(spark, sf_dir).select("cell_id", "embedding"))[0].select("cell_id", "class", "soft_confidence")
 
 
 def _counts(spark, sf_dir):

@@ -10,16 +10,22 @@ m/z array for all) and processed ones (one each) are read alike. Paths go throug
 
 from __future__ import annotations
 
+import re
 import uuid
 import xml.etree.ElementTree as ET
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.sax.saxutils import quoteattr
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..functions.tables import written
+
 SCHEMA = "image_id string, spectrum_id bigint, x int, y int, mz array<double>, intensity array<float>"
 
 # Fixed values of the format: accessions of its controlled vocabulary.
@@ -190,16 +196,68 @@ class ImzML(DataSource):
         return _Writer(self._path())
 
 
-def export_imzml(pixels, axis, path: str) -> None:
-    """Writes labelled pixels (image_id, x, y, bin, intensity) as dense spectra on the axis, in raster order.
+def _dense(pixels, axis):
+    """A row for each pixel with its spectrum on the whole axis."""
+    mzs = axis.agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "mz"))), lambda r: r["mz"]).alias("mz"))  # one row
+    packed = pixels.groupBy("image_id", "x", "y").agg(F.map_from_entries(F.collect_list(F.struct("bin", "intensity"))).alias("_at")).crossJoin(F.broadcast(mzs))
+    dense = packed.withColumn("intensity", F.expr("transform(sequence(0, size(mz) - 1), i -> float(coalesce(_at[i], 0)))"))
+    return dense.select(F.col("image_id").cast("string").alias("image_id"), F.lit(0).cast("long").alias("spectrum_id"), "x", "y", "mz", "intensity")
 
-    A file is one sequence: the sort is distributed, the last step writes it in order.
-    """
-    from pyspark.sql import functions as F
 
+def export_imzml(pixels, axis, path: str) -> None:
+    """Writes labelled pixels (image_id, x, y, bin, intensity) of one image as dense spectra on the axis, in raster order, to one file."""
     pixels.sparkSession.dataSource.register(ImzML)
-    mzs = axis.agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "mz"))), lambda r: r["mz"]).alias("mz"))
-    packed = pixels.groupBy("image_id", "x", "y").agg(F.map_from_entries(F.collect_list(F.struct("bin", "intensity"))).alias("_at")).crossJoin(F.broadcast(mzs))
-    dense = packed.withColumn("intensity", F.expr("transform(sequence(0, size(mz) - 1), i -> float(coalesce(_at[i], 0)))"))
-    rows = dense.select("image_id", F.lit(0).cast("long").alias("spectrum_id"), "x", "y", "mz", "intensity")
-    rows.orderBy("y", "x").coalesce(1).write.format("imzml").mode("append").save(path)
+    _dense(pixels, axis).orderBy("y", "x").write.format("imzml").mode("append").save(path)
+
+
+def file_name(image_id: str) -> str:
+    """A file name for an image: its id, or where that has other signs than letters, digits, dots, lines and underscores, these replaced and a checksum added."""
+    plain = re.sub(r"[^\w.-]", "_", image_id)
+    return plain if plain == image_id and plain.strip(".") else f"{plain}-{zlib.crc32(image_id.encode()):08x}"
+
+
+def _write_images(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _file_system(folder.rstrip("/"))
+        image, out, part, own, spectra, offset = None, None, "", uuid.uuid4(), [], 16
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if image is None:
+                return
+            out.close()
+            name = f"{root}/{file_name(image)}"
+            with fs.open_output_stream(f"{part}.imzML") as header_out:
+                for line in _xml(own, spectra):
+                    header_out.write(line.encode())
+            for ending in (".ibd", ".imzML"):  # whole files take their names at the end: a lost task leaves none
+                fs.move(part + ending, name + ending)
+            yield pa.RecordBatch.from_arrays([pa.array([image]), pa.array([f"{name}.imzML"]), pa.array([len(spectra)])], ["image_id", "path", "spectra"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                name, x, y = (batch.column(c)[k].as_py() for c in ("image_id", "x", "y"))
+                if name != image:
+                    yield from close()
+                    image, own, spectra, offset = name, uuid.uuid4(), [], 16
+                    part = f"{root}/.{own.hex}"
+                    out = fs.open_output_stream(f"{part}.ibd")
+                    out.write(own.bytes)
+                mz, intensity = (batch.column(c)[k].values.to_numpy(zero_copy_only=False).astype(kind) for c, kind in (("mz", "<f8"), ("intensity", "<f4")))
+                out.write(mz.tobytes() + intensity.tobytes())
+                spectra.append((x, y, len(mz), offset, offset + 8 * len(mz)))
+                offset += 12 * len(mz)
+        yield from close()
+
+    return run
+
+
+def export_images(pixels, axis, folder: str):
+    """Writes labelled pixels of any number of images, a file for each, and returns (image_id, path, spectra).
+
+    An image is a stream through one task, which holds a spectrum and the places of the others; images are written side
+    by side. `folder` must be one that all executors share.
+    """
+    fs, root = _file_system(folder.rstrip("/"))
+    fs.create_dir(root, recursive=True)
+    rows = _dense(pixels.where("image_id is not null"), axis).repartition("image_id").sortWithinPartitions("image_id", "y", "x")
+    return written(rows.mapInArrow(_write_images(folder), "image_id string, path string, spectra long"), "exports")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from mosaicell.functions import mz
-from mosaicell.operators import cells, image, threshold
+from mosaicell.functions import mz, quantiles
+from mosaicell.operators import cells, clusters, image, threshold
 from mosaicell.pipeline import Imaging
-from mosaicell.sources.imzml import ImzML, export_imzml
+from mosaicell.sources.imzml import ImzML, export_images, export_imzml
 from mosaicell.streaming import tic as stream
+from pyspark.sql import functions as F
 
 WIDE = [(r, c) for r in range(9) for c in range(11)]
 
@@ -89,6 +90,82 @@ def test_segmentation(spark, method):
         image.segment(tic, 20.0, "other")
 
 
+def brute_flood(grid: np.ndarray, mask: np.ndarray) -> dict:
+    """Watershed of one image over a queue in a plain list: the highest value first, then the oldest entry."""
+    rows, columns = grid.shape
+    inner = lambda y, x: 0 < y < rows - 1 and 0 < x < columns - 1
+    tops = {(y, x) for y, x in zip(*np.nonzero(mask)) if grid[y, x] > 0 and inner(y, x) and grid[y, x] == grid[y - 1 : y + 2, x - 1 : x + 2].max()}
+    label, numbers = {}, 0
+    for top in sorted(tops):
+        if top not in label:
+            numbers, todo = numbers + 1, [top]
+            while todo:
+                p = todo.pop()
+                if p in tops and p not in label:
+                    label[p] = numbers
+                    todo += [(p[0] + a, p[1] + b) for a, b in image.FOUR]
+    queue = [(-grid[p], k, p) for k, p in enumerate(sorted(label))]
+    age = len(queue)
+    while queue:
+        first = min(queue)
+        queue.remove(first)
+        y, x = first[2]
+        for a, b in ((-1, 0), (0, -1), (0, 1), (1, 0)):
+            q = (y + a, x + b)
+            if 0 <= q[0] < rows and 0 <= q[1] < columns and mask[q] and q not in label:
+                label[q] = label[y, x]
+                queue.append((-grid[q], age, q))
+                age += 1
+    return label
+
+
+def brute_grow(grid: np.ndarray, mask: np.ndarray, tolerance: float) -> dict:
+    """Seeds, brightest first, take connected pixels of like value; what is left goes to the nearest cell."""
+    rows, columns = grid.shape
+    tops = [(y, x) for y, x in zip(*np.nonzero(mask)) if 0 < y < rows - 1 and 0 < x < columns - 1 and grid[y, x] == grid[y - 1 : y + 2, x - 1 : x + 2].max()]
+    scaled = (grid - grid[mask].min()) / (np.ptp(grid[mask]) + 1e-9)
+    label: dict = {}
+    for seed in sorted(tops, key=lambda p: (-grid[p], p)):
+        todo = [] if seed in label else [seed]
+        while todo:
+            p = todo.pop()
+            if p not in label and 0 <= p[0] < rows and 0 <= p[1] < columns and mask[p] and abs(scaled[p] - scaled[seed]) <= tolerance:
+                label[p] = seed
+                todo += [(p[0] + a, p[1] + b) for a, b in image.EIGHT]
+    names = {seed: k + 1 for k, seed in enumerate(sorted(set(label.values())))}
+    label = {p: names[v] for p, v in label.items()}
+    for p in zip(*np.nonzero(mask)):
+        if p not in label:
+            label[p] = -min(((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2, v) for q, v in label.items() if v > 0)[1]
+    return {p: abs(v) for p, v in label.items()}
+
+
+def test_segmentation_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(image, "TASK_PIXELS", 40)  # several tasks
+    rng = np.random.default_rng(8)
+    grids = {f"g{k}": rng.integers(0, 12, (9, 11)).astype(float) for k in range(4)} | {"blobs": blobs(3)}
+    bounds = {n: float(np.percentile(g, 55)) for n, g in grids.items()}
+    tic = frame(spark, grids["g0"], "g0")
+    for name, grid in list(grids.items())[1:]:
+        tic = tic.unionByName(frame(spark, grid, name))
+    table = spark.createDataFrame(list(bounds.items()), "image_id string, threshold double")
+    for method in ("watershed", "dfs"):
+        got = {(r["image_id"], r["y"] - 3, r["x"] - 1): r["cell_id"] for r in image.segment(tic, table, method, least=None).collect()}
+        want = {}
+        for name, grid in grids.items():
+            mask = grid > bounds[name]
+            own = brute_flood(grid, mask) if method == "watershed" else brute_grow(grid, mask, 0.15)
+            want |= {(name, *map(int, p)): v for p, v in own.items()}
+        assert got == want
+
+
+def test_many_images(spark):
+    """More images than fit a packed number: 40 000 with two pixels each."""
+    mask = spark.range(40_000).select(F.col("id").cast("string").alias("image_id"), F.explode(F.array(F.lit(3), F.lit(4))).alias("x"), F.lit(7).alias("y"))
+    found = image.connected_components(mask).groupBy("image_id", "component").count()
+    assert found.count() == 40_000 and found.where("count <> 2 or component <> 7 * 16777216 + 3").count() == 0
+
+
 def test_nearest_label_far_away(spark):
     labelled = spark.createDataFrame([("a", 0, 0, 5), ("a", 1000, 0, 2), ("b", 3, 3, 9)], "image_id string, x int, y int, cell_id int")
     orphans = spark.createDataFrame([("a", 400, 0), ("a", 500, 0), ("a", 700, 3), ("b", -70, 5), ("c", 1, 1)], "image_id string, x int, y int")
@@ -147,6 +224,19 @@ def test_imzml_round_trip(spark, tmp_path):
         spark.read.format("imzml").load().count()
 
 
+def test_imzml_file_for_each_image(spark, tmp_path):
+    spark.dataSource.register(ImzML)
+    rows = [(f"s/{k % 3}", k % 5 + 1, k // 5 + 1, k % 4, float(k)) for k in range(40)]
+    pixels = spark.createDataFrame(rows, "image_id string, x int, y int, bin int, intensity double")
+    found = export_images(pixels, mz.fixed_axis(spark, 100.0, 104.0, 1.0), f"{tmp_path}/out").collect()
+    assert {r["image_id"] for r in found} == {"s/0", "s/1", "s/2"}
+    for r in found:
+        got = spark.read.format("imzml").load(r["path"]).orderBy("spectrum_id").collect()
+        own = [p for p in rows if p[0] == r["image_id"]]
+        assert len(got) == r["spectra"] and [(p["y"], p["x"]) for p in got] == sorted({(p[2], p[1]) for p in own})
+        assert {(p["x"], p["y"], k, v) for p in got for k, v in enumerate(p["intensity"]) if v} == {p[1:] for p in own if p[4]}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("s", k, k % 3, k % 2, [1.0, 2.0], [float(k), 1.0]) for k in range(40)] + [("s", 99, 0, 0, [1.0], [1.0, 2.0])]
     df = spark.createDataFrame(rows, stream.SPECTRA)
@@ -183,3 +273,64 @@ def test_whole_chain(spark, tmp_path):
     for method, options in (("gmm", {"most": 3}), ("fcm", {"most": 3})):
         found = Imaging(spectra, axis=run.axis, cells=run.cells.drop("embedding", "membership", "class", "soft_confidence")).cluster(method, **options)
         assert found.choice.where("chosen").count() == 1 and found.cells.count() == n
+
+
+def test_images_apart(spark):
+    """A table of two images gives for each what its own run gives; classes are of all cells together."""
+    def spectra(name: str, seed: int, scale: float):
+        rng = np.random.default_rng(seed)
+        return spark.createDataFrame([(name, int(y * 20 + x), int(x), int(y), [400.5, 500.5, 760.5], [float(v * scale), float(v * rng.uniform(0.5, 2)), float(v)])
+                                      for (y, x), v in np.ndenumerate(blobs(seed, 20, 20, 7))], "image_id string, spectrum_id long, x int, y int, mz array<double>, intensity array<double>")
+
+    steps = lambda s: Imaging(s).bin_adaptive(390.0, 800.0, resolving_power=500).auto_threshold("otsu").segment(least=4).extract().quality(snr=0.0)
+    a, b = spectra("a", 4, 1.0), spectra("b", 9, 30.0)
+    both, alone = steps(a.unionByName(b)), [steps(a), steps(b)]
+    bounds = {r["image_id"]: r["threshold"] for r in both.threshold.collect()}
+    assert bounds == {r["image_id"]: r["threshold"] for one in alone for r in one.threshold.collect()} and bounds["b"] > 5 * bounds["a"]
+    assert sorted(map(tuple, both.labels.collect())) == sorted(tuple(r) for one in alone for r in one.labels.collect())
+    key = lambda r: (r["image_id"], r["cell_id"])
+    for got, want in zip(sorted(both.cells.collect(), key=key), sorted((r for one in alone for r in one.cells.collect()), key=key), strict=True):
+        assert key(got) == key(want) and (got["area_px"], got["flagged"], got["reasons"]) == (want["area_px"], want["flagged"], want["reasons"])
+        assert np.allclose(got["spectrum"], want["spectrum"]) and got["snr"] == pytest.approx(want["snr"])
+    clustered = both.cluster("gmm", k=2)
+    scores = clusters.silhouette(clustered.cells)
+    assert scores.count() == clustered.n_cells() == scores.select("image_id", "cell_id").distinct().count()
+    ids = [r["cell_id"] for r in both.labels.where("image_id = 'a'").select("cell_id").distinct().limit(2).collect()]
+    left = both.remove_cells(ids, "a")
+    assert left.n_cells() == both.n_cells() - 2 and left.cells.count() == left.n_cells()
+    with pytest.raises(ValueError, match="several images"):
+        both.remove_cells(ids)
+    assert "image_id" in cells.export_rows(clustered.cells, both.axis, "ions").columns and "image_id" in cells.umap_points(clustered.cells).columns
+    assert both.crop(10, 10).tic.where("x >= 10 or y >= 10").count() == 0
+
+
+def test_silhouettes(spark):
+    rng = np.random.default_rng(6)
+    x, of = rng.normal(size=(60, 3)), rng.integers(0, 3, 60)
+    of[:3], of[3] = (0, 1, 2), 3  # class 3 has one cell
+    rows = [(f"i{k % 2}", k // 2, int(of[k]), x[k].tolist()) for k in range(60)]
+    df = spark.createDataFrame(rows, "image_id string, cell_id long, class int, embedding array<double>")
+    got = {(r["image_id"], r["cell_id"]): r["silhouette"] for r in clusters.silhouette(df, 16, 24).collect()}
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    for k in range(60):
+        own = (of == of[k]) & (np.arange(60) != k)
+        a, b = d[k, own].mean() if own.any() else None, min(d[k, of == c].mean() for c in set(of.tolist()) - {int(of[k])})
+        assert got[f"i{k % 2}", k // 2] == pytest.approx(0.0 if a is None else (b - a) / max(a, b))
+    assert len(got) == 60
+    assert clusters.silhouette(df.limit(0)).collect() == [] and {r["silhouette"] for r in clusters.silhouette(df.withColumn("class", F.lit(1))).collect()} == {0.0}
+
+
+def test_singular_mixture_is_fitted_again(spark):
+    """Two points, each many times: a full covariance without regularisation breaks down, the second fit doesn't."""
+    points = spark.createDataFrame([([float(k % 2), 0.0],) for k in range(40)], "embedding array<double>")
+    found = clusters.fit_mixtures(points, [2], "full", 0.0, restarts=2)
+    assert np.allclose(found[2].means[:, 0], [0, 1], atol=1e-3)
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    for values in (rng.normal(size=5000), rng.integers(0, 5, 3000).astype(float), np.array([4.0]), np.full(700, 2.5), np.append(np.zeros(900), [1e300, -1e300])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        monkeypatch.setattr(quantiles, "FEW", 100)
+        assert quantiles.exact_quantiles(df, "v", (0.0, 0.01, 0.3, 0.5, 0.999, 1.0)) == pytest.approx(np.quantile(values, (0.0, 0.01, 0.3, 0.5, 0.999, 1.0)).tolist())
+    assert quantiles.exact_quantiles(df.limit(0), "v", (0.5,)) == [None]
