@@ -33,6 +33,11 @@ NEIGHBOURS = 48
 #: fit, and levels of the tree at most.
 SKETCH, FAN, FIT_PIECES, FIT_ROUNDS, LEVELS = 256, 32, 2048, 8, 12
 K1, B = 1.2, 0.75
+#: Ids that at least one in so many of a shard's pieces has are rows of its matrix: the matrix has at most so many entries
+#: for each posting.
+DENSE = 8
+#: Used pieces leave the index where no more than this part of it is unused.
+SHRINK = 0.7
 #: Where these occur, white space may run on and has to be matched with look-ahead.
 UNSAFE = ("  ", " \n", "\n ", "\n\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u2028", "\u2029",
           "\u202f", "\u205f", "\u3000", *map(chr, range(0x2000, 0x200B)))
@@ -113,25 +118,45 @@ def count_corpus(pieces: list[np.ndarray]) -> Corpus:
 
 
 class Bm25:
-    """An inverted index over a shard's pieces (arrays of ids), with the BM25 weights of the whole corpus."""
+    """An inverted index over a shard's pieces (arrays of ids), with the BM25 weights of the whole corpus.
+
+    Postings of ids that many pieces have are rows of a matrix, with zeros; those of the others are lists.
+    """
 
     def __init__(self, pieces: list[np.ndarray], corpus: Corpus):
-        self.n = n = len(pieces)
+        n = len(pieces)
+        self.columns = np.arange(n)  # pieces that are scored
         sizes = np.array([len(p) for p in pieces])
-        terms, where = np.unique(np.concatenate(pieces), return_inverse=True)
-        keys, tf = np.unique(where * n + np.repeat(np.arange(n), sizes), return_counts=True)
-        term, self.docs = keys // n, keys % n
-        self.weight = corpus.weights(terms[term], tf, sizes[self.docs])
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
-        order = np.argsort(self.docs, kind="stable")
-        self.own, self.own_at = term[order], np.searchsorted(self.docs[order], np.arange(n + 1))
+        doc = np.repeat(np.arange(n), sizes)
+        keys, tf = np.unique(np.concatenate(pieces).astype(np.int64) * n + doc, return_counts=True)
+        term, docs = keys // n, keys % n
+        weight = corpus.weights(term, tf, sizes[docs]).astype(np.float32)
+        first = np.nonzero(np.append(True, term[1:] != term[:-1]))[0]
+        df = np.diff(np.append(first, len(term)))
+        dense = df * DENSE >= n
+        place = np.where(dense, np.cumsum(dense) - 1, np.cumsum(~dense) - 1)  # of each id among its kind
+        place, in_matrix = np.repeat(place, df), np.repeat(dense, df)
+        self.matrix = np.zeros((int(dense.sum()), n), np.float32)
+        self.matrix[place[in_matrix], docs[in_matrix]] = weight[in_matrix]
+        self.docs, self.weight = docs[~in_matrix], weight[~in_matrix]
+        self.at = np.append(0, np.cumsum(df[~dense]))
+        order = np.argsort(docs.astype(np.uint16) if n <= 1 << 16 else docs, kind="stable")
+        place, docs, in_matrix = place[order], docs[order], in_matrix[order]
+        self.own = [(place[kind], np.searchsorted(docs[kind], np.arange(n + 1))) for kind in (in_matrix, ~in_matrix)]
+
+    def keep(self, kept: np.ndarray) -> None:
+        """Leaves out the columns that aren't `kept`."""
+        there = kept[self.docs]
+        self.at = np.append(0, np.cumsum(there))[self.at]
+        self.docs, self.weight = (np.cumsum(kept) - 1)[self.docs[there]], self.weight[there]
+        self.matrix, self.columns = np.ascontiguousarray(self.matrix[:, kept]), self.columns[kept]
 
     def scores(self, seed: int) -> np.ndarray:
-        """The score of each piece for all terms of the seed."""
-        own = self.own[self.own_at[seed] : self.own_at[seed + 1]]
-        start, n = self.at[own], self.at[own + 1] - self.at[own]
+        """The score of each column for all terms of the seed."""
+        rows, lists = (own[at[seed] : at[seed + 1]] for own, at in self.own)
+        start, n = self.at[lists], self.at[lists + 1] - self.at[lists]
         hit = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.docs[hit], self.weight[hit], minlength=self.n)
+        return np.bincount(self.docs[hit], self.weight[hit], minlength=len(self.columns)) + self.matrix[rows].sum(axis=0)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,23 +179,30 @@ def corpus_of(pieces: DataFrame, n: int, mean: float) -> Corpus:
     return Corpus.of(df, n, mean)
 
 
-def sketch(ids: np.ndarray, corpus: Corpus) -> np.ndarray:
-    """A unit vector whose products are near the cosines of BM25 weights: each id that pieces share falls, with a sign, on two of its values."""
-    terms, tf = np.unique(ids, return_counts=True)
-    shared = corpus.df[terms] > 1
-    terms, tf = terms[shared].astype(np.uint64), tf[shared]
-    weight, out = corpus.weights(terms.astype(np.int64), tf, len(ids)), np.zeros(SKETCH)
-    for salt in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
-        h = (terms + np.uint64(1)) * salt
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out += np.bincount((h >> np.uint64(40)) % np.uint64(SKETCH), np.where(h >> np.uint64(63), weight, -weight), minlength=SKETCH)
-    return (out / max(np.linalg.norm(out), 1e-30)).astype(np.float16)
+class Sketcher:
+    """Unit vectors whose products are near the cosines of BM25 weights: each id that pieces share falls, with a sign, on two of their values."""
+
+    def __init__(self, corpus: Corpus):
+        self.corpus, ids, self.places, self.signs = corpus, np.arange(len(corpus.df), dtype=np.uint64), [], []
+        for salt in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
+            h = (ids + np.uint64(1)) * salt
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            self.places.append(((h >> np.uint64(40)) % np.uint64(SKETCH)).astype(np.int64))
+            self.signs.append(np.where(corpus.df > 1, np.where(h >> np.uint64(63), 1.0, -1.0), 0.0))
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        terms, tf = np.unique(ids, return_counts=True)
+        weight, out = self.corpus.weights(terms, tf, len(ids)), np.zeros(SKETCH)
+        for place, sign in zip(self.places, self.signs):
+            out += np.bincount(place[terms], weight * sign[terms], minlength=SKETCH)
+        return (out / max(np.linalg.norm(out), 1e-30)).astype(np.float16)
 
 
 def _sketches(corpus: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = Sketcher(corpus)
         for batch in batches:
-            found = [sketch(np.frombuffer(x.as_py(), "<u4"), corpus).tobytes() for x in batch.column("ids")]
+            found = [sketch(np.frombuffer(x.as_py(), "<u4")).tobytes() for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "sketch"])
 
     return run
@@ -326,14 +358,18 @@ def pack_shard(pieces: list[np.ndarray], window: int = WINDOW, corpus: Corpus |
             unused[seed] = False
         filled = int(sizes[seed]) - begin
         out.append((seed, begin, filled, sequence, 0))
-        cut = None
+        cut, scores = None, None
         while filled < window and cut is None and unused.any():
-            free = np.nonzero(unused)[0]
-            scores = index.scores(seed)[free]
+            if scores is None:
+                if np.count_nonzero(unused) <= SHRINK * len(index.columns):
+                    index.keep(unused[index.columns])
+                scores = index.scores(seed)
+            left = np.nonzero(unused[index.columns])[0]
+            free, own = index.columns[left], scores[left]
             if len(free) > NEIGHBOURS:
-                best = np.argpartition(-scores, NEIGHBOURS)[:NEIGHBOURS]
-                free, scores = free[best], scores[best]
-            free = free[np.lexsort((free, -sizes[free], -scores))]
+                best = own >= np.partition(own, -NEIGHBOURS)[-NEIGHBOURS]
+                free, own = free[best], own[best]
+            free = free[np.lexsort((free, -sizes[free], -own))[:NEIGHBOURS]]
             for k in free.tolist():
                 if sizes[k] <= window - filled:
                     out.append((k, 0, int(sizes[k]), sequence, filled))

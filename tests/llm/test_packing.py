@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -69,6 +69,28 @@ def test_query(spark, reference):
     assert check(queries.op1_packing(spark, SF).collect(), texts, reference) < 0.02
 
 
+def test_ranking():
+    """Scores are BM25's, with or without pieces left out; windows take neighbours in their order, ties by length and place."""
+    rng = np.random.default_rng(2)
+    pieces = [rng.zipf(1.4, rng.integers(1, 60)).clip(max=500) for _ in range(300)] + [np.array([499, 500])] * 3
+    corpus = packing.count_corpus(pieces)
+    counts = [Counter(p.tolist()) for p in pieces]
+    df, mean = Counter(t for c in counts for t in c), sum(map(len, pieces)) / len(pieces)
+
+    def score(seed: int, k: int) -> float:
+        norm = 1.2 * (0.25 + 0.75 * len(pieces[k]) / mean)
+        return sum(np.log1p((len(pieces) - df[t] + 0.5) / (df[t] + 0.5)) * counts[k][t] * 2.2 / (counts[k][t] + norm) for t in counts[seed] if t in counts[k])
+
+    index, kept = packing.Bm25(pieces, corpus), np.arange(len(pieces)) % 3 > 0
+    for shrunk in (False, True):
+        if shrunk:
+            index.keep(kept)
+        for seed in (0, 7, 301):
+            assert np.allclose(index.scores(seed), [score(seed, k) for k in range(len(pieces)) if kept[k] or not shrunk], rtol=1e-5)
+    placed = packing.pack_shard(pieces, 10_000)
+    assert [p[0] for p in placed[1:49]] == sorted((k for k in range(303) if k != placed[0][0]), key=lambda k: (-np.float32(score(placed[0][0], k)), -len(pieces[k]), k))[:48]
+
+
 def test_neighbours_share_windows():
     rng = np.random.default_rng(1)
     topics = [rng.integers(k * 1000, k * 1000 + 60, (30, 100)) for k in range(8)]
