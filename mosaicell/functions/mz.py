@@ -102,8 +102,8 @@ def auto_ppm(peaks: DataFrame, lo: float, hi: float, least_peaks: int = 5, least
 
 
 def sample_spectra(spectra: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """`n` spectra by a hash of their id: the same ones each time."""
-    return spectra.orderBy(F.xxhash64("spectrum_id", F.lit(seed)), "spectrum_id").limit(n)
+    """`n` spectra by the MD5 of their id and the seed: the same ones each time, here and in any other engine."""
+    return spectra.orderBy(F.md5(F.concat_ws(":", F.col("spectrum_id").cast("string"), F.lit(str(seed)))), "spectrum_id").limit(n)
 
 
 def sound(spectra: DataFrame) -> DataFrame:

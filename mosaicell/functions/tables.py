@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Parts that the members of a component are dealt to by a hash.
 SALTS = 32
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +39,13 @@ class Scratch:
         """`df` as a table written to the shared folder and read again: cuts lineage, survives lost executors."""
         spark = df.sparkSession
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        # Nothing reads the shuffles again once the table is there: they needn't stay on the executors' disks.
+        before = spark.conf.get(_CLEANUP, "false")
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            spark.conf.set(_CLEANUP, before)
         self._paths.append((spark, path))
         return spark.read.schema(df.schema).parquet(path)
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.survival import chi2_sf, f_sf
 
+#: Ranges of a bin's values that are ranked by themselves.
+RANGES = 256
+
 
 def value_counts(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(bin, class, value, n). With `sizes` (class, cells), cells without a row for a bin count as zeros."""
@@ -28,8 +31,14 @@ def value_counts(rows: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
 def kruskal_h(counts: DataFrame) -> DataFrame:
     """(bin, n, k, h): tie-corrected Kruskal-Wallis statistic by bin; 0 where all values are equal."""
     ties = counts.groupBy("bin", "value").agg(F.sum("n").alias("t"))
-    before = F.coalesce(F.sum("t").over(W.partitionBy("bin").orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = ties.withColumn("rank", before + (F.col("t") + 1) / 2).select("bin", "value", "rank")
+    # A bin's values are cut into RANGES, each of which is ranked by itself and moved by what lies below it: no task ranks a whole bin.
+    ends = ties.groupBy("bin").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    part = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(RANGES - 1), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES))).otherwise(0)
+    ties = ties.join(ends, "bin").select("bin", "value", "t", part.cast("int").alias("part"))
+    earlier = lambda *keys, order: F.coalesce(F.sum("t").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    below = ties.groupBy("bin", "part").agg(F.sum("t").alias("t")).select("bin", "part", earlier("bin", order="part").alias("below"))
+    ranks = (ties.withColumn("before", earlier("bin", "part", order="value")).join(below, ["bin", "part"])
+             .select("bin", "value", (F.col("below") + F.col("before") + (F.col("t") + 1) / 2).alias("rank")))
     by_class = (counts.join(ranks, ["bin", "value"]).groupBy("bin", "class")
                 .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("s"), F.sum(F.col("n") * F.col("rank") * F.col("rank")).alias("q")))
     sums = by_class.groupBy("bin").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum("s").alias("s"), F.sum("q").alias("q"))

@@ -207,7 +207,11 @@ def auto_threshold(tic: DataFrame, method: str = "auto", percentile: float = 75.
     """The chosen candidate of each image: the best score (auto; ties in the order of METHODS), or the method named (gmm: gmm2, else gmm3)."""
     if method not in (*METHODS, "auto", "gmm"):
         raise ValueError(f"unknown method {method}")
-    found = candidates(tic, percentile, least, most)
+    return best_of(candidates(tic, percentile, least, most), method)
+
+
+def best_of(found: DataFrame, method: str = "auto") -> DataFrame:
+    """The chosen one of each image's candidates (image_id, method, threshold, score, cell_frac), as auto_threshold chooses."""
     place = F.array_position(F.array(*map(F.lit, METHODS)), F.col("method"))
     if method == "gmm":
         found = found.where("method like 'gmm%'").withColumn("score_", F.lit(0.0))

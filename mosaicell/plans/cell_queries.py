@@ -217,6 +217,15 @@ def silhouette(spark, sf_dir):
     return clusters.silhouette(points(spark, sf_dir))
 
 
+@query("silhouette_images", f"""WITH {POINTS}, m AS (SELECT a.cell_id, a.class, b.class AS other, sum(sqrt((a.e0 - b.e0) ** 2 + (a.e1 - b.e1) ** 2)) / (count(*) - max((a.class = b.class)::INT)) AS d FROM pts a, pts b GROUP BY a.cell_id, a.class, b.class),
+  s AS (SELECT cell_id, class, max(d) FILTER (other = class) AS a, min(d) FILTER (other <> class) AS b FROM m GROUP BY cell_id, class)
+  SELECT 'image ' || (cell_id % 3) AS image, cell_id // 3 AS cell_id, class, round((b - a) / greatest(a, b), 6) AS silhouette FROM s""")
+def silhouette_images(spark, sf_dir):
+    """Three images whose cells have the same numbers."""
+    own = points(spark, sf_dir).withColumns({"image_id": F.concat(F.lit("image "), F.col("cell_id") % 3), "cell_id": F.floor(F.col("cell_id") / 3)})
+    return clusters.silhouette(own).withColumn("image", F.col("image_id"))
+
+
 def _embedded(spark, sf_dir):
     return clusters.pca_embedding(clusters.standardized_cells(dense(spark, sf_dir)).select("image_id", "cell_id", "spectrum"))
 
@@ -307,9 +316,10 @@ def volcano(spark, sf_dir):
     return stats.volcano(table(spark, sf_dir), 0.9, 1.1)
 
 
-@query("zscore_heatmap", f"WITH {LONG} SELECT cell_id, class, bin, round(least(3.0, greatest(-3.0, (value - avg(value) OVER (PARTITION BY bin)) / (stddev_pop(value) OVER (PARTITION BY bin) + 1e-12))), 6) AS z FROM long WHERE bin < 10")
+@query("zscore_heatmap", f"WITH {TABLE}, top AS (SELECT bin FROM tbl WHERE pval_adj < 1.01 AND fold_change >= 1.0 ORDER BY neg_log10_p DESC, fold_change DESC, mz LIMIT 30) SELECT cell_id, class, bin, round(least(3.0, greatest(-3.0, (value - avg(value) OVER (PARTITION BY bin)) / (stddev_pop(value) OVER (PARTITION BY bin) + 1e-12))), 6) AS z FROM long WHERE bin IN (SELECT bin FROM top)")
 def zscore_heatmap(spark, sf_dir):
-    return stats.zscore_heatmap(cells.long(dense(spark, sf_dir), "class"), axis(spark).where("bin < 10"))
+    """Of the ions that mark classes."""
+    return stats.zscore_heatmap(cells.long(dense(spark, sf_dir), "class"), stats.top_markers(table(spark, sf_dir), 30, 1.01, 1.0))
 
 
 @query("pipeline_clones")

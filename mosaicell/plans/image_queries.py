@@ -77,7 +77,7 @@ def malformed_spectra(spark, sf_dir):
     return mz.rejects(spark.createDataFrame(MALFORMED, "spectrum_id long, mz array<double>, intensity array<double>")).select("spectrum_id", "reason")
 
 
-@query("sample_spectra")
+@query("sample_spectra", f"WITH {PEAKS}, s AS (SELECT spectrum_id, count(*) AS n_peaks FROM peaks GROUP BY spectrum_id) SELECT spectrum_id, n_peaks FROM s ORDER BY md5(concat(spectrum_id, ':42')), spectrum_id LIMIT 50")
 def sample_spectra(spark, sf_dir):
     """Fifty spectra by a hash: the feature is the sample."""
     return mz.sample_spectra(fixtures.spectra(spark, sf_dir), 50).select("spectrum_id", F.size("mz").alias("n_peaks"))
@@ -343,7 +343,14 @@ def threshold_percentile(spark, sf_dir):
     return threshold.percentile_threshold(tic(spark, sf_dir))
 
 
-@query("threshold_li")
+LI = VALUES + """, shifted AS (SELECT v - (SELECT min(v) FROM vals WHERE n > 0) AS v, n FROM vals WHERE n > 0),
+  steps(k, t) AS (SELECT 0, sum(v * n) / sum(n) FROM shifted UNION ALL
+    SELECT any_value(k) + 1, (sum(v * n) FILTER (v <= t) / sum(n) FILTER (v <= t) - sum(v * n) FILTER (v > t) / sum(n) FILTER (v > t))
+      / (ln(sum(v * n) FILTER (v <= t) / sum(n) FILTER (v <= t)) - ln(sum(v * n) FILTER (v > t) / sum(n) FILTER (v > t))) FROM steps, shifted WHERE k < 100 GROUP BY k),
+  li AS (SELECT arg_max(t, k) + (SELECT min(v) FROM vals WHERE n > 0) AS threshold FROM steps)"""
+
+
+@query("threshold_li", f"WITH RECURSIVE {LI} SELECT 'li' AS method, round(threshold, 6) AS threshold FROM li")
 def threshold_li(spark, sf_dir):
     return threshold.li_threshold(written(tic(spark, sf_dir), "tic"))
 
@@ -362,6 +369,20 @@ def threshold_score(spark, sf_dir):
     return threshold.scored(tic(spark, sf_dir), given).drop("method")
 
 
+GIVEN = (("a", 0), ("b", 100), ("c", 139), ("d", 180), ("e", 400))
+SCORED = VALUES + f""", c AS (SELECT m AS method, t::DOUBLE AS threshold FROM (VALUES {", ".join(map(str, GIVEN))}) c(m, t)),
+  a AS (SELECT method, threshold, sum(n) AS n, sum(v * n) AS s, sum(v * v * n) AS q, coalesce(sum(n) FILTER (v > threshold), 0) AS fn, coalesce(sum(v * n) FILTER (v > threshold), 0) AS fs FROM vals, c GROUP BY method, threshold),
+  sc AS (SELECT method, threshold, CASE WHEN fn / n < 0.05 OR fn / n > 0.6 OR fn = n THEN 0 ELSE 0.6 * (fn / n * (fs / fn - s / n) ** 2 + (1 - fn / n) * ((s - fs) / (n - fn) - s / n) ** 2) / (q / n - (s / n) ** 2 + 1e-9)
+    + 0.4 * exp(-((fn / n - 0.15) ** 2) / (2 * 0.12 ** 2)) END AS score, fn / n AS cell_frac FROM a)"""
+
+
+@query("threshold_choice", f"WITH {SCORED} SELECT method, threshold, round(score, 6) AS score, round(cell_frac, 6) AS cell_frac FROM sc ORDER BY score DESC LIMIT 1")
+def threshold_choice(spark, sf_dir):
+    """The best of given thresholds, as the automatic choice takes it."""
+    given = spark.createDataFrame([(fixtures.IMAGE, m, float(t)) for m, t in GIVEN], "image_id string, method string, threshold double")
+    return threshold.best_of(threshold.scored(tic(spark, sf_dir), given))
+
+
 @query("threshold_candidates")
 def threshold_candidates(spark, sf_dir):
     return threshold.candidates(written(tic(spark, sf_dir), "tic"))
