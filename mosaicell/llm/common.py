@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.tables import components, shared_folder, table, written
+from ..functions.tables import Scratch, components, lowest_of_component, shared_folder, table, written
 
-__all__ = ["bounded_sample", "components", "shared_folder", "table", "written"]
+__all__ = ["Scratch", "bounded_sample", "components", "lowest_of_component", "shared_folder", "table", "written"]
 
 
 def bounded_sample(rows: DataFrame, by: str, most: int, id_col: str = "id") -> DataFrame:

@@ -114,10 +114,11 @@ def fit_counts(found: list[tuple[bytes, bytes]], languages: list[str], k: int =
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS) -> Centroids | None:
     """Centroids from up to `per_language` documents of each non-null language whose id's crc32 modulo 3 is not 1.
 
-    The sample is by a hash of the id.
+    The sample is by a hash of the id. Rows of one id and language count once, with their smallest text; an id with
+    several languages is learned from for each. None for an empty table, or if no text has an n-gram.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null").where(F.crc32(F.col("id").cast("string")) % 3 != 1)
-    sample = bounded_sample(known, "lang", per_language).select("id", "lang").dropDuplicates(["id", "lang"])
+    sample = bounded_sample(known.distinct(), "lang", per_language).select("id", "lang")
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     one = texts.where("text is not null").join(F.broadcast(sample), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))  # repeated ids: one text
     kind = one.schema["id"].dataType.simpleString()

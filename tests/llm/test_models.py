@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -100,6 +101,74 @@ def test_smallest_tables(spark):
     assert queries.op4_toxicity(spark, SF).count() == queries.op6_language(spark, SF).count() > 0
 
 
+def test_counts_and_fit_by_hand():
+    """N-grams, their weights and centroids as a plain program finds them."""
+    texts = ["Hund, bellt!", "die Hunde", "dog & barks", "a dog"]
+    languages = ["de", "de", "en", "en"]
+
+    def grams(text: str) -> Counter:
+        words = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+        raw = f" {words} ".encode()
+        return Counter(raw[i : i + n] for n in (2, 3, 4) for i in range(len(raw) - n + 1))
+
+    own = [grams(t) for t in texts]
+    for text, found in zip(texts, own):
+        assert sorted(x for x in langid.counts(text).tolist() if x) == sorted(found.values())  # no two n-grams here share a bucket
+    df = Counter(g for found in own for g in found)
+    weight = lambda found: {g: np.log1p(n) * (np.log(5 / (1 + df[g])) + 1) for g, n in found.items() if g in df}
+    unit = lambda v: {g: x / np.sqrt(sum(y * y for y in v.values())) for g, x in v.items()}
+    vectors, centres = [unit(weight(f)) for f in own], {}
+    for language in ("de", "en"):
+        total = Counter()
+        for v, of in zip(vectors, languages):
+            total.update(v if of == language else {})
+        centres[language] = unit(total)
+    model = langid.fit(texts, languages, 1)
+    apart = lambda text: np.count_nonzero(sum(langid.counts(t) for t in [*texts, text])) == len(df.keys() | grams(text).keys())
+    asked = [t for t in ("Hund", "dog a", "Hund dog", "barks", "die dog", "bellt dog", "a hund") if apart(t)]  # no bucket shared
+    assert len(asked) >= 3
+    for text in asked:
+        unknown = {g: np.log1p(n) * (np.log(5 / (1 + df[g])) + 1) for g, n in grams(text).items()}
+        cosine = {c: sum(x * centres[c].get(g, 0.0) for g, x in unit(unknown).items()) for c in centres}
+        best = max(cosine, key=cosine.get)
+        assert model.predict(text)[:2] == (best, pytest.approx(cosine[best], abs=1e-5))
+
+
+def test_score_by_brute_force(spark):
+    """A document's score from marginals that are summed over all taggings."""
+    field = toxicity.Field({"=vile": 3.0, "=scum": 2.0, "4alph": -0.5}, -1.5, 0.4, 0.7, 2.0, (-1.0, 0.8, 0.6, 0.4, 0.2))
+    text = "Alpha vile, beta scum! alpha vile"
+    words = text.split()
+    odds = [np.exp(-1.5 + {"vile": 3.0, "scum": 2.0, "alpha": -0.5}.get(w.lower().strip(",!"), 0.0)) for w in words]
+    step, total, toxic = {(0, 0): 1.0, (0, 1): 0.4, (1, 0): 0.7, (1, 1): 2.0}, 0.0, np.zeros(6)
+    for states in itertools.product((0, 1), repeat=6):
+        w = np.prod([odds[t] if s else 1.0 for t, s in enumerate(states)]) * np.prod([step[p] for p in zip((0, *states), (*states, 0))])
+        total, toxic = total + w, toxic + w * np.array(states)
+    p = toxic / total
+    kinds: dict = {}
+    for w, x in zip(words, p):
+        name = w.lower().strip(",!")
+        kinds[name] = max(kinds.get(name, 0.0), x if x > 0.05 else 0.0)
+    values = (1.0, np.log(p.max() / (1 - p.max())), np.log1p(p.sum()), np.log1p(sum(kinds.values())), np.log(1e-3 + p.sum() / 6))
+    want = 1 / (1 + np.exp(-sum(b * x for b, x in zip(field.curve, values))))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert toxicity.toxicity(docs, field).first()["score"] == pytest.approx(want)
+
+
+def test_samples_with_an_id_repeated_often(spark):
+    """An id with 2000 rows is one document of the sample: it neither crowds out others nor counts more."""
+    many = [(7, f"the cat and {k}", "en", 0) for k in range(2000)]
+    rows = many + [(100 + k, f"a dog and the bird {k} vile scum" if k % 3 == 0 else f"le chat et un chien {k}", "en" if k % 3 == 0 else "fr", int(k % 3 == 0)) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    from mosaicell.llm.common import bounded_sample
+
+    known = docs.selectExpr("doc_id as id", "lang").distinct()
+    some = bounded_sample(known, "lang", 300).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in some} == {"en": 300, "fr": 300}
+    assert set(langid.train(docs, per_language=300).languages) == {"en", "fr"}
+    assert toxicity.train(docs, docs, per_class=300) is not None
+
+
 def test_language_learns_from_long_texts(spark):
     """A text of any length neither drops a language nor the documents beside it."""
     words = {"en": "the cat and the dog with a bird", "fr": "le chat et un chien des oiseaux"}
