@@ -31,6 +31,8 @@ TOXIC_SEGMENTS, CLEAN_RATIO, CLEAN_LEAST = 20_000, 2, 500
 #: A feature marks tokens as toxic from this likelihood-ratio statistic and log odds on.
 MIN_G, MIN_ODDS = 20.0, 2.0
 SEGMENT, ROUNDS, PENALTY = 32, 100, 1e-5
+#: Segments that a round of the fit goes over at once.
+FIT_BLOCK = 4096
 PREFIXES = (4, 5)
 EDGES = re.compile(r"^\W+|\W+$")
 #: Documents whose chains are run side by side at most, and tokens that these may have together, padding included.
@@ -166,33 +168,37 @@ def fit(texts: list[str], toxic: list[int], weights: tuple[float, float] = (1.0,
 
 
 def fit_segments(chosen: list[tuple[int, list[str], list[int]]]) -> Field:
-    """The field without its curve, from segments (draw, words, tags)."""
-    segments, labels = [x[1] for x in chosen], [x[2] for x in chosen]
-    count = Counter(f for part in segments for w in part for f in set(word_features(w)))
+    """The field without its curve, from segments (draw, words, tags). Rounds go over blocks of segments, so that memory is bounded by a block."""
+    count = Counter(f for _, part, _ in chosen for w in part for f in set(word_features(w)))
     names = [f for f, n in count.items() if n >= 3]
     index = {f: k + 1 for k, f in enumerate(names)}
     width = 1 + len(PREFIXES)
-    ids, y, real = np.zeros((len(segments), SEGMENT, width), np.int64), np.zeros((len(segments), SEGMENT)), np.zeros((len(segments), SEGMENT))
-    for s, (part, tagged) in enumerate(zip(segments, labels)):
-        real[s, : len(part)], y[s, : len(part)] = 1, tagged
+    ids, tags, sizes = np.zeros((len(chosen), SEGMENT, width), np.int32), np.zeros((len(chosen), SEGMENT), bool), np.array([len(part) for _, part, _ in chosen])
+    for s, (_, part, tagged) in enumerate(chosen):
+        tags[s, : len(part)] = tagged
         for t, w in enumerate(part):
             own = [index.get(f, 0) for f in word_features(w)]
             ids[s, t, : len(own)] = own
     theta, steps = np.zeros(len(names) + 1), np.array([-2.0, -2.0, -1.0, -1.0])  # steps: bias, 01, 10, 11
-    sum_t, sum_s, total = np.full_like(theta, 1e-8), np.full(4, 1e-8), real.sum()
+    sum_t, sum_s, total = np.full_like(theta, 1e-8), np.full(4, 1e-8), sizes.sum()
     for _ in range(ROUNDS):
         theta[0] = 0
-        odds = np.exp(np.minimum(30, theta[ids].sum(-1) + steps[0])) * real
-        a01, a10, a11 = np.exp(steps[1:])
-        forward, backward, p = chain(odds, a01, a10, a11)
-        before = np.concatenate([np.zeros((len(p), 1)), forward[:, :-1]], axis=1)
-        x = odds * backward
-        w01, w10, w11 = a01 * x, before * a10, before * a11 * x
-        norm = (1 + w01 + w10 + w11) / real.clip(1e-300)
-        was = np.concatenate([np.zeros((len(y), 1)), y[:, :-1]], axis=1)
-        error = (y - p) * real
-        grad = np.bincount(ids.ravel(), np.repeat(error.ravel(), width), len(theta)) / total - PENALTY * theta
-        grad_s = np.array([error.sum(), (((1 - was) * y) - w01 / norm).sum(), ((was * (1 - y)) * real - w10 / norm).sum(), (was * y - w11 / norm).sum()]) / total - PENALTY * steps
+        grad, grad_s = np.zeros_like(theta), np.zeros(4)
+        for at in range(0, len(chosen), FIT_BLOCK):
+            own, y = ids[at : at + FIT_BLOCK], tags[at : at + FIT_BLOCK].astype(float)
+            real = (np.arange(SEGMENT) < sizes[at : at + FIT_BLOCK, None]).astype(float)
+            odds = np.exp(np.minimum(30, theta[own].sum(-1) + steps[0])) * real
+            a01, a10, a11 = np.exp(steps[1:])
+            forward, backward, p = chain(odds, a01, a10, a11)
+            before = np.concatenate([np.zeros((len(p), 1)), forward[:, :-1]], axis=1)
+            x = odds * backward
+            w01, w10, w11 = a01 * x, before * a10, before * a11 * x
+            norm = (1 + w01 + w10 + w11) / real.clip(1e-300)
+            was = np.concatenate([np.zeros((len(y), 1)), y[:, :-1]], axis=1)
+            error = (y - p) * real
+            grad += np.bincount(own.ravel(), np.repeat(error.ravel(), width), len(theta))
+            grad_s += [error.sum(), (((1 - was) * y) - w01 / norm).sum(), ((was * (1 - y)) * real - w10 / norm).sum(), (was * y - w11 / norm).sum()]
+        grad, grad_s = grad / total - PENALTY * theta, grad_s / total - PENALTY * steps
         sum_t += grad**2
         sum_s += grad_s**2
         theta += 0.5 * grad / np.sqrt(sum_t)
@@ -224,7 +230,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", pe
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_DOCS) -> Field | None:
-    """The field learned from a bounded sample of `labels` (id, toxic); None if it has no documents of both classes."""
+    """The field learned from a bounded sample of `labels` (id, toxic); None if it has no documents of both classes.
+
+    Null ids, texts and labels are not learned from; rows of one id count once, with their smallest text, and as toxic if
+    one label says so; ties of the sample go by id. Empty tables give None.
+    """
     sample = training_rows(docs, labels, id_col, per_class)  # at most 2 * per_class rows: small enough to broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null").join(F.broadcast(sample), "id")
     one = texts.groupBy("id", "toxic", "n").agg(F.min("text").alias("text"))  # repeated ids: one text
