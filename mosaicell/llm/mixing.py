@@ -10,18 +10,17 @@ from __future__ import annotations
 
 import logging
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, written
+from .common import Scratch, bounded_sample, written
 
 #: Labelled documents of each domain that the classifier is fitted on at most: a bound of the fit alone.
 SAMPLE_DOCS = 3000
@@ -31,6 +30,8 @@ FEATURES, KEPT_WORDS = 1 << 14, 300_000
 ROUNDS, NEAR, CALM = 100, 1e-4, 1e-6
 #: Targets missed by more than this part of them are warned of.
 MISS = 0.01
+#: Cells of the space of posteriors in which budgets are tried, at most; factor from one budget to the next, and budgets tried.
+CELLS, WIDER, TRIES = 4096, 1.1, 40
 log = logging.getLogger(__name__)
 
 
@@ -73,13 +74,13 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], id_col:
     sample = bounded_sample(known, "domain", per_domain).select("id", "domain")
     label = F.element_at(F.create_map(*(x for k, n in enumerate(names) for x in (F.lit(n), F.lit(float(k))))), F.col("domain"))
 
-    def counted(text: str):
-        counts = Counter(word_indices(text, {}))
-        return Vectors.sparse(FEATURES, sorted(counts.items()))
-
+    # Buckets as words of a fixed vocabulary: counted into sparse vectors without Python.
+    vectors = CountVectorizerModel.from_vocabulary([str(k) for k in range(FEATURES)], inputCol="buckets", outputCol="features")
     # At most len(names) * per_domain ids: small enough to broadcast.
-    rows = written(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
-                   .groupBy("id", "domain").agg(F.min("text").alias("text")).select(F.udf(counted, VectorUDT())("text").alias("features"), label.alias("label")), "labelled")
+    texts = (docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+             .groupBy("id", "domain").agg(F.min("text").alias("text")).select("text", label.alias("label")))
+    scratch = Scratch()
+    rows = scratch.written(vectors.transform(texts.mapInArrow(_buckets, "buckets array<string>, label double")).select("features", "label"), "labelled")
     seen = sorted(int(r[0]) for r in rows.select("label").distinct().collect())
     weights, bias = np.zeros((FEATURES, len(names))), np.full(len(names), -np.inf)
     if len(seen) > 1:
@@ -88,9 +89,17 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], id_col:
             weights[:, k], bias[k] = model.coefficientMatrix.toArray()[k], model.interceptVector[k]
     else:
         bias[seen[0] if seen else 0] = 0.0
+    scratch.clear()
     return Domains(names, weights, bias)
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+    for batch in batches:
+        found = [[*map(str, word_indices(x.as_py(), known))] for x in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["buckets", "label"])
+
+
 def _predict(domains: Domains):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -187,6 +196,46 @@ def rates(members: DataFrame, targets: list[float], least: float = 0.0, most: fl
     return descent, expected
 
 
+def posterior_cells(members: DataFrame, d: int) -> np.ndarray:
+    """(cells, domains): tokens times posteriors, added up by cells of like posteriors, of which there are CELLS at most."""
+    parts = max(1, int(CELLS ** (1 / max(1, d - 1))) - 1)
+    cell = F.concat_ws(",", *(F.floor(F.get("p", a) * parts).cast("int").cast("string") for a in range(d - 1)))
+    sums = members.groupBy(cell.alias("cell")).agg(*(F.sum(F.col("tokens") * F.get("p", a)).alias(f"t{a}") for a in range(d))).drop("cell")
+    return np.array([tuple(r) for r in sums.collect()], float).reshape(-1, d)
+
+
+def reachable_budget(cells: np.ndarray, shares: list[float], least: float, most: float) -> float:
+    """The smallest budget tried, in tokens over the tokens there are, at which rates from `least` to `most` reach the shares.
+
+    Rates that are equal in a cell are a choice that documents have too. Where no budget will do, it is the one that
+    misses least.
+    """
+    totals, share = cells.sum(axis=0), np.array(shares) / sum(shares)
+    if totals.sum() <= 0:
+        return max(least, min(most, 1.0))
+    low = min(most, float(max(least, (least * totals / np.where(share > 0, share * totals.sum(), np.inf)).max()))) if least > 0 else 1.0
+    weight, mean = 1 / np.where(share > 0, share, share.mean()), cells / np.maximum(cells.sum(axis=1, keepdims=True), 1e-300)
+    step = 1 / np.linalg.eigvalsh(np.sqrt(weight)[:, None] * (cells.T @ mean) * np.sqrt(weight)).max()  # as for documents
+    best = np.inf, low
+    for k in range(TRIES):
+        budget = low * WIDER**k
+        if budget > most:
+            break
+        target = budget * share * totals.sum()
+        rate = point = np.full(len(cells), float(np.clip(budget, least, most)))
+        momentum = 1.0
+        for _ in range(2000):
+            new = np.clip(point - step * (mean @ (weight * (point @ cells - target))), least, most)
+            following = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+            rate, point, momentum = new, new + (momentum - 1) / following * (new - rate), following
+        miss = float((np.abs(rate @ cells - target) / np.maximum(target, 1e-300)).max())
+        if miss < best[0]:
+            best = miss, budget
+        if miss < MISS / 10:
+            break
+    return best[1]
+
+
 def report(names: list[str], target: list[float], reached: np.ndarray) -> list[str]:
     """A line for each domain with its reached and target share and tokens; domains off by more than MISS are warned of."""
     lines, all_target, all_reached = [], max(sum(target), 1e-300), max(float(reached.sum()), 1e-300)
@@ -202,23 +251,29 @@ def copies(rate: str, id_col: str, seed: int = 7) -> F.Column:
     return (F.floor(rate) + (draw < F.col(rate) - F.floor(rate)).cast("int")).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float], budget: float = 1.0, least: float = 0.0, most: float = 1e6,
+def mix(docs: DataFrame, labelled: DataFrame, shares: dict[str, float], budget: float | None = 1.0, least: float = 0.0, most: float = 1e6,
         id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row (id, *keep, tokens, posterior, rate, copies) per row of `docs`.
 
     shares: of the domains in the mix, over 0 or more tokens each; budget: tokens of the mix, as a multiple of the
-    tokens of `docs`. rate: how often the document is to be seen on average; copies: that as a whole number.
+    tokens of `docs`; None: the smallest at which rates from `least` to `most` reach the shares. rate: how often the document is to be seen on average; copies: that as a whole number.
     Posteriors are predicted by a classifier fitted on `labelled` (id, domain). Null and empty texts have 0 tokens and
-    the classifier's prior; without labels of two domains all documents are of the one that was seen. Texts are read
+    the classifier's prior; without labels of two domains all documents are of the one that was seen. A domain that no
+    document is of has no target: the others share its weight. Texts are read
     whole; repeated rows are documents of their own; other columns are ignored; an empty table gives an empty result.
     """
     names = list(shares)
     domains = fit_domains(docs, labelled, names, id_col, text_col, domain_col)
     own = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep), F.col(text_col).cast("string").alias("text"))
     rows = written(with_posteriors(own, domains), "members")
-    tokens = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    total = sum(shares.values())
-    target = [budget * tokens * s / total for s in shares.values()]
+    there = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0)), *(F.coalesce(F.sum(F.col("tokens") * F.get("p", k)), F.lit(0.0)) for k in range(len(names)))).first()
+    tokens, wanted = there[0], [s if t > 0 else 0.0 for s, t in zip(shares.values(), there[1:])]
+    for name, s, w in zip(names, shares.values(), wanted):
+        if s and not w and tokens:
+            log.warning("mix %s: no document is of this domain; the others share its weight", name)
+    if budget is None:
+        budget = reachable_budget(posterior_cells(rows, len(names)), wanted, least, most) if sum(wanted) else 1.0
+    target = [budget * tokens * w / (sum(wanted) or 1.0) for w in wanted]
     descent, reached = rates(rows.select("p", "tokens"), target, least, most)
     report(names, target, reached)
     rows = rows.select("p", *(c for c in rows.columns if c != "p"))

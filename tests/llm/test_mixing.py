@@ -56,6 +56,31 @@ def test_mix_meets_shares(spark):
     assert abs(total[0] / total[2] - 0.3) < 0.003 and abs(total[1] / total[2] - 0.3) < 0.003 and abs(total[3] / total[2] - 0.6) < 0.1
 
 
+def test_budget_follows_from_totals(spark, caplog):
+    """With rates of 1 at least, the budget is as small as the shares allow, and they are met."""
+    rng = np.random.default_rng(4)
+    rows = [(k, words(rng, "a" if k % 5 else "b", int(rng.integers(5, 60)))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = docs.select("doc_id", F.expr("if(doc_id % 5 > 0, 'a', 'b')").alias("domain"))
+    with caplog.at_level("INFO", logger="mosaicell.llm.mixing"):
+        found = mixing.mix(docs, labelled, {"a": 0.6, "b": 0.4}, None, 1.0, 8.0).collect()
+    assert [r.levelname for r in caplog.records if r.getMessage().startswith("mix ")] == ["INFO", "INFO"]
+    assert all(1 <= r["rate"] <= 8 and r["copies"] >= 1 for r in found)
+    total = sum(r["tokens"] * r["rate"] for r in found)
+    assert abs(sum(r["tokens"] * r["rate"] * r["posterior"][0] for r in found) / total - 0.6) < 0.01
+    there = sum(r["tokens"] for r in found)
+    least = sum(r["tokens"] * r["posterior"][0] for r in found) / 0.6
+    assert least <= total * 1.001 and total <= 1.25 * least and total > there
+
+
+def test_domain_without_documents(spark, caplog):
+    docs = spark.createDataFrame([(k, "sun sea sand" if k < 60 else "ice snow frost") for k in range(100)], "doc_id long, text string")
+    labelled = docs.select("doc_id", F.expr("if(doc_id < 60, 'a', 'b')").alias("domain"))
+    found = mixing.mix(docs, labelled, {"a": 0.4, "b": 0.4, "c": 0.2}, 0.5).agg(*(F.sum(F.expr(f"tokens * rate * posterior[{k}]")) for k in range(3)), F.sum("tokens")).first()
+    assert found[0] == pytest.approx(0.25 * found[3], rel=0.01) and found[1] == pytest.approx(0.25 * found[3], rel=0.01) and found[2] == 0
+    assert any("no document" in r.getMessage() for r in caplog.records)
+
+
 def test_awkward_tables(spark):
     docs = spark.createDataFrame([(1, None), (None, "a b"), (2, ""), (2, "c"), (2, "c"), (3, "d " * 5000)], "doc_id long, text string")
     none = spark.createDataFrame([(None, "a"), (1, None), (2, "z"), (3, "a"), (3, "b")], "doc_id long, domain string")
