@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import Scratch, components, lowest_of_component, written
 
 DIM = 8
 #: The 240 shortest vectors of E8, doubled to be integers: steps to neighbouring cells.
@@ -184,21 +184,23 @@ def _compare(lattice: Lattice, least: float):
     return run
 
 
-def class_links(classes: DataFrame, least: float, lattice: Lattice, block: int = BLOCK) -> DataFrame:
+def class_links(classes: DataFrame, least: float, lattice: Lattice, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """(c, links, other) for `classes` (c long, v array, n long): rows without `other` add up to the linked vectors outside
-    a class; rows with `other` join classes as the links that were found do."""
+    a class; rows with `other` join classes as the links that were found do. Classes must not be repeated, nor have vectors
+    that are null or have no direction; an empty table gives none. What is written on the way stays in `scratch`, for the caller to clear."""
+    scratch = scratch or Scratch()
     each = 1 + lattice.probes
-    cells = written(classes.select("c", "v").mapInArrow(_cells(lattice), "c long, keys array<long>"), "cells")
+    cells = scratch.written(classes.select("c", "v").mapInArrow(_cells(lattice), "c long, keys array<long>"), "cells")
     rows = cells.select("c", F.posexplode("keys").alias("p", "key")).select("c", "key", F.expr(f"int(p div {each})").alias("t"), (F.col("p") % each == 0).alias("home"))
     homes = rows.where("home")
-    taken = written(homes.groupBy("key").agg(F.count("*").alias("homes")), "taken")
-    probes = written(rows.join(taken, "key").where("homes > 1 or not home").select("key", "t", "c", "homes"), "probes")
-    met = written(probes.groupBy("key").agg(F.ceil(F.max("homes") / block).cast("int").alias("home_blocks"), F.ceil(F.count("*") / block).cast("int").alias("probe_blocks")), "met")
+    taken = scratch.written(homes.groupBy("key").agg(F.count("*").alias("homes")), "taken")
+    probes = scratch.written(rows.join(taken, "key").where("homes > 1 or not home").select("key", "t", "c", "homes"), "probes")
+    met = scratch.written(probes.groupBy("key").agg(F.ceil(F.max("homes") / block).cast("int").alias("home_blocks"), F.ceil(F.count("*") / block).cast("int").alias("probe_blocks")), "met")
     asked = (homes.select("key", "t", "c").join(met, "key")
              .select("key", "t", "c", F.lit(True).alias("home"), F.pmod(F.xxhash64("c"), "home_blocks").cast("int").alias("hb"), F.explode(F.expr("sequence(0, probe_blocks - 1)")).alias("qb")))
     asking = (probes.select("key", "t", "c").join(met, "key")
               .select("key", "t", "c", F.lit(False).alias("home"), F.explode(F.expr("sequence(0, home_blocks - 1)")).alias("hb"), F.pmod(F.xxhash64("c"), "probe_blocks").cast("int").alias("qb")))
-    both = written(asked.unionByName(asking), "asked")
+    both = scratch.written(asked.unionByName(asking), "asked")
     tasks = max(1, both.count() // TASK_ROWS)
     return (both.join(classes, "c").withColumn("task", F.pmod(F.xxhash64("key", "hb", "qb"), F.lit(tasks)))
             .groupBy("task").applyInArrow(_compare(lattice, least), "c long, links long, other long"))
@@ -220,13 +222,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = written(rows, "vectors")
     classes = written(rows.where("v is not null").groupBy("v").agg(F.count("*").alias("n"), F.min("id").alias("first"))
                       .withColumn("c", F.monotonically_increasing_id()), "classes")
-    found = written(class_links(classes.select("c", "v", "n"), least, lattice, block), "found")
+    scratch = Scratch()
+    found = written(class_links(classes.select("c", "v", "n"), least, lattice, block, scratch), "found")
+    scratch.clear()
     links = found.where("other is null").groupBy("c").agg(F.sum("links").alias("links"))
     roots = components(found.where("other is not null").select(F.col("c").alias("u"), F.col("other").alias("v")))
-    rooted = classes.select("c", "first").join(roots, classes["c"] == roots["node"], "left").select("c", "first", F.coalesce("root", "c").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    told = (rooted.join(lowest, "root").join(links, "c", "left").select("c", "component", F.coalesce("links", F.lit(0)).alias("links"))
-            .join(classes.select("c", "v", "n"), "c").select("v", "component", (F.col("links") + F.col("n") - 1).alias("links")))
+    lowest = lowest_of_component(classes.select(F.col("c").alias("node"), F.col("first").alias("component")), roots, "component").withColumnRenamed("node", "c")
+    told = (classes.select("c", "v", "n").join(lowest, "c").join(links, "c", "left")
+            .select("v", "component", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")))
     return (rows.join(written(told, "told"), "v", "left")
             .select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
