@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import Scratch, components, lowest_of_component, written
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -101,10 +101,11 @@ def _compare(radius: int):
     return run
 
 
-def fingerprint_links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """Links (u, v) between the distinct fingerprints `fp` of `prints` that join all that differ in `radius` bits or fewer.
 
-    Tiles go by the population counts of quarters, or of halves where the radius makes quarters too many neighbours.
+    Links are a forest in each pair of blocks, to the smallest fingerprint; a fingerprint must not be repeated; an empty
+    table has no links. What is written on the way stays in `scratch`, for the caller to clear. Tiles go by the population counts of quarters, or of halves where the radius makes quarters too many neighbours.
     """
     parts = 4 if radius <= 4 else 2
     bits = 64 // parts
@@ -116,7 +117,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, block: int = BLOC
     blocks = (tiled.join(F.broadcast(tiles), where)
               .withColumn("b", F.pmod(F.xxhash64("fp"), "blocks"))
               .groupBy(*where, "b").agg(F.collect_list("fp").alias("fps")))  # bounded: about `block` fingerprints
-    blocks = written(blocks, "tiles")
+    blocks = (scratch or Scratch()).written(blocks, "tiles")
     near = [d for d in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, d)) <= radius and d >= (0,) * parts]
     steps = F.array(*(F.struct(*(F.lit(x).alias(f"d{k}") for k, x in enumerate(d))) for d in near))
     left = (blocks.withColumn("d", F.explode(steps))
@@ -139,25 +140,33 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     prints = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
                      .mapInArrow(_fingerprints(words), f"id {docs.schema[id_col].dataType.simpleString()}, fp long"), "prints")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    roots = components(fingerprint_links(classes, radius, block))
-    rooted = (classes.join(roots, classes["fp"] == roots["node"], "left")
-              .select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return (prints.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp")
+    scratch = Scratch()
+    classes = scratch.written(prints.groupBy("fp").agg(F.min("id").alias("component_id")), "classes")
+    roots = components(fingerprint_links(classes, radius, block, scratch))
+    lowest = written(lowest_of_component(classes.withColumnRenamed("fp", "node"), roots, "component_id"), "lowest")
+    scratch.clear()
+    return (prints.join(lowest.withColumnRenamed("node", "fp"), "fp")
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` written with a number for each row, under a name that no column of it has."""
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def simhash_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """`docs` without near-duplicates: of each component one row stays, that with the smallest id.
 
-    Rows, not ids, are compared and kept: null ids come last, repeated ids are rows of their own.
+    Rows, not ids, are compared and kept: null ids come last, repeated ids are rows of their own. All columns stay.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = simhash_groups(rows, "_row", text_col, words, radius).select("_row", "component_id")
-    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))).alias("first")
-    kept = rows.select("_row", F.col(id_col).alias("_id")).join(groups, "_row").groupBy("component_id").agg(first).select("first._row")
-    return rows.join(written(kept, "kept"), "_row", "left_semi").select(*docs.columns)
+    rows, row = _numbered(docs)
+    groups = simhash_groups(rows, row, text_col, words, radius).select(row, "component_id")
+    first = F.min(F.struct(F.col("id").isNull(), "id", row)).alias("first")
+    kept = rows.select(row, F.col(id_col).alias("id")).join(groups, row).groupBy("component_id").agg(first).select(f"first.{row}")
+    return rows.join(written(kept, "kept"), row, "left_semi").select(*docs.columns)
 
 
 _SALTS = np.random.default_rng(5).integers(0, 1 << 63, (PRINTS * HASHES, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -181,7 +190,8 @@ def _signed(words: int):
         for batch in batches:
             sets = [_set(x.as_py(), words) for x in batch.column(1).cast(pa.binary())]
             prints = pa.array([np.array(min_prints(x), np.uint64).view(np.int64) if len(x) else [] for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), prints], ["row", "same", "prints"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), prints, *batch.columns[2:]],
+                                             ["row", "same", "prints", "id"])
 
     return run
 
@@ -202,34 +212,57 @@ def _verify(words: int, least: float):
     return run
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    both = (pairs.join(texts.select(F.col("row").alias("v"), F.col("text").alias("right")), "v")
+            .join(texts.select(F.col("row").alias("u"), F.col("text").alias("left")), "u").select("u", "v", "left", "right"))
+    return both.mapInArrow(_verify(words, least), "u long, v long")
+
+
 def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Links (u, v) between rows of `classes` (row, prints) whose shingles in `texts` (row, text) have Jaccard similarity `least` or more."""
-    members = written(classes.select("row", F.explode("prints").alias("print")), "prints")
+    """Links (u, v) that join the rows of `classes` (row, prints) whose shingles in `texts` (row, text) have Jaccard similarity
+    `least` or more, as far as fingerprints meet.
+
+    Two rounds, so that few texts travel: first each row of a group with the group's first row; then, of all other
+    pairs, those that the first round's links haven't joined yet.
+    """
+    scratch = Scratch()
+    members = scratch.written(classes.select("row", F.explode("prints").alias("print")), "prints")
     pivots = [F.min_by("row", F.xxhash64("row", "print", F.lit(k))) for k in range(PIVOTS)]
     # Partial aggregates: a group of any size is never gathered.
-    groups = written(members.groupBy("print").agg(F.count("*").alias("n"), F.array_distinct(F.array(*pivots)).alias("pivots")).where("n > 1"), "groups")
+    groups = scratch.written(members.groupBy("print").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.array_distinct(F.array(*pivots)).alias("pivots")).where("n > 1"), "groups")
+    members = scratch.written(members.join(groups.select("print"), "print", "left_semi"), "members")
+    texts = scratch.written(texts.join(members.select("row").distinct(), "row", "left_semi"), "candidates")
+    stars = members.join(groups, "print").where("row <> first").select(F.col("first").alias("u"), F.col("row").alias("v")).distinct()
+    found = written(_verified(stars, texts, words, least), "links")
+    joined = scratch.written(components(found), "joined")
     small = members.join(groups.where(F.col("n") <= SHARED).select("print"), "print")
     pairs = small.select("print", F.col("row").alias("u")).join(small.select("print", F.col("row").alias("v")), "print").where("u < v").select("u", "v")
     large = members.join(groups.where(F.col("n") > SHARED).select("print", "pivots"), "print").select("row", F.explode("pivots").alias("pivot"))
-    pairs = written(pairs.unionByName(large.where("row <> pivot").select(F.least("row", "pivot").alias("u"), F.greatest("row", "pivot").alias("v"))).distinct(), "pairs")
-    both = (pairs.join(texts.select(F.col("row").alias("v"), F.col("text").alias("right")), "v")
-            .join(texts.select(F.col("row").alias("u"), F.col("text").alias("left")), "u").select("u", "v", "left", "right"))
-    return both.mapInArrow(_verify(words, least), "u long, v long")
+    pairs = pairs.unionByName(large.where("row <> pivot").select(F.least("row", "pivot").alias("u"), F.greatest("row", "pivot").alias("v")))
+    root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = (pairs.distinct().join(root("u"), "u", "left").join(root("v"), "v", "left")
+             .where("coalesce(root_u, u) <> coalesce(root_v, v)").select("u", "v"))
+    more = written(_verified(apart.join(stars, ["u", "v"], "left_anti"), texts, words, least), "links")
+    scratch.clear()
+    return found.unionByName(more)
 
 
 def similar_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """`docs` without near-duplicates: of rows joined by a Jaccard similarity of `least` or more one stays, that with the smallest id.
 
     Shingles are of `words` words of whole texts. Every link is verified, so rows that only look alike stay. Texts
-    without a word are copies of each other. Null ids come last, repeated ids are rows of their own.
+    without a word, null ones too, are copies of each other. Null ids come last, repeated ids are rows of their own. All
+    columns stay; an empty table gives an empty result.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    texts = rows.select(F.col("_row").alias("row"), F.col(text_col).cast("string").alias("text"))
-    signed = written(texts.mapInArrow(_signed(words), "row long, same binary, prints array<long>"), "signed")
-    classes = written(signed.groupBy("same").agg(F.min("row").alias("row"), F.first("prints").alias("prints")), "classes")
-    roots = components(similar_links(classes, texts, words, least))
-    rooted = classes.join(roots, classes["row"] == roots["node"], "left").select("same", F.coalesce("root", "row").alias("root"))
-    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))).alias("first")
-    kept = (signed.select("same", F.col("row").alias("_row")).join(rooted, "same").join(rows.select("_row", F.col(id_col).alias("_id")), "_row")
-            .groupBy("root").agg(first).select("first._row"))
-    return rows.join(written(kept, "kept"), "_row", "left_semi").select(*docs.columns)
+    rows, row = _numbered(docs)
+    scratch = Scratch()
+    texts = rows.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    signed = rows.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).mapInArrow(_signed(words), f"row long, same binary, prints array<long>, id {kind}")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")
+    classes = scratch.written(signed.groupBy("same").agg(F.min_by(F.struct("row", "prints"), "row").alias("one"), first).select("one.row", "one.prints", "first"), "classes")
+    roots = components(similar_links(classes.select("row", "prints"), texts, words, least))
+    kept = lowest_of_component(classes.select(F.col("row").alias("node"), "first"), roots, "first").select(F.col("first.row").alias(row)).distinct()
+    kept = written(kept, "kept")
+    scratch.clear()
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
