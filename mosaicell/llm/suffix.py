@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 LENGTH = 400
 #: Positions among which a window chooses its anchor, and bytes of the grams whose hashes are compared.
@@ -287,10 +287,24 @@ def _sort_task(length: int):
     return run
 
 
+def whole_characters(part: bytes, first: bool, last: bool) -> bytes:
+    """A part of a text's UTF-8 without what a cut left of a character at its ends; first, last: whether an end is the text's own."""
+    begin, end = 0, len(part)
+    while not first and begin < min(3, end) and part[begin] & 0xC0 == 0x80:
+        begin += 1
+    for back in range(1, 0 if last else min(3, end - begin) + 1):
+        lead = part[end - back]
+        if lead & 0xC0 != 0x80:  # the last character begins here
+            size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            end -= back if size > back else 0
+            break
+    return part[begin:end]
+
+
 def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, spans, kept = [], [], []
+            removed, spans, kept, texts = [], [], [], []
             for text, found in zip(batch.column(0), batch.column(1).to_pylist()):
                 raw, cuts = text.as_py(), []
                 for lo, hi in sorted((x["lo"], x["hi"] + length) for x in found or ()):
@@ -298,64 +312,68 @@ def _remove(length: int):
                         cuts[-1][1] = max(cuts[-1][1], hi)
                     else:
                         cuts.append([lo, hi])
-                ends = [0, *(hi for _, hi in cuts)]
+                parts = list(zip([0, *(hi for _, hi in cuts)], [*(lo for lo, _ in cuts), len(raw)]))
                 removed.append(sum(hi - lo for lo, hi in cuts))
                 spans.append(len(cuts))
-                kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*(lo for lo, _ in cuts), len(raw)])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())],
-                                             [*batch.schema.names[2:], "n_removed", "n_spans", "kept"])
+                kept.append(b"".join(raw[a:b] for a, b in parts))
+                texts.append(b"".join(whole_characters(raw[a:b], a == 0, b == len(raw)) for a, b in parts) if cuts else raw)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())],
+                                             [*batch.schema.names[2:], "n_removed", "n_spans", "kept", "kept_text"])
 
     return run
 
 
-def repeated_windows(texts: DataFrame, length: int = LENGTH, spread: int = SPREAD, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """Windows of `texts` (row long, raw binary; rows differ) that start anywhere else too, as ranges (row, lo, hi) of their starts."""
-    anchors = written(texts.where(F.length("raw") >= length).select("row", "raw")
+def repeated_windows(texts: DataFrame, length: int = LENGTH, spread: int = SPREAD, gram: int = GRAM, block: int = BLOCK,
+                     scratch: Scratch | None = None) -> DataFrame:
+    """Windows of `texts` (row long, raw binary; rows differ) that start anywhere else too, as ranges (row, lo, hi) of their starts.
+
+    Equal texts under different rows repeat each other; texts shorter than `length` have no window; without texts there
+    are no ranges. What is written on the way stays in `scratch`, for the caller to clear once the ranges are written.
+    """
+    scratch = scratch or Scratch()
+    anchors = scratch.written(texts.where(F.length("raw") >= length).select("row", "raw")
                       .mapInArrow(_find_anchors(length, spread, gram), "row long, lo long, span int, back int, core long, cover long"), "anchors")
-    cores = written(anchors.groupBy("core").agg(F.count("*").alias("n"), F.min("cover").alias("a"), F.max("cover").alias("b"))
+    cores = scratch.written(anchors.groupBy("core").agg(F.count("*").alias("n"), F.min("cover").alias("a"), F.max("cover").alias("b"))
                     .where("n > 1").select("core", (F.col("a") != F.col("b")).alias("open")), "cores")
-    shared = written(anchors.join(cores, "core"), "shared")
+    shared = scratch.written(anchors.join(cores, "core"), "shared")
     whole = shared.where("not open").select("row", "lo", (F.col("lo") + F.col("span")).alias("hi"))
     opened = shared.where("open")
-    variants = written(opened.groupBy("core", "cover").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "span", "back")).alias("one")), "variants")
-    counts = written(variants.groupBy("core").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "counts")
+    variants = scratch.written(opened.groupBy("core", "cover").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "span", "back")).alias("one")), "variants")
+    counts = scratch.written(variants.groupBy("core").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "counts")
     wanted = variants.select("one.row", F.struct("core", "cover", "one.lo", "one.span").alias("x")).groupBy("row").agg(F.collect_list("x").alias("wanted"))
     cut = texts.join(wanted, "row").select("raw", "wanted").mapInArrow(lambda batches: _cut_out(batches, length), "core long, cover long, bytes binary")
     tasks = max(1, variants.count() * (length + spread) // TASK_BYTES)
     ready = (variants.join(counts, "core").select("core", "cover", "n", "one.back", "blocks", F.pmod(F.xxhash64("cover"), F.col("blocks")).cast("int").alias("block"))
              .join(cut, ["core", "cover"]))
-    sorted_ = written(ready.withColumn("task", F.pmod(F.xxhash64("core", "block"), F.lit(tasks)))
+    sorted_ = scratch.written(ready.withColumn("task", F.pmod(F.xxhash64("core", "block"), F.lit(tasks)))
                       .groupBy("task").applyInArrow(_sort_task(length), "core long, cover long, shift int, ahead int, digest long, valid boolean, waits boolean, compare boolean, many boolean"), "sorted")
     merged = (sorted_.where("compare").groupBy("core", "ahead", "digest").agg(F.count("*").alias("blocks"))
               .where("blocks > 1").select("core", "ahead", "digest"))
-    later = written(merged, "merged").join(sorted_.where("waits"), ["core", "ahead", "digest"]).select("core", "cover", "shift")
+    later = scratch.written(merged, "merged").join(sorted_.where("waits"), ["core", "ahead", "digest"]).select("core", "cover", "shift")
     found = sorted_.where("valid").select("core", "cover", "shift").unionByName(later)
     # Runs of starts, few for each variant, of which there are `spread` windows at most.
     island = F.col("shift") - F.row_number().over(W.partitionBy("core", "cover").orderBy("shift"))
-    runs = written(found.withColumn("island", island).groupBy("core", "cover", "island").agg(F.min("shift").alias("from"), F.max("shift").alias("to")), "runs")
+    runs = scratch.written(found.withColumn("island", island).groupBy("core", "cover", "island").agg(F.min("shift").alias("from"), F.max("shift").alias("to")), "runs")
     part = opened.join(runs, ["core", "cover"]).select("row", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
     copied = opened.join(variants.where("n > 1").select("core", "cover"), ["core", "cover"]).select("row", "lo", (F.col("lo") + F.col("span")).alias("hi"))
     return whole.unionByName(part).unionByName(copied)
 
 
-def as_text(kept: str) -> F.Column:
-    """Bytes that were kept as a text: what is left of characters that a cut went through goes too."""
-    return F.replace(F.make_valid_utf8(F.col(kept).cast("string")), F.lit("\ufffd"), F.lit(""))
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, spread: int = SPREAD,
                    gram: int = GRAM, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row (id, *keep, n_bytes, n_removed, n_spans, kept binary) per row of `docs`.
+    """One row (id, *keep, n_bytes, n_removed, n_spans, kept binary, kept_text) per row of `docs`.
 
-    Texts are UTF-8 bytes (null: empty); a byte is removed if a string of `length` bytes over it also starts at another
+    kept_text: the bytes kept, without what a cut left of a character. Texts are UTF-8 bytes (null: empty); a byte is removed if a string of `length` bytes over it also starts at another
     place of any text, overlaps included. All occurrences go. Repeated rows are texts of their own. Texts of any length
     are read whole. Columns not in `keep` are dropped; an empty table gives an empty result.
     """
     texts = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep),
                                 F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("raw")), "texts")
-    found = repeated_windows(texts, length, spread, gram, block)
+    scratch = Scratch()
+    found = repeated_windows(texts, length, spread, gram, block, scratch)
     ranges = written(found.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "ranges")
+    scratch.clear()
     told = texts.join(ranges, "row", "left").select("raw", "found", "id", *(f"keep_{c}" for c in keep), F.length("raw").cast("long").alias("n_bytes"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in told.schema.fields[2:])
-    return (told.mapInArrow(_remove(length), f"{kinds}, n_removed long, n_spans long, kept binary")
-            .select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), "n_bytes", "n_removed", "n_spans", "kept"))
+    return (told.mapInArrow(_remove(length), f"{kinds}, n_removed long, n_spans long, kept binary, kept_text string")
+            .select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), "n_bytes", "n_removed", "n_spans", "kept", "kept_text"))
