@@ -28,6 +28,8 @@ BLOCK = 2048
 #: Independent fingerprints of a text and min-hashes in each: at similarity 0.8 all differ in one pair of 570. Rows that share a
 #: fingerprint are all compared up to SHARED; in larger groups each is compared with PIVOTS of them, drawn anew for each.
 PRINTS, HASHES, SHARED, PIVOTS = 16, 5, 32, 16
+#: Pairs with the same first row that a task verifies with one copy of its text.
+PARTNERS = 256
 
 
 def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
@@ -213,8 +215,12 @@ def _verify(words: int, least: float):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    both = (pairs.join(texts.select(F.col("row").alias("v"), F.col("text").alias("right")), "v")
-            .join(texts.select(F.col("row").alias("u"), F.col("text").alias("left")), "u").select("u", "v", "left", "right"))
+    """Of the pairs (u, v), u often the same, those that are similar. A text with many partners travels once for each PARTNERS of them."""
+    parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "u").select("u", "v", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("part"))
+    left = texts.select(F.col("row").alias("u"), F.col("text").alias("left")).join(parts, "u").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).drop("parts")
+    both = (dealt.join(texts.select(F.col("row").alias("v"), F.col("text").alias("right")), "v")
+            .join(left, ["u", "part"]).select("u", "v", "left", "right"))
     return both.mapInArrow(_verify(words, least), "u long, v long")
 
 
@@ -237,7 +243,10 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
     joined = scratch.written(components(found), "joined")
     small = members.join(groups.where(F.col("n") <= SHARED).select("print"), "print")
     pairs = small.select("print", F.col("row").alias("u")).join(small.select("print", F.col("row").alias("v")), "print").where("u < v").select("u", "v")
-    large = members.join(groups.where(F.col("n") > SHARED).select("print", "pivots"), "print").select("row", F.explode("pivots").alias("pivot"))
+    # Of a large group, rows that are joined with its first row need no more partners in it.
+    own, heads = joined.select(F.col("node").alias("row"), F.col("root").alias("own")), joined.select(F.col("node").alias("first"), F.col("root").alias("head"))
+    many = groups.where(F.col("n") > SHARED).join(heads, "first", "left").select("print", "pivots", F.coalesce("head", "first").alias("head"))
+    large = (members.join(many, "print").join(own, "row", "left").where("coalesce(own, row) <> head").select("row", F.explode("pivots").alias("pivot")))
     pairs = pairs.unionByName(large.where("row <> pivot").select(F.least("row", "pivot").alias("u"), F.greatest("row", "pivot").alias("v")))
     root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = (pairs.distinct().join(root("u"), "u", "left").join(root("v"), "v", "left")
