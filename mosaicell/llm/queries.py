@@ -15,6 +15,9 @@ from .common import shared_folder, table, written
 #: Shares of the domains in the mix of op10_mixing, and its tokens as a multiple of what is there.
 MIX, MIX_BUDGET = {"fine": 0.6, "plain": 0.38, "toxic": 0.02}, 0.5
 
+#: Bytes from which on op5_suffix tells repeated passages that are shorter than what it removes: fewer than 50 words have.
+PASSAGE_BYTES = 200
+
 
 def tokenizer(spark: SparkSession) -> tuple[str, str]:
     """File and pre-token pattern of the byte-level BPE; the file's place can be set with mosaicell.tokenizer."""
@@ -64,8 +67,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the bytes that strings of 400 bytes cover which start anywhere else too."""
-    return suffix.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """All documents without the bytes that strings of 400 bytes cover which start anywhere else too; beside that, what repeats from 200 bytes on."""
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE_BYTES)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "passage_bytes")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,12 +94,27 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def urls_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules of op9_urls say of every page's url, which SQL can express."""
+    rows = urlfilter.with_host_and_path(table(spark, sf_dir, "pages")).withColumn("r", urlfilter.rule_for())
+    return rows.select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("rule_verdict"))
+
+
+URLS_BY_RULE = """WITH u AS (SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
+  p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+  r(rule, rule_host, rule_path, rule_verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+  f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict FROM p, r
+    WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
+  SELECT page_id, host, path, rule, rule_verdict FROM p LEFT JOIN f USING (page_id)"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates for all documents, so that expected tokens of the labels' domains meet their shares."""
     found = mixing.mix(table(spark, sf_dir, "documents"), mixing.label_domains(table(spark, sf_dir, "labels")), MIX, MIX_BUDGET)
     return found.select("doc_id", "tokens", *(F.get("posterior", k).alias(f"p_{n}") for k, n in enumerate(MIX)), "rate", "copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_gif": op2_gif, "op3_lattice": op3_lattice, "op4_toxicity": op4_toxicity, "op5_suffix": op5_suffix, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_slots": op8_slots, "op9_urls": op9_urls, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_gif": op2_gif, "op3_lattice": op3_lattice, "op4_toxicity": op4_toxicity, "op5_suffix": op5_suffix, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_slots": op8_slots, "op9_urls": op9_urls, "op10_mixing": op10_mixing,
+           "urls_by_rule": urls_by_rule}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"urls_by_rule": URLS_BY_RULE}

@@ -301,24 +301,54 @@ def whole_characters(part: bytes, first: bool, last: bool) -> bytes:
     return part[begin:end]
 
 
-def _remove(length: int):
+def _merged(found: list[dict] | None, length: int) -> list[list[int]]:
+    """The bytes that windows of `length` cover, as disjoint runs [from, to) in order; found: ranges lo, hi of the windows' starts."""
+    runs: list[list[int]] = []
+    for lo, hi in sorted((x["lo"], x["hi"] + length) for x in found or ()):
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], hi)
+        else:
+            runs.append([lo, hi])
+    return runs
+
+
+def _parts(raw: bytes, cuts: list[list[int]]) -> list[tuple[int, int]]:
+    """What the cuts leave of a text: from, to."""
+    return list(zip([0, *(hi for _, hi in cuts)], [*(lo for lo, _ in cuts), len(raw)]))
+
+
+def _remove(length: int, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, spans, kept, texts = [], [], [], []
-            for text, found in zip(batch.column(0), batch.column(1).to_pylist()):
-                raw, cuts = text.as_py(), []
-                for lo, hi in sorted((x["lo"], x["hi"] + length) for x in found or ()):
-                    if cuts and lo <= cuts[-1][1]:
-                        cuts[-1][1] = max(cuts[-1][1], hi)
-                    else:
-                        cuts.append([lo, hi])
-                parts = list(zip([0, *(hi for _, hi in cuts)], [*(lo for lo, _ in cuts), len(raw)]))
+            removed, spans, kept, texts, passages, covered = [], [], [], [], [], []
+            for text, found, short in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                raw, cuts, runs = text.as_py(), _merged(found, length), _merged(short, passage)
+                parts = _parts(raw, cuts)
                 removed.append(sum(hi - lo for lo, hi in cuts))
                 spans.append(len(cuts))
                 kept.append(b"".join(raw[a:b] for a, b in parts))
                 texts.append(b"".join(whole_characters(raw[a:b], a == 0, b == len(raw)) for a, b in parts) if cuts else raw)
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())],
-                                             [*batch.schema.names[2:], "n_removed", "n_spans", "kept", "kept_text"])
+                passages.append(len(runs))
+                covered.append(sum(hi - lo for lo, hi in runs))
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string()),
+                                              pa.array(passages, pa.int64()), pa.array(covered, pa.int64())],
+                                             [*batch.schema.names[3:], "n_removed", "n_spans", "kept", "kept_text", "n_passages", "passage_bytes"])
+
+    return run
+
+
+def _kept_parts(length: int, passage: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts, parts = [], [], []
+            for row, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                raw = text.as_py()
+                for lo, hi in _parts(raw, _merged(found, length)):
+                    if hi - lo >= passage:
+                        rows.append(row)
+                        starts.append(lo)
+                        parts.append(raw[lo:hi])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], ["of", "at", "raw"])
 
     return run
 
@@ -359,21 +389,42 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, spread: int = SPREA
     return whole.unionByName(part).unionByName(copied)
 
 
+def _by_row(ranges: DataFrame, name: str) -> DataFrame:
+    return ranges.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias(name))  # of one text
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, spread: int = SPREAD,
-                   gram: int = GRAM, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
+                   gram: int = GRAM, block: int = BLOCK, keep: tuple[str, ...] = (), passage: int | None = None, passage_spread: int = 96) -> DataFrame:
     """One row (id, *keep, n_bytes, n_removed, n_spans, kept binary, kept_text) per row of `docs`.
 
-    kept_text: the bytes kept, without what a cut left of a character. Texts are UTF-8 bytes (null: empty); a byte is removed if a string of `length` bytes over it also starts at another
-    place of any text, overlaps included. All occurrences go. Repeated rows are texts of their own. Texts of any length
-    are read whole. Columns not in `keep` are dropped; an empty table gives an empty result.
+    kept_text: the bytes kept, without what a cut left of a character. Texts are UTF-8 bytes (null: empty); a byte is
+    removed if a string of `length` bytes over it also starts at another place of any text, overlaps included. All
+    occurrences go. Repeated rows are texts of their own. Texts of any length are read whole. Columns not in `keep` are
+    dropped; an empty table gives an empty result.
+
+    With `passage`, a shorter length, two columns more tell what still repeats in the bytes kept: n_passages, the runs of
+    bytes that strings of `passage` bytes cover which also start anywhere else in what is kept, and passage_bytes, their
+    bytes. No string spans a cut.
     """
     texts = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep),
                                 F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("raw")), "texts")
     scratch = Scratch()
-    found = repeated_windows(texts, length, spread, gram, block, scratch)
-    ranges = written(found.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "ranges")
+    ranges = _by_row(repeated_windows(texts, length, spread, gram, block, scratch), "found")
+    if passage is None:
+        ranges = written(ranges.withColumn("short", F.array().cast("array<struct<lo:bigint,hi:bigint>>")), "ranges")
+    else:
+        first = Scratch()
+        ranges = first.written(ranges, "ranges")
+        scratch.clear()
+        parts = first.written(texts.join(ranges, "row", "left").select("row", "raw", "found").mapInArrow(_kept_parts(length, passage), "of long, at long, raw binary")
+                              .withColumn("row", F.monotonically_increasing_id()), "parts")
+        short = repeated_windows(parts, passage, passage_spread, gram, block, scratch).join(parts.select("row", "of", "at"), "row")
+        short = _by_row(short.select(F.col("of").alias("row"), (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi")), "short")
+        ranges = written(ranges.join(short, "row", "full"), "ranges")
+        first.clear()
     scratch.clear()
-    told = texts.join(ranges, "row", "left").select("raw", "found", "id", *(f"keep_{c}" for c in keep), F.length("raw").cast("long").alias("n_bytes"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in told.schema.fields[2:])
-    return (told.mapInArrow(_remove(length), f"{kinds}, n_removed long, n_spans long, kept binary, kept_text string")
-            .select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), "n_bytes", "n_removed", "n_spans", "kept", "kept_text"))
+    told = texts.join(ranges, "row", "left").select("raw", "found", "short", "id", *(f"keep_{c}" for c in keep), F.length("raw").cast("long").alias("n_bytes"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in told.schema.fields[3:])
+    more = [] if passage is None else ["n_passages", "passage_bytes"]
+    return (told.mapInArrow(_remove(length, passage or length), f"{kinds}, n_removed long, n_spans long, kept binary, kept_text string, n_passages long, passage_bytes long")
+            .select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), "n_bytes", "n_removed", "n_spans", "kept", "kept_text", *more))

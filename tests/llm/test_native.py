@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from mosaicell.llm import queries, sharding, urlfilter
 
@@ -84,6 +87,60 @@ def test_models_tell_accepted_from_rejected(spark):
     assert sum(found[1000 + k] == ("allow" if k % 2 else "block") for k in range(40)) >= 36
 
 
+def test_ratio_by_brute_force(spark):
+    """Scores from counts in dictionaries: shorter contexts smooth longer ones, the longest context known decides."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcé-7") for _ in range(rng.randint(1, 6)))
+    urls = [f"http://{word()}.{rng.choice(['example.net/en/', 'example.com/de/', 'a.info/', 'b.info/x/'])}{word()}" for _ in range(120)] + [None, "nothing"]
+    urls += urls[:20]
+    grams: dict = {"allow": Counter(), "block": Counter()}
+    code = lambda c: urlfilter.SYMBOLS.find(c) + 1 if c in urlfilter.SYMBOLS[2:] else 0
+
+    def of(url: str | None) -> list[tuple[int, ...]]:
+        host, path, *_ = by_rule(url)
+        text = "".join("0" if c.isdigit() else c for c in (host + path).lower())
+        codes = [1] * 3 + [code(c) for c in text] + [2]
+        return [tuple(codes[i - 3 : i + 1]) for i in range(3, len(codes))]
+
+    for url in urls:
+        host, path, _, verdict = by_rule(url)
+        if verdict and zlib.crc32((host + path).encode()) % 5:
+            grams[verdict].update(of(url))
+    seen = {k: {v: Counter() for v in grams} for k in range(4)}
+    for v, counts in grams.items():
+        for g, n in counts.items():
+            for k in range(4):
+                seen[k][v][g[3 - k :]] += n
+
+    def p(v: str, g: tuple[int, ...]) -> float:
+        lower = p(v, g[1:]) if len(g) > 1 else 1 / urlfilter.BASE
+        after = sum(n for h, n in seen[len(g) - 1][v].items() if h[:-1] == g[:-1])
+        return (seen[len(g) - 1][v][g] + urlfilter.ALPHA * lower) / (after + urlfilter.ALPHA)
+
+    def ratio(g: tuple[int, ...]) -> float:
+        for k in range(3, -1, -1):
+            if any(g[3 - k :] in seen[k][v] for v in seen[k]):
+                return math.log(p("allow", g[3 - k :])) - math.log(p("block", g[3 - k :]))
+        return 0.0
+
+    rows = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    open_ = [r for r in rows if by_rule(urls[r["page_id"]])[3] is None]
+    assert len(rows) == len(urls) and len(open_) > 30
+    for r in open_:
+        own = of(urls[r["page_id"]])
+        assert r["score"] == pytest.approx(sum(map(ratio, own)) / len(own))
+    assert max([r["score"] for r in open_ if r["verdict"] == "block"], default=-9) < min([r["score"] for r in open_ if r["verdict"] == "allow"], default=9)
+
+
+def test_rules_like_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    found = queries.urls_by_rule(spark, SF)
+    want = con.execute(queries.ORACLE_SQL["urls_by_rule"])
+    assert [d[0] for d in want.description] == found.columns
+    assert sorted(map(tuple, found.collect())) == sorted(want.fetchall())
+
+
 @pytest.mark.parametrize("name", ["op8_slots", "op9_urls"])
 def test_no_python_in_the_plan(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().toString()

@@ -10,8 +10,8 @@ import pytest
 from mosaicell.llm import suffix
 
 
-def brute(texts: list[bytes], length: int) -> list[tuple[int, int, bytes]]:
-    """(removed, spans, kept) of each text."""
+def covered(texts: list[bytes], length: int) -> list[np.ndarray]:
+    """For each text, which bytes lie in a string of `length` bytes that starts anywhere else."""
     seen: dict[bytes, int] = {}
     for t in texts:
         for i in range(len(t) - length + 1):
@@ -22,6 +22,15 @@ def brute(texts: list[bytes], length: int) -> list[tuple[int, int, bytes]]:
         for i in range(len(t) - length + 1):
             if seen[t[i : i + length]] > 1:
                 gone[i : i + length] = True
+        out.append(gone[:-1])
+    return out
+
+
+def brute(texts: list[bytes], length: int) -> list[tuple[int, int, bytes]]:
+    """(removed, spans, kept) of each text."""
+    out = []
+    for t, covers in zip(texts, covered(texts, length)):
+        gone = np.append(covers, False)
         spans = int((gone[1:].astype(int) - gone[:-1] == 1).sum() + gone[0])
         out.append((int(gone.sum()), spans, bytes(b for b, g in zip(t, gone) if not g)))
     return out
@@ -64,6 +73,35 @@ def test_like_brute_force(spark, seed, length, spread, gram, block):
     assert sum(w[2] for w in want) > 1000
 
 
+@pytest.mark.parametrize("seed,length,passage", [(5, 400, 200), (6, 60, 40), (7, 60, 60)])
+def test_passages_like_brute_force(spark, seed, length, passage):
+    texts = [*corpus(seed, 90, length), *corpus(seed, 40, passage), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gram, spread = (24, 96) if passage == 200 else (8, 20)
+    found = suffix.remove_repeats(docs, length=length, spread=length // 2 - 8, gram=gram, passage=passage, passage_spread=spread).collect()
+    raw = [(t or "").encode() for t in texts]
+    parts, of = [], []
+    for k, (text, gone) in enumerate(zip(raw, covered(raw, length))):
+        edges = np.diff(np.concatenate([[1], gone.astype(int), [1]]))
+        for lo, hi in zip(np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0]):
+            parts.append(text[lo:hi])
+            of.append(k)
+    short = {k: (0, 0) for k in range(len(raw))}
+    for k, (size, runs, _) in zip(of, brute(parts, passage)):
+        short[k] = short[k][0] + size, short[k][1] + runs
+    want = [(k, *long, *short[k]) for k, long in enumerate(brute(raw, length))]
+    assert sorted((r["doc_id"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["passage_bytes"], r["n_passages"]) for r in found) == want
+    assert sum(w[4] for w in want) > 500 or passage == length
+
+
+def test_cuts_leave_whole_characters():
+    raw = "aé漢🙂\ufffdz".encode()
+    assert suffix.whole_characters(raw, False, False) == raw == suffix.whole_characters(raw, True, True)
+    for at in range(len(raw) + 1):
+        left, right = suffix.whole_characters(raw[:at], True, False).decode(), suffix.whole_characters(raw[at:], False, True).decode()
+        assert "aé漢🙂\ufffdz".startswith(left) and "aé漢🙂\ufffdz".endswith(right) and len(left) + len(right) >= 5
+
+
 def test_long_text_in_parts(spark, monkeypatch):
     monkeypatch.setattr(suffix, "PART", 1000)
     rng = random.Random(5)
