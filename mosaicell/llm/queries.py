@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, langid, lattice, mixing, packing, sharding, simhash, suffix, toxicity, urlfilter
+from . import collocation, contamination, gif, langid, lattice, mixing, packing, sharding, simhash, suffix, toxicity, urlfilter, vafile
 from .common import shared_folder, table, written
 
 
@@ -114,7 +114,63 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "tokens", *(F.get("posterior", k).alias(f"p_{n}") for k, n in enumerate(MIX)), "rate", "copies")
 
 
+def op11_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in windows of ten words of benchmark items."""
+    found = contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP11 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+  i AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+  s AS (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0),
+  p AS (SELECT DISTINCT item, array_to_string(w[s:s + 9], ' ') AS window_text, least(len(w), 10) AS n FROM s),
+  c AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n),
+  f AS (SELECT r, s, c.n, item FROM (SELECT r, s, n, array_to_string(w[s:s + n - 1], ' ') AS window_text FROM c) c JOIN p USING (window_text, n)),
+  h AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS place FROM f) GROUP BY r),
+  t AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM f) GROUP BY r)
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+  FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+
+
+def op12_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as four bytes, by codebooks that all vectors have formed."""
+    return vafile.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(parts: int = vafile.PARTS, entries: int = vafile.ENTRIES, rounds: int = vafile.ROUNDS) -> str:
+    nearest = """a{r} AS MATERIALIZED (SELECT x.r, x.part, min({{'d': d, 'entry': entry}}) AS m FROM (SELECT x.r, x.part, entry, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(v, e)])::BIGINT AS d FROM x JOIN b{r} USING (part)) x GROUP BY ALL)"""
+    again = """b{q} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(s.e, b.e) AS e FROM b{r} b LEFT JOIN (SELECT part, entry, list(floor_ ORDER BY place) AS e FROM
+      (SELECT part, entry, place, ((sum(y) - (sum(y) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS floor_ FROM (SELECT a.part, a.m.entry AS entry, unnest(v) AS y, generate_subscripts(v, 1) AS place FROM a{r} a JOIN x USING (r, part)) GROUP BY ALL) GROUP BY ALL) s USING (part, entry))"""
+    steps = [s for r in range(rounds) for s in (nearest.format(r=r), again.format(r=r, q=r + 1))] + [nearest.format(r=rounds)]
+    return f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, [floor(1024 * y::DOUBLE)::BIGINT FOR y IN embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len([y FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0),
+  x AS MATERIALIZED (SELECT r, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS v FROM k, (SELECT unnest(range({parts})) AS part)),
+  b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v AS e FROM x WHERE r <= {entries}),
+  {(","+chr(10)+"  ").join(steps)},
+  c AS (SELECT r, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY r)
+  SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM k JOIN c USING (r)"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 first phrases of each language among all documents."""
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13 = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+  g AS (SELECT lang, size, array_to_string(w[s:s + size - 1], ' ') AS phrase FROM (SELECT lang, size, w, unnest(range(1, len(w) - size + 2)) AS s FROM w, (VALUES (1), (2), (3)) AS v(size) WHERE len(w) >= size)),
+  f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+  c AS (SELECT lang, phrase, f AS a, size, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+  k AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS left_part, array_to_string(w[k + 1:size], ' ') AS right_part FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+  s AS (SELECT k.lang, k.phrase, a, k, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score FROM k JOIN f l ON l.lang = k.lang AND l.phrase = left_part JOIN f r ON r.lang = k.lang AND r.phrase = right_part),
+  b AS (SELECT lang, phrase, a, min({'score': score, 'k': k, 'l': l, 'r': r}) AS m FROM s GROUP BY ALL),
+  i AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS longer FROM c WHERE size = 3),
+  o AS (SELECT b.lang, b.phrase, a, m.l AS l, m.r AS r, m.score AS score FROM b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * longer >= 50 * a)),
+  t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang)
+  SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o) JOIN t USING (lang) WHERE rank <= 2000"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op2_gif": op2_gif, "op3_lattice": op3_lattice, "op4_toxicity": op4_toxicity, "op5_suffix": op5_suffix, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_slots": op8_slots, "op9_urls": op9_urls, "op10_mixing": op10_mixing,
-           "urls_by_rule": urls_by_rule}
+           "op11_contamination": op11_contamination, "op12_vafile": op12_vafile, "op13_collocations": op13_collocations, "urls_by_rule": urls_by_rule}
 
-ORACLE_SQL: dict[str, str] = {"urls_by_rule": URLS_BY_RULE}
+ORACLE_SQL: dict[str, str] = {"op11_contamination": OP11, "op12_vafile": _codes_sql(), "op13_collocations": OP13, "urls_by_rule": URLS_BY_RULE}
