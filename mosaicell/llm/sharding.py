@@ -13,10 +13,22 @@ from pyspark.sql import functions as F
 
 SLOTS = 4096
 SHARDS = 8
+#: Rows that are equal in id, text and size up to which they share a virtual slot; more are spread over all slots.
+COPIES = 64
 
 
-def virtual_slot(id_col: str, slots: int = SLOTS) -> F.Column:
-    return F.pmod(F.xxhash64(id_col), F.lit(slots)).cast("int")
+def with_virtual_slot(rows: DataFrame, slots: int = SLOTS, copies: int = COPIES) -> DataFrame:
+    """Adds virtual_slot to `rows` (row: a number of its own for each; id, text_crc32, size): a hash of the record.
+
+    A record that occurs more than `copies` times has a slot for each remainder of its row numbers instead. Its rows are
+    equal, so it doesn't matter which of them is where.
+    """
+    record = ["id", "text_crc32", "size"]
+    often = rows.groupBy(*record).agg(F.count("*").alias("n")).where(F.col("n") > copies).select(*(F.col(c).alias(f"of_{c}") for c in record))
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in record]
+    part = F.when(F.col("of_size").isNotNull(), F.pmod("row", F.lit(slots)))
+    return (rows.join(often, same, "left").withColumn("virtual_slot", F.pmod(F.xxhash64(*record, part), F.lit(slots)).cast("int"))
+            .drop(*(f"of_{c}" for c in record)))
 
 
 def first_map(spark: SparkSession, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
@@ -81,8 +93,9 @@ def place(rows: DataFrame, slot_map: DataFrame, loads: DataFrame, order: list[st
 def shard_documents(docs: DataFrame, folder: str, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, size, text_crc32, shard, slot, virtual_slot, map_version) per row of `docs`; sizes of shards near equal.
 
-    size: UTF-8 bytes of the text (null: none) plus 1. A null id is hashed like any other value; repeated ids share a
-    virtual slot and are told apart by their place. Versions 0 and 1 of the map are kept in `folder`, which must hold
+    size: UTF-8 bytes of the text (null: none) plus 1. Records are hashed by id, text and size, a null id like any other
+    value, so that no repeated id or text makes a large slot; rows that are equal in all three are spread if they are
+    many, and told apart by their place. Versions 0 and 1 of the map are kept in `folder`, which must hold
     none yet. An empty table gives an empty result; other columns are ignored.
     """
     from .common import written
@@ -90,8 +103,9 @@ def shard_documents(docs: DataFrame, folder: str, shards: int = SHARDS, slots: i
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = written(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-                   .withColumn("virtual_slot", virtual_slot("id", slots)), "sizes")
+                   .withColumn("row", F.monotonically_increasing_id()), "sizes")
+    rows = written(with_virtual_slot(rows, slots), "slots")
     loads = written(slot_loads(rows), "loads")
     save_map(first_map(spark, shards, slots), folder)
     save_map(rebalance(load_map(spark, folder, 0), loads, shards), folder)
-    return place(rows, load_map(spark, folder, 1), loads, ["id", "text_crc32", "size"]).withColumnRenamed("id", id_col)
+    return place(rows, load_map(spark, folder, 1), loads, ["id", "text_crc32", "size", "row"]).drop("row").withColumnRenamed("id", id_col)

@@ -42,6 +42,15 @@ def test_awkward_shards(spark, tmp_path):
     assert {r[0] for r in spark.read.parquet(f"{tmp_path}/maps").select("version").distinct().collect()} == {0, 1}
 
 
+@pytest.mark.parametrize("text", ["'t'", "concat('t', k)", "repeat('x', 1 + k % 50)"])
+def test_one_id_on_half_of_all_rows(spark, tmp_path, text):
+    """The law holds within one largest row when an id, or a whole record, is on half of the rows."""
+    docs = spark.range(20_000).withColumnRenamed("id", "k").selectExpr("if(k % 2 = 0, 7, k) AS doc_id", f"if(k % 2 = 0, {text}, repeat('y', 1 + k % 90)) AS text")
+    found = sharding.shard_documents(docs, f"{tmp_path}/maps").groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).collect()
+    load = [r["sum(size)"] for r in found]
+    assert len(load) == 8 and max(load) - min(load) <= 91 and all(r["max(slot)"] == r["count(1)"] - 1 for r in found) and sum(r["count(1)"] for r in found) == 20_000
+
+
 def test_maps_are_edited_little(spark):
     first = sharding.first_map(spark, 4, 64)
     loads = spark.createDataFrame([(s, 10 if s != 5 else 200, 1) for s in range(64)], "virtual_slot int, bytes long, rows long")
