@@ -15,7 +15,7 @@ from .common import shared_folder, table, written
 #: Shares of the domains in the mix of op10_mixing, and its tokens as a multiple of what is there.
 MIX, MIX_BUDGET = {"fine": 0.6, "plain": 0.38, "toxic": 0.02}, 0.5
 
-#: Bytes from which on op5_suffix tells repeated passages that are shorter than what it removes: fewer than 50 words have.
+#: Bytes from which on op5_suffix tells of repeated passages: fewer than 50 words have.
 PASSAGE_BYTES = 200
 
 
@@ -67,7 +67,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the bytes that strings of 400 bytes cover which start anywhere else too; beside that, what repeats from 200 bytes on."""
+    """All documents without the bytes that strings of 400 bytes cover which start anywhere else too; beside that, how much of them repeats from 200 bytes on."""
     found = suffix.remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE_BYTES)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "passage_bytes")
 

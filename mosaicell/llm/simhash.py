@@ -26,8 +26,9 @@ RADIUS = 3
 #: Fingerprints in a block: a block pair is one unit of work, its exclusive-or matrix is cut into strips.
 BLOCK = 2048
 #: Independent fingerprints of a text and min-hashes in each: at similarity 0.8 all differ in one pair of 570. Rows that share a
-#: fingerprint are all compared up to SHARED; in larger groups each is compared with PIVOTS of them, drawn anew for each.
-PRINTS, HASHES, SHARED, PIVOTS = 16, 5, 32, 16
+#: fingerprint are compared pair by pair up to SHARED; in larger groups as matrices, in blocks of so many rows and shingles.
+PRINTS, HASHES, SHARED = 16, 5, 32
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19
 #: Pairs with the same first row that a task verifies with one copy of its text.
 PARTNERS = 256
 
@@ -72,7 +73,11 @@ def linked(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> np.ndarray:
         keep = j > i + at if same else slice(None)
         rows.append(a[i[keep] + at])
         cols.append(b[j[keep]])
-    u, v = np.concatenate(rows).view(np.int64), np.concatenate(cols).view(np.int64)
+    return forest(np.concatenate(rows).view(np.int64), np.concatenate(cols).view(np.int64))
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Pairs of (node, smallest it is joined to) for the links u, v."""
     if not len(u):
         return np.empty((0, 2), np.int64)
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -224,18 +229,77 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     return both.mapInArrow(_verify(words, least), "u long, v long")
 
 
+def set_links(left: list[np.ndarray], right: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places i, j of the sets of distinct hashes whose Jaccard similarity is `least` or more. Only hashes that several sets have take part, as bits."""
+    sizes = np.array([len(x) for x in (*left, *right)], np.int64)
+    values, at, n = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    owner, shared = np.repeat(np.arange(len(sizes)), sizes), n[at] > 1
+    bits = np.zeros((len(sizes), max(1, -(-int((n > 1).sum()) // 64))), np.uint64)
+    where = column[at[shared]]
+    np.bitwise_or.at(bits, (owner[shared], where >> 6), np.uint64(1) << (where & 63).astype(np.uint64))
+    a, b, found = bits[: len(left)], bits[len(left) :], []
+    for i in range(len(left)):
+        # Sets of too different sizes can't be as similar.
+        near = np.flatnonzero((sizes[len(left) :] >= least * sizes[i]) & (least * sizes[len(left) :] <= sizes[i]))
+        both = np.bitwise_count(a[i] & b[near]).sum(axis=1, dtype=np.int64)
+        j = near[both >= least * (sizes[i] + sizes[len(left) + near] - both)]
+        found.append(np.stack([np.full(len(j), i), j], axis=1))
+    return tuple(np.concatenate(found).T) if found else (np.empty(0, np.int64),) * 2
+
+
+def _blocks_compared(least: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        links = np.empty((0, 2), np.int64)
+        if left.num_rows and right.num_rows:
+            rows = [t.column("row").to_numpy() for t in (left, right)]
+            i, j = set_links(*([x.values.to_numpy().view(np.uint64) for x in t.column("set")] for t in (left, right)), least)
+            other = rows[0][i] != rows[1][j]
+            links = forest(rows[0][i[other]], rows[1][j[other]])
+        return pa.table({"u": links[:, 0].copy(), "v": links[:, 1].copy()})
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_set(x.as_py(), words).view(np.int64) for x in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["row", "set"])
+
+    return run
+
+
+def _large_groups(members: DataFrame, texts: DataFrame, words: int, least: float, scratch: Scratch) -> DataFrame:
+    """Links (u, v), as forests, between all similar rows of a group of which one at least is open. members: (print, row, open); texts: (row, text)."""
+    wanted = members.join(members.where("open").select("print").distinct(), "print", "left_semi")
+    wanted = scratch.written(wanted, "unsettled")
+    sets = scratch.written(texts.join(wanted.select("row").distinct(), "row", "left_semi").select("row", "text").mapInArrow(_sets(words), "row long, set array<long>"), "sets")
+    sized = scratch.written(wanted.join(sets.select("row", F.size("set").alias("size")), "row"), "sized")
+    blocks = lambda rows, size: F.ceil(F.greatest(rows / BLOCK_ROWS, size / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
+    some = lambda c: F.coalesce(F.sum(F.when(F.col("open"), c)), F.lit(0))
+    groups = sized.groupBy("print").agg(blocks(some(F.lit(1)), some(F.col("size"))).alias("lefts"), blocks(F.count("*"), F.sum("size")).alias("rights"))
+    dealt = sized.join(groups, "print").select("print", "row", "open", F.pmod(F.xxhash64("row"), "lefts").cast("int").alias("a"), F.pmod(F.xxhash64("row", F.lit(1)), "rights").cast("int").alias("b"), "lefts", "rights")
+    left = dealt.where("open").select("print", "row", "a", F.explode(F.expr("sequence(0, rights - 1)")).alias("b")).join(sets, "row")
+    right = dealt.select("print", "row", "b", F.explode(F.expr("sequence(0, lefts - 1)")).alias("a")).join(sets, "row")
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own: both sides come from the same tables
+    key = ["print", "a", "b"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_blocks_compared(least), "u long, v long")
+
+
 def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Links (u, v) that join the rows of `classes` (row, prints) whose shingles in `texts` (row, text) have Jaccard similarity
-    `least` or more, as far as fingerprints meet.
+    """Links (u, v) that join the rows of `classes` (row, prints; rows differ) whose shingles in `texts` (row, text) have Jaccard
+    similarity `least` or more, as far as they share a fingerprint.
 
-    Two rounds, so that few texts travel: first each row of a group with the group's first row; then, of all other
-    pairs, those that the first round's links haven't joined yet.
+    Two rounds, so that few texts travel: first each row of a group with the group's first row; then all other pairs that
+    the first round's links haven't joined yet. Of large groups, rows that aren't joined with the first one are compared
+    with all rows of the group, in blocks of their sets: none is skipped, and no pair is a row. Rows with null or empty
+    prints have no links; empty tables give none; ties don't matter, since all that is similar is joined.
     """
     scratch = Scratch()
     members = scratch.written(classes.select("row", F.explode("prints").alias("print")), "prints")
-    pivots = [F.min_by("row", F.xxhash64("row", "print", F.lit(k))) for k in range(PIVOTS)]
     # Partial aggregates: a group of any size is never gathered.
-    groups = scratch.written(members.groupBy("print").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.array_distinct(F.array(*pivots)).alias("pivots")).where("n > 1"), "groups")
+    groups = scratch.written(members.groupBy("print").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1"), "groups")
     members = scratch.written(members.join(groups.select("print"), "print", "left_semi"), "members")
     texts = scratch.written(texts.join(members.select("row").distinct(), "row", "left_semi"), "candidates")
     stars = members.join(groups, "print").where("row <> first").select(F.col("first").alias("u"), F.col("row").alias("v")).distinct()
@@ -243,17 +307,16 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
     joined = scratch.written(components(found), "joined")
     small = members.join(groups.where(F.col("n") <= SHARED).select("print"), "print")
     pairs = small.select("print", F.col("row").alias("u")).join(small.select("print", F.col("row").alias("v")), "print").where("u < v").select("u", "v")
-    # Of a large group, rows that are joined with its first row need no more partners in it.
-    own, heads = joined.select(F.col("node").alias("row"), F.col("root").alias("own")), joined.select(F.col("node").alias("first"), F.col("root").alias("head"))
-    many = groups.where(F.col("n") > SHARED).join(heads, "first", "left").select("print", "pivots", F.coalesce("head", "first").alias("head"))
-    large = (members.join(many, "print").join(own, "row", "left").where("coalesce(own, row) <> head").select("row", F.explode("pivots").alias("pivot")))
-    pairs = pairs.unionByName(large.where("row <> pivot").select(F.least("row", "pivot").alias("u"), F.greatest("row", "pivot").alias("v")))
     root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = (pairs.distinct().join(root("u"), "u", "left").join(root("v"), "v", "left")
              .where("coalesce(root_u, u) <> coalesce(root_v, v)").select("u", "v"))
     more = written(_verified(apart.join(stars, ["u", "v"], "left_anti"), texts, words, least), "links")
+    # Of a large group, rows that are joined with its first row are open to no one but those that aren't.
+    heads = groups.where(F.col("n") > SHARED).join(root("first"), "first", "left").select("print", F.coalesce("root_first", "first").alias("head"))
+    large = members.join(heads, "print").join(root("row"), "row", "left").select("print", "row", (F.coalesce("root_row", "row") != F.col("head")).alias("open"))
+    more_of_large = written(_large_groups(large, texts, words, least, scratch), "links")
     scratch.clear()
-    return found.unionByName(more)
+    return found.unionByName(more).unionByName(more_of_large)
 
 
 def similar_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:

@@ -337,17 +337,17 @@ def _remove(length: int, passage: int):
     return run
 
 
-def _kept_parts(length: int, passage: int):
+def _long_runs(length: int, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, starts, parts = [], [], []
             for row, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                raw = text.as_py()
-                for lo, hi in _parts(raw, _merged(found, length)):
-                    if hi - lo >= passage:
-                        rows.append(row)
-                        starts.append(lo)
-                        parts.append(raw[lo:hi])
+                runs = [x for x in _merged(found, passage) if x[1] - x[0] >= length]
+                raw = text.as_py() if runs else b""
+                for lo, hi in runs:
+                    rows.append(row)
+                    starts.append(lo)
+                    parts.append(raw[lo:hi])
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], ["of", "at", "raw"])
 
     return run
@@ -394,7 +394,7 @@ def _by_row(ranges: DataFrame, name: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, spread: int = SPREAD,
-                   gram: int = GRAM, block: int = BLOCK, keep: tuple[str, ...] = (), passage: int | None = None, passage_spread: int = 96) -> DataFrame:
+                   gram: int = GRAM, block: int = BLOCK, keep: tuple[str, ...] = (), passage: int | None = None, passage_spread: int = 128) -> DataFrame:
     """One row (id, *keep, n_bytes, n_removed, n_spans, kept binary, kept_text) per row of `docs`.
 
     kept_text: the bytes kept, without what a cut left of a character. Texts are UTF-8 bytes (null: empty); a byte is
@@ -402,25 +402,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     occurrences go. Repeated rows are texts of their own. Texts of any length are read whole. Columns not in `keep` are
     dropped; an empty table gives an empty result.
 
-    With `passage`, a shorter length, two columns more tell what still repeats in the bytes kept: n_passages, the runs of
-    bytes that strings of `passage` bytes cover which also start anywhere else in what is kept, and passage_bytes, their
-    bytes. No string spans a cut.
+    With `passage`, a length of at most `length`, two columns more tell what repeats in the texts from that length on:
+    n_passages, the runs of bytes that strings of `passage` bytes cover which also start anywhere else, and passage_bytes,
+    their bytes. All repeated strings of `length` bytes lie in such runs, so only runs as long are looked through again.
     """
     texts = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep),
                                 F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("raw")), "texts")
     scratch = Scratch()
-    ranges = _by_row(repeated_windows(texts, length, spread, gram, block, scratch), "found")
-    if passage is None:
-        ranges = written(ranges.withColumn("short", F.array().cast("array<struct<lo:bigint,hi:bigint>>")), "ranges")
+    whole = (length, spread) if passage is None else (passage, passage_spread)
+    ranges = _by_row(repeated_windows(texts, *whole, gram, block, scratch), "found")
+    none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+    if passage is None or passage == length:
+        ranges = written(ranges.withColumn("short", none if passage is None else F.col("found")), "ranges")
     else:
         first = Scratch()
-        ranges = first.written(ranges, "ranges")
+        ranges = first.written(ranges.withColumnRenamed("found", "short"), "ranges")
         scratch.clear()
-        parts = first.written(texts.join(ranges, "row", "left").select("row", "raw", "found").mapInArrow(_kept_parts(length, passage), "of long, at long, raw binary")
+        parts = first.written(texts.join(ranges, "row").select("row", "raw", "short").mapInArrow(_long_runs(length, passage), "of long, at long, raw binary")
                               .withColumn("row", F.monotonically_increasing_id()), "parts")
-        short = repeated_windows(parts, passage, passage_spread, gram, block, scratch).join(parts.select("row", "of", "at"), "row")
-        short = _by_row(short.select(F.col("of").alias("row"), (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi")), "short")
-        ranges = written(ranges.join(short, "row", "full"), "ranges")
+        found = repeated_windows(parts, length, spread, gram, block, scratch).join(parts.select("row", "of", "at"), "row")
+        found = _by_row(found.select(F.col("of").alias("row"), (F.col("lo") + F.col("at")).alias("lo"), (F.col("hi") + F.col("at")).alias("hi")), "found")
+        ranges = written(ranges.join(found, "row", "left").withColumn("found", F.coalesce("found", none)), "ranges")
         first.clear()
     scratch.clear()
     told = texts.join(ranges, "row", "left").select("raw", "found", "short", "id", *(f"keep_{c}" for c in keep), F.length("raw").cast("long").alias("n_bytes"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from mosaicell.llm import queries, simhash
@@ -108,3 +109,36 @@ def test_similar_keep_rows(spark):
     kept = sorted(((r["doc_id"], r["text"]) for r in simhash.similar_keep(docs).collect()), key=repr)
     assert kept == sorted([(1, "a b c d"), (7, "q w e r t y"), (7, "other words are here"), (None, "alone without an id"), (8, None)], key=repr)
     assert simhash.similar_keep(docs).columns == docs.columns and simhash.similar_keep(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("share,differ", [(0.744, 8), (0.768, 10)])
+def test_pairs_within_a_large_family(spark, share, differ):
+    """2000 texts share a template; pairs of them, above the threshold, are joined and no others."""
+    rng = random.Random(differ)
+    word = lambda: str(rng.randrange(10**7))
+    own = round(400 * (1 - 2 * share / (1 + share)))  # of 400 words, after the template
+    template, rows = [word() for _ in range(400 - own)], []
+    for k in range(1000):
+        tail = [word() for _ in range(own)]
+        other = list(tail)
+        for i in rng.sample(range(len(other) // differ), 2):
+            other[i * differ] = word()
+        rows += [(2 * k, [*template, *tail]), (2 * k + 1, [*template, *other])]
+    sets = {i: shingle_set(" ".join(w)) for i, w in rows}
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    near = [k for k in range(1000) if alike(2 * k, 2 * k + 1) >= 0.8]
+    assert len(near) > 900 and max(alike(2 * rng.randrange(1000), 2 * rng.randrange(1000) + 1) for _ in range(300)) < 0.79
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.similar_keep(docs).collect()}
+    found = sum(2 * k + 1 not in kept for k in near)
+    print("share", share, "pairs", len(near), "found", found)
+    assert found >= 0.98 * len(near) and all(2 * k in kept for k in range(1000))
+    assert all(2 * k + 1 in kept for k in set(range(1000)) - set(near))
+
+
+def test_sets_by_brute_force():
+    rng = random.Random(1)
+    sets = [np.unique(np.array([rng.randrange(30) for _ in range(rng.randint(1, 30))], np.uint64)) for _ in range(150)]
+    i, j = simhash.set_links(sets[:70], sets[70:], 0.6)
+    jaccard = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    assert sorted(zip(i.tolist(), j.tolist())) == [(a, b) for a in range(70) for b in range(80) if jaccard(sets[a].tolist(), sets[70 + b].tolist()) >= 0.6]

@@ -80,15 +80,7 @@ def test_passages_like_brute_force(spark, seed, length, passage):
     gram, spread = (24, 96) if passage == 200 else (8, 20)
     found = suffix.remove_repeats(docs, length=length, spread=length // 2 - 8, gram=gram, passage=passage, passage_spread=spread).collect()
     raw = [(t or "").encode() for t in texts]
-    parts, of = [], []
-    for k, (text, gone) in enumerate(zip(raw, covered(raw, length))):
-        edges = np.diff(np.concatenate([[1], gone.astype(int), [1]]))
-        for lo, hi in zip(np.nonzero(edges == -1)[0], np.nonzero(edges == 1)[0]):
-            parts.append(text[lo:hi])
-            of.append(k)
-    short = {k: (0, 0) for k in range(len(raw))}
-    for k, (size, runs, _) in zip(of, brute(parts, passage)):
-        short[k] = short[k][0] + size, short[k][1] + runs
+    short = [(size, runs) for size, runs, _ in brute(raw, passage)]
     want = [(k, *long, *short[k]) for k, long in enumerate(brute(raw, length))]
     assert sorted((r["doc_id"], r["n_removed"], r["n_spans"], bytes(r["kept"]), r["passage_bytes"], r["n_passages"]) for r in found) == want
     assert sum(w[4] for w in want) > 500 or passage == length
