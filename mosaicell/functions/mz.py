@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, grouped_quantiles
 from .tables import written
 
 NORMALIZATIONS = ("none", "tic", "rms", "median")
@@ -87,15 +87,17 @@ def auto_mz_range(peaks: DataFrame) -> DataFrame:
 
 
 def auto_ppm(peaks: DataFrame, lo: float, hi: float, least_peaks: int = 5, least_gaps: int = 200) -> DataFrame:
-    """Typical distance of neighbouring strong peaks in ppm, within [2, 500]; null where there are too few gaps.
+    """Typical distance of neighbouring strong peaks in ppm, within [2, 500], as one row (n_gaps, ppm); null where there are too few gaps.
 
-    Of spectra with `least_peaks` peaks or more, those above the median intensity count; gaps whose centre is in range.
+    Of spectra with `least_peaks` peaks or more, those above the median intensity count; gaps whose centre is in range,
+    its ends included, gaps of 0 too. A spectrum is told by its image and its id: ids may repeat across images.
     """
-    medians = peaks.groupBy("spectrum_id").agg(F.percentile("intensity", F.lit(0.5)).alias("median"), F.count("*").alias("n")).where(F.col("n") >= least_peaks)
-    strong = peaks.join(medians, "spectrum_id").where("intensity > median")
-    gaps = strong.withColumn("before", F.lag("mz").over(W.partitionBy("spectrum_id").orderBy("mz"))).where("before is not null")
-    centre = (F.col("mz") + F.col("before")) / 2
-    gaps = gaps.where((centre > lo) & (centre < hi) & (F.col("mz") > F.col("before"))).select(((F.col("mz") - F.col("before")) / centre * 1e6).alias("ppm"))
+    spectrum = ["image_id", "spectrum_id"]
+    medians = grouped_quantiles(peaks, spectrum, "intensity", (0.5,)).where(F.col("n") >= least_peaks).select(*spectrum, F.get("q", F.lit(0)).alias("_median"))
+    strong = peaks.join(medians, spectrum).where("intensity > _median")
+    gaps = strong.withColumn("_before", F.lag("mz").over(W.partitionBy(*spectrum).orderBy("mz"))).where("_before is not null")
+    centre = (F.col("mz") + F.col("_before")) / 2
+    gaps = gaps.where(centre.between(lo, hi)).select(((F.col("mz") - F.col("_before")) / centre * 1e6).alias("ppm"))
     gaps = written(gaps, "gaps")
     n, median = gaps.count(), exact_quantiles(gaps, "ppm", (0.5,))[0]
     return peaks.sparkSession.createDataFrame([(n, max(2.0, min(500.0, median)) if n >= least_gaps and median is not None else None)], "n_gaps long, ppm double")

@@ -62,6 +62,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Scratch().written(df, name)
 
 
+def dense(entries: F.Column, size: F.Column, place: str, value: str) -> F.Column:
+    """An array of `size` doubles from an array of structs: each entry's value at its place (different ones from 0 on), zeros between them.
+
+    One pass over the sorted entries: the gap before each is filled, then the rest.
+    """
+    entries = F.array_sort(F.transform(entries, lambda x: F.struct(x[place].cast("int").alias("i"), x[value].cast("double").alias("v"))))
+    entries = F.filter(entries, lambda x: (x["i"] >= 0) & (x["i"] < size))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    # A place's gap reaches from the entry before it: the shifted array of places.
+    before = F.transform(F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("v"))), entries), lambda x: x["i"])
+    ends = F.zip_with(entries, F.slice(before, F.lit(1), F.size(entries)), lambda x, b: F.concat(zeros(x["i"] - b - 1), F.array(x["v"])))
+    return F.concat(F.flatten(ends), zeros(size - 1 - F.element_at(before, -1)))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the links (u, v), both long: one row (node, root) for every node that isn't a root.
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, grouped_quantiles
+from ..functions.tables import dense
 from .image import PIXEL
 
 CELL = ["image_id", "cell_id"]
@@ -46,9 +47,9 @@ def cell_spectra(cube: DataFrame, labels: DataFrame, agg: str = "mean") -> DataF
 
 def with_spectrum(long: DataFrame, cells: DataFrame, n_bins: int) -> DataFrame:
     """`cells` with their spectrum as a dense array of `n_bins` values."""
-    packed = long.groupBy(*CELL).agg(F.map_from_entries(F.collect_list(F.struct("bin", "value"))).alias("_at"))
-    spectrum = F.transform(F.sequence(F.lit(0), F.lit(n_bins - 1)), lambda i: F.coalesce(F.col("_at")[i], F.lit(0.0)))
-    return cells.join(packed, CELL, "left").withColumn("spectrum", spectrum).drop("_at")
+    packed = long.groupBy(*CELL).agg(F.collect_list(F.struct("bin", "value")).alias("_at"))
+    none = F.array().cast("array<struct<bin:int,value:double>>")
+    return cells.join(packed, CELL, "left").withColumn("spectrum", dense(F.coalesce("_at", none), F.lit(n_bins), "bin", "value")).drop("_at")
 
 
 def carry_class(cells: DataFrame, former: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def qc_summary(scored: DataFrame) -> DataFrame:
 def qc_flags(scored: DataFrame, snr: float = 2.0, intensity_percentile: float = 10.0, sparsity: float = 0.05, entropy: float | None = None) -> DataFrame:
     """Adds low_snr, low_intensity, low_sparsity, low_entropy, flagged and reasons; the intensity bound is the image's percentile."""
     # A row for each image.
-    bounds = scored.groupBy("image_id").agg(F.percentile("total_intensity", F.lit(intensity_percentile / 100)).alias("_bound"))
+    bounds = grouped_quantiles(scored, ["image_id"], "total_intensity", (intensity_percentile / 100,)).select("image_id", F.get("q", F.lit(0)).alias("_bound"))
     flags = {"low_snr": F.col("snr") < snr, "low_intensity": F.col("total_intensity") < F.col("_bound"), "low_sparsity": F.col("sparsity") < sparsity,
              "low_entropy": F.lit(False) if entropy is None else F.col("spectral_entropy") < entropy}
     out = scored.join(bounds, "image_id").withColumns(flags).drop("_bound")
@@ -154,14 +155,22 @@ def combine_clones(cells: DataFrame, clones: Sequence[int], new_label: int | Non
 
 def global_spectrum(cells: DataFrame, agg: str = "mean") -> DataFrame:
     """(bin, value) over all cells; an unknown `agg` means mean."""
-    value = {"median": F.percentile("value", F.lit(0.5)), "max": F.max("value"), "min": F.min("value")}.get(agg, F.avg("value"))
-    return long(cells).groupBy("bin").agg(value.alias("value"))
+    return _central(long(cells), ["bin"], agg).select("bin", "value")
+
+
+def _central(rows: DataFrame, keys: list[str], agg: str, *more: F.Column) -> DataFrame:
+    """(*keys, value, *more) of the rows of each group."""
+    value = {"max": F.max("value"), "min": F.min("value")}.get(agg, F.avg("value"))
+    out = rows.groupBy(*keys).agg(value.alias("value"), *more)
+    if agg != "median":
+        return out
+    middle = grouped_quantiles(rows, keys, "value", (0.5,)).select(*(F.col(k).alias(f"_{k}") for k in keys), F.get("q", F.lit(0)).alias("value"))
+    return out.drop("value").join(middle, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*(f"_{k}" for k in keys))
 
 
 def _spectrum_sd(rows: DataFrame, keys: list[str], agg: str, normalize: bool) -> DataFrame:
-    value = {"median": F.percentile("value", F.lit(0.5)), "max": F.max("value"), "min": F.min("value")}.get(agg, F.avg("value"))
     sd = F.stddev_pop("value") if agg not in ("max", "min") else F.lit(None).cast("double")
-    out = rows.groupBy(*keys, "bin").agg(value.alias("value"), sd.alias("sd"), F.count("*").alias("n"))
+    out = _central(rows, [*keys, "bin"], agg, sd.alias("sd"), F.count("*").alias("n"))
     if not normalize:
         return out
     top = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # a row for each bin
@@ -247,8 +256,8 @@ def tic_at_centroid(cells: DataFrame, tic: DataFrame, normalize: bool = False) -
 
 def five_numbers(values: DataFrame) -> DataFrame:
     """(class, n, min, q1, median, q3, max): what a box shows."""
-    q = F.percentile("value", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q")
-    return values.groupBy("class").agg(F.count("*").alias("n"), q).select("class", "n", *(F.get("q", k).alias(c) for k, c in enumerate(("min", "q1", "median", "q3", "max"))))
+    found = grouped_quantiles(values, ["class"], "value", (0.0, 0.25, 0.5, 0.75, 1.0))
+    return found.select("class", "n", *(F.get("q", k).alias(c) for k, c in enumerate(("min", "q1", "median", "q3", "max"))))
 
 
 def umap_points(cells: DataFrame, palette: int = 10) -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import grouped_quantiles
 from ..functions.tables import Scratch
 from .image import grid_bounds
 
@@ -124,8 +125,8 @@ def li_threshold(tic: DataFrame, rounds: int = 100) -> DataFrame:
 
 def percentile_threshold(tic: DataFrame, percentile: float = 75.0) -> DataFrame:
     """Percentile of the values over 0."""
-    return (tic.where("tic > 0").groupBy("image_id").agg(F.percentile("tic", F.lit(percentile / 100)).alias("threshold"))
-            .select("image_id", F.lit("percentile").alias("method"), "threshold"))
+    found = grouped_quantiles(tic.where("tic > 0"), ["image_id"], "tic", (percentile / 100,))
+    return found.select("image_id", F.lit("percentile").alias("method"), F.get("q", F.lit(0)).alias("threshold"))
 
 
 def _mixture(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -40,11 +40,11 @@ class Imaging:
         return self._binned(axis, lambda peaks: mz.bin_fixed(peaks, lo, hi, width), normalization)
 
     def bin_adaptive(self, lo: float, hi: float, resolving_power: float | None = None, ppm: float | None = None, normalization: str = "none") -> Imaging:
-        """Peaks on an axis whose bins widen with m/z, and the image of their totals. Without a width, ppm follows from the spectra."""
+        """Peaks on an axis whose bins widen with m/z, and the image of their totals. Without a width, ppm follows from the spectra; with too few peaks for that, bins are 0.1 wide."""
         if resolving_power is None and ppm is None:
             ppm = mz.auto_ppm(mz.explode_peaks(mz.sound(self.spectra)), lo, hi).first()["ppm"]
             if ppm is None:
-                raise ValueError("too few peaks to tell a ppm width: give one, or a resolving power")
+                return self.bin(lo, hi, 0.1, normalization)
         edges = mz.adaptive_edges(lo, hi, resolving_power, ppm)
         return self._binned(mz.adaptive_axis(self.spectra.sparkSession, edges), lambda peaks: mz.bin_adaptive(peaks, edges), normalization)
 

@@ -153,14 +153,25 @@ def auto_mz_range(spark, sf_dir):
     return mz.auto_mz_range(fixtures.peaks(spark, sf_dir))
 
 
-@query("auto_ppm", f"""WITH {PEAKS}, s AS (SELECT *, quantile_cont(intensity, 0.5) OVER (PARTITION BY spectrum_id) AS med, count(*) OVER (PARTITION BY spectrum_id) AS k FROM peaks),
-  g AS (SELECT mz, lag(mz) OVER (PARTITION BY spectrum_id ORDER BY mz) AS b FROM s WHERE k >= 5 AND intensity > med),
-  p AS (SELECT (mz - b) / ((mz + b) / 2) * 1e6 AS ppm FROM g WHERE mz > b AND (mz + b) / 2 > 350 AND (mz + b) / 2 < 550)
-  SELECT count(*) AS n_gaps, CASE WHEN count(*) >= 200 THEN round(greatest(2.0, least(500.0, quantile_cont(ppm, 0.5))), 6) END AS ppm FROM p""")
+def _ppm_sql(peaks: str, spectrum: str) -> str:
+    return f"""WITH {peaks}, s AS (SELECT *, quantile_cont(intensity, 0.5) OVER (PARTITION BY {spectrum}) AS med, count(*) OVER (PARTITION BY {spectrum}) AS k FROM peaks),
+  g AS (SELECT mz, lag(mz) OVER (PARTITION BY {spectrum} ORDER BY mz) AS b FROM s WHERE k >= 5 AND intensity > med),
+  p AS (SELECT (mz - b) / ((mz + b) / 2) * 1e6 AS ppm FROM g WHERE b IS NOT NULL AND (mz + b) / 2 BETWEEN 350 AND 550)
+  SELECT count(*) AS n_gaps, CASE WHEN count(*) >= 200 THEN round(greatest(2.0, least(500.0, quantile_cont(ppm, 0.5))), 6) END AS ppm FROM p"""
+
+
+@query("auto_ppm", _ppm_sql(PEAKS, "spectrum_id"))
 def auto_ppm(spark, sf_dir):
     return mz.auto_ppm(fixtures.peaks(spark, sf_dir), LO, HI)
 
 
+@query("auto_ppm_images", _ppm_sql(PEAKS.replace("peaks AS (", "own AS (") + ", peaks AS (SELECT spectrum_id % 2 AS image, spectrum_id // 2 AS spectrum_id, mz, intensity FROM own)", "image, spectrum_id"))
+def auto_ppm_images(spark, sf_dir):
+    """Two images whose spectra have the same numbers."""
+    own = fixtures.peaks(spark, sf_dir).withColumns({"image_id": (F.col("spectrum_id") % 2).cast("string"), "spectrum_id": F.floor(F.col("spectrum_id") / 2)})
+    return mz.auto_ppm(own, LO, HI)
+
+
 @query("datacube", f"WITH {CUBE} SELECT x, y, bin, intensity FROM cube")
 def datacube(spark, sf_dir):
     return cube(spark, sf_dir)

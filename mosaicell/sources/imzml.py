@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..functions.tables import written
+from ..functions.tables import dense, written
 
 SCHEMA = "image_id string, spectrum_id bigint, x int, y int, mz array<double>, intensity array<float>"
 
@@ -199,9 +199,9 @@ class ImzML(DataSource):
 def _dense(pixels, axis):
     """A row for each pixel with its spectrum on the whole axis."""
     mzs = axis.agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "mz"))), lambda r: r["mz"]).alias("mz"))  # one row
-    packed = pixels.groupBy("image_id", "x", "y").agg(F.map_from_entries(F.collect_list(F.struct("bin", "intensity"))).alias("_at")).crossJoin(F.broadcast(mzs))
-    dense = packed.withColumn("intensity", F.expr("transform(sequence(0, size(mz) - 1), i -> float(coalesce(_at[i], 0)))"))
-    return dense.select(F.col("image_id").cast("string").alias("image_id"), F.lit(0).cast("long").alias("spectrum_id"), "x", "y", "mz", "intensity")
+    packed = pixels.groupBy("image_id", "x", "y").agg(F.collect_list(F.struct("bin", "intensity")).alias("_at")).crossJoin(F.broadcast(mzs))
+    whole = packed.withColumn("intensity", dense(F.col("_at"), F.size("mz"), "bin", "intensity").cast("array<float>"))
+    return whole.select(F.col("image_id").cast("string").alias("image_id"), F.lit(0).cast("long").alias("spectrum_id"), "x", "y", "mz", "intensity")
 
 
 def export_imzml(pixels, axis, path: str) -> None:

@@ -7,6 +7,8 @@ import math
 import numpy as np
 import pytest
 from mosaicell.functions import mz, survival
+from mosaicell.functions.quantiles import grouped_quantiles
+from mosaicell.functions.tables import dense
 from mosaicell.operators import annotate
 from mosaicell.sources import catalogue
 from pyspark.sql import functions as F
@@ -121,3 +123,23 @@ def test_sparse_equals_dense(spark, seed):
     assert sparse == full
     fold = lambda *a: {r["bin"]: (round(r["fold_change"], 9), r["best_clone"]) for r in stats.fold_change(*a).collect()}
     assert fold(rows.where("value > 0"), sizes) == fold(rows)
+
+
+@pytest.mark.parametrize("few,buckets", [(10, 4), (50, 1024), (1 << 20, 8)])
+def test_grouped_quantiles(spark, few, buckets):
+    rng = np.random.default_rng(few)
+    groups = {("a", 1): rng.normal(size=700), ("a", 2): rng.integers(0, 4, 300) / 3, ("b", None): np.full(90, 2.5), (None, 1): np.array([1e300, -1e300, 3.0, 1e-300] * 9), ("c", 1): np.array([4.0]), ("d", 4): rng.exponential(size=11) * 1e9}
+    rows = [(k, i, float(v), "x") for (k, i), vs in groups.items() for v in vs] + [("a", 1, None, "x"), ("a", 1, float("nan"), "x"), ("none", 1, None, "x")]
+    shares = (0.0, 0.1, 0.25, 0.5, 0.77, 1.0)
+    found = {(r["k"], r["i"]): (r["n"], r["q"]) for r in grouped_quantiles(spark.createDataFrame(rows, "k string, i int, value double, n string"), ["k", "i"], "value", shares, few, buckets).collect()}
+    assert set(found) == set(groups)
+    for g, vs in groups.items():
+        assert found[g][0] == len(vs)
+        np.testing.assert_allclose(found[g][1], np.quantile(vs, shares), rtol=1e-12, atol=1e-12)
+    assert grouped_quantiles(spark.createDataFrame([], "k string, value double"), ["k"], "value", (0.5,)).collect() == []
+
+
+def test_dense_arrays(spark):
+    rows = [([(3, 1.5), (0, 2.0), (9, 4.0)],), ([],), ([(5, 7.0), (12, 1.0), (-1, 1.0)],), ([(k, float(k)) for k in range(10)],)]
+    df = spark.createDataFrame(rows, "e array<struct<bin:int,value:double>>")
+    assert [r[0] for r in df.select(dense(F.col("e"), F.lit(10), "bin", "value")).collect()] == [[dict(e).get(k, 0.0) for k in range(10)] for (e,) in rows]
