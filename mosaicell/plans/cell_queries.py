@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import mz
 from ..functions.survival import chi2_sf
 from ..functions.tables import written
-from ..operators import cells, clusters, image, stats
+from ..operators import cells, clusters, embedding, image, stats
 from ..sources import fixtures
 from . import image_queries as iq
 from .registry import query
@@ -330,3 +330,18 @@ def pipeline_clones(spark, sf_dir):
     found = Imaging(fixtures.spectra(spark, sf_dir)).bin(350.0, 550.0, 5.0).auto_threshold("percentile").segment(least=2).extract().quality()
     found = found.cluster("gmm", k=3)
     return written(found.cells, "cells").select("cell_id", "area_px", "class", "soft_confidence")
+
+
+@query("neighbour_graph", """WITH v AS (SELECT vec_id, [abs(y::DOUBLE) FOR y IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL),
+  d AS (SELECT a.vec_id AS cell_id, b.vec_id AS near, sqrt(list_sum([(z[1] - z[2]) ** 2 FOR z IN list_zip(a.v, b.v)])) AS d FROM v a, v b WHERE a.vec_id <> b.vec_id)
+  SELECT cell_id, near, rank, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY d) AS rank FROM d) WHERE rank <= 15""")
+def neighbour_graph(spark, sf_dir):
+    """The 15 nearest cells of each; exact where all cells fit a leaf of the trees."""
+    own = dense(spark, sf_dir).select(F.col("cell_id").alias("row"), F.col("spectrum").alias("v"))
+    return embedding.neighbour_graph(own).withColumnRenamed("row", "cell_id")
+
+
+@query("neighbour_embedding")
+def neighbour_embedding(spark, sf_dir):
+    found = embedding.neighbour_embedding(dense(spark, sf_dir).select("image_id", "cell_id", "spectrum"))
+    return found.select("cell_id", F.get("embedding", 0).alias("e0"), F.get("embedding", 1).alias("e1"))
