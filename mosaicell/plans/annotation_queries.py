@@ -26,49 +26,69 @@ ATOMS = COMPOUNDS + r""", parts AS (SELECT seq, unnest(regexp_extract_all(formul
 INDEX = ATOMS + ", " + ADDUCTS + """, idx AS (SELECT c.*, a.*, neutral_mass + delta AS obs_mz, dbe FROM compounds c JOIN dbe USING (seq) CROSS JOIN adducts a WHERE mode IN ('both', 'neg') AND charge < 0 AND neutral_mass + delta > 0)"""
 HITS = """hits AS (SELECT *, round(abs(q.mz - obs_mz) / obs_mz * 1e6, 4) AS ppm_error FROM q JOIN idx ON abs(q.mz - obs_mz) / obs_mz * 1e6 <= {ppm}),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ppm_error, seq, adduct_seq) AS rank FROM hits)"""
-MARKERS = "q AS (SELECT seq::BIGINT * 1000 + adduct_seq * 10 + k AS query_id, obs_mz * (1 + e * 1e-6::DOUBLE) AS mz FROM idx, (VALUES (0, -12.0::DOUBLE), (1, -6.0), (2, -4.9), (3, 0.0), (4, 4.9), (5, 6.0), (6, 12.0)) o(k, e))"
+#: Compounds from part instead of the catalogue, each peak of lineitem as a query; hits are looked for once for each m/z.
+PARTS = f"""compounds(seq, name, formula, neutral_mass, class, subclass, mode) AS (SELECT p_partkey, p_name,
+    'C' || p_size || 'H' || (p_partkey % 97 + 2) || CASE WHEN p_partkey % 3 = 0 THEN 'N' || (p_partkey % 5 + 1) ELSE '' END || 'O' || CASE WHEN p_partkey % 4 = 0 THEN 'CH3' ELSE '2P' END,
+    351.057276::DOUBLE + 0.1::DOUBLE * (p_partkey % 2000) + 0.0007::DOUBLE * (p_partkey % 7 - 3), p_brand, {list(fixtures.SUBCLASSES)}[p_partkey % {len(fixtures.SUBCLASSES)} + 1], ['both', 'neg', 'pos'][p_partkey % 3 + 1] FROM part)"""
+PART_ATOMS, PART_INDEX = (text.replace(COMPOUNDS, PARTS) for text in (ATOMS, INDEX))
+PART_HITS = """w AS (SELECT DISTINCT mz FROM q), near AS (SELECT *, round(abs(w.mz - obs_mz) / obs_mz * 1e6, 4) AS ppm_error FROM w JOIN idx ON abs(w.mz - obs_mz) / obs_mz * 1e6 <= {ppm} AND (dbe IS NULL OR dbe >= -0.5)),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY mz ORDER BY ppm_error, seq, adduct_seq) AS rank FROM near)"""
 
 
 def index(spark, mode: str = "neg"):
     return annotate.annotation_index(catalogue.compounds(spark), catalogue.adducts(spark), mode)
 
 
-@query("annotation_index", f"WITH {INDEX} SELECT name, adduct, round(obs_mz, 6) AS obs_mz, round(dbe, 6) AS dbe, subclass, seq::BIGINT AS seq, adduct_seq::BIGINT AS adduct_seq FROM idx")
+def part_index(spark, sf_dir, mode: str = "neg"):
+    return annotate.annotation_index(fixtures.compounds(spark, sf_dir), catalogue.adducts(spark), mode)
+
+
+@query("annotation_index", f"WITH {PART_INDEX} SELECT name, adduct, round(obs_mz, 6) AS obs_mz, round(dbe, 6) AS dbe, subclass, seq::BIGINT AS seq, adduct_seq::BIGINT AS adduct_seq FROM idx")
 def annotation_index(spark, sf_dir):
-    return index(spark).select("name", "adduct", "obs_mz", "dbe", "subclass", "seq", "adduct_seq")
+    return part_index(spark, sf_dir).select("name", "adduct", "obs_mz", "dbe", "subclass", "seq", "adduct_seq")
 
 
-@query("parse_formula", f"WITH {ATOMS} SELECT seq::BIGINT AS seq, element, n FROM atoms")
+@query("parse_formula", f"WITH {PART_ATOMS} SELECT seq::BIGINT AS seq, element, n FROM atoms")
 def parse_formula(spark, sf_dir):
-    return mz.formula_counts(catalogue.compounds(spark)).select("seq", F.explode("atoms").alias("element", "n"))
+    return mz.formula_counts(fixtures.compounds(spark, sf_dir)).select("seq", F.explode("atoms").alias("element", "n"))
 
 
-@query("dbe", f"WITH {ATOMS} SELECT seq::BIGINT AS seq, name, round(dbe, 6) AS dbe FROM dbe JOIN compounds USING (seq)")
+@query("dbe", f"WITH {PART_ATOMS} SELECT seq::BIGINT AS seq, name, round(dbe, 6) AS dbe FROM dbe JOIN compounds USING (seq)")
 def dbe(spark, sf_dir):
-    return mz.formula_counts(catalogue.compounds(spark)).select("seq", "name", mz.dbe().alias("dbe"))
+    return mz.formula_counts(fixtures.compounds(spark, sf_dir)).select("seq", "name", mz.dbe().alias("dbe"))
 
 
-@query("dbe_filter", f"WITH {INDEX} SELECT name, adduct, seq::BIGINT AS seq FROM idx WHERE dbe >= 3")
+@query("dbe_filter", f"WITH {PART_INDEX} SELECT name, adduct, seq::BIGINT AS seq FROM idx WHERE dbe >= 3")
 def dbe_filter(spark, sf_dir):
-    return annotate.dbe_filter(index(spark), 3.0).select("name", "adduct", "seq")
+    return annotate.dbe_filter(part_index(spark, sf_dir), 3.0).select("name", "adduct", "seq")
 
 
-@query("catalogue_search", f"WITH {INDEX} SELECT name, adduct, seq::BIGINT AS seq FROM (SELECT * FROM idx WHERE contains(lower(name), 'pc') OR contains(lower(class), 'pc') OR contains(lower(subclass), 'pc') ORDER BY seq, adduct_seq LIMIT 20)")
+@query("catalogue_search", f"WITH {PART_INDEX} SELECT name, adduct, seq::BIGINT AS seq FROM (SELECT * FROM idx WHERE contains(lower(name), 'pc') OR contains(lower(class), 'pc') OR contains(lower(subclass), 'pc') ORDER BY seq, adduct_seq LIMIT 20)")
 def catalogue_search(spark, sf_dir):
-    return annotate.search(index(spark), "PC").select("name", "adduct", "seq")
+    """The first twenty hits: the limit is the feature."""
+    return annotate.search(part_index(spark, sf_dir), "PC").select("name", "adduct", "seq")
 
 
-@query("annotate_peak", f"WITH {INDEX}, q AS (SELECT 0 AS query_id, 758.5705::DOUBLE AS mz), {HITS.format(ppm=50)} SELECT name, adduct, ppm_error, rank FROM ranked")
+@query("annotate_peak", f"WITH {PART_INDEX}, {iq.PEAKS}, q AS (SELECT mz FROM peaks GROUP BY mz ORDER BY sum(intensity) DESC, mz LIMIT 1), {PART_HITS.format(ppm=400)} SELECT round(mz, 6) AS mz_query, name, adduct, ppm_error, rank FROM ranked")
 def annotate_peak(spark, sf_dir):
-    one = spark.createDataFrame([(0, 758.5705)], "query_id long, mz double")
-    return annotate.annotate_peaks(one, index(spark), 50.0, None).select("name", "adduct", "ppm_error", "rank")
+    """All names for the strongest m/z of all spectra, within a wide tolerance."""
+    top = fixtures.peaks(spark, sf_dir).groupBy("mz").agg(F.sum("intensity").alias("s")).orderBy(F.desc("s"), "mz").first()["mz"]
+    return annotate.Annotator(spark, "neg", 400.0, compounds=fixtures.compounds(spark, sf_dir)).peak(top).select("mz_query", "name", "adduct", "ppm_error", "rank")
 
 
-@query("annotate_peak_list", f"WITH {INDEX}, {PATHWAYS}, {MARKERS}, {HITS.format(ppm=5)} SELECT query_id, name, adduct, ppm_error, rank, round(1 / (1 + ppm_error), 6) AS confidence_score, coalesce(p.pathways, '') AS pathways FROM ranked LEFT JOIN pathways p USING (subclass) WHERE rank <= 3")
+@query("annotate_peak_list", f"WITH {PART_INDEX}, {PATHWAYS}, {iq.PEAKS}, q AS (SELECT spectrum_id, mz, intensity FROM peaks), {PART_HITS.format(ppm=5)} SELECT spectrum_id, round(mz, 6) AS mz_query, intensity, name, adduct, ppm_error, rank, round(1 / (1 + ppm_error), 6) AS confidence_score, coalesce(p.pathways, '') AS pathways FROM q JOIN ranked USING (mz) LEFT JOIN pathways p USING (subclass) WHERE rank <= 3")
 def annotate_peak_list(spark, sf_dir):
-    idx = index(spark)
-    found = annotate.annotate_peaks(catalogue.markers(spark, idx), idx, 5.0, 3, pathways=catalogue.pathways(spark))
-    return found.select("query_id", "name", "adduct", "ppm_error", "rank", "confidence_score", "pathways")
+    """Names, confidence and pathways for every peak."""
+    queries = fixtures.peaks(spark, sf_dir).select("spectrum_id", "mz", "intensity").withColumn("query_id", F.monotonically_increasing_id())
+    found = annotate.annotate_peaks(queries, part_index(spark, sf_dir), 5.0, 3, pathways=catalogue.pathways(spark))
+    return found.select("spectrum_id", "mz_query", "intensity", "name", "adduct", "ppm_error", "rank", "confidence_score", "pathways")
+
+
+@query("ppm_filter", f"WITH {PART_INDEX}, {iq.PEAKS}, q AS (SELECT mz FROM peaks), {PART_HITS.format(ppm=5)} SELECT round(mz, 6) AS mz, name, adduct, ppm_error FROM near WHERE ppm_error <= 2.5")
+def ppm_filter(spark, sf_dir):
+    """Of the hits within 5 ppm of any m/z, those within 2.5."""
+    queries = fixtures.peaks(spark, sf_dir).select("mz").distinct()
+    return annotate.ppm_matches(queries, annotate.dbe_filter(part_index(spark, sf_dir)), 5.0).where("ppm_error <= 2.5").select("mz", "name", "adduct", "ppm_error")
 
 
 @query("peak_intensity_filter", f"WITH {iq.PEAKS} SELECT spectrum_id, round(mz, 6) AS mz, intensity FROM peaks WHERE intensity > (SELECT quantile_cont(intensity, 0.9) FROM peaks WHERE intensity > 0)")

@@ -69,12 +69,17 @@ def explode_peaks(spark, sf_dir):
     return mz.explode_peaks(fixtures.spectra(spark, sf_dir))
 
 
-MALFORMED = [(1, [1.0, 2.0], [3.0, 4.0]), (2, [], []), (3, [1.0], [1.0, 2.0]), (4, None, [1.0]), (5, [1.0], None), (6, [5.0], [])]
+@query("malformed_spectra", f"""WITH {PEAKS}, n AS (SELECT spectrum_id, count(*) AS n, spectrum_id % 11 AS kind FROM peaks GROUP BY spectrum_id)
+  SELECT spectrum_id, CASE WHEN kind IN (0, 3) THEN 'missing' WHEN kind IN (1, 4) OR n = 1 THEN 'empty' ELSE 'unequal' END AS reason FROM n WHERE kind < 5""")
+def malformed_spectra(spark, sf_dir):
+    """Spectra that some arrays were taken from are told with the reason; the others are sound."""
+    return mz.rejects(fixtures.spoiled_spectra(spark, sf_dir)).select("spectrum_id", "reason")
 
 
-@query("malformed_spectra", "SELECT * FROM (VALUES (2::BIGINT, 'empty'), (3, 'unequal'), (4, 'missing'), (5, 'missing'), (6, 'empty')) t(spectrum_id, reason)")
-def malformed_spectra(spark, sf_dir):
-    return mz.rejects(spark.createDataFrame(MALFORMED, "spectrum_id long, mz array<double>, intensity array<double>")).select("spectrum_id", "reason")
+@query("sound_spectra", f"""WITH {PEAKS} SELECT spectrum_id, count(*) AS n_peaks, sum(intensity) AS sum_intensity FROM peaks WHERE spectrum_id % 11 >= 5 GROUP BY spectrum_id""")
+def sound_spectra(spark, sf_dir):
+    s = mz.sound(fixtures.spoiled_spectra(spark, sf_dir))
+    return s.select("spectrum_id", F.size("mz").alias("n_peaks"), F.expr("aggregate(intensity, 0D, (a, v) -> a + v)").alias("sum_intensity"))
 
 
 @query("sample_spectra", f"WITH {PEAKS}, s AS (SELECT spectrum_id, count(*) AS n_peaks FROM peaks GROUP BY spectrum_id) SELECT spectrum_id, n_peaks FROM s ORDER BY md5(concat(spectrum_id, ':42')), spectrum_id LIMIT 50")
@@ -107,12 +112,20 @@ def normalize_median(spark, sf_dir):
     return _normalised(spark, sf_dir, "median")
 
 
-@query("fixed_axis", "SELECT CAST(k AS BIGINT) AS bin, round(600.0 + k * 0.1::DOUBLE, 6) AS mz, round(600.0 + k * 0.1::DOUBLE + 0.1::DOUBLE, 6) AS hi FROM range(5001) t(k)")
+def _ends(spark, sf_dir):
+    """Whole m/z around all peaks."""
+    return fixtures.peaks(spark, sf_dir).agg(F.floor(F.min("mz")).cast("double"), F.ceil(F.max("mz")).cast("double")).first()
+
+
+ENDS = PEAKS + ", ends AS (SELECT floor(min(mz)) AS lo, ceil(max(mz)) AS hi FROM peaks)"
+
+
+@query("fixed_axis", f"WITH {ENDS} SELECT k AS bin, round(lo + k * 0.1::DOUBLE, 6) AS mz, round(lo + k * 0.1::DOUBLE + 0.1::DOUBLE, 6) AS hi FROM (SELECT lo, unnest(range(ceil((hi + 0.05 - lo) / 0.1)::BIGINT)) AS k FROM ends)")
 def fixed_axis(spark, sf_dir):
-    return mz.fixed_axis(spark).select("bin", "mz", "hi")
+    return mz.fixed_axis(spark, *_ends(spark, sf_dir)).select("bin", "mz", "hi")
 
 
-_ADAPTIVE = """WITH RECURSIVE e(k, m) AS (SELECT 0::BIGINT, 350.0::DOUBLE UNION ALL SELECT k + 1, m + least(1.0::DOUBLE, greatest(0.01::DOUBLE, {step})) FROM e WHERE m < 550),
+_ADAPTIVE = "WITH RECURSIVE " + ENDS + """, e(k, m) AS (SELECT 0::BIGINT, lo FROM ends UNION ALL SELECT k + 1, m + least(1.0::DOUBLE, greatest(0.01::DOUBLE, {step})) FROM e WHERE m < (SELECT hi FROM ends)),
   b AS (SELECT k AS bin, m AS lo, lead(m) OVER (ORDER BY k) AS hi FROM e) """
 
 
@@ -122,18 +135,18 @@ def _adaptive_rows(spark, edges):
 
 @query("adaptive_axis_rp", _ADAPTIVE.format(step="m / 2000") + "SELECT bin, round(lo, 6) AS lo, round(hi, 6) AS hi FROM b WHERE hi IS NOT NULL")
 def adaptive_axis_rp(spark, sf_dir):
-    return _adaptive_rows(spark, mz.adaptive_edges(LO, HI, resolving_power=2000))
+    return _adaptive_rows(spark, mz.adaptive_edges(*_ends(spark, sf_dir), resolving_power=2000))
 
 
 @query("adaptive_axis_ppm", _ADAPTIVE.format(step="m * 300 / 1e6") + "SELECT bin, round(lo, 6) AS lo, round(hi, 6) AS hi FROM b WHERE hi IS NOT NULL")
 def adaptive_axis_ppm(spark, sf_dir):
-    return _adaptive_rows(spark, mz.adaptive_edges(LO, HI, ppm=300))
+    return _adaptive_rows(spark, mz.adaptive_edges(*_ends(spark, sf_dir), ppm=300))
 
 
 @query("axis_diagnostics", _ADAPTIVE.format(step="m / 2000") + """, d AS (SELECT hi - lo AS width, ((lo + hi) / 2)::REAL::DOUBLE AS mz FROM b WHERE hi IS NOT NULL)
   SELECT count(*) AS n_bins, round(min(width), 6) AS min_width, round(max(width), 6) AS max_width, round(min(width / mz * 1e6), 3) AS min_ppm, round(max(width / mz * 1e6), 3) AS max_ppm FROM d""")
 def axis_diagnostics(spark, sf_dir):
-    found = mz.axis_diagnostics(mz.adaptive_axis(spark, mz.adaptive_edges(LO, HI, resolving_power=2000)))
+    found = mz.axis_diagnostics(mz.adaptive_axis(spark, mz.adaptive_edges(*_ends(spark, sf_dir), resolving_power=2000)))
     return found.withColumns({c: F.round(c, 3) for c in ("min_ppm", "max_ppm")})
 
 
@@ -142,7 +155,7 @@ def bin_fixed(spark, sf_dir):
     return binned(spark, sf_dir).groupBy("bin").agg(F.count("*").alias("n"), F.sum("intensity").alias("intensity"))
 
 
-@query("bin_adaptive", _ADAPTIVE.format(step="m / 2000") + ", " + PEAKS + " SELECT bin, count(*) AS n, sum(intensity) AS intensity FROM peaks JOIN b ON mz >= lo AND mz < hi GROUP BY bin")
+@query("bin_adaptive", _ADAPTIVE.format(step="m / 2000") + " SELECT bin, count(*) AS n, sum(intensity) AS intensity FROM peaks JOIN b ON mz >= lo AND mz < hi GROUP BY bin")
 def bin_adaptive(spark, sf_dir):
     found = mz.bin_adaptive(fixtures.peaks(spark, sf_dir), mz.adaptive_edges(LO, HI, resolving_power=2000))
     return found.groupBy("bin").agg(F.count("*").alias("n"), F.sum("intensity").alias("intensity"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import table
 
 IMAGE = "fx"
+SUBCLASSES = ("PC", "PE", "Cer", "FA", "none")
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,3 +42,22 @@ def sparse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def surrogate_labels(masked: DataFrame) -> DataFrame:
     """Labels of mask pixels (image_id, x, y): each 4 x 4 square of the grid is a cell."""
     return masked.select("image_id", "x", "y", (F.lit(1) + F.floor(F.col("y") / 4) * 32 + F.floor(F.col("x") / 4)).cast("int").alias("cell_id"))
+
+
+def spoiled_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spectra, of which some have lost an array, its values or its last value, by a rule of their number."""
+    kind, none = F.col("spectrum_id") % 11, F.array().cast("array<double>")
+    mz = F.when(kind == 0, F.lit(None)).when(kind == 1, none).when(kind == 2, F.slice("mz", 1, F.size("mz") - 1)).otherwise(F.col("mz"))
+    intensity = F.when(kind == 3, F.lit(None)).when(kind.isin(1, 4), none).otherwise(F.col("intensity"))
+    return spectra(spark, sf_dir).select("image_id", "spectrum_id", "x", "y", mz.alias("mz"), intensity.alias("intensity"))
+
+
+def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compounds from part, as a catalogue has them: formulas by size and key, masses near what lineitem's peaks weigh as [M-H]-."""
+    key = F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    formula = F.concat(F.lit("C"), text(F.col("p_size")), F.lit("H"), text(key % 97 + 2), F.when(key % 3 == 0, F.concat(F.lit("N"), text(key % 5 + 1))).otherwise(""), F.lit("O"), F.when(key % 4 == 0, "CH3").otherwise("2P"))
+    return table(spark, sf_dir, "part").select(
+        key.cast("int").alias("seq"), F.col("p_name").alias("name"), formula.alias("formula"), (F.lit(351.057276) + F.lit(0.1) * (key % 2000) + F.lit(0.0007) * (key % 7 - 3)).alias("neutral_mass"),
+        F.col("p_brand").alias("class"), F.get(F.array(*map(F.lit, SUBCLASSES)), (key % len(SUBCLASSES)).cast("int")).alias("subclass"), F.lit("").alias("hmdb"), F.lit("").alias("lipidmaps"),
+        F.get(F.array(F.lit("both"), F.lit("neg"), F.lit("pos")), (key % 3).cast("int")).alias("mode"))
