@@ -154,6 +154,82 @@ def boundary_pixels(labels: DataFrame) -> DataFrame:
     return labels.join(same, [*PIXEL, "cell_id"], "left_anti")
 
 
+#: Sides of a pixel in the order in which a contour turns: right, down, left, up.
+SIDES = ((1, 0), (0, 1), (-1, 0), (0, -1))
+
+
+def contour_segments(labels: DataFrame) -> DataFrame:
+    """(image_id, cell_id, x2, y2, to_x2, to_y2): the contour of each cell at half between its pixels and what isn't the cell's.
+
+    Marching squares on 0 and 1: a vertex lies between a pixel of the cell and a 4-neighbour outside, in doubled
+    coordinates; each has one segment to the next vertex, with the cell on its right hand (y pointing down). Pixels that
+    only touch at a corner are told apart. Everything beyond an image's pixels is outside. `labels` has one row for each pixel.
+    """
+    sides = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(v).alias(n) for n, v in zip(("dx", "dy", "tx", "ty"), (*SIDES[k], *SIDES[(k + 1) % 4])))) for k in range(4)))
+    own = labels.select(*PIXEL, "cell_id")
+    each = own.withColumn("s", F.explode(sides)).select(*PIXEL, "cell_id", "s.*")
+    key = ["image_id", "cell_id"]
+    there = lambda dx, dy, name: own.select(*key, (F.col("x") - dx).alias("_x"), (F.col("y") - dy).alias("_y"), F.lit(True).alias(name))
+
+    def known(rows: DataFrame, x: F.Column, y: F.Column, name: str) -> DataFrame:
+        return rows.withColumns({"_x": x, "_y": y}).join(there(0, 0, name), [*key, "_x", "_y"], "left").drop("_x", "_y")
+
+    out = known(each, F.col("x") + F.col("dx"), F.col("y") + F.col("dy"), "q").where("q is null").drop("q")
+    out = known(out, F.col("x") + F.col("tx"), F.col("y") + F.col("ty"), "ahead")
+    out = known(out, F.col("x") + F.col("dx") + F.col("tx"), F.col("y") + F.col("dy") + F.col("ty"), "beside")
+    # Ahead outside: round the pixel's corner. Else straight on, or into the corner before the pixel beside it.
+    nx = F.when(F.col("ahead").isNull(), 2 * F.col("x") + F.col("tx")).when(F.col("beside").isNull(), 2 * (F.col("x") + F.col("tx")) + F.col("dx")).otherwise(2 * (F.col("x") + F.col("dx")) + F.col("tx"))
+    ny = F.when(F.col("ahead").isNull(), 2 * F.col("y") + F.col("ty")).when(F.col("beside").isNull(), 2 * (F.col("y") + F.col("ty")) + F.col("dy")).otherwise(2 * (F.col("y") + F.col("dy")) + F.col("ty"))
+    return out.select(*key, (2 * F.col("x") + F.col("dx")).alias("x2"), (2 * F.col("y") + F.col("dy")).alias("y2"), nx.alias("to_x2"), ny.alias("to_y2"))
+
+
+def contour_rings(labels: DataFrame) -> DataFrame:
+    """(image_id, cell_id, ring, place, x, y): closed rings around each cell and its holes, vertex by vertex.
+
+    ring numbers a cell's rings by their first vertex (least y, then x), from 1; place counts from 0 there, along
+    `contour_segments`. Segments are chained by pointer jumping: each round, every vertex learns what the vertex it
+    points to has learnt, and points twice as far; rounds are written tables, as many as the logarithm of the longest
+    ring. Rings of any length are spread over tasks.
+    """
+    key = ["image_id", "cell_id"]
+    scratch, now = Scratch(), Scratch()
+    segments = scratch.written(contour_segments(labels), "segments")
+    vertex = lambda y, x: F.struct(F.col(y).alias("y2"), F.col(x).alias("x2"))
+    links = scratch.written(segments.select(*key, vertex("y2", "x2").alias("v"), vertex("to_y2", "to_x2").alias("to")), "links")
+    state = now.written(links.select(*key, "v", "to", F.least("v", "to").alias("low")), "rings")
+    while True:  # the least vertex of each ring
+        ahead = state.select(*key, F.col("v").alias("to"), F.col("to").alias("next"), F.col("low").alias("low_next"))
+        following = Scratch()
+        new = following.written(state.join(ahead, [*key, "to"]).select(*key, "v", F.col("next").alias("to"), F.least("low", "low_next").alias("low"), (F.col("low_next") < F.col("low")).alias("changed")), "rings")
+        settled = new.where("changed").isEmpty()
+        now.clear()
+        now, state = following, new.drop("changed")
+        if settled:
+            break
+    lows = scratch.written(state.select(*key, "v", "low"), "lows")
+    now.clear()
+    # How far it is to the ring's least vertex: pointers end there.
+    now = Scratch()
+    state = now.written(links.join(lows, [*key, "v"]).select(*key, "v", "low", "to", F.lit(1).cast("long").alias("steps")), "steps")
+    while True:
+        ahead = state.select(*key, F.col("v").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
+        going = state.where("to <> low")
+        if going.isEmpty():
+            break
+        following = Scratch()
+        new = going.join(ahead, [*key, "to"]).select(*key, "v", "low", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"))
+        new = following.written(new.unionByName(state.where("to = low")), "steps")
+        now.clear()
+        now, state = following, new
+    sizes = state.groupBy(*key, "low").agg(F.max("steps").alias("n"))
+    numbers = sizes.withColumn("ring", F.row_number().over(W.partitionBy(*key).orderBy("low")))
+    out = state.join(numbers, [*key, "low"]).select(*key, "ring", (F.col("n") - F.col("steps")).alias("place"), (F.col("v.x2") / 2).alias("x"), (F.col("v.y2") / 2).alias("y"))
+    out = written(out, "contours")
+    now.clear()
+    scratch.clear()
+    return out
+
+
 def ion_map(cube: DataFrame, axis: DataFrame, labels: DataFrame, mz: float, tolerance: float = 0.1, clip_min: float = 0.0, clip_max: float | None = None, sigma: float = 0.0) -> DataFrame:
     """Sum of the bins within `tolerance` of an m/z per labelled pixel; clipped only if `clip_max` is given."""
     out = multi_ion_map(cube, axis, labels, [mz], tolerance, normalize_each=False, sigma=sigma).drop("ion")

@@ -280,6 +280,28 @@ def cell_boundary_pixels(spark, sf_dir):
     return image.boundary_pixels(labels(spark, sf_dir))
 
 
+#: Vertices between a cell's pixel p and a side outside; (tx, ty) is the way on, with the cell on the right hand.
+SEGMENTS = LABELS + """, sides(dx, dy, tx, ty) AS (VALUES (1, 0, 0, 1), (0, 1, -1, 0), (-1, 0, 0, -1), (0, -1, 1, 0)),
+  edges AS (SELECT l.cell_id, l.x, l.y, dx, dy, tx, ty, a.x IS NOT NULL AS ahead, b.x IS NOT NULL AS beside FROM labels l CROSS JOIN sides
+    LEFT JOIN labels q ON q.cell_id = l.cell_id AND q.x = l.x + dx AND q.y = l.y + dy LEFT JOIN labels a ON a.cell_id = l.cell_id AND a.x = l.x + tx AND a.y = l.y + ty
+    LEFT JOIN labels b ON b.cell_id = l.cell_id AND b.x = l.x + dx + tx AND b.y = l.y + dy + ty WHERE q.x IS NULL),
+  segments AS (SELECT cell_id, 2 * x + dx AS x2, 2 * y + dy AS y2, CASE WHEN NOT ahead THEN 2 * x + tx WHEN NOT beside THEN 2 * (x + tx) + dx ELSE 2 * (x + dx) + tx END AS to_x2,
+    CASE WHEN NOT ahead THEN 2 * y + ty WHEN NOT beside THEN 2 * (y + ty) + dy ELSE 2 * (y + dy) + ty END AS to_y2 FROM edges)"""
+
+
+@query("contour_segments", f"WITH {SEGMENTS} SELECT cell_id, x2, y2, to_x2, to_y2 FROM segments")
+def contour_segments(spark, sf_dir):
+    return image.contour_segments(labels(spark, sf_dir))
+
+
+@query("contour_rings", f"""WITH RECURSIVE {SEGMENTS}, walk AS (SELECT cell_id, x2 AS sx, y2 AS sy, x2, y2, 0::BIGINT AS place FROM segments
+    UNION ALL SELECT w.cell_id, sx, sy, to_x2, to_y2, place + 1 FROM walk w JOIN segments s ON s.cell_id = w.cell_id AND s.x2 = w.x2 AND s.y2 = w.y2 WHERE NOT (to_x2 = sx AND to_y2 = sy)),
+  heads AS (SELECT cell_id, sx, sy, row_number() OVER (PARTITION BY cell_id ORDER BY sy, sx) AS ring FROM walk GROUP BY cell_id, sx, sy HAVING min(y2 * 100000 + x2) = sy * 100000 + sx)
+  SELECT cell_id, ring, place, x2 / 2 AS x, y2 / 2 AS y FROM walk JOIN heads USING (cell_id, sx, sy)""")
+def contour_rings(spark, sf_dir):
+    return image.contour_rings(labels(spark, sf_dir))
+
+
 @query("size_filter_px", f"WITH {LABELS} SELECT x, y, cell_id FROM labels WHERE cell_id IN (SELECT cell_id FROM labels GROUP BY cell_id HAVING count(*) BETWEEN 3 AND 6)")
 def size_filter_px(spark, sf_dir):
     return image.size_filter(labels(spark, sf_dir), 3, 6)

@@ -334,3 +334,61 @@ def test_exact_quantiles(spark, monkeypatch):
         monkeypatch.setattr(quantiles, "FEW", 100)
         assert quantiles.exact_quantiles(df, "v", (0.0, 0.01, 0.3, 0.5, 0.999, 1.0)) == pytest.approx(np.quantile(values, (0.0, 0.01, 0.3, 0.5, 0.999, 1.0)).tolist())
     assert quantiles.exact_quantiles(df.limit(0), "v", (0.5,)) == [None]
+
+
+def brute_rings(mask: np.ndarray) -> list[list[tuple[float, float]]]:
+    """Rings of (x, y), each from its least (y, x), by walking along the sides with the inside on the right hand."""
+    inside = lambda x, y: 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and bool(mask[y, x])
+    todo = {(x, y, k) for y in range(mask.shape[0]) for x in range(mask.shape[1]) for k, (a, b) in enumerate(image.SIDES) if inside(x, y) and not inside(x + a, y + b)}
+    out = []
+    while todo:
+        x, y, k = start = min(todo)
+        ring = []
+        while (x, y, k) in todo:
+            todo.remove((x, y, k))
+            (a, b), (s, t) = image.SIDES[k], image.SIDES[(k + 1) % 4]
+            ring.append((x + a / 2, y + b / 2))
+            if not inside(x + s, y + t):
+                k = (k + 1) % 4
+            elif inside(x + a + s, y + b + t):
+                x, y, k = x + a + s, y + b + t, (k + 3) % 4
+            else:
+                x, y = x + s, y + t
+        assert (x, y, k) == start
+        least = min(range(len(ring)), key=lambda i: ring[i][::-1])
+        out.append(ring[least:] + ring[:least])
+    return sorted(out, key=lambda r: r[0][::-1])
+
+
+def test_contours_like_brute_force(spark):
+    """Holes, pixels that touch at corners, single pixels, a long snake, two images."""
+    rng = np.random.default_rng(4)
+    hole = np.ones((7, 7), bool)
+    hole[2:4, 2:4] = hole[4, 4] = False
+    snake = np.zeros((21, 41), bool)
+    snake[::2] = True
+    snake[1::4, -1] = snake[3::4, 0] = True
+    masks = {("a", 1): hole, ("a", 2): np.eye(5, dtype=bool), ("b", 1): rng.random((12, 15)) < 0.6, ("b", 9): snake, ("b", 3): np.ones((1, 1), bool)}
+    rows = [(i, int(x), int(y), c) for (i, c), m in masks.items() for y, x in zip(*np.nonzero(m))]
+    found: dict = {}
+    for r in image.contour_rings(spark.createDataFrame(rows, "image_id string, x int, y int, cell_id int")).orderBy("image_id", "cell_id", "ring", "place").collect():
+        found.setdefault((r["image_id"], r["cell_id"]), {}).setdefault(r["ring"], []).append((r["place"], r["x"], r["y"]))
+    for k, m in masks.items():
+        want = brute_rings(m)
+        assert [[(x, y) for _, x, y in ring] for ring in found[k].values()] == want and list(found[k]) == list(range(1, len(want) + 1))
+        assert all([p for p, *_ in ring] == list(range(len(ring))) for ring in found[k].values())
+    assert len(found["a", 1]) == 2 and len(found["a", 2]) == 5
+    assert image.contour_rings(spark.createDataFrame([], "image_id string, x int, y int, cell_id int")).collect() == []
+
+
+@pytest.mark.parametrize("rank", [64, 5])
+def test_components_without_the_matrix(spark, rank):
+    """Equal to those of the whole scatter matrix, where cells span all bins and where they don't."""
+    rng = np.random.default_rng(rank)
+    x = rng.normal(size=(300, rank)) @ rng.normal(size=(rank, 64)) + 5
+    x -= x.mean(axis=0)
+    found = clusters.principal_components(spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>"), 3)
+    values, vectors = np.linalg.eigh(x.T @ x)
+    want = vectors[:, ::-1][:, :3]
+    want = want * np.where(want[np.abs(want).argmax(axis=0), range(3)] < 0, -1, 1)
+    assert found.shape == (64, 3) and np.abs(found - want).max() < 1e-6
