@@ -147,8 +147,9 @@ def _sums(points: DataFrame, stat, models: list) -> list[np.ndarray]:
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(0))
-                rows = [(m, k, v) for m, model in enumerate(models) for k, v in enumerate(stat(model, x).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(3)], ["m", "k", "v"])
+                sums = [stat(model, x) for model in models]
+                sizes = list(map(len, sums))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(sums)), sizes)), pa.array(np.concatenate([np.arange(n) for n in sizes])), pa.array(np.concatenate(sums))], ["m", "k", "v"])
 
     found = points.select("embedding").mapInArrow(run, "m long, k long, v double").groupBy("m", "k").agg(F.sum("v").alias("v")).collect()
     out: list[dict[int, float]] = [{} for _ in models]
@@ -176,8 +177,19 @@ def _stepped(model: Mixture, sums: np.ndarray, covariance: str, reg: float) -> M
     return Mixture(n / n.sum(), means, own + reg * np.eye(d), like)
 
 
-def _starts(points: DataFrame, ks: list[int], restarts: int, seed: int, sample: int = 2000) -> dict[tuple[int, int], np.ndarray]:
-    """Starting centres for each (k, restart), spread out over a sample of points by a hash: a bound of the starts alone."""
+def _settled(centres: np.ndarray, x: np.ndarray, weights, tol: float, rounds: int = 2000) -> np.ndarray:
+    """Centres after rounds over the points `x` alone, until they move by less than `tol`."""
+    for _ in range(rounds):
+        w = weights(centres, x)
+        new = (w.T @ x) / w.sum(axis=0)[:, None]
+        if np.abs(new - centres).max() < tol:
+            return new
+        centres = new
+    return centres
+
+
+def _starts(points: DataFrame, ks: list[int], restarts: int, seed: int, sample: int = 2000, with_sample: bool = False):
+    """Starting centres for each (k, restart), spread out over a sample of points by a hash: a bound of the starts alone. With the sample before them if asked for."""
     rows = points.select("embedding", F.xxhash64("embedding", F.lit(seed)).alias("h")).orderBy("h").limit(sample).collect()
     x, random = np.array([r["embedding"] for r in rows], float), np.random.default_rng(seed)
     out = {}
@@ -188,7 +200,7 @@ def _starts(points: DataFrame, ks: list[int], restarts: int, seed: int, sample:
                 d2 = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
                 centres.append(x[random.choice(len(x), p=d2 / d2.sum())] if d2.sum() > 0 else x[random.integers(len(x))])
             out[k, t] = np.array(centres)
-    return out
+    return (x, out) if with_sample else out
 
 
 def sound(model: Mixture) -> bool:
@@ -325,7 +337,9 @@ def fcm_clusters(points: DataFrame, k: int | None = None, least: int = 2, most:
     points = written(points, "points")
     ks = [k] if k else list(range(least, most + 1))
     u_of = fuzzy_memberships(m, distance_power)
-    found = {c: centres for (c, _), centres in _starts(points, ks, 1, seed).items()}
+    # Rounds over the bounded sample that centres start from are cheap; what they end at is where the rounds over all points start.
+    sample, starts = _starts(points, ks, 1, seed, with_sample=True)
+    found = {c: _settled(centres, sample, lambda own, x: u_of(own, x) ** m, tol) for (c, _), centres in starts.items()}
     moving = set(found)
     for _ in range(rounds):  # all k that still move share a scan
         keys = sorted(moving)

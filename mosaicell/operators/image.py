@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,68 @@ def gaussian_smooth(pixels: DataFrame, sigma: float, value: str = "tic") -> Data
     return _smooth_along(_smooth_along(bounded, "y", kernel, value), "x", kernel, value).select(*PIXEL, value)
 
 
+def spline_lines(lines: np.ndarray, size: int) -> np.ndarray:
+    """Lines (rows of an array) at `size` places spread evenly from their first to their last value, by cubic splines mirrored at both ends.
+
+    The coefficients' tridiagonal system is solved by a forward and a backward recurrence over all lines at once.
+    """
+    n = lines.shape[1]
+    if n == 1:
+        return np.repeat(lines, size, axis=1)
+    # (c[i-1] + 4 c[i] + c[i+1]) / 6 = value; at the ends the missing neighbour is the other one.
+    above, right = np.empty(n), np.empty_like(lines, float)
+    above[0], right[:, 0] = 0.5, 6 * lines[:, 0] / 4
+    for i in range(1, n):
+        below = 2.0 if i == n - 1 else 1.0
+        pivot = 4 - below * above[i - 1]
+        above[i] = 1 / pivot
+        right[:, i] = (6 * lines[:, i] - below * right[:, i - 1]) / pivot
+    for i in range(n - 2, -1, -1):
+        right[:, i] -= above[i] * right[:, i + 1]
+    at = np.arange(size) * ((n - 1) / (size - 1)) if size > 1 else np.zeros(1)
+    first = np.minimum(np.floor(at).astype(int), n - 1)
+    t = at - first
+    weights = ((1 - t) ** 3 / 6, (3 * t**3 - 6 * t**2 + 4) / 6, (-3 * t**3 + 3 * t**2 + 3 * t + 1) / 6, t**3 / 6)
+    mirrored = lambda i: (n - 1) - np.abs((n - 1) - np.abs(i) % (2 * (n - 1)))
+    return sum(w * right[:, mirrored(first + k)] for w, k in zip(weights, (-1, 0, 1, 2)))
+
+
+def _zoomed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each new place of each line: (image_id, line, place, v); lines have their values by place, absent ones are 0."""
+    for batch in batches:
+        long, short = batch.column("n").to_numpy(), batch.column("size").to_numpy()
+        out = []
+        for n, size in sorted(set(zip(long.tolist(), short.tolist()))):
+            rows = np.flatnonzero((long == n) & (short == size))
+            dense = np.zeros((len(rows), n))
+            for k, r in enumerate(rows.tolist()):
+                entries = batch.column("e")[r].values
+                dense[k, entries.field("i").to_numpy()] = entries.field("v").to_numpy()
+            out.append((np.repeat(rows, size), np.tile(np.arange(size), len(rows)), spline_lines(dense, size).ravel()))
+        rows, place, v = (np.concatenate(c) if out else np.empty(0, int) for c in zip(*out)) if out else (np.empty(0, int),) * 3
+        take = pa.array(rows)
+        yield pa.RecordBatch.from_arrays([batch.column("image_id").take(take), batch.column("line").take(take), pa.array(place, pa.int32()), pa.array(v, pa.float64())], ["image_id", "line", "place", "v"])
+
+
+def spline_zoom(pixels: DataFrame, zoom: float, value: str = "tic") -> DataFrame:
+    """(image_id, x, y, value) of each image on a grid `zoom` times as fine, by cubic splines: first along rows, then along columns.
+
+    The grid reaches from the image's least to its largest coordinate, absent pixels are zeros; the new one has
+    round(size x zoom) places each way, numbered from 0, the first and last on the old ones. A line is the unit of work.
+    """
+    bounds = grid_bounds(pixels)
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    own = pixels.join(bounds, "image_id").select("image_id", (F.col("y") - F.col("y0")).cast("int").alias("line"), (F.col("x") - F.col("x0")).cast("int").alias("i"), F.col(value).cast("double").alias("v"), "width", "height")
+
+    def along(rows: DataFrame, n: str) -> DataFrame:
+        size = F.greatest(F.round(F.col(n) * F.lit(float(zoom))), F.lit(1)).cast("int")
+        lines = rows.groupBy("image_id", "line", F.col(n).cast("int").alias("n"), size.alias("size")).agg(F.collect_list(F.struct("i", "v")).alias("e"))
+        return lines.mapInArrow(_zoomed, f"image_id {kind}, line int, place int, v double")
+
+    wide = along(own, "width").join(bounds.select("image_id", "height"), "image_id").select("image_id", F.col("place").alias("line"), F.col("line").alias("i"), "v", "height")
+    return along(wide, "height").select("image_id", F.col("line").alias("x"), F.col("place").alias("y"), F.col("v").alias(value))
+
+
 def _offsets(rows: int, columns: int) -> F.Column:
     return F.array(*(F.struct(F.lit(b).alias("dx"), F.lit(a).alias("dy")) for a in range(-(rows // 2), rows - rows // 2) for b in range(-(columns // 2), columns - columns // 2)))
 

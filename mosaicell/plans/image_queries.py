@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mz
-from ..functions.tables import written
+from ..functions.tables import shared_folder, written
 from ..operators import cells, image, threshold
-from ..sources import fixtures
+from ..sources import cube_store, fixtures
 from .registry import query
 
 LO, HI, WIDTH = 350.0, 550.0, 0.1
@@ -330,6 +332,23 @@ def ion_map(spark, sf_dir):
     return image.ion_map(cube(spark, sf_dir), axis(spark), labels(spark, sf_dir), 355.0, 2.05)
 
 
+def _stored(spark, sf_dir, mzs):
+    path = f"{shared_folder(spark)}/cube-{uuid.uuid4().hex}"
+    cube_store.write_cube(cube(spark, sf_dir), path)
+    return cube_store.read_cube(spark, path, cube_store.bins_of(axis(spark), mzs, 2.05))
+
+
+@query("ion_map_stored", f"WITH {LABELLED_CUBE}, w AS ({_ION.format(n=N_BINS, ions='(355.0::DOUBLE)')}) SELECT x, y, sum(intensity) AS intensity FROM cube JOIN w USING (bin) JOIN labels USING (x, y) GROUP BY x, y")
+def ion_map_stored(spark, sf_dir):
+    """The map from a stored cube, of which only the wanted ranges are read."""
+    return image.ion_map(_stored(spark, sf_dir, [355.0]), axis(spark), labels(spark, sf_dir), 355.0, 2.05)
+
+
+@query("spline_zoom")
+def spline_zoom(spark, sf_dir):
+    return image.spline_zoom(tic(spark, sf_dir), 1.5)
+
+
 @query("multi_ion_map", f"""WITH {LABELLED_CUBE}, w AS ({_ION.format(n=N_BINS, ions='(355.0::DOUBLE), (360.5), (369.9)')}), m AS (SELECT x, y, i AS ion, sum(intensity) AS v FROM cube JOIN w USING (bin) JOIN labels USING (x, y) GROUP BY x, y, i)
   SELECT x, y, ion, round(v / max(v) OVER (PARTITION BY ion), 6) AS intensity FROM m""")
 def multi_ion_map(spark, sf_dir):

@@ -7,6 +7,7 @@ import pytest
 from mosaicell.functions import mz, quantiles
 from mosaicell.operators import cells, clusters, image, threshold
 from mosaicell.pipeline import Imaging
+from mosaicell.sources import cube_store
 from mosaicell.sources.imzml import ImzML, export_images, export_imzml
 from mosaicell.streaming import tic as stream
 from pyspark.sql import functions as F
@@ -392,3 +393,67 @@ def test_components_without_the_matrix(spark, rank):
     want = vectors[:, ::-1][:, :3]
     want = want * np.where(want[np.abs(want).argmax(axis=0), range(3)] < 0, -1, 1)
     assert found.shape == (64, 3) and np.abs(found - want).max() < 1e-6
+
+
+def dense_zoom(grid: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """By whole matrices: solves for the coefficients, then evaluates the basis."""
+    basis = lambda d: np.where(d < 1, 2 / 3 - d**2 + d**3 / 2, np.where(d < 2, (2 - d) ** 3 / 6, 0))
+
+    def matrix(n: int, size: int) -> np.ndarray:
+        if n == 1:
+            return np.ones((size, 1))
+        far = np.arange(-3, n + 3)
+        fold = np.array([[float(abs((n - 1) - abs((n - 1) - abs(k))) == i) for i in range(n)] for k in far])  # mirrored at 0 and n - 1
+        at = lambda x: basis(np.abs(np.asarray(x, float)[:, None] - far)) @ fold
+        return at(np.linspace(0, n - 1, size) if size > 1 else [0.0]) @ np.linalg.inv(at(np.arange(n)))
+
+    return matrix(grid.shape[0], rows) @ grid @ matrix(grid.shape[1], columns).T
+
+
+@pytest.mark.parametrize("zoom", [1.5, 2.0, 0.6])
+def test_zoom_like_a_dense_solve(spark, zoom):
+    rng = np.random.default_rng(5)
+    grids = {"a": rng.random((7, 11)) * (rng.random((7, 11)) < 0.7), "b": rng.random((2, 9)), "c": rng.random((1, 5)), "d": rng.random((6, 1))}
+    for g in grids.values():
+        g[0, 0], g[-1, -1] = 1.0, 2.0
+    rows = [(n, int(x) + 3, int(y) - 2, float(g[y, x])) for n, g in grids.items() for y, x in zip(*np.nonzero(g))]
+    found = image.spline_zoom(spark.createDataFrame(rows, "image_id string, x int, y int, tic double"), zoom).toPandas()
+    for n, g in grids.items():
+        want = dense_zoom(g, max(1, int(np.floor(g.shape[0] * zoom + 0.5))), max(1, int(np.floor(g.shape[1] * zoom + 0.5))))
+        own = found[found.image_id == n].sort_values(["y", "x"])
+        assert len(own) == want.size and np.abs(own.tic.to_numpy().reshape(want.shape) - want).max() < 1e-9
+
+
+def test_stored_cube(spark, tmp_path):
+    """Some bins need few of the files; the cube comes back whole."""
+    rng = np.random.default_rng(6)
+    rows = sorted({(f"i{k % 2}", int(rng.integers(40)), int(rng.integers(30)), int(rng.integers(300))) for k in range(4000)})
+    cube = spark.createDataFrame([(*r, float(k)) for k, r in enumerate(rows)], "image_id string, x int, y int, bin int, intensity double")
+    cube_store.write_cube(cube, f"{tmp_path}/cube", bins=16)
+    whole, some = cube_store.read_cube(spark, f"{tmp_path}/cube"), cube_store.read_cube(spark, f"{tmp_path}/cube", [17, 18, 250])
+    assert sorted(whole.select(*cube.columns).collect()) == sorted(cube.collect())
+    assert sorted(some.select(*cube.columns).collect()) == sorted(cube.where("bin in (17, 18, 250)").collect())
+
+
+    def run(df):
+        df = df.select(*cube.columns)
+        qe = df._jdf.queryExecution()
+        qe.executedPlan().executeCollect()
+        return qe.executedPlan().collectLeaves().head().metrics().apply("numFiles").value()
+
+    assert 2 <= run(some) < run(whole) / 4
+
+
+@pytest.mark.parametrize("sample", [2000, 60])
+def test_fuzzy_means_end_at_a_fixed_point_of_all_points(spark, monkeypatch, sample):
+    """Whether the start has settled on all points or on some of them."""
+    starts = clusters._starts
+    monkeypatch.setattr(clusters, "_starts", lambda *a, **k: starts(*a, **k, sample=sample))
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(80, 3)) + c for c in (0, 3, 6)])
+    points = spark.createDataFrame([("i", k, v.tolist()) for k, v in enumerate(x)], "image_id string, cell_id int, embedding array<double>")
+    found = clusters.fcm_clusters(points, 3)[0].orderBy("cell_id").collect()
+    u = np.array([r["membership"] for r in found])
+    centres = ((u**2).T @ x) / (u**2).sum(axis=0)[:, None]
+    again = clusters.fuzzy_memberships()(centres, x)
+    assert np.abs(again - u).max() < 1e-5 and np.abs(centres.mean(axis=1) - [0, 3, 6]).max() < 0.5
