@@ -6,13 +6,16 @@ and count. Rows are per image.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import grouped_quantiles
-from ..functions.tables import Scratch
+from ..functions.tables import Scratch, written
 from .image import grid_bounds
 
 BINS = 256
@@ -151,33 +154,90 @@ def _mixture(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 300) -> tu
     return pi, mean, var
 
 
-def _by_mixture(rows: pd.DataFrame) -> pd.DataFrame:
+#: Components of the two mixtures; a mixture of two has a third one without weight.
+COMPONENTS = (2, 3)
+_STATE = [f"{c}{j}" for c in "pms" for j in range(max(COMPONENTS))]
+
+
+def _start(rows: pd.DataFrame) -> pd.DataFrame:
+    """Mixtures of a histogram (centre, n): where the rounds over all values start."""
     x, weight = rows["centre"].to_numpy(), rows["n"].to_numpy().astype(float)
     order = np.argsort(x)
-    x, weight, found = x[order], weight[order], []
-    for k in (2, 3):
-        if len(x) < k:
-            continue
-        pi, mean, var = _mixture(x, weight, k)
-        low, high = np.argsort(mean)[:2]
-        grid = np.linspace(mean[low], mean[high], 500)
-        log = np.log(pi) - 0.5 * np.log(var) - (grid[:, None] - mean) ** 2 / (2 * var)
-        p = np.exp(log - log.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        found.append((f"gmm{k}", float(np.expm1(grid[np.abs(p[:, low] - p[:, high]).argmin()]))))
-    return pd.DataFrame({"image_id": rows["image_id"].iloc[0], "method": [m for m, _ in found], "threshold": [t for _, t in found]})
+    found = []
+    for k in COMPONENTS:
+        if len(x) >= k:
+            pad = lambda a, fill: [*a.tolist(), *[fill] * (max(COMPONENTS) - k)]  # noqa: E731,B023
+            pi, mean, var = _mixture(x[order], weight[order], k)
+            found.append((rows["image_id"].iloc[0], k, *pad(pi, 0.0), *pad(mean, 0.0), *pad(var, 1.0)))
+    return pd.DataFrame(found, columns=["image_id", "k", *_STATE])
+
+
+def _crossing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where the two lowest components are equally likely, on a grid of 500 places between their means."""
+    for rows in batches:
+        found = []
+        for r in rows.itertuples():
+            pi, mean, var = (np.array([getattr(r, f"{c}{j}") for j in range(r.k)]) for c in "pms")
+            low, high = np.argsort(mean)[:2]
+            grid = np.linspace(mean[low], mean[high], 500)
+            log = np.log(pi) - 0.5 * np.log(var) - (grid[:, None] - mean) ** 2 / (2 * var)
+            p = np.exp(log - log.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            found.append((r.image_id, f"gmm{r.k}", float(np.expm1(grid[np.abs(p[:, low] - p[:, high]).argmin()]))))
+        yield pd.DataFrame(found, columns=["image_id", "method", "threshold"])
+
+
+def _round(values: DataFrame, state: DataFrame) -> DataFrame:
+    """The mixtures of `state` after a round of expectation and maximisation over `values` (image_id, v, n): one aggregation for all images and both k."""
+    each, js = values.join(state, "image_id"), range(max(COMPONENTS))
+    log = [F.when(F.col(f"p{j}") > 0, F.log(f"p{j}") - 0.5 * F.log(2 * math.pi * F.col(f"s{j}")) - F.pow(F.col("v") - F.col(f"m{j}"), 2) / (2 * F.col(f"s{j}"))).otherwise(F.lit(-1e300)) for j in js]
+    each = each.withColumn("top", F.greatest(*log)).withColumns({f"d{j}": F.exp(log[j] - F.col("top")) for j in js})
+    total = sum((F.col(f"d{j}") for j in js), F.lit(0.0))
+    own = lambda j: F.col("n") * F.col(f"d{j}") / total
+    gap = lambda j: F.col("v") - F.col(f"m{j}")
+    sums = each.groupBy("image_id", "k", *_STATE, F.col("like").alias("was")).agg(
+        F.sum("n").alias("all"), (F.sum(F.col("n") * (F.col("top") + F.log(total))) / F.sum("n")).alias("like"),
+        *(F.sum(own(j)).alias(f"n{j}") for j in js), *(F.sum(own(j) * gap(j)).alias(f"a{j}") for j in js), *(F.sum(own(j) * gap(j) * gap(j)).alias(f"b{j}") for j in js))
+    weight = lambda j: F.col(f"n{j}") + 1e-12
+    there = lambda j, new: F.when(F.col(f"p{j}") > 0, new).otherwise(F.lit(0.0))
+    moved = lambda j: F.col(f"a{j}") / weight(j)
+    return sums.select("image_id", "k", *(there(j, weight(j) / F.col("all")).alias(f"p{j}") for j in js), *(there(j, F.col(f"m{j}") + moved(j)).alias(f"m{j}") for j in js),
+                       *(F.when(F.col(f"p{j}") > 0, F.greatest(F.col(f"b{j}") / weight(j) - moved(j) * moved(j), F.lit(0.0)) + 1e-6).otherwise(F.lit(1.0)).alias(f"s{j}") for j in js), "like", "was")
+
+
+def mixtures(tic: DataFrame, bins: int = 2048, rounds: int = 300, settled: float = 1e-6) -> DataFrame:
+    """(image_id, k, p0.., m0.., s0..): weights, means and variances of mixtures over log1p of the values over 0, of all images.
+
+    They start from mixtures of a histogram of `bins` buckets; then rounds go over all distinct values with their
+    numbers, until an image's mean log-likelihood moves by less than `settled`. Rounds are written tables.
+    """
+    scratch = Scratch()
+    values = scratch.written(tic.where("tic > 0").groupBy("image_id", F.log1p("tic").alias("v")).agg(F.count("*").alias("n")), "values")
+    range_ = values.groupBy("image_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
+    counts = values.join(range_, "image_id").groupBy("image_id", bucket.alias("bucket")).agg(F.sum("n").alias("n"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("centre"))
+    kind = tic.schema["image_id"].dataType.simpleString()
+    state = counts.groupBy("image_id").applyInPandas(_start, f"image_id {kind}, k int, " + ", ".join(f"{c} double" for c in _STATE))
+    now = Scratch()
+    state = now.written(state.withColumns({"like": F.lit(float("-inf")), "was": F.lit(float("inf"))}), "mixtures")
+    still = ~F.coalesce(F.abs(F.col("like") - F.col("was")) < settled, F.lit(False))
+    for _ in range(rounds):
+        if state.where(still).isEmpty():
+            break
+        following = Scratch()
+        new = following.written(_round(values, state.where(still).drop("was")).unionByName(state.where(~still)), "mixtures")
+        now.clear()
+        now, state = following, new
+    out = written(state.select("image_id", "k", *_STATE), "fitted")
+    now.clear()
+    scratch.clear()
+    return out
 
 
 def gmm_thresholds(tic: DataFrame, bins: int = 2048) -> DataFrame:
-    """gmm2 and gmm3: where the two lowest components of a mixture over log1p of the values over 0 are equally likely.
-
-    The mixture is fitted to a histogram of `bins` buckets with their mean, which is all that reaches a task.
-    """
-    logs = tic.where("tic > 0").select("image_id", F.log1p("tic").alias("v"))
-    range_ = logs.groupBy("image_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    bucket = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
-    counts = logs.join(range_, "image_id").groupBy("image_id", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.avg("v").alias("centre"))
-    return counts.groupBy("image_id").applyInPandas(_by_mixture, "image_id string, method string, threshold double")
+    """gmm2 and gmm3: where the two lowest components of a mixture over log1p of the values over 0 are equally likely; an image with fewer different values has none."""
+    kind = tic.schema["image_id"].dataType.simpleString()
+    return mixtures(tic, bins).mapInPandas(_crossing, f"image_id {kind}, method string, threshold double")
 
 
 def scored(tic: DataFrame, candidates: DataFrame, least: float = 0.05, most: float = 0.60) -> DataFrame:

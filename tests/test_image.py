@@ -457,3 +457,32 @@ def test_fuzzy_means_end_at_a_fixed_point_of_all_points(spark, monkeypatch, samp
     centres = ((u**2).T @ x) / (u**2).sum(axis=0)[:, None]
     again = clusters.fuzzy_memberships()(centres, x)
     assert np.abs(again - u).max() < 1e-5 and np.abs(centres.mean(axis=1) - [0, 3, 6]).max() < 0.5
+
+
+def test_mixtures_of_all_values(spark):
+    """A round over all values is what it is over raw pixels, and a coarse histogram's start ends as likely as those do; two images, one of a single value."""
+    rng = np.random.default_rng(9)
+    raw = {"a": np.expm1(np.concatenate([rng.normal(1.5, 0.3, 700), rng.normal(3, 0.5, 500)])), "b": np.expm1(np.concatenate([rng.normal(2, 0.4, 300), rng.normal(4, 0.3, 300), rng.normal(5.5, 0.2, 200)])), "c": np.full(9, 4.0)}
+    rows = [(n, k % 40, k // 40, float(v)) for n, vs in raw.items() for k, v in enumerate(vs)] + [("a", 0, 99, 0.0)]
+    tic = spark.createDataFrame(rows, "image_id string, x int, y int, tic double")
+
+    def step(x, pi, mean, var):
+        log = np.log(pi) - 0.5 * np.log(2 * np.pi * var) - (x[:, None] - mean) ** 2 / (2 * var)
+        total = np.exp(log).sum(axis=1, keepdims=True)
+        p = np.exp(log) / total
+        n = p.sum(axis=0)
+        new = (p * x[:, None]).sum(axis=0) / n
+        return np.log(total).mean(), n / len(x), new, (p * (x[:, None] - new) ** 2).sum(axis=0) / n + 1e-6
+
+    of = lambda r: [np.array([r[f"{c}{j}"] for j in range(r["k"])]) for c in "pms"]
+    logs = {n: np.log1p(v[v > 0]) for n, v in raw.items()}
+    start = spark.createDataFrame([("a", 2, 0.3, 0.7, 0.0, 1.0, 2.0, 0.0, 0.5, 0.8, 1.0, 0.0), ("b", 3, 0.3, 0.3, 0.4, 1.0, 2.0, 5.0, 0.5, 0.8, 1.0, 0.0)], "image_id string, k int, " + ", ".join(f"{c} double" for c in [*threshold._STATE, "like"]))
+    values = tic.where("tic > 0").groupBy("image_id", F.log1p("tic").alias("v")).agg(F.count("*").alias("n"))
+    for before, after in zip(start.orderBy("image_id").collect(), threshold._round(values, start).orderBy("image_id").collect()):
+        like, *want = step(logs[before["image_id"]], *of(before))
+        assert after["like"] == pytest.approx(like) and all(np.allclose(g, w) for g, w in zip(of(after), want))
+    found = threshold.mixtures(tic, bins=24).collect()
+    assert sorted((r["image_id"], r["k"]) for r in found) == [("a", 2), ("a", 3), ("b", 2), ("b", 3)]
+    for r in found:
+        x = logs[r["image_id"]]
+        assert step(x, *of(r))[0] > step(x, *threshold._mixture(x, np.ones(len(x)), r["k"]))[0] - 1e-3
