@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +60,23 @@ class Scratch:
         self._paths.clear()
 
 
+_holder: ContextVar[Scratch | None] = ContextVar("holder", default=None)
+
+
+@contextmanager
+def holding() -> Iterator[Scratch]:
+    """What `written` writes inside belongs to the Scratch given, which its user clears once nothing that reads it is left."""
+    scratch = Scratch()
+    token = _holder.set(scratch)
+    try:
+        yield scratch
+    finally:
+        _holder.reset(token)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """A table as Scratch writes it, which stays."""
-    return Scratch().written(df, name)
+    """A table as Scratch writes it, which stays, but for what `holding` says."""
+    return (_holder.get() or Scratch()).written(df, name)
 
 
 def dense(entries: F.Column, size: F.Column, place: str, value: str) -> F.Column:

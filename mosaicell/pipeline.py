@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import mz
 from .functions.tables import written
-from .operators import annotate, cells, clusters, image, stats, threshold
+from .operators import annotate, cells, clusters, embedding, image, stats, threshold
 from .sources import imzml
 
 
@@ -99,10 +99,16 @@ class Imaging:
     def combine_clones(self, clones, new_label: int | None = None) -> Imaging:
         return replace(self, cells=written(cells.combine_clones(self._need("cells"), clones, new_label), "cells"))
 
-    def cluster(self, method: str = "gmm", n_components: int = 2, **options) -> Imaging:
-        """Soft clusters of the cells' principal components. Mixtures see standardised spectra, fuzzy means see them scaled alone."""
+    def cluster(self, method: str = "gmm", n_components: int = 2, reduction: str = "components", **options) -> Imaging:
+        """Soft clusters of the cells' principal components, or of their neighbour embedding with `reduction="neighbours"`. Mixtures see standardised spectra, fuzzy means see them scaled alone."""
+        if reduction not in ("components", "neighbours"):
+            raise ValueError("reduction must be components or neighbours")
         own = self._need("cells")
-        embedded = clusters.pca_embedding(clusters.standardized_cells(own).select("image_id", "cell_id", "spectrum"), n_components, zscore=method == "gmm")
+        spectra = own.select("image_id", "cell_id", "spectrum")
+        if reduction == "neighbours":
+            embedded = embedding.neighbour_embedding(spectra)
+        else:
+            embedded = clusters.pca_embedding(clusters.standardized_cells(spectra), n_components, zscore=method == "gmm")
         found, choice = (clusters.gmm_clusters if method == "gmm" else clusters.fcm_clusters)(embedded.select("image_id", "cell_id", "embedding"), **options)
         return replace(self, cells=written(own.join(found, ["image_id", "cell_id"]), "cells"), choice=choice)
 
