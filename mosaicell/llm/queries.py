@@ -68,7 +68,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes that strings of 400 bytes cover which start anywhere else too; beside that, how much of them repeats from 200 bytes on."""
-    found = suffix.remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE_BYTES)
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"), passage=PASSAGE_BYTES, with_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "passage_bytes")
 
 

@@ -317,7 +317,7 @@ def _parts(raw: bytes, cuts: list[list[int]]) -> list[tuple[int, int]]:
     return list(zip([0, *(hi for _, hi in cuts)], [*(lo for lo, _ in cuts), len(raw)]))
 
 
-def _remove(length: int, passage: int):
+def _remove(length: int, passage: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, spans, kept, texts, passages, covered = [], [], [], [], [], []
@@ -327,10 +327,11 @@ def _remove(length: int, passage: int):
                 removed.append(sum(hi - lo for lo, hi in cuts))
                 spans.append(len(cuts))
                 kept.append(b"".join(raw[a:b] for a, b in parts))
-                texts.append(b"".join(whole_characters(raw[a:b], a == 0, b == len(raw)) for a, b in parts) if cuts else raw)
+                if with_text:
+                    texts.append(b"".join(whole_characters(raw[a:b], a == 0, b == len(raw)) for a, b in parts) if cuts else raw)
                 passages.append(len(runs))
                 covered.append(sum(hi - lo for lo, hi in runs))
-            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string()),
+            yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string()) if with_text else pa.nulls(len(kept), pa.string()),
                                               pa.array(passages, pa.int64()), pa.array(covered, pa.int64())],
                                              [*batch.schema.names[3:], "n_removed", "n_spans", "kept", "kept_text", "n_passages", "passage_bytes"])
 
@@ -394,10 +395,10 @@ def _by_row(ranges: DataFrame, name: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, spread: int = SPREAD,
-                   gram: int = GRAM, block: int = BLOCK, keep: tuple[str, ...] = (), passage: int | None = None, passage_spread: int = 128) -> DataFrame:
+                   gram: int = GRAM, block: int = BLOCK, keep: tuple[str, ...] = (), passage: int | None = None, passage_spread: int = 128, with_text: bool = True) -> DataFrame:
     """One row (id, *keep, n_bytes, n_removed, n_spans, kept binary, kept_text) per row of `docs`.
 
-    kept_text: the bytes kept, without what a cut left of a character. Texts are UTF-8 bytes (null: empty); a byte is
+    kept_text: the bytes kept, without what a cut left of a character; null unless `with_text`. Texts are UTF-8 bytes (null: empty); a byte is
     removed if a string of `length` bytes over it also starts at another place of any text, overlaps included. All
     occurrences go. Repeated rows are texts of their own. Texts of any length are read whole. Columns not in `keep` are
     dropped; an empty table gives an empty result.
@@ -428,5 +429,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = texts.join(ranges, "row", "left").select("raw", "found", "short", "id", *(f"keep_{c}" for c in keep), F.length("raw").cast("long").alias("n_bytes"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in told.schema.fields[3:])
     more = [] if passage is None else ["n_passages", "passage_bytes"]
-    return (told.mapInArrow(_remove(length, passage or length), f"{kinds}, n_removed long, n_spans long, kept binary, kept_text string, n_passages long, passage_bytes long")
+    return (told.mapInArrow(_remove(length, passage or length, with_text), f"{kinds}, n_removed long, n_spans long, kept binary, kept_text string, n_passages long, passage_bytes long")
             .select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), "n_bytes", "n_removed", "n_spans", "kept", "kept_text", *more))
