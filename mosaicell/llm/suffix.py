@@ -164,6 +164,10 @@ class SuffixSort:
         self.hashes = PrefixHashes(self.data, _powers(len(raw) + 1))
         self.suffixes, self.collided = suffixes, False
         self.whole = self.hashes.of(suffixes, length)
+        # The first bytes as numbers that sort as the bytes do: most pairs differ there and need no search.
+        self.heads = np.zeros(len(suffixes), np.uint64)
+        for k in range(min(8, length)):
+            self.heads |= self.data[suffixes + k].astype(np.uint64) << np.uint64(56 - 8 * k)
         self.bounds = np.append(np.nonzero(np.append(True, groups[1:] != groups[:-1]))[0], len(groups)) if len(groups) else np.zeros(1, np.int64)
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -173,7 +177,9 @@ class SuffixSort:
         while step:
             fits = lcp + step <= self.length
             longer = np.where(fits, step, 0)
-            same = fits & (self.hashes.of(a + lcp, longer) == self.hashes.of(b + lcp, longer))
+            same = fits & (self.hashes.one(0, a + lcp, longer) == self.hashes.one(0, b + lcp, longer))
+            at = np.nonzero(same)[0]  # the second prime is asked only where the first finds no difference
+            same[at] = self.hashes.one(1, a[at] + lcp[at], step) == self.hashes.one(1, b[at] + lcp[at], step)
             lcp = np.where(same, lcp + step, lcp)
             step >>= 1
         return lcp
@@ -182,6 +188,9 @@ class SuffixSort:
         """-1, 0, 1 as suffix i sorts before, with or after j."""
         out = np.zeros(len(i), np.int64)
         other = np.nonzero(self.whole[i] != self.whole[j])[0]
+        a, b = self.heads[i[other]], self.heads[j[other]]
+        out[other] = (a > b).astype(np.int64) - (a < b)
+        other = other[a == b]
         if len(other):
             lcp = np.minimum(self.common(i[other], j[other]), self.length - 1)
             out[other] = np.sign(self.data[self.suffixes[i[other]] + lcp].astype(np.int64) - self.data[self.suffixes[j[other]] + lcp])
@@ -192,26 +201,22 @@ class SuffixSort:
         """The suffix array: numbers of the suffixes in order, group by group. All groups are merged side by side."""
         n = len(self.suffixes)
         order, sizes = np.arange(n), np.diff(self.bounds)
-        begin = np.repeat(self.bounds[:-1], sizes)
-        end = begin + np.repeat(sizes, sizes)
-        width = 1
+        begin, width = np.repeat(self.bounds[:-1], sizes), 1
         while len(sizes) and width < sizes.max():
-            place = np.arange(n)
-            run = (place - begin) // width
-            odd = run & 1
-            own = begin + run * width
-            other = np.where(odd, own - width, own + width)
-            lo, hi = np.minimum(other, end), np.minimum(other + width, end)
-            base, todo = lo.copy(), np.nonzero(lo < hi)[0]
-            while len(todo):  # how many of the other run come first: ties go to the even run
+            inside = np.arange(n) - begin
+            odd = np.nonzero(inside // width & 1)[0]  # the second run of each pair: the first has `width` suffixes
+            base = odd - inside[odd] % width - width
+            lo, hi, todo = base.copy(), base + width, np.arange(len(odd))
+            while len(todo):  # how many of the first run come before: ties go to the first
                 mid = (lo[todo] + hi[todo]) >> 1
-                c = self.before(order[mid], order[todo])
-                first = (c < 0) | ((c == 0) & (odd[todo] == 1))
+                first = self.before(order[mid], order[odd[todo]]) <= 0
                 lo[todo] = np.where(first, mid + 1, lo[todo])
                 hi[todo] = np.where(first, hi[todo], mid)
                 todo = todo[lo[todo] < hi[todo]]
-            new = np.empty_like(order)
-            new[np.where(odd, own - width, own) + (place - own) + (lo - base)] = order
+            place = lo + inside[odd] % width
+            new, others = np.empty_like(order), np.ones(n, bool)
+            new[place], others[place] = order[odd], False
+            new[others] = np.delete(order, odd)  # what the second runs leave free, in order
             order, width = new, 2 * width
         return order
 
