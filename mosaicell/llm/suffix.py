@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ _BASES = (1_103_515_245, 1_664_525_117)
 _SPREADER = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache(maxsize=2)
 def _powers(size: int) -> list[np.ndarray]:
     out = []
     for p, base in zip(_PRIMES, _BASES):
@@ -63,6 +65,12 @@ class PrefixHashes:
         p = np.uint64(_PRIMES[k])
         return (self.sums[k][start + size] + p - self.sums[k][start]) % p * self.powers[k][self.top - start] % p
 
+    def every(self, k: int, size: int) -> np.ndarray:
+        """As one(), of all substrings of `size` bytes in order."""
+        p, sums = np.uint64(_PRIMES[k]), self.sums[k]
+        n = len(sums) - size
+        return (sums[size:] + p - sums[:n]) % p * self.powers[k][self.top - n + 1 : self.top + 1][::-1] % p
+
     def of(self, start: np.ndarray, size) -> np.ndarray:
         """62-bit hashes of the substrings."""
         return (self.one(0, start, size) << np.uint64(31)) ^ self.one(1, start, size)
@@ -94,10 +102,12 @@ class Anchors:
         windows = np.concatenate(spans)
         data = np.frombuffer(raw, np.uint8)
         hashes = PrefixHashes(data, self.powers)
-        at = np.arange(n - self.gram + 1)
-        key = (hashes.one(0, at, self.gram) + np.uint64(1)) * _SPREADER
         low = np.uint64((1 << _AT) - 1)
-        key = (key & ~low) | at.astype(np.uint64)
+        key = hashes.every(0, self.gram)
+        key += np.uint64(1)
+        key *= _SPREADER
+        key &= ~low
+        key |= np.arange(len(key), dtype=np.uint64)
         least, size = key, 1  # least[i]: over key[i : i + size]
         while 2 * size <= w:
             least, size = np.minimum(least[:-size], least[size:]), 2 * size
@@ -161,7 +171,7 @@ class SuffixSort:
     def __init__(self, raw: bytes, suffixes: np.ndarray, groups: np.ndarray, length: int):
         """suffixes: where they begin; groups: of each, equal numbers adjacent. Suffixes of a group are sorted and compared."""
         self.data, self.length = np.frombuffer(raw, np.uint8), length
-        self.hashes = PrefixHashes(self.data, _powers(len(raw) + 1))
+        self.hashes = PrefixHashes(self.data, _powers((1 << len(raw).bit_length()) + 1))  # few sizes, which tasks of a process share
         self.suffixes, self.collided = suffixes, False
         self.whole = self.hashes.of(suffixes, length)
         # The first bytes as numbers that sort as the bytes do: most pairs differ there and need no search.
