@@ -109,13 +109,17 @@ def sample_spectra(spectra: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def sound(spectra: DataFrame) -> DataFrame:
-    """Spectra with m/z and intensity arrays of one length that isn't 0."""
-    return spectra.where((F.size("mz") > 0) & (F.size("mz") == F.size("intensity")))
+    """Spectra with m/z and intensity arrays of one length that isn't 0, and a place if the table has places."""
+    placed = spectra.dropna(subset=[c for c in ("x", "y") if c in spectra.columns]) if {"x", "y"} & set(spectra.columns) else spectra
+    return placed.where((F.size("mz") > 0) & (F.size("mz") == F.size("intensity")))
 
 
 def rejects(spectra: DataFrame) -> DataFrame:
     """The other spectra, with the reason."""
     why = (F.when(F.col("mz").isNull() | F.col("intensity").isNull(), "missing").when((F.size("mz") == 0) | (F.size("intensity") == 0), "empty").when(F.size("mz") != F.size("intensity"), "unequal"))
+    for c in ("x", "y"):
+        if c in spectra.columns:
+            why = why.when(F.col(c).isNull(), "unplaced")
     return spectra.withColumn("reason", why).where("reason is not null")
 
 

@@ -128,9 +128,9 @@ class Imaging:
     def export_csv(self, path: str, mode: str = "full", decimals: int | None = 4, hits: DataFrame | None = None) -> None:
         cells.export_csv(self._need("cells"), self._need("axis"), path, mode, decimals, hits)
 
-    def export_imzml(self, folder: str) -> None:
-        """The labelled pixels of each image as a file of its own."""
-        imzml.export_images(cells.export_pixels(image.datacube(self._need("binned")), self._need("labels")), self._need("axis"), folder)
+    def export_imzml(self, folder: str, lines: int | None = None) -> None:
+        """The labelled pixels of each image as a file of its own, or a folder of its own with a file for each so many lines."""
+        imzml.export_images(cells.export_pixels(image.datacube(self._need("binned")), self._need("labels")), self._need("axis"), folder, lines)
 
     def ion_map(self, mz_value: float, tolerance: float = 0.1, **options) -> DataFrame:
         return image.ion_map(image.datacube(self._need("binned")), self._need("axis"), self._need("labels"), mz_value, tolerance, **options)

@@ -45,13 +45,13 @@ def _binary(path: str) -> str:
 
 @dataclass
 class Place:
-    """Where a spectrum's two arrays lie: offset, number of values and type of each."""
+    """Where a spectrum's two arrays lie: offset, number of values and type of each. None: the header doesn't tell."""
 
     number: int
-    x: int
-    y: int
-    mz: tuple[int, int, str]
-    intensity: tuple[int, int, str]
+    x: int | None
+    y: int | None
+    mz: tuple[int, int, str] | None
+    intensity: tuple[int, int, str] | None
 
 
 def header(path: str) -> Iterator[Place]:
@@ -82,35 +82,49 @@ def header(path: str) -> Iterator[Place]:
                         which = next((a for a in (MZ_ARRAY, INTENSITY_ARRAY) if a in known), None)
                         if which and kinds:
                             arrays[which] = (int(known[OFFSET]), int(known[LENGTH]), kinds[0])
-                if len(at) == 2 and len(arrays) == 2:
-                    yield Place(number, at[X], at[Y], arrays[MZ_ARRAY], arrays[INTENSITY_ARRAY])
+                yield Place(number, at.get(X), at.get(Y), arrays.get(MZ_ARRAY), arrays.get(INTENSITY_ARRAY))
                 number += 1
                 e.clear()
 
 
 @dataclass
 class Places(InputPartition):
-    places: list[Place]
+    """Spectra of a file, whose numbers count from `first`; places None: all of them, and the task reads the header."""
+
+    path: str
+    image: str
+    first: int
+    places: list[Place] | None
 
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, per_task: int):
-        self.path, self.per_task = path, per_task
+        self.path, self.per_task = path.rstrip("/"), per_task
 
     def partitions(self) -> list[Places]:
-        places = list(header(self.path))
-        return [Places(places[k : k + self.per_task]) for k in range(0, len(places), self.per_task)] or [Places([])]
+        fs, name = _file_system(self.path)
+        last = self.path.rpartition("/")[2]
+        if fs.get_file_info(name).type == pafs.FileType.Directory:  # parts of an image: each task reads the header of its own
+            found = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(name)) if f.base_name.lower().endswith(".imzml") and not f.base_name.startswith("."))
+            return [Places(f"{self.path}/{f}", last, k << 32, None) for k, f in enumerate(found)] or [Places(self.path, last, 0, [])]
+        places, image = list(header(self.path)), last.rpartition(".")[0]
+        return [Places(self.path, image, 0, places[k : k + self.per_task]) for k in range(0, len(places), self.per_task)] or [Places(self.path, image, 0, [])]
 
     def read(self, partition: Places):
-        fs, name = _file_system(_binary(self.path))
-        image = self.path.rstrip("/").rpartition("/")[2].rpartition(".")[0]
+        if partition.places == []:
+            return
+        fs, name = _file_system(_binary(partition.path))
         with fs.open_input_file(name) as f:
-            for p in partition.places:
+            for p in header(partition.path) if partition.places is None else partition.places:
                 arrays = []
-                for offset, n, kind in (p.mz, p.intensity):
+                for place in (p.mz, p.intensity):
+                    if place is None:
+                        arrays.append(None)
+                        continue
+                    offset, n, kind = place
                     f.seek(offset)
-                    arrays.append(np.frombuffer(f.read(n * np.dtype(kind).itemsize), kind))
-                yield image, p.number, p.x, p.y, arrays[0].astype(float).tolist(), arrays[1].astype(float).tolist()
+                    arrays.append(np.frombuffer(f.read(n * np.dtype(kind).itemsize), kind).astype(float).tolist())
+                yield partition.image, partition.first + p.number, p.x, p.y, *arrays
 
 
 @dataclass
@@ -174,7 +188,12 @@ def _xml(own: uuid.UUID, spectra: list[tuple[int, int, int, int, int]]) -> Itera
 
 
 class ImzML(DataSource):
-    """Spectra of one file. Option spectra_per_task (4096): how many a task reads."""
+    """Spectra of one file, or of all files of a folder as one image, each of which is a task's.
+
+    Option spectra_per_task (4096): how many spectra of a single file a task reads. A spectrum whose header lacks a
+    coordinate or an array has null there: `mz.rejects` tells them, `mz.sound` leaves them out. Numbers of spectra count
+    from 0 in a file, in a folder's k-th file from k times 2 ** 32.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -219,13 +238,16 @@ def file_name(image_id: str) -> str:
 def _write_images(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _file_system(folder.rstrip("/"))
-        image, out, part, own, spectra, offset = None, None, "", uuid.uuid4(), [], 16
+        image, piece, out, part, own, spectra, offset = None, None, None, "", uuid.uuid4(), [], 16
 
         def close() -> Iterator[pa.RecordBatch]:
             if image is None:
                 return
             out.close()
             name = f"{root}/{file_name(image)}"
+            if piece is not None:
+                fs.create_dir(name, recursive=True)
+                name += f"/{piece:08d}"
             with fs.open_output_stream(f"{part}.imzML") as header_out:
                 for line in _xml(own, spectra):
                     header_out.write(line.encode())
@@ -235,10 +257,10 @@ def _write_images(folder: str):
 
         for batch in batches:
             for k in range(batch.num_rows):
-                name, x, y = (batch.column(c)[k].as_py() for c in ("image_id", "x", "y"))
-                if name != image:
+                name, of, x, y = (batch.column(c)[k].as_py() for c in ("image_id", "piece", "x", "y"))
+                if (name, of) != (image, piece):
                     yield from close()
-                    image, own, spectra, offset = name, uuid.uuid4(), [], 16
+                    image, piece, own, spectra, offset = name, of, uuid.uuid4(), [], 16
                     part = f"{root}/.{own.hex}"
                     out = fs.open_output_stream(f"{part}.ibd")
                     out.write(own.bytes)
@@ -251,13 +273,15 @@ def _write_images(folder: str):
     return run
 
 
-def export_images(pixels, axis, folder: str):
+def export_images(pixels, axis, folder: str, lines: int | None = None):
     """Writes labelled pixels of any number of images, a file for each, and returns (image_id, path, spectra).
 
-    An image is a stream through one task, which holds a spectrum and the places of the others; images are written side
-    by side. `folder` must be one that all executors share.
+    A file is a stream through one task, which holds a spectrum and the places of the others; files are written side by
+    side. `folder` must be one that all executors share. With `lines`, an image is a folder with a file for each so many
+    lines that hold a pixel, so that a large image isn't one task's; the data source reads such a folder as one image.
     """
     fs, root = _file_system(folder.rstrip("/"))
     fs.create_dir(root, recursive=True)
-    rows = _dense(pixels.where("image_id is not null"), axis).repartition("image_id").sortWithinPartitions("image_id", "y", "x")
+    piece = F.lit(None).cast("long") if lines is None else F.floor(F.col("y") / lines).cast("long")
+    rows = _dense(pixels.where("image_id is not null"), axis).withColumn("piece", piece).repartition("image_id", "piece").sortWithinPartitions("image_id", "piece", "y", "x")
     return written(rows.mapInArrow(_write_images(folder), "image_id string, path string, spectra long"), "exports")

@@ -225,6 +225,41 @@ def test_imzml_round_trip(spark, tmp_path):
         spark.read.format("imzml").load().count()
 
 
+def test_imzml_tells_spectra_that_lack_something(spark, tmp_path):
+    spark.dataSource.register(ImzML)
+    rows = [("s", k, k + 1, 1, [100.0 + k], [1.0]) for k in range(4)]
+    df = spark.createDataFrame(rows, "image_id string, spectrum_id long, x int, y int, mz array<double>, intensity array<double>")
+    path = tmp_path / "s.imzML"
+    df.orderBy("x").coalesce(1).write.format("imzml").mode("append").save(str(path))
+    spectra = path.read_text().split("<spectrum ")
+    spectra[2] = spectra[2].replace("IMS:1000051", "IMS:1000052")  # no y
+    spectra[3] = spectra[3].replace('ref="intensityArray"', 'ref="other"')
+    path.write_text("<spectrum ".join(spectra))
+    got = spark.read.format("imzml").load(str(path))
+    assert got.count() == 4
+    assert {(r["spectrum_id"], r["reason"]) for r in mz.rejects(got).collect()} == {(1, "unplaced"), (2, "missing")}
+    assert sorted(r["spectrum_id"] for r in mz.sound(got).collect()) == [0, 3]
+
+
+@pytest.mark.parametrize("lines", [1, 2, 100])
+def test_imzml_image_in_parts(spark, tmp_path, lines):
+    spark.dataSource.register(ImzML)
+    rows = [(f"s/{k % 2}", k % 5 + 1, k // 5 + 1, k % 4, float(k + 1)) for k in range(40)]
+    pixels = spark.createDataFrame(rows, "image_id string, x int, y int, bin int, intensity double")
+    found = export_images(pixels, mz.fixed_axis(spark, 100.0, 104.0, 1.0), f"{tmp_path}/out", lines=lines).collect()
+    assert len(found) == sum(len({r[2] // lines for r in rows if r[0] == image}) for image in ("s/0", "s/1"))
+    for image in ("s/0", "s/1"):
+        own = {p[1:] for p in rows if p[0] == image}
+        folder = {r["path"].rpartition("/")[0] for r in found if r["image_id"] == image}
+        got = spark.read.format("imzml").load(folder.pop())
+        assert not folder and got.rdd.getNumPartitions() == len({p[1] // lines for p in own})
+        got = got.orderBy("spectrum_id").collect()
+        assert [(p["y"], p["x"]) for p in got] == sorted({(p[1], p[0]) for p in own}) and len({p["image_id"] for p in got}) == 1
+        assert {(p["x"], p["y"], k, v) for p in got for k, v in enumerate(p["intensity"]) if v} == own
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("imzml").load(f"{tmp_path}/none").count() == 0
+
+
 def test_imzml_file_for_each_image(spark, tmp_path):
     spark.dataSource.register(ImzML)
     rows = [(f"s/{k % 3}", k % 5 + 1, k // 5 + 1, k % 4, float(k)) for k in range(40)]
