@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import Scratch, bounded_sample
 
 #: Documents of each language that are learned from at most, by their whole texts: a bound of the fit, not of prediction.
 SAMPLE_DOCS = 400
@@ -87,44 +87,83 @@ def packed_counts(text: str) -> tuple[bytes, bytes]:
     return at.astype("<u2").tobytes(), np.log1p(tf[at]).astype("<f4").tobytes()
 
 
-def fit_counts(found: list[tuple[bytes, bytes]], languages: list[str], k: int = CENTROIDS) -> Centroids | None:
-    """Centroids for the n-grams of labelled texts."""
-    x, some = np.zeros((len(found), 1 << BITS), np.float32), np.zeros(len(found), bool)
+def inverse_frequency(having: np.ndarray, n: int) -> np.ndarray:
+    """Weights of n-grams that so many of `n` texts have."""
+    return np.log((1 + n) / (1 + having)) + 1
+
+
+def fit_language(found: list[tuple[bytes, bytes]], idf: np.ndarray, k: int = CENTROIDS) -> tuple[np.ndarray, list[float]]:
+    """Centroids of one language, and the least cosine to each that is accepted, from n-grams of texts that have some."""
+    x = np.zeros((len(found), 1 << BITS), np.float32)
     for row, (at, values) in enumerate(found):  # in place: nothing of this size is held twice
         x[row, np.frombuffer(at, "<u2")] = np.frombuffer(values, "<f4")
-        some[row] = len(at) > 0
-    if not some.any():
-        return None
-    names = np.array(languages, object)
-    idf = np.log((1 + some.sum()) / (1 + np.count_nonzero(x, axis=0))) + 1
     x *= idf.astype(np.float32)
     x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), np.float32(1e-30))[:, None]
-    of, rows, least = [], [], []
-    for language in sorted(set(names[some])):
-        own = x[some & (names == language)]
-        centre, at = cluster(own, k)
-        for c in range(len(centre)):
-            of.append(language)
-            rows.append(centre[c])
-            members = own[at == c]
-            least.append(SLACK * float((members @ centre[c]).min()) if len(members) else 1.0)
-    return Centroids(of, idf, np.stack(rows), np.array(least))
+    centre, at = cluster(x, k)
+    members = [x[at == c] for c in range(len(centre))]
+    return centre, [SLACK * float((own @ centre[c]).min()) if len(own) else 1.0 for c, own in enumerate(members)]
+
+
+def joined(idf: np.ndarray, fitted: list[tuple[str, np.ndarray, list[float]]]) -> Centroids | None:
+    """One model from those of languages (language, centroids, least cosines), in order of the languages' names."""
+    fitted = sorted(fitted, key=lambda f: f[0])
+    if not fitted:
+        return None
+    return Centroids([f[0] for f in fitted for _ in f[2]], idf, np.concatenate([f[1] for f in fitted]), np.array([x for f in fitted for x in f[2]]))
+
+
+def fit_counts(found: list[tuple[bytes, bytes]], languages: list[str], k: int = CENTROIDS) -> Centroids | None:
+    """Centroids for the n-grams of labelled texts."""
+    some = [(f, language) for f, language in zip(found, languages) if f[0]]
+    having = np.bincount(np.concatenate([np.frombuffer(f[0], "<u2") for f, _ in some] or [np.empty(0, np.int64)]), minlength=1 << BITS)
+    idf = inverse_frequency(having, len(some))
+    return joined(idf, [(own, *fit_language([f for f, language in some if language == own], idf, k)) for own in {language for _, language in some}])
+
+
+def _having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of the partition have each n-gram; -1: how many there are."""
+    n, having = 0, np.zeros(1 << BITS, np.int64)
+    for batch in batches:
+        for at in batch.column(0):
+            having[np.frombuffer(at.as_py(), "<u2")] += 1
+        n += batch.num_rows
+    some = np.nonzero(having)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(having[some], n))], ["gram", "n"])
+
+
+def _fit_task(idf: np.ndarray, k: int):
+    def run(texts: pa.Table) -> pa.Table:
+        texts = texts.sort_by("id")
+        centre, least = fit_language(list(zip(texts.column("at").to_pylist(), texts.column("counts").to_pylist())), idf, k)
+        return pa.table({"lang": texts.column("lang").slice(0, 1), "centres": pa.array([centre.astype("<f4").tobytes()], pa.binary()), "least": pa.array([least], pa.list_(pa.float64()))})
+
+    return run
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_DOCS) -> Centroids | None:
     """Centroids from up to `per_language` documents of each non-null language whose id's crc32 modulo 3 is not 1.
 
     The sample is by a hash of the id. Rows of one id and language count once, with their smallest text; an id with
-    several languages is learned from for each. None for an empty table, or if no text has an n-gram.
+    several languages is learned from for each. None for an empty table, or if no text has an n-gram. Each language is
+    clustered in a task of its own, which holds `per_language` texts' vectors of 256 KB; the driver gets the centroids, 1 MB
+    a language.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null").where(F.crc32(F.col("id").cast("string")) % 3 != 1)
     sample = bounded_sample(known.distinct(), "lang", per_language).select("id", "lang")
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     one = texts.where("text is not null").join(F.broadcast(sample), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))  # repeated ids: one text
     kind = one.schema["id"].dataType.simpleString()
-    rows = one.select("id", "lang", "text").mapInArrow(_counted, f"id {kind}, lang string, at binary, counts binary").collect()  # up to 96 KB each
-    rows.sort(key=lambda r: (r["lang"], r["id"]))
-    return fit_counts([(bytes(r["at"]), bytes(r["counts"])) for r in rows], [r["lang"] for r in rows])
+    scratch = Scratch()
+    rows = scratch.written(one.select("id", "lang", "text").mapInArrow(_counted, f"id {kind}, lang string, at binary, counts binary"), "counts").where(F.length("at") > 0)
+    # To the driver: a number for each n-gram, then each language's centroids.
+    totals = {r["gram"]: r["n"] for r in rows.select("at").mapInArrow(_having, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    having = np.zeros(1 << BITS, np.int64)
+    n = totals.pop(-1, 0)
+    having[list(totals)] = list(totals.values())
+    idf = inverse_frequency(having, n)
+    fitted = rows.groupBy("lang").applyInArrow(_fit_task(idf, CENTROIDS), "lang string, centres binary, least array<double>").collect()
+    scratch.clear()
+    return joined(idf, [(r["lang"], np.frombuffer(r["centres"], "<f4").reshape(-1, 1 << BITS), r["least"]) for r in fitted])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,6 +97,22 @@ def test_language_awkward(spark):
     assert langid.identify(docs.limit(0), None).collect() == [] and langid.train(docs.limit(0)) is None
 
 
+def test_languages_are_clustered_in_tasks_of_their_own(spark):
+    """The model from Spark is that of the plain fit on the same texts, for many languages."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(900):
+        language = k % 30
+        words = ["".join(chr(97 + (c + 3 * language) % 26) for c in rng.integers(0, 6, 4)) for _ in range(20)]
+        rows.append((k, " ".join(words) if k % 97 else "!!", f"l{language:02d}" if k % 31 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.train(docs)
+    known = sorted((lang, k, text) for k, text, lang in rows if lang and zlib.crc32(str(k).encode()) % 3 != 1)
+    plain = langid.fit([text for _, _, text in known], [lang for lang, _, _ in known])
+    assert model.languages == plain.languages and len(set(model.languages)) == 30
+    assert np.array_equal(model.idf, plain.idf) and np.allclose(model.matrix, plain.matrix, atol=1e-6) and np.allclose(model.least, plain.least, atol=1e-6)
+
+
 def test_smallest_tables(spark):
     assert queries.op4_toxicity(spark, SF).count() == queries.op6_language(spark, SF).count() > 0
 
