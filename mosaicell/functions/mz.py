@@ -163,3 +163,11 @@ def dbe(atoms: str = "atoms") -> F.Column:
     """Double-bond equivalent: 1 + C - H/2 + N/2; null where there is no formula."""
     n = lambda e: F.coalesce(F.col(atoms)[e], F.lit(0))
     return F.when(F.size(atoms) > 0, F.lit(1.0) + n("C") - n("H") / 2 + n("N") / 2)
+
+
+def formula_dbe(formula: str = "formula") -> F.Column:
+    """The same from the formula itself: three short searches and no map, for filters, which Spark copies down to where the formula is read."""
+    text = F.coalesce(F.col(formula), F.lit(""))
+    count = lambda s, d: s + F.when(d == "", F.lit(1)).otherwise(d.cast("int"))
+    n = lambda e: F.aggregate(F.regexp_extract_all(text, F.lit(rf"{e}(?![a-z])(\d*)"), F.lit(1)), F.lit(0), count)
+    return F.when(text.rlike("[A-Z]"), F.lit(1.0) + n("C") - n("H") / 2 + n("N") / 2)

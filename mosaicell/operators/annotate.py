@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.mz import dbe, formula_counts
+from ..functions.mz import formula_dbe
 from ..functions.quantiles import exact_quantiles
 from ..sources import catalogue
 from .cells import long
@@ -28,8 +28,9 @@ def annotation_index(compounds: DataFrame, adducts: DataFrame, mode: str = "pos"
     if mode != "both":
         own, ions = own.where(F.col("mode").isin("both", mode)), ions.where(F.col("polarity") == mode)
     mz = F.col("neutral_mass") * F.col("mult") / F.abs("charge") + F.col("delta") if charge_aware else F.col("neutral_mass") + F.col("delta")
-    joined = own.join(F.broadcast(ions.drop("polarity")), how="cross").withColumn("obs_mz", mz).where("obs_mz > 0")
-    return formula_counts(joined).withColumn("dbe", dbe()).drop("atoms")
+    # A formula is parsed once for a compound, not for each adduct, and side by side: a catalogue of millions may be one small file.
+    own = own.repartition("seq").withColumn("dbe", formula_dbe())
+    return own.join(F.broadcast(ions.drop("polarity")), how="cross").withColumn("obs_mz", mz).where("obs_mz > 0").select(*compounds.columns, *adducts.columns, "obs_mz", "dbe")
 
 
 def dbe_filter(index: DataFrame, least: float = -0.5) -> DataFrame:
@@ -53,13 +54,15 @@ def ppm_matches(queries: DataFrame, index: DataFrame, ppm: float = 5.0) -> DataF
 def annotate_peaks(queries: DataFrame, index: DataFrame, ppm: float = 5.0, top_n: int | None = 3, least_dbe: float = -0.5, pathways: DataFrame | None = None) -> DataFrame:
     """The nearest `top_n` index rows (all if None) of each query (query_id, mz), with mz_query, rank, confidence_score and pathways.
 
-    Ties keep the catalogue's order. A query without a match has no row; queries with one m/z are annotated each.
+    Ties keep the catalogue's order. A query without a match has no row; queries with one m/z are annotated each. Hits are
+    looked for and ranked once for each m/z, so that only those wanted meet the queries.
     """
-    found = ppm_matches(queries, dbe_filter(index, least_dbe), ppm)
-    order = W.partitionBy("query_id").orderBy("ppm_error", "seq", "adduct_seq")
+    found = ppm_matches(queries.select("mz").distinct(), dbe_filter(index, least_dbe), ppm)
+    order = W.partitionBy("mz").orderBy("ppm_error", "seq", "adduct_seq")
     found = found.withColumn("rank", F.row_number().over(order))
     if top_n is not None:
         found = found.where(F.col("rank") <= top_n)
+    found = queries.join(found, "mz").select(*queries.columns, *(c for c in found.columns if c != "mz"))
     found = found.withColumn("confidence_score", 1 / (1 + F.col("ppm_error")))
     if pathways is not None:
         found = found.join(F.broadcast(pathways), "subclass", "left").withColumn("pathways", F.array_join(F.coalesce("pathways", F.array().cast("array<string>")), "; "))

@@ -143,3 +143,27 @@ def test_dense_arrays(spark):
     rows = [([(3, 1.5), (0, 2.0), (9, 4.0)],), ([],), ([(5, 7.0), (12, 1.0), (-1, 1.0)],), ([(k, float(k)) for k in range(10)],)]
     df = spark.createDataFrame(rows, "e array<struct<bin:int,value:double>>")
     assert [r[0] for r in df.select(dense(F.col("e"), F.lit(10), "bin", "value")).collect()] == [[dict(e).get(k, 0.0) for k in range(10)] for (e,) in rows]
+
+
+def test_index_parses_a_formula_once_for_a_compound(spark):
+    rows = [(k, f, 300.0 + k, "both") for k, f in enumerate(("C6H12O6", "CH3CH2Cl", "NaCl", "C2H5NO2CH3", "", None, "Cer", "h2"))]
+    compounds = spark.createDataFrame(rows, "seq int, formula string, neutral_mass double, mode string")
+    index = annotate.annotation_index(compounds, catalogue.adducts(spark), "neg")
+    plan = index._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda word: next(k for k, line in enumerate(plan) if word in line)
+    assert depth("Join") < depth("regexp_extract_all") < depth("RepartitionByExpression")
+    want = {r["seq"]: r["dbe"] for r in mz.formula_counts(compounds).select("seq", mz.dbe().alias("dbe")).collect()}
+    assert {r["seq"]: r["dbe"] for r in index.select("seq", "dbe").collect()} == want
+
+
+def test_hits_are_ranked_once_for_each_mz(spark):
+    index = annotate.annotation_index(catalogue.compounds(spark), catalogue.adducts(spark), "neg")
+    masses = [r["obs_mz"] for r in index.select("obs_mz").distinct().collect()][:3] + [0.5]
+    queries = spark.createDataFrame([(k, masses[k % 4]) for k in range(40)] + [(99, None)], "query_id long, mz double")
+    found = annotate.annotate_peaks(queries, index, 5.0, 2)
+    assert "windowspecdefinition(mz" in found._jdf.queryExecution().optimizedPlan().toString()
+    each = {}
+    for r in found.collect():
+        each.setdefault(r["query_id"], set()).add((r["mz_query"], r["seq"], r["adduct_seq"], r["rank"], r["ppm_error"]))
+    assert set(each) == {k for k in range(40) if k % 4 < 3}
+    assert all(each[k] == each[k % 4] for k in each)
