@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaicell.functions.tables import Scratch, holding
+from mosaicell.functions.tables import holding
 from mosaicell.llm import mixing, queries, simhash, suffix, toxicity
-from mosaicell.llm.common import table
+from mosaicell.llm.common import Scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Domains of the mix and their weights (toxic documents have left before); bounds of a document's rate. The lower bound keeps every document that the stages

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: Parts that the members of a component are dealt to by a hash.
 SALTS = 32
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BROADCAST, _BROADCAST_BY_ROWS = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,22 +34,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables that are removed together, once what follows from them has been written itself."""
+    """Written tables that are removed together, once what follows from them has been written itself.
 
-    def __init__(self) -> None:
+    Files of pixels and numbers are a few bytes a row, of which a hash table on the driver makes a hundred: joins are
+    planned as shuffles, and broadcast only where the rows turn out to be few. With `by_files`, Spark goes by the size of files.
+    """
+
+    def __init__(self, by_files: bool = False) -> None:
         self._paths: list[tuple[SparkSession, str]] = []
+        self._by_files = by_files
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """`df` as a table written to the shared folder and read again: cuts lineage, survives lost executors."""
         spark = df.sparkSession
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         # Nothing reads the shuffles again once the table is there: they needn't stay on the executors' disks.
-        before = spark.conf.get(_CLEANUP, "false")
-        spark.conf.set(_CLEANUP, "true")
+        confs = {_CLEANUP: "true"}
+        if not self._by_files:
+            confs |= {_BROADCAST: "-1", _BROADCAST_BY_ROWS: spark.conf.get(_BROADCAST_BY_ROWS, None) or spark.conf.get(_BROADCAST)}
+        before = {c: spark.conf.get(c, None) for c in confs}
         try:
+            for c, value in confs.items():
+                spark.conf.set(c, value)
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            spark.conf.set(_CLEANUP, before)
+            for c, value in before.items():
+                spark.conf.unset(c) if value is None else spark.conf.set(c, value)
         self._paths.append((spark, path))
         return spark.read.schema(df.schema).parquet(path)
 
@@ -66,7 +77,7 @@ _holder: ContextVar[Scratch | None] = ContextVar("holder", default=None)
 @contextmanager
 def holding() -> Iterator[Scratch]:
     """What `written` writes inside belongs to the Scratch given, which its user clears once nothing that reads it is left."""
-    scratch = Scratch()
+    scratch = Scratch(by_files=True)
     token = _holder.set(scratch)
     try:
         yield scratch
@@ -74,9 +85,9 @@ def holding() -> Iterator[Scratch]:
         _holder.reset(token)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by_files: bool = False) -> DataFrame:
     """A table as Scratch writes it, which stays, but for what `holding` says."""
-    return (_holder.get() or Scratch()).written(df, name)
+    return (_holder.get() or Scratch(by_files)).written(df, name)
 
 
 def dense(entries: F.Column, size: F.Column, place: str, value: str) -> F.Column:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.tables import Scratch, components, lowest_of_component, shared_folder, table, written
+from ..functions import tables
+from ..functions.tables import components, lowest_of_component, shared_folder, table
 
 __all__ = ["Scratch", "bounded_sample", "components", "lowest_of_component", "shared_folder", "table", "written"]
 
+# Rows of texts are as large as their files say.
+Scratch, written = partial(tables.Scratch, by_files=True), partial(tables.written, by_files=True)
+
 
 def bounded_sample(rows: DataFrame, by: str, most: int, id_col: str = "id") -> DataFrame:
     """Up to `most` rows of each value of `by` (few values), by a hash of the id, with n: how many there are.

@@ -179,9 +179,10 @@ def connected_components(mask: DataFrame, neighbours: int = 4) -> DataFrame:
     ahead = ahead.select("image_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), F.col("node").alias("u"))
     roots = components(ahead.join(own.select(*PIXEL, F.col("node").alias("v")), PIXEL).select("u", "v"))
     first = own.select("node", (F.col("y").cast("long") * F.lit(1 << 24) + F.col("x")).alias("component"))
-    found = written(lowest_of_component(first, roots, "component").join(own, "node").select(*PIXEL, "component"), "components")
+    found = scratch.written(lowest_of_component(first, roots, "component").join(own, "node").select(*PIXEL, "component"), "components")
+    out = written(mask.join(found, PIXEL), "connected")
     scratch.clear()
-    return mask.join(found, PIXEL)
+    return out
 
 
 def nearest_label(orphans: DataFrame, labelled: DataFrame, cell_col: str = "cell_id", reach: int = 8) -> DataFrame:
@@ -452,4 +453,4 @@ def segment(tic: DataFrame, threshold: float | DataFrame, method: str = "watersh
     found = written(found, "labels")
     # A row for each cell, numbered per image.
     numbers = found.select("image_id", "label").distinct().withColumn("cell_id", F.row_number().over(W.partitionBy("image_id").orderBy("label")).cast("int"))
-    return size_filter(found.join(numbers, ["image_id", "label"]).select(*PIXEL, "cell_id"), least, most, unit, pixel_um, remove_isolated)
+    return written(size_filter(found.join(numbers, ["image_id", "label"]).select(*PIXEL, "cell_id"), least, most, unit, pixel_um, remove_isolated), "segments")

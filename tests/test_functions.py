@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from mosaicell.functions import mz, survival
 from mosaicell.functions.quantiles import grouped_quantiles
-from mosaicell.functions.tables import dense
+from mosaicell.functions.tables import Scratch, dense
 from mosaicell.operators import annotate
 from mosaicell.sources import catalogue
 from pyspark.sql import functions as F
@@ -167,3 +167,21 @@ def test_hits_are_ranked_once_for_each_mz(spark):
         each.setdefault(r["query_id"], set()).add((r["mz_query"], r["seq"], r["adduct_seq"], r["rank"], r["ppm_error"]))
     assert set(each) == {k for k in range(40) if k % 4 < 3}
     assert all(each[k] == each[k % 4] for k in each)
+
+
+def test_small_files_of_many_rows_are_not_broadcast(spark):
+    conf, scratch = "spark.sql.autoBroadcastJoinThreshold", Scratch()
+    threshold = spark.conf.get(conf)
+    many = scratch.written(spark.range(0, 2_000_000, 1, 4).select(F.floor(F.col("id") / 1000).alias("k"), F.lit("fx").alias("image_id")), "many")
+    few = scratch.written(spark.range(2000).select(F.col("id").alias("k")), "few")
+    kinds = []
+    for right in (many, few):
+        joined = many.join(right.select("k"), "k", "left_semi")
+        store = spark._jsparkSession.sharedState().statusStore()
+        scratch.written(joined, "joined")
+        nodes = store.planGraph(store.executionsCount() - 1).allNodes()
+        kinds.append({nodes.apply(k).name() for k in range(nodes.size())})
+    assert not any("Broadcast" in name for name in kinds[0])
+    assert any("Broadcast" in name for name in kinds[1])  # few rows: when they have been counted
+    assert spark.conf.get(conf) == threshold
+    scratch.clear()
