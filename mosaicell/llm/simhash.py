@@ -4,8 +4,9 @@ Fingerprints are tiled by the population counts of their four 16-bit quarters. T
 many bits as the sum of the differences of those counts, so tile pairs beyond the radius are never formed. Within a
 tile pair all fingerprints are compared, in blocks of bounded size, by numpy exclusive-or and bit counts.
 
-Where a similarity of shingles is asked for (`similar_keep`), one SimHash has too little recall: candidates come from
-independent fingerprints of min-hashes, and each is verified by the exact Jaccard similarity of the whole texts' shingles.
+Where a similarity of shingles is asked for (`similar_keep`), what SimHash links is verified by the exact Jaccard
+similarity of the whole texts' shingles. One SimHash has too little recall for that: independent fingerprints of min-hashes
+give further candidates, verified alike.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ PARTNERS = 256
 
 def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
     """SimHash of UTF-8 bytes as an unsigned integer; 0 for null or a text without words."""
-    hashes = shingle_hashes(text, words)
+    return _simhash(shingle_hashes(text, words))
+
+
+def _simhash(hashes: list[int]) -> int:
     if not hashes:
         return 0
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -195,10 +199,12 @@ def _set(text: bytes | None, words: int) -> np.ndarray:
 def _signed(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_set(x.as_py(), words) for x in batch.column(1).cast(pa.binary())]
+            hashes = [shingle_hashes(x.as_py(), words) for x in batch.column(1).cast(pa.binary())]
+            sets = [np.unique(np.array(x, np.uint64)) for x in hashes]
+            fps = np.array([_simhash(x) for x in hashes], np.uint64)
             prints = pa.array([np.array(min_prints(x), np.uint64).view(np.int64) if len(x) else [] for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), prints, *batch.columns[2:]],
-                                             ["row", "same", "prints", "id"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), prints, pa.array(fps.view(np.int64)), *batch.columns[2:]],
+                                             ["row", "same", "prints", "fp", "id"])
 
     return run
 
@@ -287,11 +293,21 @@ def _large_groups(members: DataFrame, texts: DataFrame, words: int, least: float
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_blocks_compared(least), "u long, v long")
 
 
-def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Links (u, v) that join the rows of `classes` (row, prints; rows differ) whose shingles in `texts` (row, text) have Jaccard
-    similarity `least` or more, as far as they share a fingerprint.
+def _simhash_pairs(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of rows of `classes` (row, fp) that SimHash joins: a row with the first of its fingerprint, and first rows along `fingerprint_links`."""
+    firsts = scratch.written(classes.groupBy("fp").agg(F.min("row").alias("first")), "firsts")
+    links = scratch.written(fingerprint_links(firsts.select("fp"), radius, scratch=scratch), "simhash")
+    first = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"row_{c}"))
+    near = links.join(first("u"), "u").join(first("v"), "v").select("row_u", "row_v")
+    equal = classes.join(firsts, "fp").where("row <> first").select("first", "row")
+    return near.union(equal).toDF("u", "v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float, radius: int = RADIUS) -> DataFrame:
+    """Links (u, v) that join the rows of `classes` (row, prints, fp; rows differ) whose shingles in `texts` (row, text) have Jaccard
+    similarity `least` or more, as far as SimHash joins them (fp, `radius` bits; none where there is no fp) or they share one of the prints.
 
-    Two rounds, so that few texts travel: first each row of a group with the group's first row; then all other pairs that
+    Two rounds, so that few texts travel: first what SimHash joins, and each row of a group with the group's first row; then all other pairs that
     the first round's links haven't joined yet. Of large groups, rows that aren't joined with the first one are compared
     with all rows of the group, in blocks of their sets: none is skipped, and no pair is a row. Rows with null or empty
     prints have no links; empty tables give none; ties don't matter, since all that is similar is joined.
@@ -301,8 +317,14 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
     # Partial aggregates: a group of any size is never gathered.
     groups = scratch.written(members.groupBy("print").agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1"), "groups")
     members = scratch.written(members.join(groups.select("print"), "print", "left_semi"), "members")
-    texts = scratch.written(texts.join(members.select("row").distinct(), "row", "left_semi"), "candidates")
-    stars = members.join(groups, "print").where("row <> first").select(F.col("first").alias("u"), F.col("row").alias("v")).distinct()
+    stars = members.join(groups, "print").where("row <> first").select(F.col("first").alias("u"), F.col("row").alias("v"))
+    asked = members.select("row")
+    if "fp" in classes.columns:
+        joined_by_bits = scratch.written(_simhash_pairs(classes.select("row", "fp"), radius, scratch), "pairs")
+        stars = stars.unionByName(joined_by_bits)
+        asked = asked.unionByName(joined_by_bits.select(F.explode(F.array("u", "v")).alias("row")))
+    texts = scratch.written(texts.join(asked.distinct(), "row", "left_semi"), "candidates")
+    stars = stars.distinct()
     found = written(_verified(stars, texts, words, least), "links")
     joined = scratch.written(components(found), "joined")
     small = members.join(groups.where(F.col("n") <= SHARED).select("print"), "print")
@@ -330,10 +352,10 @@ def similar_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch()
     texts = rows.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = rows.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).mapInArrow(_signed(words), f"row long, same binary, prints array<long>, id {kind}")
+    signed = rows.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).mapInArrow(_signed(words), f"row long, same binary, prints array<long>, fp long, id {kind}")
     first = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")
-    classes = scratch.written(signed.groupBy("same").agg(F.min_by(F.struct("row", "prints"), "row").alias("one"), first).select("one.row", "one.prints", "first"), "classes")
-    roots = components(similar_links(classes.select("row", "prints"), texts, words, least))
+    classes = scratch.written(signed.groupBy("same").agg(F.min_by(F.struct("row", "prints", "fp"), "row").alias("one"), first).select("one.row", "one.prints", "one.fp", "first"), "classes")
+    roots = components(similar_links(classes.select("row", "prints", "fp"), texts, words, least))
     kept = lowest_of_component(classes.select(F.col("row").alias("node"), "first"), roots, "first").select(F.col("first.row").alias(row)).distinct()
     kept = written(kept, "kept")
     scratch.clear()

@@ -142,3 +142,17 @@ def test_sets_by_brute_force():
     i, j = simhash.set_links(sets[:70], sets[70:], 0.6)
     jaccard = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
     assert sorted(zip(i.tolist(), j.tolist())) == [(a, b) for a in range(70) for b in range(80) if jaccard(sets[a].tolist(), sets[70 + b].tolist()) >= 0.6]
+
+
+def test_what_simhash_links_is_verified_and_kept(spark):
+    """Without any shared print: the links are SimHash's own, but for those that are not similar."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in rng.integers(0, 5000, 600)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(f"v{k}" for k in rng.integers(0, 5000, 600))]
+    prints = [simhash.fingerprint(x.encode(), 5) for x in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    rows = [(k, [], signed(prints[k])) for k in range(3)] + [(3, [], signed(prints[0]))]  # the last has a fingerprint that is not its text's
+    classes = spark.createDataFrame(rows, "row long, prints array<long>, fp long")
+    found = simhash.similar_links(classes, spark.createDataFrame([*enumerate(texts), (3, texts[2])], "row long, text string"), 5, 0.8)
+    assert {(r["u"], r["v"]) for r in found.collect()} == {(0, 1)}
