@@ -34,8 +34,8 @@ MOST_CODED, _BITS = 1 << 19, 20
 MARKS = 1 << 24
 #: Occurrences of a pivot that go to one partition.
 DEAL = 20_000
-#: Words that a task rewrites at once.
-CHUNK = 1 << 20
+#: Words that a task rewrites at once (as numbers), words that it holds as such, and different words that it counts at once; of all languages.
+CHUNK, HELD, COUNTED = 1 << 20, 1 << 17, 1 << 18
 # Fixed values of the contract: A-Z are lower-cased, these end a piece, these end a word.
 _ENDS, _GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _END = b"."
@@ -47,25 +47,39 @@ def _tokens(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).replace(_END, b" . ").split()
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list[bytes]]]:
-    """(lang, words of whole texts and ends of pieces), of `most` words or one text."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """(lang, words of whole texts and ends of pieces), of HELD words of all languages or one text."""
     held: dict[str, list[bytes]] = {}
+    size = 0
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-            own = held.setdefault(lang, [])
-            own.extend(_tokens(text))
+        for lang, text in zip(batch.column("lang"), batch.column("text").cast(pa.binary())):
+            tokens = _tokens(text.as_py())
+            own = held.setdefault(lang.as_py(), [])
+            own.extend(tokens)
             own.append(_END)
-            if len(own) >= most or len(held) > 64:
-                yield lang, held.pop(lang)
+            size += len(tokens) + 1
+            if size >= HELD:
+                while held:
+                    yield held.popitem()
+                size = 0
     yield from held.items()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, tokens in _chunks(batches, CHUNK):
-        counts = Counter(tokens)
-        del counts[_END]
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array([w.decode() for w in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "word", "f"])
+    def told() -> Iterator[pa.RecordBatch]:
+        while held:
+            lang, counts = held.popitem()
+            del counts[_END]
+            if counts:
+                words = pa.array(counts.keys(), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(counts), np.int32))), words, pa.array(counts.values(), pa.int64())], ["lang", "word", "f"])
+
+    held: dict[str, Counter] = {}
+    for lang, tokens in _chunks(batches):
+        held.setdefault(lang, Counter()).update(tokens)
+        if sum(len(c) for c in held.values()) >= COUNTED:
+            yield from told()
+    yield from told()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -94,10 +108,12 @@ class Vocabulary:
         order = np.lexsort((coded["word"].to_numpy(), coded["lang"].to_numpy(), -coded["f"].to_numpy())) if len(coded) else np.zeros(0, int)
         coded = coded.take(pa.array(order))
         self.counts = coded["f"].to_numpy()
-        self.numbers: dict[str, dict[bytes, int]] = {}
-        for k, (lang, word) in enumerate(zip(coded["lang"].to_pylist(), coded["word"].to_pylist())):
-            self.numbers.setdefault(lang, {})[word.encode()] = k
         self.langs, self.words = coded["lang"].combine_chunks(), coded["word"].combine_chunks()
+        # The words of a language and their numbers: arrays, as each task's process holds them.
+        self.own: dict[str, tuple[pa.Array, np.ndarray]] = {}
+        for lang in pc.unique(self.langs).to_pylist():
+            at = np.flatnonzero(pc.equal(self.langs, lang).to_numpy(zero_copy_only=False))
+            self.own[lang] = self.words.take(pa.array(at)).cast(pa.binary()), at.astype(np.int32)
         self.marks = None
         if held < sum(n for _, n in sizes):
             mark = F.crc32(F.concat_ws(" ", "lang", "word")) % MARKS
@@ -106,6 +122,14 @@ class Vocabulary:
             self.marks = np.zeros(MARKS // 63 + 1, np.int64)
             self.marks[found["at"].to_numpy()] = found["bits"].to_numpy()
 
+    def numbered(self, lang: str, tokens: list[bytes]) -> np.ndarray:
+        """The numbers of words; -1 for those without."""
+        if lang not in self.own:
+            return np.full(len(tokens), -1, np.int32)
+        words, numbers = self.own[lang]
+        at = pc.fill_null(pc.index_in(pa.array(tokens, pa.binary()), value_set=words), -1).to_numpy()
+        return np.where(at >= 0, numbers[at], np.int32(-1))
+
     def frequent(self, lang: str, word: bytes) -> bool:
         """Whether a word without a number may have enough occurrences; false is certain."""
         m = _mark(lang, word)
@@ -130,6 +154,36 @@ def _columns(longest: int) -> list[str]:
     return ["pivot", "salt", "p0", "p1", "lang", *(f"w{i}" for i in range(2 * longest - 1)), "n"]
 
 
+def _coded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+    """(lang, numbers of the words of whole texts, words that the numbers beyond the vocabulary's mean), of CHUNK words or one text; -1: nothing passes."""
+    top = len(vocabulary.counts)
+    held: dict[str, tuple[list[np.ndarray], dict[bytes, int], list[bytes]]] = {}
+    size = 0
+
+    def told() -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+        while held:
+            lang, (parts, _, names) = held.popitem()
+            yield lang, np.concatenate(parts), names
+
+    for lang, tokens in _chunks(batches):
+        codes = vocabulary.numbered(lang, tokens)
+        parts, scarce, names = held.setdefault(lang, ([], {}, []))
+        if vocabulary.marks is not None:
+            for i in np.flatnonzero(codes < 0).tolist():
+                w = tokens[i]
+                if (k := scarce.get(w)) is None:
+                    k = scarce[w] = top + len(names) if w != _END and vocabulary.frequent(lang, w) else -1
+                    if k >= 0:
+                        names.append(w)
+                codes[i] = k
+        parts.append(codes)
+        size += len(codes)
+        if size >= CHUNK or sum(len(s) for _, s, _ in held.values()) >= COUNTED:
+            yield from told()
+            size = 0
+    yield from told()
+
+
 def _rewrite(known, longest: int):
     """Fragments as `_columns` tells: numbers of their words if the pivot has one, else the words themselves."""
     reach = longest - 1
@@ -137,17 +191,7 @@ def _rewrite(known, longest: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = known.value
         top = len(vocabulary.counts)
-        for lang, tokens in _chunks(batches, CHUNK):
-            numbers = vocabulary.numbers.get(lang, {})
-            codes = np.fromiter((numbers.get(w, -1) for w in tokens), np.int64, len(tokens))
-            scarce: dict[bytes, int] = {}
-            more = 0
-            if vocabulary.marks is not None:
-                for i in np.flatnonzero(codes < 0):
-                    w = tokens[i]
-                    if (k := scarce.get(w)) is None:
-                        k = scarce[w] = top + (more := more + 1) - 1 if w != _END and vocabulary.frequent(lang, w) else -1
-                    codes[i] = k
+        for lang, codes, names in _coded(batches, vocabulary):
             f = np.zeros(len(codes), np.int64)
             has = (codes >= 0) & (codes < top)
             f[has] = vocabulary.counts[codes[has]] + 1
@@ -157,8 +201,8 @@ def _rewrite(known, longest: int):
             if not len(at):
                 continue
             # A column for each place around the pivot; 0 where the fragment has no word, else the number and one.
-            padded = np.concatenate([np.zeros(reach, np.int64), codes + 1, np.zeros(reach, np.int64)])
-            columns = [np.where((k >= -left[at]) & (k <= right[at]), padded[at + reach + k], 0) for k in range(-reach, longest)]
+            padded = np.concatenate([np.zeros(reach, np.int32), codes + 1, np.zeros(reach, np.int32)])
+            columns = [np.where((k >= -left[at]) & (k <= right[at]), padded[at + reach + k], np.int32(0)) for k in range(-reach, longest)]
             columns.append(columns.pop(reach))  # the pivot last: what np.lexsort sorts by first
             order = np.lexsort(columns)
             columns = [c[order] for c in columns]
@@ -168,7 +212,6 @@ def _rewrite(known, longest: int):
             columns = [c[starts] for c in columns]
             pivot = columns.pop()
             columns.insert(reach, pivot)
-            names = [w for w, k in scarce.items() if k >= 0]
             for coded in (True, False):
                 own = np.flatnonzero((pivot <= top) == coded)
                 if not len(own):
@@ -179,7 +222,7 @@ def _rewrite(known, longest: int):
                     for c in some:
                         mixed = (mixed ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                     salt = (mixed >> np.uint64(33)).astype(np.int64) % (1 + vocabulary.counts[some[reach] - 1] // DEAL)
-                    head = [pa.array(some[reach] - 1, pa.int64()), pa.array(salt, pa.int64()), *(pa.array(_pack(some[i : i + 3], len(own)), pa.int64()) for i in (0, 3))]
+                    head = [pa.array(some[reach].astype(np.int64) - 1), pa.array(salt, pa.int64()), *(pa.array(_pack(some[i : i + 3], len(own)), pa.int64()) for i in (0, 3))]
                     rest = [pa.nulls(len(own), pa.string())] * (1 + len(some))
                 else:
                     head = [pa.array(np.full(len(own), -1), pa.int64()), pa.array(np.zeros(len(own)), pa.int64()), *[pa.nulls(len(own), pa.int64())] * 2]
@@ -196,7 +239,7 @@ def _rewrite(known, longest: int):
 def _pack(columns: list[np.ndarray], rows: int) -> np.ndarray:
     out = np.zeros(rows, np.int64)
     for i, c in enumerate(columns):
-        out |= c << (_BITS * i)
+        out |= c.astype(np.int64) << (_BITS * i)
     return out
 
 

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 from mosaicell.llm import collocation, queries
 
@@ -78,3 +79,28 @@ def test_query_like_sql(spark):
     assert [d[0] for d in want.description] == COLUMNS
     want = sorted(want.fetchall())
     assert found(queries.op13_collocations(spark, SF)) == want and len(want) > 100
+
+
+def test_words_held_are_bounded_for_all_languages_together(monkeypatch):
+    monkeypatch.setattr(collocation, "HELD", 100)
+    monkeypatch.setattr(collocation, "COUNTED", 30)
+    rows = [(f"l{k % 5}", " ".join(f"w{k * i % 23}" for i in range(9))) for k in range(400)]
+    taken = 0
+
+    def batches():
+        nonlocal taken
+        for row in rows:
+            taken += 10
+            yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]])], ["lang", "text"])
+
+    told = 0
+    for _, tokens in collocation._chunks(batches()):
+        assert taken - told <= 110
+        told += len(tokens)
+    assert told == 4000
+    counts, most = Counter(), 0
+    for b in collocation._count(batches()):
+        most = max(most, b.num_rows)
+        for r in b.to_pylist():
+            counts[r["lang"], r["word"]] += r["f"]
+    assert most < 60 and counts == Counter((lang, w) for lang, text in rows for w in text.split())
