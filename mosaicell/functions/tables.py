@@ -44,13 +44,13 @@ class Scratch:
         self._paths: list[tuple[SparkSession, str]] = []
         self._by_files = by_files
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        """`df` as a table written to the shared folder and read again: cuts lineage, survives lost executors."""
+    def written(self, df: DataFrame, name: str, by_files: bool | None = None) -> DataFrame:
+        """`df` as a table written to the shared folder and read again: cuts lineage, survives lost executors. by_files: for this table alone."""
         spark = df.sparkSession
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         # Nothing reads the shuffles again once the table is there: they needn't stay on the executors' disks.
         confs = {_CLEANUP: "true"}
-        if not self._by_files:
+        if not (self._by_files if by_files is None else by_files):
             confs |= {_BROADCAST: "-1", _BROADCAST_BY_ROWS: spark.conf.get(_BROADCAST_BY_ROWS, None) or spark.conf.get(_BROADCAST)}
         before = {c: spark.conf.get(c, None) for c in confs}
         try:
@@ -87,7 +87,7 @@ def holding() -> Iterator[Scratch]:
 
 def written(df: DataFrame, name: str, by_files: bool = False) -> DataFrame:
     """A table as Scratch writes it, which stays, but for what `holding` says."""
-    return (_holder.get() or Scratch(by_files)).written(df, name)
+    return (_holder.get() or Scratch()).written(df, name, by_files)
 
 
 def dense(entries: F.Column, size: F.Column, place: str, value: str) -> F.Column:

@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, lowest_of_component, written
+from ..functions.tables import Scratch, written  # rows here are numbers mostly: joins go by rows, not by files
+from .common import components, lowest_of_component
 
 SHINGLE_WORDS = 3
 RADIUS = 3

@@ -156,3 +156,16 @@ def test_what_simhash_links_is_verified_and_kept(spark):
     classes = spark.createDataFrame(rows, "row long, prints array<long>, fp long")
     found = simhash.similar_links(classes, spark.createDataFrame([*enumerate(texts), (3, texts[2])], "row long, text string"), 5, 0.8)
     assert {(r["u"], r["v"]) for r in found.collect()} == {(0, 1)}
+
+
+def test_joins_are_planned_by_rows_and_not_by_files(spark, monkeypatch):
+    """A file of equal or rising numbers is small whatever its rows: no join may be a broadcast for that."""
+    from mosaicell.functions.tables import holding
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen, write = {}, DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (seen.update({path.rpartition("/")[2].partition("-")[0]: spark.conf.get("spark.sql.autoBroadcastJoinThreshold")}), write(self, path, *a, **k))[1])
+    df = spark.createDataFrame([(k, f"a b c d e f g h i j k l m n o {k % 3}") for k in range(9)], "doc_id long, text string")
+    with holding():
+        assert simhash.similar_keep(df, words=3).count() == 1
+    assert {"classes", "links", "joined", "kept", "pairs"} <= seen.keys() and set(seen.values()) == {"-1"}
