@@ -158,12 +158,45 @@ def _offsets(rows: int, columns: int) -> F.Column:
     return F.array(*(F.struct(F.lit(b).alias("dx"), F.lit(a).alias("dy")) for a in range(-(rows // 2), rows - rows // 2) for b in range(-(columns // 2), columns - columns // 2)))
 
 
+#: Side of a tile, in pixels: what touches only pixels nearby is done tile by tile, as arrays.
+TILE = 256
+
+
+def _tiled(pixels: DataFrame, left: int = 0, right: int = 0, above: int = 0, below: int = 0) -> DataFrame:
+    """Adds tx, ty: each pixel once for every tile that it lies in or at most so many pixels to the left of, to the right of, above or below."""
+    reach = lambda c, before, after: F.explode(F.sequence(F.floor((F.col(c) - after) / TILE), F.floor((F.col(c) + before) / TILE)))
+    return pixels.where("image_id is not null and x is not null and y is not null").withColumn("tx", reach("x", left, right)).withColumn("ty", reach("y", above, below))
+
+
+def _tops(footprint: tuple[int, int], value: str):
+    rows, columns = footprint
+    above, left = rows // 2, columns // 2
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks()
+        x, y, tx, ty = (tile.column(c).to_numpy().astype(np.int64) for c in ("x", "y", "tx", "ty"))
+        x, y = x - tx * TILE + left, y - ty * TILE + above
+        order = np.unique(tile.column(value).to_numpy(), return_inverse=True)[1].ravel() + 1  # numbers in the values' order, 0 where nothing is
+        grid = np.zeros((TILE + rows - 1, TILE + columns - 1), np.int64)
+        np.maximum.at(grid, (y, x), order)
+        around = np.zeros((TILE, TILE), np.int64)
+        for i in range(rows):
+            for j in range(columns):
+                np.maximum(around, grid[i : i + TILE, j : j + TILE], out=around)
+        own = np.flatnonzero((x >= left) & (x < left + TILE) & (y >= above) & (y < above + TILE))
+        return tile.select([*PIXEL, value]).take(pa.array(own[order[own] == around[y[own] - above, x[own] - left]]))
+
+    return run
+
+
 def local_maxima(pixels: DataFrame, footprint: tuple[int, int] = (3, 3), value: str = "tic", border: int = 1) -> DataFrame:
-    """Pixels whose value is over 0 and the largest under the footprint around them, `border` pixels from the grid's edge or more."""
-    seen = (pixels.where(F.col(value) > 0).withColumn("o", F.explode(_offsets(*footprint)))
-            .select("image_id", (F.col("x") - F.col("o.dx")).alias("x"), (F.col("y") - F.col("o.dy")).alias("y"), value).groupBy(*PIXEL).agg(F.max(value).alias("around")))
+    """Pixels whose value is over 0 and the largest under the footprint around them, `border` pixels from the grid's edge or more. Tiles of pixels, with what the footprint reaches beyond them, are compared as arrays."""
+    rows, columns = footprint
+    own = pixels.select(*PIXEL, value)
+    tiles = _tiled(own.where(F.col(value) > 0), columns // 2, columns - columns // 2 - 1, rows // 2, rows - rows // 2 - 1)
+    tops = tiles.groupBy("image_id", "tx", "ty").applyInArrow(_tops(footprint, value), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields))
     inner = F.expr(f"x - x0 >= {border} and y - y0 >= {border} and x0 + width - 1 - x >= {border} and y0 + height - 1 - y >= {border}")
-    return pixels.join(seen, PIXEL).where(F.col(value) == F.col("around")).join(grid_bounds(pixels), "image_id").where(inner).select(*PIXEL, value)
+    return tops.join(grid_bounds(pixels), "image_id").where(inner).select(*PIXEL, value)
 
 
 def connected_components(mask: DataFrame, neighbours: int = 4) -> DataFrame:

@@ -521,3 +521,20 @@ def test_mixtures_of_all_values(spark):
     for r in found:
         x = logs[r["image_id"]]
         assert step(x, *of(r))[0] > step(x, *threshold._mixture(x, np.ones(len(x)), r["k"]))[0] - 1e-3
+
+
+def test_maxima_and_components_across_tiles(spark, monkeypatch):
+    """Tiles see what lies beyond their edges; each pixel is shuffled about once and not once for each place of the footprint."""
+    rng = np.random.default_rng(4)
+    values = rng.integers(0, 6, (70, 600)) * (rng.random((70, 600)) < 0.6)
+    rows = [(name, int(x) - 300, int(y) - 20, float(values[y, x])) for name in ("a", "b") for y, x in zip(*np.nonzero(values))]
+    pixels = spark.createDataFrame(rows, "image_id string, x int, y int, tic double")
+    for footprint in ((3, 3), (2, 5)):
+        (r, c), there = footprint, {(x, y): v for name, x, y, v in rows if name == "a"}
+        near = [(dx, dy) for dy in range(-(r // 2), r - r // 2) for dx in range(-(c // 2), c - c // 2)]
+        x0, x1, y0, y1 = min(x for x, _ in there), max(x for x, _ in there), min(y for _, y in there), max(y for _, y in there)
+        tops = sorted((name, x, y, v) for name in ("a", "b") for (x, y), v in there.items()
+                      if x0 < x < x1 and y0 < y < y1 and v == max(there.get((x + dx, y + dy), 0) for dx, dy in near))
+        found = image.local_maxima(pixels, footprint)
+        assert sorted(map(tuple, found.collect())) == tops
+        assert "Generate explode([" not in found._jdf.queryExecution().toString()
