@@ -199,20 +199,60 @@ def local_maxima(pixels: DataFrame, footprint: tuple[int, int] = (3, 3), value:
     return tops.join(grid_bounds(pixels), "image_id").where(inner).select(*PIXEL, value)
 
 
+def _joined_in_tile(neighbours: int):
+    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if neighbours == 8 else [])
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks()
+        x, y, tx, ty = (tile.column(c).to_numpy().astype(np.int64) for c in ("x", "y", "tx", "ty"))
+        i, j = y - ty * TILE, x - tx * TILE
+        at = np.full((TILE + 2, TILE + 2), -1)
+        order = np.argsort(i * TILE + j)
+        at[i[order] + 1, j[order] + 1] = np.arange(len(order))
+        u, v = [], []
+        for di, dj in steps:
+            there = at[i[order] + 1 + di, j[order] + 1 + dj]
+            u.append(np.flatnonzero(there >= 0))
+            v.append(there[there >= 0])
+        u, v, label = np.concatenate(u), np.concatenate(v), np.arange(len(order))
+        while True:  # labels fall to the first pixel's: links hook labels, labels point on
+            new = label.copy()
+            np.minimum.at(new, label[u], label[v])
+            np.minimum.at(new, label[v], label[u])
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        first = order[label]
+        edge = (i == 0) | (i == TILE - 1) | (j == 0) | (j == TILE - 1)
+        out = tile.select(PIXEL).take(pa.array(order))
+        return out.append_column("part", pa.array(y[first] * (1 << 24) + x[first])).append_column("edge", pa.array(edge[order]))
+
+    return run
+
+
 def connected_components(mask: DataFrame, neighbours: int = 4) -> DataFrame:
     """Adds `component` to mask pixels: the number x + y * 2**24 of its first pixel in raster order, equal for connected pixels.
 
-    Links between neighbours go through alternating star steps, over all images in one job. Pixels are nodes by number
-    of their row in a written table, so that there may be any number of images.
+    Tiles of pixels are labelled as arrays; only links across the tiles' edges go through alternating star steps, over
+    all images in one job. Their nodes are parts of a tile, by number of their row in a written table, so that there may
+    be any number of images.
     """
     scratch = Scratch()
-    own = scratch.written(mask.select(*PIXEL).distinct().withColumn("node", F.monotonically_increasing_id()), "mask")
+    own = _tiled(mask.select(*PIXEL).distinct())
+    parts = own.groupBy("image_id", "tx", "ty").applyInArrow(_joined_in_tile(neighbours), ", ".join(f"{c} {mask.schema[c].dataType.simpleString()}" for c in PIXEL) + ", part long, edge boolean")
+    parts = scratch.written(parts, "parts")
+    edges = parts.where("edge")
+    nodes = scratch.written(edges.select("image_id", "part").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+    edges = scratch.written(edges.join(nodes, ["image_id", "part"]).select(*PIXEL, "node"), "edges")
     steps = [(1, 0), (0, 1)] + ([(1, 1), (-1, 1)] if neighbours == 8 else [])
-    ahead = own.withColumn("o", F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in steps))))
+    ahead = edges.withColumn("o", F.explode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in steps))))
     ahead = ahead.select("image_id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), F.col("node").alias("u"))
-    roots = components(ahead.join(own.select(*PIXEL, F.col("node").alias("v")), PIXEL).select("u", "v"))
-    first = own.select("node", (F.col("y").cast("long") * F.lit(1 << 24) + F.col("x")).alias("component"))
-    found = scratch.written(lowest_of_component(first, roots, "component").join(own, "node").select(*PIXEL, "component"), "components")
+    roots = components(ahead.join(edges.select(*PIXEL, F.col("node").alias("v")), PIXEL).select("u", "v"))
+    lowest = lowest_of_component(nodes.select("node", F.col("part").alias("component")), roots, "component")
+    lowest = scratch.written(lowest.join(nodes, "node").where("component <> part").select("image_id", "part", "component"), "lowest")
+    found = parts.join(lowest, ["image_id", "part"], "left").select(*PIXEL, F.coalesce("component", "part").alias("component"))
     out = written(mask.join(found, PIXEL), "connected")
     scratch.clear()
     return out
@@ -378,6 +418,7 @@ TASK_PIXELS = 500_000
 
 def _dealt(marked: DataFrame) -> DataFrame:
     """Adds `task`: components by a hash, so many to a task as hold TASK_PIXELS pixels."""
+    marked = written(marked, "marked")
     tasks = max(1, -(-marked.count() // TASK_PIXELS))
     return marked.withColumn("task", F.pmod(F.xxhash64("image_id", "component"), F.lit(tasks)))
 

@@ -538,3 +538,25 @@ def test_maxima_and_components_across_tiles(spark, monkeypatch):
         found = image.local_maxima(pixels, footprint)
         assert sorted(map(tuple, found.collect())) == tops
         assert "Generate explode([" not in found._jdf.queryExecution().toString()
+    for neighbours, steps in ((4, [(1, 0), (0, 1)]), (8, [(1, 0), (0, 1), (1, 1), (-1, 1)])):
+        root = {p: p for p in there}
+
+        def find(p, root=root):
+            while root[p] != p:
+                root[p] = p = root[root[p]]
+            return p
+
+        for x, y in there:
+            for dx, dy in steps:
+                if (q := (x + dx, y + dy)) in root:
+                    a, b = find((x, y)), find(q)
+                    low, high = sorted((a, b), key=lambda p: (p[1], p[0]))
+                    root[high] = low
+        want = sorted((name, x, y, find((x, y))[1] * (1 << 24) + find((x, y))[0]) for name in ("a", "b") for x, y in there)
+        names, write = {}, image.Scratch.written
+        with monkeypatch.context() as patch:
+            patch.setattr(image.Scratch, "written", lambda self, df, name, *a: (made := write(self, df, name, *a), names.setdefault(name, made))[0])
+            patch.setattr(image.Scratch, "clear", lambda self: None)
+            found = image.connected_components(pixels.select("image_id", "x", "y"), neighbours)
+        assert sorted(map(tuple, found.select("image_id", "x", "y", "component").collect())) == want
+        assert names["nodes"].count() < len(rows) / 20  # only parts at tiles' edges are nodes
