@@ -320,13 +320,71 @@ def contour_segments(labels: DataFrame) -> DataFrame:
     return out.select(*key, (2 * F.col("x") + F.col("dx")).alias("x2"), (2 * F.col("y") + F.col("dy")).alias("y2"), nx.alias("to_x2"), ny.alias("to_y2"))
 
 
+#: Pixels, of whole cells, whose rings are chained together in a task. Larger cells are spread over tasks.
+RING_PIXELS = 100_000
+
+
+def _rings(task: pa.Table) -> pa.Table:
+    """The rings of whole cells, by the rules of `contour_segments`: a vertex is a pixel's number times 4 and the number of its side."""
+    corners = [tuple(a + b for a, b in zip(SIDES[k], SIDES[(k + 1) % 4])) for k in range(4)]
+    mask = Mask(task, tuple((dy, dx) for dx, dy in (*SIDES, *corners)))
+    side, corner = np.stack(mask.near[:4], axis=1), np.stack(mask.near[4:], axis=1)
+    p, k = np.nonzero(side < 0)
+    on = (k + 1) % 4
+    ahead, beside = side[p, on], corner[p, k]
+    to = np.where(ahead < 0, 4 * p + on, np.where(beside < 0, 4 * ahead + k, 4 * beside + (k + 3) % 4))
+    x, y = (2 * mask.values(c).astype(np.int64)[p] + np.array(SIDES)[k, i] for i, c in enumerate(("x", "y")))
+    # Vertices in order of their cell, y and x, so that the least of a ring has the least number.
+    order = np.lexsort((x, y, mask.group[p]))
+    p, x, y, place = p[order], x[order], y[order], np.full(4 * len(side), -1)
+    place[(4 * p + k[order])] = np.arange(len(order))
+    start = place[to[order]]
+    low, to = np.minimum(np.arange(len(order)), start), start
+    while True:  # each learns what the vertex it points to has learnt, and points twice as far
+        new, to = np.minimum(low, low[to]), to[to]
+        if (new == low).all():
+            break
+        low = new
+    steps, to = np.ones(len(order), np.int64), start.copy()
+    while len(going := np.flatnonzero(to != low)):  # pointers end at the least vertex
+        steps[going], to[going] = steps[going] + steps[to[going]], to[to[going]]
+    firsts = np.unique(low)
+    group = mask.group[p[firsts]]
+    ring = np.zeros(len(order), np.int32)
+    ring[firsts] = np.arange(len(firsts)) - np.searchsorted(group, group) + 1
+    out = mask.table.select(["image_id", "component"]).take(pa.array(p)).rename_columns(["image_id", "cell_id"])
+    for name, column in (("ring", ring[low]), ("place", steps[low] - steps), ("x", x / 2), ("y", y / 2)):
+        out = out.append_column(name, pa.array(column))
+    return out
+
+
 def contour_rings(labels: DataFrame) -> DataFrame:
     """(image_id, cell_id, ring, place, x, y): closed rings around each cell and its holes, vertex by vertex.
 
     ring numbers a cell's rings by their first vertex (least y, then x), from 1; place counts from 0 there, along
-    `contour_segments`. Segments are chained by pointer jumping: each round, every vertex learns what the vertex it
-    points to has learnt, and points twice as far; rounds are written tables, as many as the logarithm of the longest
-    ring. Rings of any length are spread over tasks.
+    `contour_segments`. Cells share tasks, as arrays: a pixel is shuffled once. Cells of more than RING_PIXELS pixels go
+    through `_large_rings`, which spreads a ring over tasks. Pixels without image or cell have no ring.
+    """
+    scratch = Scratch()
+    kinds = {c: labels.schema[c].dataType.simpleString() for c in ("image_id", "cell_id")}
+    own = scratch.written(labels.where("image_id is not null and cell_id is not null").select(*PIXEL, "cell_id"), "cells")
+    sizes = scratch.written(own.groupBy("image_id", "cell_id").agg(F.count("*").alias("n")), "sizes")
+    large, total = sizes.where(F.col("n") > RING_PIXELS).select("image_id", "cell_id"), own.count()
+    several = not large.isEmpty()
+    small = own.join(large, ["image_id", "cell_id"], "left_anti") if several else own
+    dealt = small.withColumn("task", F.pmod(F.xxhash64("image_id", "cell_id"), F.lit(max(1, -(-total // RING_PIXELS))))).withColumnRenamed("cell_id", "component")
+    out = dealt.groupBy("task").applyInArrow(_rings, f"image_id {kinds['image_id']}, cell_id {kinds['cell_id']}, ring int, place long, x double, y double")
+    if several:
+        out = out.unionByName(_large_rings(own.join(large, ["image_id", "cell_id"], "left_semi")))
+    out = written(out, "contours")
+    scratch.clear()
+    return out
+
+
+def _large_rings(labels: DataFrame) -> DataFrame:
+    """What `contour_rings` tells, of cells of any size. Segments are chained by pointer jumping: each round, every vertex
+    learns what the vertex it points to has learnt, and points twice as far; rounds are written tables, as many as the
+    logarithm of the longest ring. Rings of any length are spread over tasks.
     """
     key = ["image_id", "cell_id"]
     scratch, now = Scratch(), Scratch()

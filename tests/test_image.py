@@ -523,6 +523,20 @@ def test_mixtures_of_all_values(spark):
         assert step(x, *of(r))[0] > step(x, *threshold._mixture(x, np.ones(len(x)), r["k"]))[0] - 1e-3
 
 
+def test_rings_of_small_and_large_cells(spark, monkeypatch):
+    """Small cells are chained in a task, without a written table a round; larger ones spread give the same."""
+    rng = np.random.default_rng(3)
+    grid = rng.random((60, 40)) < 0.7
+    rows = [(name, int(x) - 7, int(y) + 5, int(y // step) * 50 + int(x // step)) for name, step in (("a", 4), ("b", 30)) for y, x in zip(*np.nonzero(grid))]
+    labels = spark.createDataFrame(rows, "image_id string, x int, y int, cell_id int")
+    names, write = [], image.Scratch.written
+    monkeypatch.setattr(image.Scratch, "written", lambda self, df, name, *a: (names.append(name), write(self, df, name, *a))[1])
+    whole = sorted(map(tuple, image.contour_rings(labels).collect()))
+    assert "rings" not in names and len(whole) > 1000
+    monkeypatch.setattr(image, "RING_PIXELS", 100)
+    assert sorted(map(tuple, image.contour_rings(labels).collect())) == whole and "rings" in names
+
+
 def test_maxima_and_components_across_tiles(spark, monkeypatch):
     """Tiles see what lies beyond their edges; each pixel is shuffled about once and not once for each place of the footprint."""
     rng = np.random.default_rng(4)
