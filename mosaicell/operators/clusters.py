@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.tables import written
 
 COVARIANCES = ("tied", "full", "diag", "spherical")
-#: The pairwise comparison's tiles: cells on one side, on the other, and of these as many as are compared at once.
-BLOCK, ACROSS, STRIP = 1024, 16_384, 2048
+#: The pairwise comparison's parts: cells on one side, on the other, and of these as many as are compared at once; tasks that share a part of the other side.
+BLOCK, ACROSS, STRIP, FLOWS = 4096, 65_536, 2048, 8
 #: A mixture that can't be fitted is fitted again with one covariance for all and this much on its diagonal.
 RETRY_REG = 1e-4
 
@@ -361,42 +361,45 @@ def fcm_clusters(points: DataFrame, k: int | None = None, least: int = 2, most:
 def _silhouettes(rows: DataFrame, block: int, across: int) -> DataFrame:
     """(row, j, class, silhouette) for rows (row long, classes array<int>, embedding), each of whose classes is one clustering j.
 
-    Tiles of about `block` by `across` cells are compared as matrices, once for all clusterings; a tile gives sums per
-    cell and class, so that no pair of cells is a row and no task holds more than a tile.
+    Cells are packed into parts of about `block` and of about `across`, each a row; pairs of parts are compared as matrices,
+    once for all clusterings. A pair gives one row per cell of the first part, with its sums for each class: no pair of
+    cells is a row, cells aren't sorted by pair, and no task holds more than some pairs of parts.
     """
     n = rows.count()
-    blocks, chunks = max(1, -(-n // block)), max(1, -(-n // across))
+    # Few cells are cut finer, so that there is work for several tasks.
+    blocks, chunks = max(1, -(-n // block), min(FLOWS, -(-n // 256))), max(1, -(-n // across))
     sizes = rows.select(F.posexplode("classes").alias("j", "other")).groupBy("j", "other").agg(F.count("*").alias("n"))
     names = sorted((r["j"], r["other"], r["n"]) for r in sizes.collect())  # a row for each class of each clustering
     if not names:
         return rows.sparkSession.createDataFrame([], "row long, j int, class int, silhouette double")
-    side = lambda k, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    own = rows.select(side(blocks, 1).alias("a"), every(chunks).alias("c"), F.lit(True).alias("own"), "row", "classes", "embedding")
-    others = rows.select(every(blocks).alias("a"), side(chunks, 2).alias("c"), F.lit(False).alias("own"), "row", "classes", "embedding")
-
-    def run(tile: pa.Table) -> pa.Table:
-        tile = tile.combine_chunks()
-        mine = tile.column("own").to_numpy()
-        x, classes = _matrix(tile.column("embedding").chunk(0)), _matrix(tile.column("classes").chunk(0))
-        left, right, of = x[mine], x[~mine], classes[~mine]
-        sums = np.zeros((len(left), len(names)))
-        for at in range(0, len(right), STRIP):
-            y, member = right[at : at + STRIP], np.stack([of[at : at + STRIP, j] == c for j, c, _ in names], axis=1).astype(float)
-            d2 = np.zeros((len(left), len(y)))
-            for k in range(x.shape[1]):
-                d2 += (left[:, k, None] - y[:, k]) ** 2
-            sums += np.sqrt(d2) @ member
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, len(names), dtype=np.int32)), pa.array(sums.ravel()))
-        return pa.table({"row": tile.column("row").filter(pa.array(mine)), "sums": lists})
-
-    tiles = own.unionByName(others).groupBy("a", "c").applyInArrow(run, "row long, sums array<double>")
-    about = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(c).alias("other"), F.lit(m).alias("n")) for j, c, m in names))
-    sums = tiles.select("row", F.posexplode("sums").alias("k", "d")).groupBy("row", "k").agg(F.sum("d").alias("d"))
-    sums = sums.join(rows.select("row", "classes"), "row").withColumn("s", F.get(about, F.col("k"))).select("row", "d", "s.*", "classes").withColumn("class", F.get("classes", F.col("j")))
-    a = F.max(F.when(F.col("other") == F.col("class"), F.when(F.col("n") > 1, F.col("d") / (F.col("n") - 1))))
-    b = F.min(F.when(F.col("other") != F.col("class"), F.col("d") / F.col("n")))
-    out = sums.groupBy("row", "j", "class").agg(a.alias("a"), b.alias("b"))
+    columns = [f"s{k}" for k in range(len(names))]
+    packed = lambda k, salt, *own: rows.groupBy(F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(k)).cast("int").alias("part")).agg(F.collect_list(F.struct(*own)).alias("cells"))
+    own = packed(blocks, 1, "row", "embedding").select("cells", F.pmod("part", F.lit(FLOWS)).alias("flow"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("c"))
+    others = packed(chunks, 2, "classes", "embedding").select(F.col("cells").alias("others"), F.explode(F.sequence(F.lit(0), F.lit(FLOWS - 1))).alias("flow"), F.col("part").alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine, there in zip(batch.column(0), batch.column(1)):
+                mine, there = mine.values, there.values
+                x, right, of = _matrix(mine.field("embedding")), _matrix(there.field("embedding")), _matrix(there.field("classes"))
+                sums = np.zeros((len(x), len(names)))
+                for at in range(0, len(right), STRIP):
+                    y, member = right[at : at + STRIP], np.stack([of[at : at + STRIP, j] == c for j, c, _ in names], axis=1).astype(float)
+                    for lo in range(0, len(x), 1024):
+                        left = x[lo : lo + 1024]
+                        d2 = np.zeros((len(left), len(y)))
+                        for k in range(x.shape[1]):
+                            d2 += (left[:, k, None] - y[:, k]) ** 2
+                        sums[lo : lo + 1024] += np.sqrt(d2, out=d2) @ member
+                yield pa.RecordBatch.from_arrays([mine.field("row"), *(pa.array(v) for v in np.ascontiguousarray(sums.T))], ["row", *columns])
+
+    pairs = own.join(others.hint("merge"), ["c", "flow"]).select("cells", "others")
+    sums = pairs.mapInArrow(run, ", ".join(["row long", *(f"{c} double" for c in columns)])).groupBy("row").agg(*(F.sum(c).alias(c) for c in columns))
+    each = sums.join(rows.select("row", "classes"), "row").select("row", F.posexplode("classes").alias("j", "class"), F.array(*(
+        F.struct(F.lit(j).alias("j"), F.lit(c).alias("other"), F.lit(m).alias("n"), F.col(name).alias("d")) for (j, c, m), name in zip(names, columns))).alias("sums"))
+    a = F.array_max(F.transform(F.filter("sums", lambda s: (s["j"] == F.col("j")) & (s["other"] == F.col("class")) & (s["n"] > 1)), lambda s: s["d"] / (s["n"] - 1)))
+    b = F.array_min(F.transform(F.filter("sums", lambda s: (s["j"] == F.col("j")) & (s["other"] != F.col("class"))), lambda s: s["d"] / s["n"]))
+    out = each.select("row", "j", "class", a.alias("a"), b.alias("b"))
     return out.select("row", "j", "class", F.coalesce(F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
 
 

@@ -574,3 +574,20 @@ def test_maxima_and_components_across_tiles(spark, monkeypatch):
             found = image.connected_components(pixels.select("image_id", "x", "y"), neighbours)
         assert sorted(map(tuple, found.select("image_id", "x", "y", "component").collect())) == want
         assert names["nodes"].count() < len(rows) / 20  # only parts at tiles' edges are nodes
+
+
+def test_silhouettes_move_a_row_for_each_cell_and_part(spark):
+    """Sums of all classes travel as one row, cells in packed parts: nothing has a row for each cell and class, or cell and tile."""
+    rng = np.random.default_rng(5)
+    x, classes = rng.normal(size=(700, 2)).round(2), np.stack([rng.integers(0, k, 700) for k in (2, 3, 5)], axis=1)
+    rows = spark.createDataFrame([(k, c.tolist(), v.tolist()) for k, (c, v) in enumerate(zip(classes, x))], "row long, classes array<int>, embedding array<double>")
+    found = clusters._silhouettes(rows, 100, 300)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for r in found.collect():
+        own, mean = classes[:, r["j"]], lambda c: d[r["row"], classes[:, r["j"]] == c]  # noqa: B023
+        assert r["class"] == own[r["row"]]
+        a, b = mean(r["class"]).sum() / (len(mean(r["class"])) - 1), min(mean(c).mean() for c in set(own) - {r["class"]})
+        assert abs(r["silhouette"] - (b - a) / max(a, b)) < 1e-9
+    assert found.count() == 2100
+    plan = found._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "MapInArrow" in plan
