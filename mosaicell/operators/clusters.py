@@ -332,6 +332,29 @@ def fcm_step(points: DataFrame, centres: np.ndarray, m: float = 2.0, distance_po
     return fcm_steps(points, [centres], m, distance_power)[0]
 
 
+class Extrapolated:
+    """Steps to the fixed point of a slow linear convergence (Anderson's): the next point is where the last few steps, taken together, would come to rest.
+
+    A step after which the residual grew is followed by a plain one.
+    """
+
+    def __init__(self, depth: int = 5) -> None:
+        self._depth, self._at, self._to = depth, [], []
+
+    def next(self, x: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """From `x` and what a round makes of it."""
+        if self._at and np.abs(g - x).max() > 2 * np.abs(self._to[-1] - self._at[-1]).max():
+            self._at, self._to = [], []
+        self._at, self._to = [*self._at[-self._depth :], x], [*self._to[-self._depth :], g]
+        if len(self._at) < 2:
+            return g
+        at, to = np.array([v.ravel() for v in self._at]), np.array([v.ravel() for v in self._to])
+        rest = to - at
+        weights = np.linalg.lstsq(np.diff(rest, axis=0).T, rest[-1], rcond=1e-10)[0]
+        new = (to[-1] - weights @ np.diff(to, axis=0)).reshape(x.shape)
+        return new if np.isfinite(new).all() else g
+
+
 def fcm_clusters(points: DataFrame, k: int | None = None, least: int = 2, most: int = 10, m: float = 2.0, rounds: int = 300, tol: float = 1e-6, distance_power: float = 2.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(cells with membership, class, soft_confidence; the choice) by fuzzy c-means; without `k`, the best silhouette from least to most."""
     points = written(points, "points")
@@ -340,7 +363,7 @@ def fcm_clusters(points: DataFrame, k: int | None = None, least: int = 2, most:
     # Rounds over the bounded sample that centres start from are cheap; what they end at is where the rounds over all points start.
     sample, starts = _starts(points, ks, 1, seed, with_sample=True)
     found = {c: _settled(centres, sample, lambda own, x: u_of(own, x) ** m, tol) for (c, _), centres in starts.items()}
-    moving = set(found)
+    moving, steps = set(found), {c: Extrapolated() for c in found}
     for _ in range(rounds):  # all k that still move share a scan
         keys = sorted(moving)
         if not keys:
@@ -348,7 +371,9 @@ def fcm_clusters(points: DataFrame, k: int | None = None, least: int = 2, most:
         for c, new in zip(keys, fcm_steps(points, [found[c] for c in keys], m, distance_power)):
             if np.abs(new - found[c]).max() < tol:
                 moving.discard(c)
-            found[c] = new
+                found[c] = new
+            else:
+                found[c] = steps[c].next(found[c], new)
     found = {c: centres[np.lexsort(centres.T[::-1])] for c, centres in found.items()}
     means = mean_silhouettes(points, [lambda x, own=found[c]: u_of(own, x) for c in ks]) if len(ks) > 1 else [None] * len(ks)
     scores = list(zip(ks, means))

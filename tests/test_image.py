@@ -591,3 +591,16 @@ def test_silhouettes_move_a_row_for_each_cell_and_part(spark):
     assert found.count() == 2100
     plan = found._jdf.queryExecution().toString()
     assert "FlatMapGroupsInArrow" not in plan and "MapInArrow" in plan
+
+
+def test_fuzzy_means_take_few_rounds_over_all_points(spark, monkeypatch):
+    """Clusters that overlap converge slowly round by round: a scan of all cells each."""
+    rng = np.random.default_rng(6)
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(6000, 2)))], "cell_id long, embedding array<double>").coalesce(2)
+    scans, steps = [], clusters.fcm_steps
+    monkeypatch.setattr(clusters, "fcm_steps", lambda *a: (scans.append(1), steps(*a))[1])
+    found, _ = clusters.fcm_clusters(points, k=4)
+    assert len(scans) <= 30
+    x, u = (np.array([r[c] for r in found.collect()]) for c in ("embedding", "membership"))
+    centres = (u**2).T @ x / (u**2).sum(axis=0)[:, None]
+    assert np.abs(clusters.fuzzy_memberships()(centres, x) - u).max() < 1e-4
