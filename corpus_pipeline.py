@@ -7,6 +7,9 @@ beside those of `documents` are dropped. Null texts count as empty; they stay nu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,22 @@ NEAR_WORDS, NEAR_LEAST = 5, 0.8
 #: Bytes of a repeated string, fewer than 50 words have (of all runs of 51 words one in a thousand has under 203 bytes), and
 #: the positions among which a window of that length chooses its anchor.
 REPEAT_BYTES, REPEAT_SPREAD = 200, 96
+#: Bytes that a task hands to its Python at once. Spark goes by 10 000 rows and 64 MB, and a worker keeps what a batch once took.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """`stage`, from which on the session's batches are of BATCH_BYTES, unless its user has set them: what a stage returns runs when it is written."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(BATCH, None) is None:
+            spark.conf.set(BATCH, str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def no_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +77,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.packed(spark, docs)
 
 
-STAGES = [("toxicity", no_toxic), ("simhash", no_near_duplicates), ("suffix", no_repeats), ("mixing", mixed), ("packing", packed)]
+STAGES = [(name, in_small_batches(stage)) for name, stage in
+          [("toxicity", no_toxic), ("simhash", no_near_duplicates), ("suffix", no_repeats), ("mixing", mixed), ("packing", packed)]]
 
 #: SQL can't express the stages; tests hold each against brute force.
 ORACLE_SQL = None

@@ -80,3 +80,21 @@ def test_awkward_tables(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0 and corpus_pipeline.ORACLE_SQL is None
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "suffix", "mixing", "packing"]
+
+
+def test_python_gets_texts_in_small_batches(spark, monkeypatch):
+    """8 MB of texts in a task: by Spark's own limits, one batch."""
+    import pyarrow as pa
+
+    def sizes(docs, field, keep):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([b.nbytes] * b.num_rows, pa.int64()), pa.array([0.0] * b.num_rows)], [*corpus_pipeline.COLUMNS, "score"])
+
+        return docs.select(*corpus_pipeline.COLUMNS).mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long, score double")
+
+    monkeypatch.setattr(corpus_pipeline.toxicity, "train", lambda docs, labels: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "toxicity", sizes)
+    docs = spark.range(40, numPartitions=1).selectExpr("id AS doc_id", "repeat('text ', 40000) AS text", "'en' AS lang", "'x' AS source", "200000L AS n_chars")
+    found = dict(corpus_pipeline.STAGES)["toxicity"](spark, docs, SF).collect()
+    assert len(found) == 40 and max(r["n_chars"] for r in found) < 4 << 20
