@@ -17,6 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ from .common import Scratch, written
 LENGTH = 400
 #: Positions among which a window chooses its anchor, and bytes of the grams whose hashes are compared.
 SPREAD, GRAM = 192, 24
-#: Bytes hashed at once; longer texts are hashed in parts that overlap. Positions must fit `_AT` bits.
-PART, _AT = 1 << 20, 21
+#: Bytes hashed at once, few enough for a processor's cache; longer texts are hashed in parts that overlap. Positions must fit `_AT` bits.
+PART, _AT = 1 << 17, 21
 #: Variants of a core in a block, and bytes of variants that one task sorts.
 BLOCK, TASK_BYTES = 512, 1 << 20
 _PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
@@ -57,19 +59,19 @@ class PrefixHashes:
         self.powers, self.sums, self.top = powers, [], len(powers[0]) - 1
         value = data.astype(np.uint64) + np.uint64(1)
         for p, power in zip(_PRIMES, powers):
-            sums = np.zeros(len(data) + 1, np.uint64)
+            sums = np.zeros(len(data) + 1, np.uint64)  # not reduced: of fewer than 2 ** 32 bytes they stay below 2 ** 63
             np.cumsum(value * power[: len(data)] % np.uint64(p), out=sums[1:])
-            self.sums.append(sums % np.uint64(p))
+            self.sums.append(sums)
 
     def one(self, k: int, start: np.ndarray, size) -> np.ndarray:
         p = np.uint64(_PRIMES[k])
-        return (self.sums[k][start + size] + p - self.sums[k][start]) % p * self.powers[k][self.top - start] % p
+        return (self.sums[k][start + size] - self.sums[k][start]) % p * self.powers[k][self.top - start] % p
 
     def every(self, k: int, size: int) -> np.ndarray:
         """As one(), of all substrings of `size` bytes in order."""
         p, sums = np.uint64(_PRIMES[k]), self.sums[k]
         n = len(sums) - size
-        return (sums[size:] + p - sums[:n]) % p * self.powers[k][self.top - n + 1 : self.top + 1][::-1] % p
+        return (sums[size:] - sums[:n]) % p * self.powers[k][self.top - n + 1 : self.top + 1][::-1] % p
 
     def of(self, start: np.ndarray, size) -> np.ndarray:
         """62-bit hashes of the substrings."""
@@ -118,7 +120,8 @@ class Anchors:
         last = np.append(first[1:], len(anchor)) - 1
         lo, hi, anchor = windows[first], windows[last], anchor[first]
         core = hashes.of(anchor, self.length - w + 1).astype(np.int64)
-        cover = np.fromiter((_digest(raw[a : b + self.length]) for a, b in zip(lo.tolist(), hi.tolist())), np.int64, len(lo))
+        cover = np.fromiter(map(xxhash.xxh3_64_intdigest, map(memoryview(raw).__getitem__, map(slice, lo.tolist(), (hi + self.length).tolist()))), np.uint64, len(lo))
+        cover = (cover ^ hashes.of(lo, hi - lo + self.length) * _SPREADER).astype(np.int64)  # two hashes of another kind: bytes made to collide in one don't in the other
         return np.searchsorted(starts, lo, "right") - 1, lo, hi, anchor, core, cover
 
 
@@ -175,9 +178,10 @@ class SuffixSort:
         self.suffixes, self.collided = suffixes, False
         self.whole = self.hashes.of(suffixes, length)
         # The first bytes as numbers that sort as the bytes do: most pairs differ there and need no search.
-        self.heads = np.zeros(len(suffixes), np.uint64)
-        for k in range(min(8, length)):
-            self.heads |= self.data[suffixes + k].astype(np.uint64) << np.uint64(56 - 8 * k)
+        heads = np.zeros((len(suffixes), 8), np.uint8)
+        if len(suffixes):
+            heads[:, : min(8, length)] = sliding_window_view(self.data, min(8, length))[suffixes]
+        self.heads = heads.view(">u8").ravel().astype(np.uint64)
         self.bounds = np.append(np.nonzero(np.append(True, groups[1:] != groups[:-1]))[0], len(groups)) if len(groups) else np.zeros(1, np.int64)
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -244,8 +248,8 @@ class SuffixSort:
         at = np.nonzero(same)[0]
         for k in range(0, len(at), 4096):
             some = at[k : k + 4096]
-            a, b = (self.suffixes[order[x]][:, None] + np.arange(self.length) for x in (some, some - 1))
-            if (self.data[a] != self.data[b]).any():
+            strings = sliding_window_view(self.data, self.length)
+            if (strings[self.suffixes[order[some]]] != strings[self.suffixes[order[some - 1]]]).any():
                 return self._by_bytes()
         return self._first_of_runs(order, same)
 
@@ -282,22 +286,35 @@ def _sort_task(length: int):
         begin = np.cumsum(sizes) - sizes
         item = np.repeat(np.arange(len(raws)), windows)
         shift = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
-        ahead = back[item] - shift  # of the anchor: only windows as far from it can be equal
-        order = np.lexsort((ahead, block[item], core[item]))
-        item, shift, ahead = item[order], shift[order], ahead[order]
+        by_core = np.lexsort((block, core))
+        number = np.empty(len(raws), np.int64)  # of a core's block
+        number[by_core] = np.cumsum(np.append(0, (core[by_core[1:]] != core[by_core[:-1]]) | (block[by_core[1:]] != block[by_core[:-1]])))[: len(raws)]
+        # Of how far the anchor is: only windows as far from it can be equal.
+        ahead = back[item] - shift
+        least = ahead.min(initial=0)
+        group = number[item] * (ahead.max(initial=0) - least + 1) + ahead - least
+        order = np.argsort(group)
+        item, shift, ahead, starts = item[order], shift[order], ahead[order], shift == 0
         raw = b"".join(raws)
-        group = np.cumsum(np.append(0, (ahead[1:] != ahead[:-1]) | (block[item][1:] != block[item][:-1]) | (core[item][1:] != core[item][:-1]))) if len(item) else item
-        first = SuffixSort(raw, begin[item] + shift, group, length).repeated()
+        first = SuffixSort(raw, begin[item] + shift, group[order], length).repeated()
         valid = (first >= 0) | shared[item]
-        # A row for each window that is found repeated here (its variant's occurrences need it), and for each one that
-        # blocks must compare: once, with its variant only if that still waits for a partner.
-        tell = (valid & ~shared[item]) | (many[item] & ((first < 0) | (first == np.arange(len(item)))))
-        k = np.nonzero(tell)[0]
-        text = begin[item] + shift
-        digest = np.array([_digest(raw[text[x] : text[x] + length]) if many[item[x]] else 0 for x in k.tolist()], np.int64)
-        compare = many[item[k]] & ((first[k] < 0) | (first[k] == k))
-        return pa.table({"core": core[item[k]], "cover": task.column("cover").to_numpy()[item[k]], "shift": shift[k].astype(np.int32), "ahead": ahead[k].astype(np.int32),
-                         "digest": digest, "valid": valid[k] & ~shared[item[k]], "waits": compare & ~valid[k], "compare": compare, "many": valid[k]})
+        # A row for each run of windows that are found repeated here (their variant's occurrences need them), and one for each
+        # window that blocks must compare: once, with its variant only if that still waits for a partner.
+        told = np.zeros(len(item) + 1, bool)
+        told[order] = valid & ~shared[item]
+        follows = np.append(False, told[:-1])[:-1] & ~starts  # the window before, of the same variant, is told too
+        a = np.nonzero(told[:-1] & ~follows)[0]
+        b = np.nonzero(told[:-1] & ~np.append(follows[1:] & told[1:-1], False)[: len(item)])[0]
+        place = np.empty(len(item), np.int64)
+        place[order] = np.arange(len(item))
+        compare = many[item] & ((first < 0) | (first == np.arange(len(item))))
+        k = np.nonzero(compare)[0]
+        text = (begin[item] + shift)[k].tolist()
+        digest = np.array([_digest(raw[x : x + length]) for x in text], np.int64)
+        x = np.concatenate([place[a], k])
+        runs = np.arange(len(x)) < len(a)
+        return pa.table({"core": core[item[x]], "cover": task.column("cover").to_numpy()[item[x]], "shift": shift[x].astype(np.int32), "until": shift[np.concatenate([place[b], k])].astype(np.int32),
+                         "ahead": ahead[x].astype(np.int32), "digest": np.append(np.zeros(len(a), np.int64), digest), "valid": runs, "waits": ~runs & ~valid[x], "compare": ~runs})
 
     return run
 
@@ -316,18 +333,27 @@ def whole_characters(part: bytes, first: bool, last: bool) -> bytes:
     return part[begin:end]
 
 
-def _merged(found: list[dict] | None, length: int) -> list[list[int]]:
-    """The bytes that windows of `length` cover, as disjoint runs [from, to) in order; found: ranges lo, hi of the windows' starts."""
-    runs: list[list[int]] = []
-    for lo, hi in sorted((x["lo"], x["hi"] + length) for x in found or ()):
-        if runs and lo <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], hi)
-        else:
-            runs.append([lo, hi])
-    return runs
+def _merged(found: pa.ListArray, length: int) -> list[list[tuple[int, int]]]:
+    """For each text the bytes that windows of `length` cover, as disjoint runs (from, to) in order; found: its ranges lo, hi of the windows' starts, or null."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(found))]
+    values = found.flatten()
+    if not len(values):
+        return out
+    text = np.repeat(np.arange(len(found)), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    lo, hi = (values.field(c).to_numpy() for c in ("lo", "hi"))
+    order = np.lexsort((lo, text))
+    text, lo, hi = text[order], lo[order], hi[order] + length
+    # Each text's places follow those of the texts before it: one running maximum serves all.
+    shift = text * (int(hi.max()) + 1)
+    reach = np.maximum.accumulate(hi + shift)
+    first = np.nonzero(np.append(True, (text[1:] != text[:-1]) | (lo[1:] + shift[1:] > reach[:-1])))[0]
+    last = np.append(first[1:], len(lo)) - 1
+    for k, a, b in zip(text[first].tolist(), lo[first].tolist(), (reach - shift)[last].tolist()):
+        out[k].append((a, b))
+    return out
 
 
-def _parts(raw: bytes, cuts: list[list[int]]) -> list[tuple[int, int]]:
+def _parts(raw: bytes, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """What the cuts leave of a text: from, to."""
     return list(zip([0, *(hi for _, hi in cuts)], [*(lo for lo, _ in cuts), len(raw)]))
 
@@ -336,8 +362,8 @@ def _remove(length: int, passage: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, spans, kept, texts, passages, covered = [], [], [], [], [], []
-            for text, found, short in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                raw, cuts, runs = text.as_py(), _merged(found, length), _merged(short, passage)
+            for text, cuts, runs in zip(batch.column(0), _merged(batch.column(1), length), _merged(batch.column(2), passage)):
+                raw = text.as_py()
                 parts = _parts(raw, cuts)
                 removed.append(sum(hi - lo for lo, hi in cuts))
                 spans.append(len(cuts))
@@ -357,8 +383,8 @@ def _long_runs(length: int, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, starts, parts = [], [], []
-            for row, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                runs = [x for x in _merged(found, passage) if x[1] - x[0] >= length]
+            for row, text, merged in zip(batch.column(0).to_pylist(), batch.column(1), _merged(batch.column(2), passage)):
+                runs = [x for x in merged if x[1] - x[0] >= length]
                 raw = text.as_py() if runs else b""
                 for lo, hi in runs:
                     rows.append(row)
@@ -381,7 +407,8 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, spread: int = SPREA
                       .mapInArrow(_find_anchors(length, spread, gram), "row long, lo long, span int, back int, core long, cover long"), "anchors")
     cores = scratch.written(anchors.groupBy("core").agg(F.count("*").alias("n"), F.min("cover").alias("a"), F.max("cover").alias("b"))
                     .where("n > 1").select("core", (F.col("a") != F.col("b")).alias("open")), "cores")
-    shared = scratch.written(anchors.join(cores, "core"), "shared")
+    # Many rows against few: the few are hashed, and the many needn't be sorted.
+    shared = scratch.written(anchors.join(cores.hint("shuffle_hash"), "core"), "shared")
     whole = shared.where("not open").select("row", "lo", (F.col("lo") + F.col("span")).alias("hi"))
     opened = shared.where("open")
     variants = scratch.written(opened.groupBy("core", "cover").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "span", "back")).alias("one")), "variants")
@@ -392,16 +419,17 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, spread: int = SPREA
     ready = (variants.join(counts, "core").select("core", "cover", "n", "one.back", "blocks", F.pmod(F.xxhash64("cover"), F.col("blocks")).cast("int").alias("block"))
              .join(cut, ["core", "cover"]))
     sorted_ = scratch.written(ready.withColumn("task", F.pmod(F.xxhash64("core", "block"), F.lit(tasks)))
-                      .groupBy("task").applyInArrow(_sort_task(length), "core long, cover long, shift int, ahead int, digest long, valid boolean, waits boolean, compare boolean, many boolean"), "sorted")
+                      .groupBy("task").applyInArrow(_sort_task(length), "core long, cover long, shift int, until int, ahead int, digest long, valid boolean, waits boolean, compare boolean"), "sorted")
     merged = (sorted_.where("compare").groupBy("core", "ahead", "digest").agg(F.count("*").alias("blocks"))
               .where("blocks > 1").select("core", "ahead", "digest"))
     later = scratch.written(merged, "merged").join(sorted_.where("waits"), ["core", "ahead", "digest"]).select("core", "cover", "shift")
-    found = sorted_.where("valid").select("core", "cover", "shift").unionByName(later)
     # Runs of starts, few for each variant, of which there are `spread` windows at most.
     island = F.col("shift") - F.row_number().over(W.partitionBy("core", "cover").orderBy("shift"))
-    runs = scratch.written(found.withColumn("island", island).groupBy("core", "cover", "island").agg(F.min("shift").alias("from"), F.max("shift").alias("to")), "runs")
-    part = opened.join(runs, ["core", "cover"]).select("row", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
-    copied = opened.join(variants.where("n > 1").select("core", "cover"), ["core", "cover"]).select("row", "lo", (F.col("lo") + F.col("span")).alias("hi"))
+    later = later.withColumn("island", island).groupBy("core", "cover", "island").agg(F.min("shift").alias("from"), F.max("shift").alias("to")).drop("island")
+    found = sorted_.where("valid").select("core", "cover", F.col("shift").alias("from"), F.col("until").alias("to"))
+    runs = scratch.written(found.unionByName(later), "runs")
+    part = opened.join(runs.hint("shuffle_hash"), ["core", "cover"]).select("row", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
+    copied = opened.join(variants.where("n > 1").select("core", "cover").hint("shuffle_hash"), ["core", "cover"]).select("row", "lo", (F.col("lo") + F.col("span")).alias("hi"))
     return whole.unionByName(part).unionByName(copied)
 
 

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from mosaicell.llm import suffix
 
@@ -127,6 +128,30 @@ def test_collisions_are_found(monkeypatch):
     assert sort.repeated().tolist() == [0, 0, -1]
 
 
+def test_sort_tells_runs():
+    """What is found repeated comes as runs of windows, not as a row for each window."""
+    rng = np.random.default_rng(9)
+    head, middle, tail = (rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (40, 60, 40))
+    variants = [b"X" + head + middle + tail, head + middle + tail + b"Y", b"Z" * 41 + middle + b"W" * 40]  # windows of 80 bytes; the first two share 61
+    back = [61, 60, 61]
+    task = pa.table({"core": [5] * 3, "cover": [1, 2, 3], "n": [1] * 3, "back": pa.array(back, pa.int32()), "blocks": pa.array([1] * 3, pa.int32()), "block": pa.array([0] * 3, pa.int32()), "bytes": pa.array(variants, pa.binary())})
+    rows = suffix._sort_task(80)(task).to_pylist()
+    assert sorted((r["cover"], r["shift"], r["until"]) for r in rows if r["valid"]) == [(1, 1, 61), (2, 0, 60)] and len(rows) == 2
+
+
+def test_ranges_merge_by_text():
+    rng = random.Random(10)
+    found = [None, [], *([(a := rng.randrange(3000), a + rng.randrange(60)) for _ in range(rng.randrange(1, 12))] for _ in range(300))]
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+    got = suffix._merged(pa.array([x and [{"lo": a, "hi": b} for a, b in x] for x in found], kind).slice(1), 80)
+    for x, runs in zip(found[1:], got, strict=True):
+        cover = np.zeros(3200, int)
+        for a, b in x:
+            cover[a : b + 80] = 1
+        edges = np.diff(cover, prepend=0)
+        assert runs == list(zip(np.nonzero(edges == 1)[0].tolist(), np.nonzero(edges == -1)[0].tolist()))
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.remove_repeats(docs).collect() == []
