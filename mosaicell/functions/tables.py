@@ -90,6 +90,14 @@ def written(df: DataFrame, name: str, by_files: bool = False) -> DataFrame:
     return (_holder.get() or Scratch()).written(df, name, by_files)
 
 
+def sweep(spark: SparkSession) -> None:
+    """The driver's heap after many plans: what they left is collected, so that Spark takes back their broadcasts and the heap shrinks.
+
+    For steps that plan dozens of joins in a row; nothing that is still referred to goes.
+    """
+    spark._jvm.System.gc()
+
+
 def dense(entries: F.Column, size: F.Column, place: str, value: str) -> F.Column:
     """An array of `size` doubles from an array of structs: each entry's value at its place (different ones from 0 on), zeros between them.
 
@@ -116,12 +124,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = now.written(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .where("u is not null and v is not null and u <> v").distinct(), "links")
-    last = None
     for _ in range(rounds):
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not state[0] or state == last:
+        # Settled are stars: a node has one link down at most, and none that leads on.
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        if not ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down + up > 1 and down > 0").agg(F.count("*")).first()[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        last = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

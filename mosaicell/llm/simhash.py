@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import Scratch, written  # rows here are numbers mostly: joins go by rows, not by files
+from ..functions.tables import Scratch, sweep, written  # rows here are numbers mostly: joins go by rows, not by files
 from .common import components, lowest_of_component
 
 SHINGLE_WORDS = 3
@@ -279,6 +279,7 @@ def _sets(words: int):
 
 def _large_groups(members: DataFrame, texts: DataFrame, words: int, least: float, scratch: Scratch) -> DataFrame:
     """Links (u, v), as forests, between all similar rows of a group of which one at least is open. members: (print, row, open); texts: (row, text)."""
+    members = scratch.written(members, "large")
     wanted = members.join(members.where("open").select("print").distinct(), "print", "left_semi")
     wanted = scratch.written(wanted, "unsettled")
     sets = scratch.written(texts.join(wanted.select("row").distinct(), "row", "left_semi").select("row", "text").mapInArrow(_sets(words), "row long, set array<long>"), "sets")
@@ -325,7 +326,8 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
         stars = stars.unionByName(joined_by_bits)
         asked = asked.unionByName(joined_by_bits.select(F.explode(F.array("u", "v")).alias("row")))
     texts = scratch.written(texts.join(asked.distinct(), "row", "left_semi"), "candidates")
-    stars = stars.distinct()
+    stars = scratch.written(stars.distinct(), "stars")  # plans name it several times, and the pairs below
+    sweep(classes.sparkSession)
     found = written(_verified(stars, texts, words, least), "links")
     joined = scratch.written(components(found), "joined")
     small = members.join(groups.where(F.col("n") <= SHARED).select("print"), "print")
@@ -333,12 +335,15 @@ def similar_links(classes: DataFrame, texts: DataFrame, words: int, least: float
     root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = (pairs.distinct().join(root("u"), "u", "left").join(root("v"), "v", "left")
              .where("coalesce(root_u, u) <> coalesce(root_v, v)").select("u", "v"))
-    more = written(_verified(apart.join(stars, ["u", "v"], "left_anti"), texts, words, least), "links")
+    apart = scratch.written(apart.join(stars, ["u", "v"], "left_anti"), "apart")
+    sweep(classes.sparkSession)
+    more = written(_verified(apart, texts, words, least), "links")
     # Of a large group, rows that are joined with its first row are open to no one but those that aren't.
     heads = groups.where(F.col("n") > SHARED).join(root("first"), "first", "left").select("print", F.coalesce("root_first", "first").alias("head"))
     large = members.join(heads, "print").join(root("row"), "row", "left").select("print", "row", (F.coalesce("root_row", "row") != F.col("head")).alias("open"))
     more_of_large = written(_large_groups(large, texts, words, least, scratch), "links")
     scratch.clear()
+    sweep(classes.sparkSession)
     return found.unionByName(more).unionByName(more_of_large)
 
 

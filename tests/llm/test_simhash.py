@@ -169,3 +169,26 @@ def test_joins_are_planned_by_rows_and_not_by_files(spark, monkeypatch):
     with holding():
         assert simhash.similar_keep(df, words=3).count() == 1
     assert {"classes", "links", "joined", "kept", "pairs"} <= seen.keys() and set(seen.values()) == {"-1"}
+
+
+def test_pairs_are_written_before_they_are_verified(spark, monkeypatch):
+    """Plans of the driver stay small: what is verified names a written table several times, not the joins behind it."""
+    plans, verified = [], simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: plans.append(pairs._jdf.queryExecution().optimizedPlan().toString()) or verified(pairs, *rest))
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"{text} x{k}") for k in range(12)] + [(100 + k, f"y{k} z{k} v{k} u{k} t{k} s{k}") for k in range(5)]
+    kept = simhash.similar_keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, *range(100, 105)]
+    assert len(plans) == 2 and not any(word in plan for plan in plans for word in ("Join", "Aggregate"))
+
+
+def test_stars_are_settled(spark, monkeypatch):
+    """Links that are stars already take no round; chains and repeated links take some."""
+    from mosaicell.functions import tables
+
+    names, write = [], tables.Scratch.written
+    monkeypatch.setattr(tables.Scratch, "written", lambda self, df, name, *rest: names.append(name) or write(self, df, name, *rest))
+    found = tables.components(spark.createDataFrame([(5, 1), (1, 6), (7, 1), (9, 8), (8, 9), (4, 4), (None, 3)], "u long, v long"))
+    assert sorted(map(tuple, found.collect())) == [(5, 1), (6, 1), (7, 1), (9, 8)] and len(names) == 1
+    chain = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(60, 50), (60, 51), (51, 50)], "u long, v long")
+    assert sorted(map(tuple, tables.components(chain).collect())) == [*((k, 0) for k in range(1, 41)), (51, 50), (60, 50)]
